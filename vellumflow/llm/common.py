@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,3 +102,15 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         while not np.array_equal(label, up := label[label]):
             label = up
     return label
+
+
+def carried(docs: DataFrame, text_col: str, keep: list[str] | None = None):
+    """(df, texts): ``df`` has doc, a struct of the columns to keep (all, if None), and ``texts`` reads a batch's texts.
+
+    The text crosses to Python once, whether it is kept or not."""
+    columns = docs.columns if keep is None else keep
+    held = F.struct(*[docs[c] for c in columns]).alias("doc")
+    if text_col in columns:
+        at = columns.index(text_col)
+        return docs.select(held), lambda b: pc.struct_field(b.column(0), [at]).to_pylist()
+    return docs.select(held, F.col(text_col).alias("text")), lambda b: b.column(1).to_pylist()

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, simhash, urls
+from . import mixing, packing, quality, sharding, simhash, toxicity, urls
+from .common import crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,12 @@ def op4_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, table(spark, sf_dir, "labels"), learn=toxicity.not_held_out(), keep=["doc_id"])
+    return found.select("doc.doc_id", (crc_mod("doc.doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 #: The listed URLs of op6: host, path and verdict.
 LISTED = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -52,6 +59,12 @@ FROM p LEFT JOIN fits USING (host, path)
 """
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.judge(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return found.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -64,5 +77,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_karmarkar_karp_sharding, op6_bloom_url_filter, op9_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_karmarkar_karp_sharding, op5_kneser_ney_toxicity, op6_bloom_url_filter, op8_quality_rules, op9_mixing, op10_packing)}
 ORACLES: dict[str, str] = {"op6_bloom_url_filter": OP6_SQL}
