@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, sharding, simhash, toxicity, urls
+from . import mixing, packing, quality, sharding, simhash, toxicity, urls, warc
 from .common import crc_mod
 
 
@@ -59,6 +59,11 @@ FROM p LEFT JOIN fits USING (host, path)
 """
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write(table(spark, sf_dir, "pages"))
+    return warc.pages_of(warc.read(spark, path)).withColumnRenamed("id", "page_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality.judge(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
@@ -77,5 +82,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_karmarkar_karp_sharding, op5_kneser_ney_toxicity, op6_bloom_url_filter, op8_quality_rules, op9_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_karmarkar_karp_sharding, op5_kneser_ney_toxicity, op6_bloom_url_filter, op7_warc, op8_quality_rules, op9_mixing, op10_packing)}
 ORACLES: dict[str, str] = {"op6_bloom_url_filter": OP6_SQL}
