@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, packing, quality, sharding, simhash, toxicity, urls, warc
+from . import embeddings, lattice, mixing, packing, quality, sharding, simhash, toxicity, urls, warc
 from .common import crc_mod
 
 
@@ -25,6 +25,12 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
+def op3_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 5) == 1
+    found = lattice.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), held_out)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op4_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(table(spark, sf_dir, "documents"), 8)
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -88,5 +94,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_embedding_near_dedup, op4_karmarkar_karp_sharding, op5_kneser_ney_toxicity, op6_bloom_url_filter, op7_warc, op8_quality_rules, op9_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_subword_lattice, op4_karmarkar_karp_sharding, op5_kneser_ney_toxicity, op6_bloom_url_filter, op7_warc, op8_quality_rules, op9_mixing, op10_packing)}
 ORACLES: dict[str, str] = {"op6_bloom_url_filter": OP6_SQL}
