@@ -8,8 +8,8 @@ none exceeds its capacity. Blocks are independent, so nothing grows with the cor
 
 from __future__ import annotations
 
+import itertools
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +28,17 @@ FINE, LEAST = 16, 4
 #: Pieces that one task packs at once.
 BLOCK = 2048
 #: Words whose ids a worker keeps, and the longest of them in bytes.
-CACHED, CACHED_BYTES = 700_000, 64
+CACHED, CACHED_BYTES = 600_000, 64
 
 
 class WordIds:
     """Ids of texts under a tokenizer that never joins characters across white space, word by word.
 
     Ids are those of ``encode(text, add_special_tokens=False)``, as little-endian unsigned 32-bit integers.
-    The tokenizer lower-cases and cuts words before punctuation itself; doing so for A-Z here, and after
-    a-z, leaves fewer words to know. New words are encoded many at a time, a mark that is a word of its own
-    between them."""
+    The tokenizer lower-cases, and cuts punctuation off letters, itself; doing so here for ASCII leaves
+    fewer words to encode. These are encoded many at a time, a mark that is a word of its own between them."""
 
-    MARK = b"\x01"
-    #: Ends of plain words; the tokenizer never joins what stands at either side.
-    EDGE = re.compile(rb"(?<=[a-z])(?=[.,;:!?])")
+    MARK, STOPS = b"\x01", b".,;:!?"
 
     def __init__(self, path: str):
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
@@ -51,30 +48,35 @@ class WordIds:
     def _ids(self, words: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(words.decode(), add_special_tokens=False).ids, "<u4")
 
-    def _some(self, new: list[bytes]) -> list[bytes]:
-        ids = self._ids((b" " + self.MARK + b" ").join(new))
-        at = np.nonzero(ids == self.mark[0])[0]
-        starts, ends, raw = [0, *(4 * (at + 1)).tolist()], [*(4 * at).tolist(), 4 * len(ids)], ids.tobytes()
-        return [raw[a:b] for a, b in zip(starts, ends)]
-
-    def _cut(self, text: bytes) -> list[bytes]:
-        # special tokens are spelt in lower case, and only so
-        return text.split() if b"<|" in text else self.EDGE.sub(b" ", text.translate(LOWER)).split()
+    def _learn(self, new: list[bytes]) -> None:
+        for k in range(0, len(new), 1000):
+            some = new[k : k + 1000]
+            ids = self._ids((b" " + self.MARK + b" ").join(some))
+            at, raw = np.nonzero(ids == self.mark[0])[0], ids.tobytes()
+            self.known.update((w, raw[a:b]) for w, a, b in zip(some, [0, *(4 * (at + 1)).tolist()], [*(4 * at).tolist(), len(raw)]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._cut(x.encode()) if x else [] for x in texts]
-        if len(self.known) > CACHED:
-            self.known.clear()
+        # special tokens are spelt in lower case, and only so
+        cut = [(x.encode() if "<|" in x else x.encode().translate(LOWER)).split() if x else [] for x in texts]
         known = self.known
-        new = list(set().union(*(set(ws).difference(known) for ws in cut)))
+        if len(known) > CACHED:  # words met first are the frequent ones
+            known = self.known = dict(itertools.islice(known.items(), CACHED // 2))
+        new = set().union(*cut).difference(known)
         long = [w for w in new if len(w) > CACHED_BYTES or self.MARK in w or b"<|" in w]
-        new = [w for w in new if len(w) <= CACHED_BYTES and self.MARK not in w and b"<|" not in w]
-        for k in range(0, len(new), 1000):
-            some = new[k : k + 1000]
-            known.update(zip(some, self._some(some)))
-        if long:
-            known = known | {w: self._ids(w).tobytes() for w in long}
-        return [b"".join([known[w] for w in ws]) for ws in cut]
+        new.difference_update(long)
+        parts = {}
+        for w in new:
+            stem = w.rstrip(self.STOPS)
+            if stem and stem != w and 97 <= stem[-1] <= 122:
+                parts[w] = stem, w[len(stem) :]
+        new.difference_update(parts)
+        for pair in parts.values():
+            new.update(pair)
+        self._learn(list(new.difference(known)))
+        known.update((w, known[stem] + known[stops]) for w, (stem, stops) in parts.items())
+        if long:  # not worth keeping: for this call alone
+            known = {w: known[w] for ws in cut for w in ws if w in known} | {w: self._ids(w).tobytes() for w in long}
+        return [b"".join(map(known.__getitem__, ws)) for ws in cut]
 
 
 _WORKERS: dict[str, WordIds] = {}
