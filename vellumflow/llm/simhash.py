@@ -19,6 +19,7 @@ spanning forest of the links is passed on instead of the pairs."""
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,10 +159,10 @@ def nearest(group: np.ndarray, fp: np.ndarray, radius: int, most: int) -> tuple[
 
 
 def grouped(batches, link):
-    """Feed runs of whole groups (mask, key, fp, ...) to ``link``; a group may begin in one batch and end in another."""
+    """Feed runs of whole groups (mask, key, fp, name) to ``link``; a group may begin in one batch and end in another."""
     rest = None
     for b in itertools.chain(batches, [None]):
-        now = np.empty((0, 3), np.int64) if b is None else np.stack([b.column(k).to_numpy() for k in range(3)], axis=1)
+        now = np.empty((0, 4), np.int64) if b is None else np.stack([b.column(k).to_numpy() for k in range(4)], axis=1)
         if rest is not None:
             now = np.concatenate((rest, now))
         if not len(now):
@@ -175,26 +176,21 @@ def grouped(batches, link):
         pairs = np.bincount(group, minlength=1)[group] > 1 if cut else np.empty(0, bool)
         rows = now[:cut][pairs]
         if len(rows):
-            fp = np.ascontiguousarray(rows[:, 2])
-            i, j = link(group[pairs], fp)
+            i, j = link(group[pairs], np.ascontiguousarray(rows[:, 2]))
             if len(i):
-                yield pa.record_batch([pa.array(fp[i]), pa.array(fp[j])], ["a", "b"])
+                yield pa.record_batch([pa.array(rows[i, 3]), pa.array(rows[j, 3])], ["a", "b"])
 
 
-def keyed(fps: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
-    """A row (mask, key, fp) for each fingerprint and set of places."""
-    m = F.explode(F.array([F.lit(bits_mask(s)) for s in sets]).cast("array<bigint>"))
-    return fps.select("fp", m.alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
+def search(fps: DataFrame, sets: list[tuple[int, ...]], finer, depth: int, link, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links (a, b) between names that ``link`` finds within the groups that agree on one of the sets of places.
 
-
-def exact_links(fps: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links (a, b) that connect what pairs of distinct fingerprints within 2 bits connect.
-
-    ``fps`` has one column fp, without repeats."""
-    spark, ready, sets = fps.sparkSession, [], cover()
-    rows = keyed(fps, sets)
-    for depth in range(3):
-        if depth == 2:  # 8 bits are free at most: 256 rows
+    ``fps`` has fp and name, distinct names. Groups of more than ``group_rows`` rows are cut by the sets that
+    ``finer`` makes of theirs, ``depth`` times at most."""
+    spark, ready = fps.sparkSession, []
+    mask = F.explode(F.array([F.lit(bits_mask(s)) for s in sets]).cast("array<bigint>"))
+    rows = fps.select(mask.alias("mask"), "fp", "name").select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp", "name")
+    for level in range(depth + 1):
+        if level == depth:
             ready.append(rows)
             break
         large = written(rows.groupBy("mask", "key").count().filter(F.col("count") > group_rows).select("mask", "key"), "large")
@@ -202,18 +198,25 @@ def exact_links(fps: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
             ready.append(rows)
             break
         ready.append(rows.join(large, ["mask", "key"], "left_anti"))
-        hot = rows.join(large, ["mask", "key"], "left_semi")
-        finer = {s: cover(s) for s in sets}
-        names = spark.createDataFrame([(bits_mask(s), [bits_mask(t) for t in ts]) for s, ts in finer.items()], "mask bigint, finer array<bigint>")
-        rows = hot.join(names, "mask").select(F.explode("finer").alias("mask"), "fp").select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp").distinct()
-        sets = [t for ts in finer.values() for t in ts]
+        more = {s: finer(s) for s in sets}
+        names = spark.createDataFrame([(bits_mask(s), [bits_mask(t) for t in ts]) for s, ts in more.items()], "mask bigint, finer array<bigint>")
+        rows = rows.join(large, ["mask", "key"], "left_semi").join(names, "mask").select(F.explode("finer").alias("mask"), "fp", "name")
+        rows = rows.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp", "name").distinct()
+        sets = [t for ts in more.values() for t in ts]
     found = None
     for r in ready:
-        part = r.repartition(shuffle_partitions(spark), "mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(lambda it: grouped(it, lambda g, fp: forest(g, fp, 2)), "a bigint, b bigint")
+        part = r.repartition(shuffle_partitions(spark), "mask", "key").sortWithinPartitions("mask", "key", "fp", "name").mapInArrow(lambda it: grouped(it, link), "a bigint, b bigint")
         found = part if found is None else found.union(part)
     return found
 
 
+def exact_links(fps: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links (a, b) that connect what pairs of distinct fingerprints within 2 bits connect.
+
+    ``fps`` has one column fp, without repeats. After two cuts 8 bits are free: 256 rows at most."""
+    return search(fps.select("fp", F.col("fp").alias("name")), cover(), cover, 2, lambda g, fp: forest(g, fp, 2), group_rows)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fingerprint, component): documents whose fingerprints link at 2 or fewer differing bits.
 
@@ -229,3 +232,95 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = named.groupBy("label").agg(F.min("least").alias("component"))
     place = named.join(smallest, "label").select("fp", "component")
     return rows.join(place, rows.fingerprint == place.fp).select("id", "fingerprint", "component")
+
+
+#: Of pairs with so many differing bits, the tables together miss one in 20 at most.
+AIMED_BITS = 10
+#: Fingerprints that share a table's key by chance, about.
+BY_CHANCE = 64
+#: Most differing bits of a candidate, and candidates that a row passes on for each table: the nearest ones.
+CANDIDATE_BITS, NEAREST = 14, 3
+#: Smallest hashes of a text's different shingles by which candidates are verified; exact for texts of so many.
+SKETCH = 512
+
+
+def random_sets(count: int, size: int, fixed: tuple[int, ...] = ()) -> list[tuple[int, ...]]:
+    """Sets of the fixed places of the chain and ``size`` pseudo-random others, the same in every run."""
+    rng = np.random.default_rng([size, *fixed])
+    left = np.array([p for p in range(64) if p not in set(fixed)])
+    return [tuple(sorted((*fixed, *rng.choice(left, min(size, len(left)), replace=False).tolist()))) for _ in range(count)]
+
+
+def tables(n: int) -> list[tuple[int, ...]]:
+    """The sets of places by which n fingerprints are searched for near ones.
+
+    A set has log2(n / BY_CHANCE) places, so that groups keep their size as n grows, and there are as many
+    as leave a pair AIMED_BITS apart a chance of 1 in 20 to agree on none."""
+    size = min(32, max(8, math.ceil(math.log2(max(n, 1) / BY_CHANCE))))
+    hit = math.comb(64 - AIMED_BITS, size) / math.comb(64, size)
+    return random_sets(math.ceil(math.log(0.05) / math.log(1 - hit)), size)
+
+
+def sketched(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(text_key, fingerprint, sketch) of every row; the sketch holds the smallest hashes of its different shingles, in order."""
+
+    def run(batches):
+        for b in batches:
+            fps, sketches = [], []
+            for text in b.column(1).to_pylist():
+                ones, n, kept = np.zeros(64, np.int64), 0, np.empty(0, np.uint64)
+                for h in shingle_hashes(lower_words(text), shingle):
+                    ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                    n += len(h)
+                    kept = np.unique(np.concatenate((kept, h)))[:SKETCH]
+                fps.append(int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0]) if n else 0)
+                sketches.append(kept.astype("<u8").tobytes())
+            yield pa.record_batch([b.column(0), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["text_key", "fingerprint", "sketch"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "text_key bigint, fingerprint bigint, sketch binary")
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets: exact for sets below SKETCH, else over the smallest SKETCH hashes of the union."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    union = np.union1d(x, y)
+    if max(len(x), len(y)) == SKETCH:  # a sketch may be cut short, and tells nothing beyond its end
+        union = union[:SKETCH]
+    return float(np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean()) if len(union) else 1.0
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near copies, with all its columns.
+
+    Texts are near copies if the Jaccard similarity of their sets of lower-cased word shingles is
+    ``similarity`` or more; groups are what such links connect. Candidates are fingerprints at most
+    CANDIDATE_BITS apart that agree on some stretch of the pivots' chain, verified by sketches. Of a group
+    the smallest id stays (a null id only if there is no other), and of rows that repeat it, one. Null
+    texts count as empty, and texts without words are copies of one another. An empty table gives an empty
+    table; other columns stay as they are, whatever their names."""
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    texts = written(sketched(docs, text_col, shingle).groupBy("text_key").agg(F.first("fingerprint").alias("fp"), F.first("sketch").alias("sketch")), "texts")
+    link = lambda g, fp: nearest(g, fp, CANDIDATE_BITS, NEAREST)
+    found = search(texts.select("fp", F.col("text_key").alias("name")), tables(texts.count()), lambda s: random_sets(16, 8, s), 3, link)
+    candidates = written(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
+
+    def verify(batches):
+        for b in batches:
+            ok = [jaccard(x, y) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    one, two = texts.select(F.col("text_key").alias("a"), F.col("sketch").alias("x")), texts.select(F.col("text_key").alias("b"), F.col("sketch").alias("y"))
+    links = candidates.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
+    groups = written(components(links), "groups")
+    # a group keeps its smallest (id, text); ids that are null come last
+    counts = docs.select(F.col(id_col).alias("id"), key.alias("text_key")).groupBy("text_key", "id").agg(F.count("*").alias("rows"))
+    best = counts.groupBy("text_key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "rows")).alias("best"))
+    best = best.join(groups, F.col("text_key") == F.col("node"), "left").select(F.coalesce("component", "text_key").alias("label"), "best")
+    kept = written(best.groupBy("label").agg(F.min("best").alias("k")).select(F.col("k.id").alias("kept_id"), F.col("k.text_key").alias("kept_key"), F.col("k.rows").alias("rows")), "kept")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), key.alias("text_key"))
+    rows = rows.join(kept, (F.col("text_key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    if kept.filter("rows > 1").isEmpty():
+        return rows.select("doc.*")
+    # rows that repeat the kept id and text: any one of them; only these are brought together
+    return rows.filter("rows = 1").select("doc.*").union(rows.filter("rows > 1").dropDuplicates(["text_key"]).select("doc.*"))
