@@ -69,12 +69,12 @@ def data_uri(png: Column) -> Column:
 
 
 def percent(c: Column) -> Column:
-    return F.coalesce(F.concat(F.format_string("%.1f", c * 100), F.lit("%")), F.lit("—"))
+    return F.when(c.isNull(), "—").otherwise(F.concat(F.format_string("%.1f", c * 100), F.lit("%")))
 
 
 def three_places(c: Column) -> Column:
-    return F.coalesce(F.format_string("%.3f", c), F.lit("—"))
+    return F.when(c.isNull(), "—").otherwise(F.format_string("%.3f", c))
 
 
 def signed_tau(c: Column) -> Column:
-    return F.coalesce(F.format_string("%+.2f", c), F.lit("n/a"))
+    return F.when(c.isNull(), "n/a").otherwise(F.format_string("%+.2f", c))
