@@ -20,3 +20,8 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def sf():
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
