@@ -294,3 +294,19 @@ def test_pixels(spark):
     page[10:30, 20:22] = 20
     r = pixels.facts(spark.createDataFrame([(1, 40, 60, page.ravel().tolist())], "k int, height int, width int, pixels array<double>"), "k").first()
     assert r.sharpness > 0 and r.ink[20] == 20 and r.ink[5] == 0 and len(r.extent) == 60
+
+
+def test_baselines_and_fit(spark):
+    import numpy as np
+
+    page = np.full((200, 360), 240.0)
+    for top in (40, 90, 140):
+        for x in range(360):
+            y = top + round(6 * x / 360)
+            page[y : y + 4, x] = 20
+    lines = pixels.baselines(page)
+    assert len(lines) == 3 and all(len(t) == 36 for t in lines)
+    points = spark.createDataFrame([("p", k, x / 360, y / 200) for k, t in enumerate(lines) for x, y in t], "page string, line int, x double, y double")
+    r = layout.fit_displacement(layout.displacement_terms(points, ["page"]), ["page"]).first()
+    at = lambda x, y: sum(c * b for c, b in zip(r.coefficients, (1, x, x * x, x**3, y, y * x, y * x * x, y * y)))
+    assert r.lines == 3 and (at(0.05, 0.5) - at(0.95, 0.5)) * 200 == pytest.approx(5.4, abs=1)

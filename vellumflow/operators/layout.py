@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,6 +145,16 @@ def displacement_terms(points: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def fit_displacement(terms: DataFrame, by: list[str]) -> DataFrame:
+    """(by, coefficients, lines, largest): least squares of the normal equations, the smallest solution if they leave a choice."""
+
+    @F.pandas_udf("array<double>")
+    def solve(xtx: pd.Series, xty: pd.Series) -> pd.Series:
+        return pd.Series([np.linalg.lstsq(np.stack(a), np.asarray(b), rcond=None)[0].tolist() for a, b in zip(xtx, xty)])
+
+    return terms.select(*by, solve("xtx", "xty").alias("coefficients"), "lines", "largest")
+
+
 def dewarp_method(lines: Column, largest_px: Column) -> Column:
     """Whether a page is straightened: too few lines or too little to move leave it as it is."""
     return F.when((lines < LINES_LEAST) | (largest_px < PIXELS_LEAST), "identity").otherwise("classical")

@@ -90,6 +90,36 @@ def background(h: np.ndarray, s: np.ndarray, v: np.ndarray, colour, hue=10, sat=
     return (np.minimum(dh, 180 - dh) <= hue) & (np.abs(s - colour[1]) <= sat) & (np.abs(v - colour[2]) <= val)
 
 
+def peaks(profile: np.ndarray, distance: int, prominence: float) -> list[int]:
+    """Local maxima that rise ``prominence`` above the higher of their two saddles, the highest first where nearer than ``distance``."""
+    inner = np.nonzero((profile[1:-1] > profile[:-2]) & (profile[1:-1] >= profile[2:]))[0] + 1
+    kept: list[int] = []
+    for i in sorted(inner.tolist(), key=lambda i: (-profile[i], i)):
+        if any(abs(i - k) < distance for k in kept):
+            continue
+        higher = np.nonzero(profile > profile[i])[0]
+        left, right = higher[higher < i], higher[higher > i]
+        saddle = max(profile[(left[-1] if left.size else 0) : i + 1].min(), profile[i : (right[0] if right.size else len(profile)) + 1].min())
+        if profile[i] - saddle >= prominence:
+            kept.append(i)
+    return sorted(kept)
+
+
+def baselines(g: np.ndarray, strips: int = 36, smooth: int = 5, distance: float = 0.012, tolerance: float = 0.010, span: float = 0.40) -> list[list[tuple[float, float]]]:
+    """Text lines of a page as points: ink summed by row in vertical strips, its peaks linked from strip to strip.
+
+    Lines that cross fewer than ``span`` of the strips are left out."""
+    h, w = g.shape
+    dark, edges = ink(g).astype(float), np.linspace(0, w, strips + 1).astype(int)
+    kernel = np.ones(smooth) / smooth
+    found = []
+    for a, b in zip(edges, edges[1:]):
+        row = np.convolve(dark[:, a:b].sum(1), kernel, mode="same")
+        found.append([float(p) for p in peaks(row, max(1, int(distance * h)), 0.1 * max(row.max(), 1e-9))])
+    middle = (edges[:-1] + edges[1:]) / 2
+    return [[(float(middle[k]), y) for k, y in t] for t in link_peaks(found, max(1.0, tolerance * h)) if len(t) >= span * strips]
+
+
 def link_peaks(strips: list[list[float]], tolerance: float, idle_most: int = 3) -> list[list[tuple[int, float]]]:
     """Tracks of (strip, peak): a peak joins the nearest open track within the tolerance, the first of equal ones, else opens one.
 
