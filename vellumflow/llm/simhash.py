@@ -262,28 +262,30 @@ def tables(n: int) -> list[tuple[int, ...]]:
 
 
 def sketched(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(text_key, fingerprint, sketch) of every row; the sketch holds the smallest hashes of its different shingles, in order."""
+    """(text_key, fp, n, sketch) of every row: about n different shingles, and the smallest of their hashes in order."""
 
     def run(batches):
         for b in batches:
-            fps, sketches = [], []
+            fps, sizes, sketches = [], [], []
             for text in b.column(1).to_pylist():
                 ones, n, kept = np.zeros(64, np.int64), 0, np.empty(0, np.uint64)
                 for h in shingle_hashes(lower_words(text), shingle):
                     ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                     n += len(h)
-                    kept = np.unique(np.concatenate((kept, h)))[:SKETCH]
+                    kept = np.unique(np.concatenate((kept, h >> np.uint64(32))))[:SKETCH]
                 fps.append(int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0]) if n else 0)
-                sketches.append(kept.astype("<u8").tobytes())
-            yield pa.record_batch([b.column(0), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["text_key", "fingerprint", "sketch"])
+                # a full sketch tells how densely hashes lie
+                sizes.append(len(kept) if len(kept) < SKETCH else int((SKETCH - 1) * 2.0**32 / float(kept[-1])))
+                sketches.append(kept.astype("<u4").tobytes())
+            yield pa.record_batch([b.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["text_key", "fp", "n", "sketch"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "text_key bigint, fingerprint bigint, sketch binary")
+    return docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "text_key bigint, fp bigint, n bigint, sketch binary")
 
 
 def jaccard(a: bytes, b: bytes) -> float:
     """Jaccard similarity of two shingle sets: exact for sets below SKETCH, else over the smallest SKETCH hashes of the union."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
     union = np.union1d(x, y)
     if max(len(x), len(y)) == SKETCH:  # a sketch may be cut short, and tells nothing beyond its end
         union = union[:SKETCH]
@@ -300,18 +302,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts count as empty, and texts without words are copies of one another. An empty table gives an empty
     table; other columns stay as they are, whatever their names."""
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    texts = written(sketched(docs, text_col, shingle).groupBy("text_key").agg(F.first("fingerprint").alias("fp"), F.first("sketch").alias("sketch")), "texts")
+    # joins are by sorting whatever the sizes, so the plan, and what it needs, is the same at any scale
+    texts = written(sketched(docs, text_col, shingle), "texts")
+    plain = written(texts.groupBy("text_key").agg(F.first("fp").alias("fp"), F.first("n").alias("n")), "fingerprints")
     link = lambda g, fp: nearest(g, fp, CANDIDATE_BITS, NEAREST)
-    found = search(texts.select("fp", F.col("text_key").alias("name")), tables(texts.count()), lambda s: random_sets(16, 8, s), 3, link)
-    candidates = written(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
+    found = search(plain.select("fp", F.col("text_key").alias("name")), tables(plain.count()), lambda s: random_sets(16, 8, s), 3, link)
+    pairs = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(plain.select(F.col("text_key").alias(end), F.col("n").alias(f"n_{end}")).hint("merge"), end)
+    # sets of too different size are not near; sizes of long texts are estimates, so with room to spare
+    candidates = written(pairs.filter(F.least("n_a", "n_b") >= 0.8 * similarity * F.greatest("n_a", "n_b")).select("a", "b"), "candidates")
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
+    sketches = written(texts.select("text_key", "sketch").join(ends.hint("merge"), "text_key").groupBy("text_key").agg(F.first("sketch").alias("sketch")), "sketches")
 
     def verify(batches):
         for b in batches:
             ok = [jaccard(x, y) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one, two = texts.select(F.col("text_key").alias("a"), F.col("sketch").alias("x")), texts.select(F.col("text_key").alias("b"), F.col("sketch").alias("y"))
-    links = candidates.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
+    one, two = sketches.select(F.col("text_key").alias("a"), F.col("sketch").alias("x")), sketches.select(F.col("text_key").alias("b"), F.col("sketch").alias("y"))
+    links = candidates.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
     groups = written(components(links), "groups")
     # a group keeps its smallest (id, text); ids that are null come last
     counts = docs.select(F.col(id_col).alias("id"), key.alias("text_key")).groupBy("text_key", "id").agg(F.count("*").alias("rows"))
@@ -319,7 +329,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = best.join(groups, F.col("text_key") == F.col("node"), "left").select(F.coalesce("component", "text_key").alias("label"), "best")
     kept = written(best.groupBy("label").agg(F.min("best").alias("k")).select(F.col("k.id").alias("kept_id"), F.col("k.text_key").alias("kept_key"), F.col("k.rows").alias("rows")), "kept")
     rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), key.alias("text_key"))
-    rows = rows.join(kept, (F.col("text_key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    rows = rows.join(kept.hint("merge"), (F.col("text_key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")))
     if kept.filter("rows > 1").isEmpty():
         return rows.select("doc.*")
     # rows that repeat the kept id and text: any one of them; only these are brought together
