@@ -16,7 +16,7 @@ vocabulary) and the HEAD most frequent words; the rest of a document's words mee
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +25,18 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, written
+from .common import lower_words, shuffle_partitions, written
 
 #: Classes of documents with scores of their own, at most; the rest share the last one.
 CLASSES = 6
 #: Words that every task looks up itself, and the longest of them in bytes.
-HEAD, HEAD_BYTES = 1 << 17, 64
+HEAD, HEAD_BYTES = 1 << 18, 64
 #: Rounds of re-estimation, and the weight of the ranks' scores in it, in pieces of text.
 ROUNDS, PRIOR = 2, 20_000.0
 #: Distinct words a task counts before it passes them on.
 FLUSH = 400_000
+#: Bytes of words that are reckoned many at a time.
+LONG = 48
 LOG10 = math.log(10)
 
 
@@ -60,84 +62,126 @@ class Lattice:
     """Segmentations of words into the pieces of one vocabulary, under several sets of scores."""
 
     def __init__(self, pieces: list[bytes], scores: np.ndarray):
-        self.index, self.scores = {p: i for i, p in enumerate(pieces)}, scores.tolist()
-        # pieces are looked up by growing length; a prefix that begins no piece ends the search
-        self.prefixes = {p[:k] for p in pieces for k in range(1, len(p))}
-
-    def edges(self, word: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, piece) of every piece that fits, by start."""
-        index, prefixes, w, found = self.index, self.prefixes, b" " + word, []
-        n = len(w)
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                g = w[i:j]
-                p = index.get(g)
-                if p is not None:
-                    found.append((i, j, p))
-                if g not in prefixes:
-                    break
+        self.scores = scores
+        # a trie of the pieces: node 0 is the root, a child is found by its parent's number and its byte
+        child: dict[int, int] = {}
+        piece = [-1]
+        for number, p in enumerate(pieces):
+            node = 0
+            for byte in p:
+                key = node << 8 | byte
+                if (node := child.get(key, 0)) == 0:
+                    node = child[key] = len(piece)
+                    piece.append(-1)
+            piece[node] = number
+        self.keys = np.array(sorted(child), np.int64)
+        self.nodes, self.piece = np.array([child[k] for k in self.keys.tolist()], np.int64), np.array(piece)
+
+    def edges(self, words: list[bytes]) -> np.ndarray:
+        """(word, start, end, piece) of every piece that fits a word after the mark of its beginning, in no order."""
+        data = np.frombuffer(b" " + b" ".join(words), np.uint8)
+        size = np.array([len(w) + 1 for w in words])
+        ends = np.cumsum(size)
+        at, word = np.arange(len(data)), np.repeat(np.arange(len(words)), size)
+        start, node, found, depth = at, np.zeros(len(data), np.int64), [], 0
+        while at.size:
+            key = node << 8 | data[at]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[k] == key
+            at, word, start, node, depth = at[on] + 1, word[on], start[on], self.nodes[k[on]], depth + 1
+            piece = self.piece[node]
+            fits = piece >= 0
+            i = start[fits] - (ends - size)[word[fits]]
+            found.append(np.stack((word[fits], i, i + depth, piece[fits]), axis=1))
+            on = at < ends[word]
+            at, word, start, node = at[on], word[on], start[on], node[on]
+        return np.concatenate(found) if found else np.empty((0, 4), np.int64)
+
+    def _steps(self, edges: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, end, words, pieces) of edges, by start; in each no word comes twice."""
+        key = edges[:, 1] * 65536 + edges[:, 2]
+        order = np.argsort(key, kind="stable")
+        cuts = np.nonzero(np.diff(key[order]))[0] + 1
+        return [(int(edges[x[0], 1]), int(edges[x[0], 2]), edges[x, 0], edges[x, 3]) for x in np.split(order, cuts)]
+
+    def forward(self, words: list[bytes], steps) -> np.ndarray:
+        """Log probability of each prefix of each word, for each set of scores."""
+        f = np.full((len(self.scores), len(words), max(map(len, words)) + 2), -np.inf)
+        f[:, :, 0] = 0.0
+        for i, j, at, p in steps:
+            f[:, at, j] = np.logaddexp(f[:, at, j], f[:, at, i] + self.scores[:, p])
+        return f
+
+    def _batches(self, words: list[bytes]) -> Iterator[np.ndarray]:
+        """Numbers of words of like length, few if they are long."""
+        size = np.array([len(w) for w in words])
+        order, k = np.argsort(size, kind="stable"), 0
+        while k < len(order):
+            n = max(1, min(2048, 65536 // (int(size[order[min(k + 2047, len(order) - 1)]]) + 2)))
+            yield order[k : k + n]
+            k += n
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """Natural logarithm of each word's marginal probability (rows) under each set of scores (columns)."""
+        found = np.empty((len(words), len(self.scores)))
+        for some in self._batches(words):
+            ws = [words[i] for i in some]
+            if len(ws[-1]) > LONG:
+                found[some] = [self._long(w) for w in ws]
+                continue
+            f = self.forward(ws, self._steps(self.edges(ws)))
+            found[some] = f[:, np.arange(len(ws)), [len(w) + 1 for w in ws]].T
         return found
 
-    def log_probability(self, word: bytes, edges=None) -> list[float]:
-        """Natural logarithm of the word's marginal probability under each set of scores."""
-        edges, n, log, exp, got = edges or self.edges(word), len(word) + 1, math.log, math.exp, []
-        for scores in self.scores:
-            forward: list[float | None] = [None] * (n + 1)
-            forward[0] = 0.0
-            for i, j, p in edges:
-                x, y = forward[i] + scores[p], forward[j]
-                if y is None:
-                    forward[j] = x
-                elif x <= y:
-                    if y - x < 40:
-                        forward[j] = y + log(1 + exp(x - y))
-                else:
-                    forward[j] = x + log(1 + exp(y - x)) if x - y < 40 else x
-            got.append(forward[n])
-        return got
-
-    def expect(self, word: bytes, which: list[int], counts: list[dict[int, float]]) -> None:
-        """Add the expected uses of each piece in the word, for the sets of scores that ``which`` names."""
-        edges, n, exp = self.edges(word), len(word) + 1, math.exp
-        for k in which:
-            scores, into = self.scores[k], counts[k]
-            if n <= 64:
-                ps = [exp(scores[p]) for _, _, p in edges]
-                forward, back = [0.0] * (n + 1), [0.0] * (n + 1)
-                forward[0] = back[n] = 1.0
-                for (i, j, _), q in zip(edges, ps):
-                    forward[j] += forward[i] * q
-                if (z := forward[n]) > 1e-290:
-                    for (i, j, p), q in zip(reversed(edges), reversed(ps)):
-                        x = q * back[j]
-                        back[i] += x
-                        into[p] += forward[i] * x / z
-                    continue
-            forward, back = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-            forward[0] = back[n] = 0.0
-            for i, j, p in edges:
-                forward[j] = np.logaddexp(forward[j], forward[i] + scores[p])
-            for i, j, p in reversed(edges):
-                x = scores[p] + back[j]
-                back[i] = np.logaddexp(back[i], x)
-                into[p] += math.exp(forward[i] + x - forward[n])
+    def _long(self, word: bytes) -> list[float]:
+        """The same recursion over a window of positions, for words of any length."""
+        out = np.full((len(self.scores), len(word) + 2), -np.inf)
+        out[:, 0] = 0.0
+        edges = self.edges([word])
+        for _, i, j, p in edges[np.lexsort((edges[:, 2], edges[:, 1]))].tolist():
+            out[:, j] = np.logaddexp(out[:, j], out[:, i] + self.scores[:, p])
+        return out[:, -1].tolist()
+
+    def expect(self, words: list[bytes], seen: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece (columns) for each set of scores (rows), over the words that ``seen`` gives it."""
+        total = np.zeros(self.scores.shape)
+        for some in self._batches(words):
+            ws, here = [words[i] for i in some], seen[some].T
+            edges = self.edges(ws)
+            if len(ws[-1]) <= LONG:
+                steps = self._steps(edges)
+            else:
+                steps = [(i, j, np.array([at]), np.array([p])) for at, i, j, p in edges[np.lexsort((edges[:, 2], edges[:, 1]))].tolist()]
+            f = self.forward(ws, steps)
+            ends = np.array([len(w) + 1 for w in ws])
+            back = np.full(f.shape, -np.inf)
+            back[:, np.arange(len(ws)), ends] = 0.0
+            whole = f[:, np.arange(len(ws)), ends]
+            for i, j, at, p in reversed(steps):
+                x = self.scores[:, p] + back[:, at, j]
+                back[:, at, i] = np.logaddexp(back[:, at, i], x)
+                part = np.exp(f[:, at, i] + x - whole[:, at]) * here[:, at]
+                for c in range(len(total)):
+                    np.add.at(total[c], p, part[c])
+        return total
 
 
 def count_words(docs: DataFrame, classes: list[str | None]) -> DataFrame:
     """(word, c0, c1, ...): how often training documents of each class hold each word of any document."""
     k = len(classes)
+    cs = [f"c{c}" for c in range(k)]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        counts, size = [Counter() for _ in range(k + 1)], 0
+        counts = [Counter() for _ in range(k + 1)]  # the last one of documents that are not learnt from
 
         def flush():
             for c, found in enumerate(counts):
-                ws = list(found)
-                for at in range(0, len(ws), 50_000):
-                    some = ws[at : at + 50_000]
-                    n = [found[w] if c < k else 0 for w in some]
-                    yield pa.record_batch([pa.array(some, pa.binary()), pa.array([min(c, k - 1)] * len(some), pa.int32()), pa.array(n, pa.int64())], ["word", "class", "n"])
+                ws, n = list(found), np.fromiter(found.values(), np.int64, len(found))
                 found.clear()
+                for at in range(0, len(ws), 50_000):
+                    some = pa.array(ws[at : at + 50_000], pa.binary())
+                    none = pa.array(np.zeros(len(some), np.int64))
+                    yield pa.record_batch([some, *(pa.array(n[at : at + 50_000]) if x == c else none for x in range(k))], ["word", *cs])
 
         for b in batches:
             for text, c, held in zip(*(x.to_pylist() for x in b.columns)):
@@ -146,9 +190,8 @@ def count_words(docs: DataFrame, classes: list[str | None]) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    rows = docs.select("text", "class", "held_out").mapInArrow(run, "word binary, class int, n bigint")
-    sums = rows.groupBy("word", "class").agg(F.sum("n").alias("n"))
-    return sums.groupBy("word").agg(*[F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(k)])
+    rows = docs.select("text", "class", "held_out").mapInArrow(run, "word binary, " + ", ".join(f"{c} bigint" for c in cs))
+    return rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in cs])
 
 
 def estimate(counts: DataFrame, k: int, vocabulary_path: str) -> tuple[list[bytes], np.ndarray]:
@@ -163,13 +206,11 @@ def estimate(counts: DataFrame, k: int, vocabulary_path: str) -> tuple[list[byte
 
         def run(batches, held=held):
             lattice = Lattice(*held.value)
-            got = [defaultdict(float) for _ in range(k)]
+            got = np.zeros(lattice.scores.shape)
             for b in batches:
-                seen = [c.to_pylist() for c in b.columns[1:]]
-                for i, w in enumerate(b.column(0).to_pylist()):
-                    lattice.expect(w, [c for c in range(k) if seen[c][i]], got)
-            for c in range(k):
-                yield pa.record_batch([pa.array([c] * len(got[c]), pa.int32()), pa.array(list(got[c]), pa.int32()), pa.array(list(got[c].values()), pa.float64())], ["class", "piece", "n"])
+                got += lattice.expect(b.column(0).to_pylist(), np.stack([c.to_numpy() > 0 for c in b.columns[1:]], axis=1))
+            c, p = np.nonzero(got)
+            yield pa.record_batch([pa.array(c.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(got[c, p])], ["class", "piece", "n"])
 
         # as many rows as classes and pieces, at most
         sums = words.mapInArrow(run, "class int, piece int, n double").groupBy("class", "piece").agg(F.sum("n").alias("n")).toPandas()
@@ -202,7 +243,8 @@ def score(docs: DataFrame, vocabulary_path: str, held_out, id_col: str = "doc_id
             number = F.when(F.col("label") == name, c).otherwise(number)
     rows = rows.select("id", "text", "held_out", number.cast("int").alias("class"))
 
-    counts = written(count_words(rows, names), "counts")
+    # a word costs far more time than bytes, so the table is cut finer than by bytes
+    counts = written(count_words(rows, names).repartition(shuffle_partitions(docs.sparkSession), "word"), "counts")
     cs = [f"c{c}" for c in range(k)]
     sums = counts.agg(*[F.sum(c).alias(c) for c in cs], *[F.count_if(F.expr(f"{c} > 0")).alias(f"v_{c}") for c in cs], *[F.count_if(F.expr(f"{c} = 1")).alias(f"one_{c}") for c in cs], *[F.count_if(F.expr(f"{c} = 2")).alias(f"two_{c}") for c in cs], F.count_if(F.expr(" + ".join(cs) + " > 0")).alias("v")).first()
     tokens = [(sums[c] or 0) for c in cs]  # words of each class
@@ -222,17 +264,12 @@ def score(docs: DataFrame, vocabulary_path: str, held_out, id_col: str = "doc_id
     def weigh(batches):
         lattice = Lattice(*model.value)
         for b in batches:
-            ws, seen = b.column(0).to_pylist(), [c.to_pylist() for c in b.columns[1:]]
-            got, all_ = [], []
-            for i, w in enumerate(ws):
-                lp = lattice.log_probability(w)
-                row = []
-                for c in range(k):
-                    n, x = seen[c][i], lp[c] + math.log(free[c])
-                    row.append((math.log(max(n - discount[c], 0) / tokens[c] + math.exp(x)) if n else x) + goes_on[c])
-                got.append(row)
-                all_.append(sum(seen[c][i] for c in range(k)))
-            yield pa.record_batch([b.column(0), pa.array(all_, pa.int64()), pa.array(got, pa.list_(pa.float64()))], ["word", "n_train", "lp"])
+            seen = np.stack([c.to_numpy() for c in b.columns[1:]], axis=1)
+            subword = lattice.log_probabilities(b.column(0).to_pylist()) + np.log(free)
+            with np.errstate(divide="ignore"):
+                whole = np.log(np.maximum(seen - np.array(discount), 0) / np.maximum(tokens, 1))
+            lp = np.logaddexp(subword, whole) + np.array(goes_on)
+            yield pa.record_batch([b.column(0), pa.array(seen.sum(1)), pa.array(lp.tolist(), pa.list_(pa.float64()))], ["word", "n_train", "lp"])
 
     known = written(counts.mapInArrow(weigh, "word binary, n_train bigint, lp array<double>"), "words")
     head = known.filter(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n_train"), "word").limit(HEAD).toArrow()  # HEAD rows at most
