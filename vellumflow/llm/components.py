@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table
+from .common import Table, shuffle_partitions
+
+#: Links of a round's table that go to one file.
+LINKS = 20_000
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -32,6 +35,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Links may repeat, point either way or join a node with itself; rows with a null end are ignored.
     No links give an empty table."""
+    most = shuffle_partitions(links.sparkSession)
     turned = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, seen = Table(turned, "links"), None
     while True:
@@ -39,7 +43,8 @@ def components(links: DataFrame) -> DataFrame:
         if size == seen or size[0] == 0:
             break
         seen = size
-        after = Table(_small_star(_large_star(now.df)).distinct(), "links")
+        # few links need few files; a round leaves about as many as it found
+        after = Table(_small_star(_large_star(now.df)).distinct().coalesce(min(most, 1 + size[0] // LINKS)), "links")
         now.drop()
         now = after
     # in a star forest no centre points anywhere, so each node has one row
