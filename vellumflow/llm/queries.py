@@ -94,5 +94,35 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).withColumnRenamed("id", "doc_id")
 
 
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id AS i, vec_id AS j FROM embeddings UNION SELECT reach.i, p.j FROM reach JOIN p ON reach.j = p.i
+), c AS (SELECT i, min(j) AS component_id FROM reach GROUP BY i), n AS (SELECT i, count(*) AS n FROM p GROUP BY i)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.i = vec_id LEFT JOIN n ON n.i = vec_id
+"""
+
+OP7_SQL = """
+WITH b AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS digest, unhex(sha1(payload))::BIT::VARCHAR AS bits FROM b
+), t AS (
+  SELECT *, max(page_id) OVER (PARTITION BY digest) AS top FROM d
+)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+    + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
+    + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM t
+"""
+
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_subword_lattice, op4_karmarkar_karp_sharding, op5_kneser_ney_toxicity, op6_bloom_url_filter, op7_warc, op8_quality_rules, op9_mixing, op10_packing)}
-ORACLES: dict[str, str] = {"op6_bloom_url_filter": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op7_warc": OP7_SQL, "op6_bloom_url_filter": OP6_SQL}
