@@ -4,9 +4,10 @@ Both models run over the characters of words, five at a time. A class keeps disc
 for the longest context only; what it discounts goes to Kneser-Ney models of shorter contexts whose
 continuation counts come from both classes together, so an expression that is rare in one class is
 smoothed by what is known of it anywhere, and contexts that no class has seen tell nothing. Of a text, the
-different words in order of appearance are scored, and the highest mean log-likelihood ratio of SPAN
-neighbours decides: a few toxic words stand out in a long text, and repeating a word does not raise the
-score. A logistic curve fitted on labelled documents that the models have not seen turns that into 0 to 1.
+different words in order of appearance are scored, so repeating a word does not raise the score. Three
+means of their log-likelihood ratios decide: the highest of SPAN neighbours, that of the TOP highest words,
+and that of all words' excess over MILD. A few toxic words stand out in a long text, and many mild ones add
+up. A logistic curve fitted on labelled documents that the models have not seen turns these into 0 to 1.
 
 Everything learnt is learnt from SAMPLE labelled documents of each class at most, those whose ids have
 the smallest hashes. For the curve, models of one half score the other half."""
@@ -29,6 +30,8 @@ ORDER = 5
 SAMPLE = 8000
 #: Neighbouring different words whose mean counts, and characters of a word that are scored one by one.
 SPAN, PIECE = 8, 256
+#: Words whose highest ratios are averaged, and the ratio from which a word speaks for toxicity.
+TOP, MILD = 4, 1.0
 #: Score from which a document is predicted toxic.
 CUT = 0.7
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -108,8 +111,8 @@ class Model:
         seen, contexts = self.seen, self.contexts
         return sum(seen[g] if g in seen else contexts.get(g[:-1], 0.0) for g in grams(w))
 
-    def highest(self, text: str | None) -> float:
-        """The highest mean log ratio of SPAN neighbours; texts of fewer words are filled up with 0."""
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        """The three means; texts of fewer words are filled up with ratios of 0, and an empty one has 0 for all."""
         if len(self.words) > 500_000:
             self.words.clear()
         known, got = self.words, []
@@ -121,29 +124,43 @@ class Model:
                     known[w] = r
             got.append(r)
         if not got:
-            return 0.0
-        sums = np.concatenate(([0.0], np.cumsum(got)))
-        m = min(SPAN, len(got))
-        return float((sums[m:] - sums[:-m]).max() / SPAN)
+            return 0.0, 0.0, 0.0
+        x = np.array(got)
+        sums, m = np.concatenate(([0.0], np.cumsum(x))), min(SPAN, len(x))
+        top = np.partition(x, len(x) - TOP)[-TOP:] if len(x) > TOP else x
+        return float((sums[m:] - sums[:-m]).max() / SPAN), float(top.sum() / TOP), float(np.maximum(x - MILD, 0).mean())
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
-    """Slope and intercept of a ridge-penalised logistic curve over one feature, classes weighing alike."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.002) -> tuple[list[float], float]:
+    """Weights and intercept of a ridge-penalised logistic curve, classes weighing alike; the penalty is on standardised features.
+
+    A higher ratio never speaks against toxicity: features whose weight turns out negative are left out, one by one."""
+    use = list(range(x.shape[1]))
+    while True:
+        weights, intercept = _fitted(x[:, use], y, ridge)
+        if not use or min(weights) >= 0:
+            return [dict(zip(use, weights)).get(i, 0.0) for i in range(x.shape[1])], intercept
+        del use[int(np.argmin(weights))]
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, ridge: float) -> tuple[list[float], float]:
     if not (y == 1).any() or not (y == 0).any():
-        return 0.0, 0.0
-    design, w = np.stack((x, np.ones_like(x)), 1), np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
-    beta = np.zeros(2)
+        return [0.0] * x.shape[1], 0.0
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    design, w = np.column_stack(((x - mean) / scale, np.ones(len(x)))), np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
+    beta, penalty = np.zeros(design.shape[1]), ridge * len(x)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        step = np.linalg.solve((design * (w * (p * (1 - p) + 1e-9))[:, None]).T @ design + ridge * np.eye(2), design.T @ (w * (y - p)) - ridge * beta)
+        step = np.linalg.solve((design * (w * (p * (1 - p) + 1e-9))[:, None]).T @ design + penalty * np.eye(len(beta)), design.T @ (w * (y - p)) - penalty * beta)
         beta += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0]), float(beta[1])
+    weights = beta[:-1] / scale
+    return weights.tolist(), float(beta[-1] - weights @ mean)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn=None):
-    """(seen, contexts, slope, intercept), learnt from the labels that ``learn`` admits (a condition on their doc_id)."""
+    """(seen, contexts, weights, intercept), learnt from the labels that ``learn`` admits (a condition on their doc_id)."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null")
     known = (known.filter(learn) if learn is not None else known).groupBy(F.col("doc_id").alias("known_id")).agg(F.max("toxic").alias("toxic"))
     sample = None
@@ -174,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         counts[s, toxic][g] = n
     both = [Counter(counts[0, toxic]) + Counter(counts[1, toxic]) for toxic in (0, 1)]
     if not both[0] or not both[1]:
-        return {}, {}, 0.0, -30.0
+        return {}, {}, [0.0] * 3, -30.0
     whole = ratios(both[1], both[0])
     # a half without one of the classes makes no models; the whole's stand in
     halves = docs.sparkSession.sparkContext.broadcast([ratios(counts[s, 1], counts[s, 0]) if counts[s, 1] and counts[s, 0] else whole for s in (0, 1)])
@@ -182,11 +199,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def features(batches):
         models = [Model(*x) for x in halves.value]
         for b in batches:
-            x = [models[1 - s].highest(text) for text, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
-            yield pa.record_batch([pa.array(x, pa.float64()), b.column(1)], ["x", "y"])
+            x = [models[1 - s].features(text) for text, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+            yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
-    unseen = rows.mapInArrow(features, "x double, y int").toPandas()  # bounded by the sample
-    return *whole, *logistic(unseen.x.to_numpy(float), unseen.y.to_numpy(float))
+    unseen = rows.mapInArrow(features, "x array<double>, y int").toPandas()  # bounded by the sample
+    return *whole, *logistic(np.array(unseen.x.tolist(), float).reshape(-1, 3), unseen.y.to_numpy(float))
 
 
 _WORKERS: dict[str, Model] = {}
@@ -198,7 +215,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Only the text enters the score. Null and empty texts get the curve's value at 0, like texts whose
     words tell nothing. Rows that repeat score alike; labels that are null or not 0 or 1 are left out, and
     without labels of both classes every score is near 0. An empty table gives an empty table."""
-    seen, contexts, slope, intercept = fit(docs, labels, id_col, text_col, learn)
+    seen, contexts, weights, intercept = fit(docs, labels, id_col, text_col, learn)
     plain, texts = carried(docs, text_col, keep)
     held = docs.sparkSession.sparkContext.broadcast((seen, contexts))
     number = uuid.uuid4().hex
@@ -207,9 +224,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if number not in _WORKERS:
             _WORKERS.clear()
             _WORKERS[number] = Model(*held.value)
-        highest = _WORKERS[number].highest
+        features = _WORKERS[number].features
         for b in batches:
-            s = 1 / (1 + np.exp(-np.clip(slope * np.array([highest(x) for x in texts(b)], float) + intercept, -30, 30)))
+            x = np.array([features(t) for t in texts(b)], float).reshape(-1, 3)
+            s = 1 / (1 + np.exp(-np.clip(x @ np.array(weights) + intercept, -30, 30)))
             yield pa.record_batch([b.column(0), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc", "score", "predicted"])
 
     return plain.mapInArrow(run, f"doc {plain.schema['doc'].dataType.simpleString()}, score double, predicted int")
