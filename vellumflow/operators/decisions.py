@@ -82,6 +82,42 @@ def by_document(words: DataFrame, mode: str = "flag") -> DataFrame:
     return counts.withColumn("effective", effective_rate(F.col("n_scored_flagged"), F.col("n_scored")))
 
 
+def percentile_of(ordered: Column, share: float) -> Column:
+    """The linear percentile of a sorted array, rounded to 6 places; null if it is empty."""
+    at = (F.size(ordered) - 1) * F.lit(share)
+    low = F.floor(at)
+    a, b = F.get(ordered, low.cast("int")), F.get(ordered, F.least(low + 1, F.size(ordered) - 1).cast("int"))
+    return F.when(F.size(ordered) > 0, F.round(a * (low + 1 - at) + b * (at - low), 6))
+
+
+def by_row(documents: DataFrame, words: str = "words", mode: str = "flag", rate: float = FLAG_RATE, floor: float = FLOOR, ceiling: float = CEILING) -> DataFrame:
+    """What ``by_document`` finds, for documents that hold their words as an array of (token, conf, disagree).
+
+    A document is one row, so nothing is shuffled: sorting and counting stay inside the row."""
+    low, high = min(floor, ceiling), max(floor, ceiling)
+    w = F.col(words)
+    scored = F.filter(w, lambda x: is_scored(x["token"], x["conf"]))
+    rows = documents.select("doc_id", w.alias("w"), F.array_sort(F.transform(scored, lambda x: x["conf"])).alias("confs"))
+    few = F.size("confs") < LEAST_WORDS
+    p = percentile_of(F.col("confs"), rate)
+    rows = rows.select("doc_id", "w", F.size("confs").cast("bigint").alias("n_scored"), F.when(few, -1.0).otherwise(p).alias("raw"), F.when(few, low).otherwise(F.least(F.greatest(p, F.lit(low)), F.lit(high))).alias("threshold"))
+
+    def count(test):
+        return F.size(F.filter("w", test)).cast("bigint")
+
+    def unsure(x):
+        return is_uncertain(x["conf"], F.col("threshold"), x["disagree"])
+
+    def becomes(decision):
+        return count(lambda x: decide(x["token"], unsure(x), F.lit(mode)) == decision)
+
+    found = rows.select(
+        "doc_id", "raw", "threshold", F.size("w").cast("bigint").alias("n_words"), *[becomes(d).alias(f"n_{d}") for d in ("keep", "flag", "patch")],
+        count(lambda x: unsure(x) & ~is_blank(x["token"])).alias("n_uncertain"), count(lambda x: unsure(x) & is_scored(x["token"], x["conf"])).alias("n_scored_flagged"), "n_scored",
+    )
+    return found.withColumn("effective", effective_rate(F.col("n_scored_flagged"), F.col("n_scored")))
+
+
 def patch_name(page: Column, block: Column, word: Column) -> Column:
     return F.format_string("patches/%s_b%d_w%02d.png", page, block, word)
 

@@ -30,6 +30,17 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def word_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, words): the same words inside their document's row, as an array of (token, conf, disagree)."""
+    d = table(spark, sf_dir, "documents")
+    cut = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"^[ \t\n\r]+|[ \t\n\r]+$", ""), r"[ \t\n\r]+")
+    rows = d.select("doc_id", cut.alias("cut"))
+    made = F.expr("""transform(cut, (token, pos) -> struct(token,
+      greatest(0, 10000 - (((doc_id * 7919 + pos * 104729) % 1000) * ((doc_id * 7919 + pos * 104729) % 1000) * (10 + doc_id % 100)) div 10000) / 100.0D as conf,
+      (doc_id + pos * 31) % 97 = 0 as disagree))""")
+    return rows.select("doc_id", F.filter(made, lambda x: x["token"] != "").alias("words")).filter(F.size("words") > 0)
+
+
 WORDS_SQL = """
 cut AS (
   SELECT doc_id, lang, source, unnest(string_split_regex(regexp_replace(coalesce(text, ''), '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g'), '[ \\t\\n\\r]+')) AS token,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import captions, geometry, scalars, text
 from ..operators import decisions, document, layout, matching, metrics, ordering, spatial
 from ..streaming import gate
-from .derive import BLOCKS_SQL, FRAMES_SQL, WORDS_SQL, blocks, boxed, frames, table, tokens, words
+from .derive import BLOCKS_SQL, FRAMES_SQL, WORDS_SQL, blocks, boxed, frames, table, tokens, word_arrays, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,12 @@ SELECT doc_id, raw, threshold, count(*) AS n_words, count(*) FILTER (NOT uncerta
 FROM d GROUP BY doc_id, raw, threshold""")
 def uncertainty_by_doc(spark, sf_dir):
     """Each document's adaptive threshold and the decisions on its words."""
+    return decisions.by_row(word_arrays(spark, sf_dir))
+
+
+@query(ORACLES["uncertainty_by_doc"])
+def uncertainty_by_word_table(spark, sf_dir):
+    """The same from a flat table of words, as it is where words come as rows."""
     return decisions.by_document(words(spark, sf_dir))
 
 
@@ -385,7 +391,7 @@ def anchor_overlap(spark, sf_dir):
     """The share of a passage's tokens that a document has."""
     a = table(spark, sf_dir, "benchmark").select("item_id", text.anchor_tokens(F.col("text")).alias("a"))
     d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), text.anchor_tokens(F.col("text")).alias("d"))
-    return d.join(F.broadcast(a), "item_id").select("doc_id", "item_id", matching.anchor_score(F.col("a"), F.col("d")).alias("score"))
+    return d.join(a, "item_id").select("doc_id", "item_id", matching.anchor_score(F.col("a"), F.col("d")).alias("score"))
 
 
 @query()
