@@ -97,8 +97,11 @@ def _compare(nodes: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Dat
     spark = nodes.sparkSession
     k = max(1, min(MOST_CENTRES, math.ceil(n / CELL)))
     size = nodes.groupBy("size").count().orderBy(F.desc("count"), "size").first()["size"]  # centres serve the commonest dimension
-    sample = nodes.filter(F.col("size") == size).orderBy(F.abs(F.xxhash64("node")), "node").limit(SAMPLE).select("v").toPandas()["v"]  # SAMPLE rows at most
-    points = unit(sample.tolist())
+    mark = F.shiftrightunsigned(F.xxhash64("node"), 1)
+    # about twice the sample passes, however many vectors there are, so the sort stays small
+    near = nodes.filter((F.col("size") == size) & (mark <= F.lit(min(2**63 - 1, 2**63 * 2 * SAMPLE // n))))
+    sample = near.orderBy(mark, "node").limit(SAMPLE).select("v").toPandas()["v"]  # SAMPLE rows at most
+    points = unit(sample.tolist() or [nodes.filter(F.col("size") == size).first()["v"]])
     held = spark.sparkContext.broadcast(spherical_k_means(points, min(k, len(points))))  # MOST_CENTRES rows at most
     sine = math.sqrt(max(0.0, 1 - threshold * threshold))
 
