@@ -109,7 +109,7 @@ def carried(docs: DataFrame, text_col: str, keep: list[str] | None = None):
 
     The text crosses to Python once, whether it is kept or not."""
     columns = docs.columns if keep is None else keep
-    held = F.struct(*[docs[c] for c in columns]).alias("doc")
+    held = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in columns]).alias("doc")
     if text_col in columns:
         at = columns.index(text_col)
         return docs.select(held), lambda b: pc.struct_field(b.column(0), [at]).to_pylist()
