@@ -91,6 +91,78 @@ def test_near_copies_against_brute_force(docs, corpus):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def same_groups(spark, texts):
+    sets = [shingles(t) for t in texts]
+    at, jac = {}, np.zeros((len(texts), len(texts)), int)
+    for i, x in enumerate(sets):
+        for g in x:
+            at.setdefault(g, []).append(i)
+    for rows in at.values():
+        jac[np.ix_(rows, rows)] += 1
+    n = jac.diagonal()
+    label = roots(len(texts), *np.nonzero(jac >= 0.8 * (n[:, None] + n[None, :] - jac)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(r.doc_id for r in simhash.near_copies(docs).collect())
+    assert got == sorted({int(x) for x in label})
+    return len(got)
+
+
+def family(rng, base, rows, own):
+    """Texts that share ``base`` but for a run of ``own`` words of their own, at a place that all have in common."""
+    return [" ".join(base[:50] + [f"w{rng.getrandbits(40)}" for _ in range(own)] + base[50 + own :]) for _ in range(rows)]
+
+
+def test_template_does_not_hide_near_copies(spark):
+    """Texts of one template that are no copies crowd around pairs that are."""
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(300)]
+    texts = family(rng, base, 400, 40)
+    for t in texts[:60]:
+        ws = t.split()
+        ws[200:205] = [f"v{rng.getrandbits(40)}" for _ in range(5)]
+        ws[250:255] = [f"v{rng.getrandbits(40)}" for _ in range(5)]
+        texts.append(" ".join(ws))
+    rng.shuffle(texts)
+    assert same_groups(spark, texts) == 400
+
+
+def test_large_family(spark):
+    """A family above 4096 different texts, with pairs apart from it that share most of its text."""
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(200)]
+    texts = []
+    for k in range(4200):
+        ws = list(base)
+        ws[rng.randrange(200)] = f"w{k}"
+        texts.append(" ".join(ws))
+    for k in range(80):
+        ws = [f"x{k}.{i}" for i in range(60)] + base[60:]
+        texts += [" ".join(ws), " ".join([*ws[:-1], f"y{k}"])]
+    assert same_groups(spark, texts) == 81
+
+
+def test_long_texts_at_the_limit(spark):
+    """Pairs of texts of 2000 words just above and just below the similarity."""
+    rng, texts = random.Random(5), []
+    for k in range(40):
+        ws = [f"t{k}.{i}" for i in range(2004)]
+        texts.append(" ".join(ws))
+        # of 2000 shingles so many at the end are new: 1778 of 2222 are common, or 1777 of 2223
+        new = 222 if k % 2 else 223
+        texts.append(" ".join(ws[: 2004 - new] + [f"u{k}.{rng.getrandbits(40)}.{i}" for i in range(new)]))
+    assert same_groups(spark, texts) == 60
+
+
+def test_all_pairs_at_the_limit_are_met(spark):
+    """Pairs of two with similarities from 0.8 to 0.9, whose fingerprints may be far apart."""
+    texts = []
+    for k in range(600):
+        ws = [f"t{k}.{i}" for i in range(104)]
+        new = 6 + k % 6
+        texts += [" ".join(ws), " ".join(ws[: 104 - new] + [f"u{k}.{i}" for i in range(new)])]
+    assert same_groups(spark, texts) == 600
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 160)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(60)]

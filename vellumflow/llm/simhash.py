@@ -9,8 +9,8 @@ is that profile in its short form, and is what the search groups by.
 Links within 2 bits: of 4 stretches of 16 bits, 2 at least hold none of the differing bits, so the
 6 pairs of stretches find every such link. A group that is too large is cut further by the same rule over
 the bits left, down to 8 free bits (256 fingerprints), so no group is unbounded and no pair is lost.
-Wider radii have no such cover of useful size; there, many pseudo-random stretches are taken, as said at
-``near_links``.
+Wider radii have no such cover of useful size, so near copies by Jaccard similarity are searched by their
+rarest shingles instead, as said at ``near_links``.
 
 Inside a group, pairs are discarded by the largest difference of their distances to the pivots (the
 triangle inequality bounds it by the distance), survivors are verified by their exact distance, and a
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lower_words, roots, shuffle_partitions, written
@@ -140,24 +140,6 @@ def forest(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
     return i, label[i]
 
 
-def nearest(group: np.ndarray, fp: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the close rows before it in its group, the ``most`` nearest of them."""
-    kept = np.empty((3, 0), np.int64)
-
-    def trim(x):
-        x = x[:, np.lexsort((x[0], x[2], x[1]))]
-        start = np.concatenate(([0], np.nonzero(np.diff(x[1]))[0] + 1)) if x.shape[1] else np.empty(0, np.int64)
-        rank = np.arange(x.shape[1]) - np.repeat(start, np.diff(np.concatenate((start, [x.shape[1]]))))
-        return x[:, rank < most]
-
-    for i, j, d in close_pairs(group, fp, radius):
-        kept = np.concatenate((kept, np.stack((i, j, d.astype(np.int64)))), axis=1)
-        if kept.shape[1] > 4 * most * len(fp) + 100_000:
-            kept = trim(kept)
-    kept = trim(kept)
-    return kept[1], kept[0]
-
-
 def grouped(batches, link):
     """Feed runs of whole groups (mask, key, fp, name) to ``link``; a group may begin in one batch and end in another."""
     rest = None
@@ -234,94 +216,207 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(place, rows.fingerprint == place.fp).select("id", "fingerprint", "component")
 
 
-#: Of pairs with so many differing bits, the tables together miss one in 20 at most.
-AIMED_BITS = 10
-#: Fingerprints that share a table's key by chance, about.
-BY_CHANCE = 64
-#: Most differing bits of a candidate, and candidates that a row passes on for each table: the nearest ones.
-CANDIDATE_BITS, NEAREST = 14, 3
-#: Smallest hashes of a text's different shingles by which candidates are verified; exact for texts of so many.
-SKETCH = 512
+#: Buckets by which it is told how frequent a shingle is, and rows of a written part of the counts.
+BUCKETS, PART = 1 << 18, 1 << 10
+#: Rounds in which each text is held against one other that it shares a rare shingle with, before all pairs are.
+STARS = 2
+#: Texts of a shingle that are compared by steps; larger groups are compared row by row.
+STEPS = 512
+#: Room for rounding where a bound is reckoned in floating point.
+ROUND = 1e-6
 
 
-def random_sets(count: int, size: int, fixed: tuple[int, ...] = ()) -> list[tuple[int, ...]]:
-    """Sets of the fixed places of the chain and ``size`` pseudo-random others, the same in every run."""
-    rng = np.random.default_rng([size, *fixed])
-    left = np.array([p for p in range(64) if p not in set(fixed)])
-    return [tuple(sorted((*fixed, *rng.choice(left, min(size, len(left)), replace=False).tolist()))) for _ in range(count)]
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The different hashes of a text's shingles, in order."""
+    blocks = list(shingle_hashes(lower_words(text), size))
+    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
 
 
-def tables(n: int) -> list[tuple[int, ...]]:
-    """The sets of places by which n fingerprints are searched for near ones.
+def frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
+    """In how many texts the shingles of each bucket of hashes stand."""
+
+    def count(batches):
+        found = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                np.add.at(found, shingle_set(text, shingle) & np.uint64(BUCKETS - 1), 1)
+        parts = found.reshape(-1, PART)
+        at = np.nonzero(parts.any(1))[0]
+        yield pa.record_batch([pa.array(at), pa.array([parts[k].tobytes() for k in at], pa.binary())], ["part", "counts"])
+
+    def add(batches):
+        sums = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[k] = sums.get(k, 0) + np.frombuffer(x, np.int64)
+        yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
+
+    schema, found = "part bigint, counts binary", np.zeros((BUCKETS // PART, PART), np.int64)
+    for r in texts.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():  # BUCKETS counts
+        found[r.part] = np.frombuffer(r.counts, np.int64)
+    return found.ravel()
 
-    A set has log2(n / BY_CHANCE) places, so that groups keep their size as n grows, and there are as many
-    as leave a pair AIMED_BITS apart a chance of 1 in 20 to agree on none."""
-    size = min(32, max(8, math.ceil(math.log2(max(n, 1) / BY_CHANCE))))
-    hit = math.comb(64 - AIMED_BITS, size) / math.comb(64, size)
-    return random_sets(math.ceil(math.log(0.05) / math.log(1 - hit)), size)
 
+def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(token, name, n, pos): the rarest of each text's n different shingles, so many that near texts share one.
 
-def sketched(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(text_key, fp, n, sketch) of every row: about n different shingles, and the smallest of their hashes in order."""
+    All texts order their shingles alike, by their bucket's frequency and then by hash; pos is the place
+    there. Two sets of that similarity have their first common shingle among these of both. The order
+    decides how many pairs are met in vain, never which are found."""
+    held = texts.sparkSession.sparkContext.broadcast(frequencies(texts, shingle))
 
     def run(batches):
+        often = held.value
+        for b in batches:
+            rows, size = [], 0
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s = shingle_set(text, shingle)
+                n = len(s)
+                order = np.lexsort((s, often[s & np.uint64(BUCKETS - 1)]))[: n - math.ceil(similarity * n - ROUND) + 1]
+                token = s[order].view(np.int64) if n else np.zeros(1, np.int64)  # texts without words meet under 0
+                m = len(token)
+                rows.append((token, np.full(m, name), np.full(m, n), np.arange(m)))
+                size += m
+                if size > 1 << 17:
+                    yield pa.record_batch([pa.array(np.concatenate(c), t) for c, t in zip(zip(*rows), types)], names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.record_batch([pa.array(np.concatenate(c), t) for c, t in zip(zip(*rows), types)], names)
+
+    types, names = (pa.int64(), pa.int64(), pa.int32(), pa.int32()), ["token", "name", "n", "pos"]
+    return texts.select("text_key", "text").mapInArrow(run, "token bigint, name bigint, n int, pos int")
+
+
+def may_link(n_a, pos_a, n_b, pos_b, similarity: float, least=np.minimum, most=np.maximum):
+    """Whether sets that first meet at these places can be near: by their sizes, and by what is left to share."""
+    fit = least(n_a, n_b) >= similarity * most(n_a, n_b) - ROUND
+    return fit & (least(n_a - pos_a, n_b - pos_b) >= similarity / (1 + similarity) * (n_a + n_b) - ROUND)
+
+
+def crossing(rows: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Names of all pairs that may link and do not carry one label, of whole groups (token, label, name, n, pos)."""
+    token, label, name, n, pos = rows.T
+    group = np.cumsum(np.concatenate(([0], token[1:] != token[:-1])))
+    size = np.bincount(group)
+
+    def pairs(i, j):
+        ok = (label[i] != label[j]) & may_link(n[i], pos[i], n[j], pos[j], similarity)
+        return name[i[ok]], name[j[ok]]
+
+    i = np.nonzero(size[group] <= STEPS)[0]
+    for step in range(1, STEPS):
+        i = i[i + step < len(rows)]
+        i = i[group[i] == group[i + step]]
+        if not i.size:
+            break
+        yield pairs(i, i + step)
+    starts = np.cumsum(size) - size
+    for g in np.nonzero(size > STEPS)[0]:
+        at = np.arange(starts[g], starts[g] + size[g])
+        labels, sizes = np.unique(label[at], return_counts=True)
+        major = label[at] == labels[np.argmax(sizes)]
+        # pairs within the largest label are known to be connected, so only the others look at the rest
+        others = np.concatenate((at[~major], at[major]))
+        for k in range(int((~major).sum())):
+            yield pairs(np.full(len(others) - k - 1, others[k]), others[k + 1 :])
+
+
+def crossings(batches, similarity: float):
+    """Run ``crossing`` over batches sorted by token; a group may begin in one batch and end in another."""
+
+    def of(rows):
+        held, size = [], 0
+        for a, b in crossing(rows, similarity):
+            held.append((a, b))
+            size += len(a)
+            if size > 1 << 17:
+                yield batch(held)
+                held, size = [], 0
+        if size:
+            yield batch(held)
+
+    def batch(held):
+        a, b = (np.concatenate(c) for c in zip(*held))
+        return pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    rest = []
+    for b in batches:
+        now = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(5)], axis=1)
+        if not len(now):
+            continue
+        changed = np.nonzero(now[1:, 0] != now[:-1, 0])[0] + 1
+        if rest and rest[-1][-1, 0] != now[0, 0]:
+            changed = np.concatenate(([0], changed))
+        if changed.size:
+            yield from of(np.concatenate((*rest, now[: changed[-1]])))
+            rest, now = [], now[changed[-1] :]
+        rest.append(now)
+    if rest:
+        yield from of(np.concatenate(rest))
+
+
+def near_links(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect what all pairs of texts (text_key, text) of that similarity connect.
+
+    Texts that share none of their prefixes' shingles are not near. In STARS rounds each text is held
+    against one text of another component, so that families of copies fall together; then every pair that
+    shares such a shingle, may link and is not yet connected is verified. No group is cut, and all
+    verifying is by the whole sets."""
+    group = Window.partitionBy("token")
+    shared = prefixes(texts, shingle, similarity).select("*", F.min("name").over(group).alias("lo"), F.max("name").over(group).alias("hi"))
+    shared = written(shared.filter("lo < hi").drop("lo", "hi"), "shared")
+
+    def as_sets(batches):
         for b in batches:
-            fps, sizes, sketches = [], [], []
-            for text in b.column(1).to_pylist():
-                ones, n, kept = np.zeros(64, np.int64), 0, np.empty(0, np.uint64)
-                for h in shingle_hashes(lower_words(text), shingle):
-                    ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                    n += len(h)
-                    kept = np.unique(np.concatenate((kept, h >> np.uint64(32))))[:SKETCH]
-                fps.append(int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0]) if n else 0)
-                # a full sketch tells how densely hashes lie
-                sizes.append(len(kept) if len(kept) < SKETCH else int((SKETCH - 1) * 2.0**32 / float(kept[-1])))
-                sketches.append(kept.astype("<u4").tobytes())
-            yield pa.record_batch([b.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["text_key", "fp", "n", "sketch"])
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "text_key bigint, fp bigint, n bigint, sketch binary")
+            yield pa.record_batch([b.column(0), pa.array([shingle_set(x, shingle).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["text_key", "hashes"])
+
+    names = shared.select(F.col("name").alias("text_key")).distinct()
+    sets = written(texts.join(names.hint("merge"), "text_key").select("text_key", "text").mapInArrow(as_sets, "text_key bigint, hashes binary"), "sets")
+
+    def verify(batches):
+        for b in batches:
+            ok = [jaccard(x, y) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    def verified(pairs):
+        one, two = sets.select(F.col("text_key").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("text_key").alias("b"), F.col("hashes").alias("y"))
+        both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y")
+        return written(both.mapInArrow(verify, "a bigint, b bigint"), "links")
+
+    links, rows = None, shared.withColumn("label", F.col("name"))
+    for k in range(STARS):
+        own = F.struct("label", F.xxhash64("name", F.lit(k)).alias("lot"), "name", "n", "pos")
+        ends = rows.select("*", F.min(own).over(group).alias("lo"), F.max(own).over(group).alias("hi")).filter("lo.label < hi.label")
+        ends = ends.withColumn("to", F.when(F.col("lo.label") != F.col("label"), F.col("lo")).otherwise(F.col("hi")))
+        ends = ends.filter(may_link(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos"), similarity, F.least, F.greatest))
+        found = verified(written(ends.groupBy(F.col("name").alias("a")).agg(F.min("to.name").alias("b")), "candidates"))
+        links = found if links is None else links.union(found)
+        place = components(links).select(F.col("node").alias("name"), "component")
+        rows = shared.join(place.hint("merge"), "name", "left").withColumn("label", F.coalesce("component", "name")).select("token", "label", "name", "n", "pos")
+    open_ = rows.select("*", F.min("label").over(group).alias("lo"), F.max("label").over(group).alias("hi")).filter("lo < hi").select("token", "label", "name", "n", "pos")
+    pairs = open_.repartition(shuffle_partitions(texts.sparkSession), "token").sortWithinPartitions("token").mapInArrow(lambda it: crossings(it, similarity), "a bigint, b bigint")
+    return links.union(verified(written(pairs.distinct(), "candidates")))
 
 
 def jaccard(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets: exact for sets below SKETCH, else over the smallest SKETCH hashes of the union."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    union = np.union1d(x, y)
-    if max(len(x), len(y)) == SKETCH:  # a sketch may be cut short, and tells nothing beyond its end
-        union = union[:SKETCH]
-    return float(np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean()) if len(union) else 1.0
+    """Jaccard similarity of two shingle sets; two empty ones are alike."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common) if len(x) + len(y) else 1.0
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near copies, with all its columns.
 
     Texts are near copies if the Jaccard similarity of their sets of lower-cased word shingles is
-    ``similarity`` or more; groups are what such links connect. Candidates are fingerprints at most
-    CANDIDATE_BITS apart that agree on some stretch of the pivots' chain, verified by sketches. Of a group
-    the smallest id stays (a null id only if there is no other), and of rows that repeat it, one. Null
+    ``similarity`` or more; groups are what such links connect. The search is exact, by the shingles
+    themselves (see ``near_links``): fingerprints have no part in it. Of a group the smallest id stays (a null id only if there is no other), and of rows that repeat it, one. Null
     texts count as empty, and texts without words are copies of one another. An empty table gives an empty
     table; other columns stay as they are, whatever their names."""
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    texts = docs.select(key.alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("text_key").agg(F.first("text").alias("text"))
     # joins are by sorting whatever the sizes, so the plan, and what it needs, is the same at any scale
-    texts = written(sketched(docs, text_col, shingle), "texts")
-    plain = written(texts.groupBy("text_key").agg(F.first("fp").alias("fp"), F.first("n").alias("n")), "fingerprints")
-    link = lambda g, fp: nearest(g, fp, CANDIDATE_BITS, NEAREST)
-    found = search(plain.select("fp", F.col("text_key").alias("name")), tables(plain.count()), lambda s: random_sets(16, 8, s), 3, link)
-    pairs = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    for end in ("a", "b"):
-        pairs = pairs.join(plain.select(F.col("text_key").alias(end), F.col("n").alias(f"n_{end}")).hint("merge"), end)
-    # sets of too different size are not near; sizes of long texts are estimates, so with room to spare
-    candidates = written(pairs.filter(F.least("n_a", "n_b") >= 0.8 * similarity * F.greatest("n_a", "n_b")).select("a", "b"), "candidates")
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
-    sketches = written(texts.select("text_key", "sketch").join(ends.hint("merge"), "text_key").groupBy("text_key").agg(F.first("sketch").alias("sketch")), "sketches")
-
-    def verify(batches):
-        for b in batches:
-            ok = [jaccard(x, y) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    one, two = sketches.select(F.col("text_key").alias("a"), F.col("sketch").alias("x")), sketches.select(F.col("text_key").alias("b"), F.col("sketch").alias("y"))
-    links = candidates.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
+    links = near_links(written(texts, "texts"), shingle, similarity)
     groups = written(components(links), "groups")
     # a group keeps its smallest (id, text); ids that are null come last
     counts = docs.select(F.col(id_col).alias("id"), key.alias("text_key")).groupBy("text_key", "id").agg(F.count("*").alias("rows"))
