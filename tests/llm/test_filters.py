@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import duckdb
@@ -50,6 +51,17 @@ def test_toxicity_on_held_out(spark, sf):
     assert np.mean([(a > b) + 0.5 * (a == b) for a in yes for b in no]) > 0.8
 
 
+def test_toxicity_learns_whole_words(spark):
+    """What tells the classes apart stands only beyond the first 256 characters of one long word."""
+    rng = random.Random(8)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(600)) for _ in range(40)]
+    rows = [(i, t[:300] + ("zqzqxzqx" if i % 2 else "") + t[300:]) for i, t in enumerate(plain)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    seen, *_ = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
+    assert seen["qzqxz"] > 0
+    assert toxicity.gram_counts({"a" * 1000: 2})["aaaaa"] == 2 * 996
+
+
 def test_toxicity_odd_rows(docs, empty, labels, corpus):
     got = toxicity.score(docs, labels).collect()
     assert len(got) == len(corpus) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)

@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,22 @@ def expressions(text: str | None) -> dict[str, None]:
     return dict.fromkeys(x.decode(errors="replace") for x in found if x)
 
 
-def grams(word: str) -> list[str]:
+def each_gram(word: str) -> Iterator[str]:
     s = START * (ORDER - 1) + word + STOP
-    return [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)]
+    return (s[i : i + ORDER] for i in range(len(s) - ORDER + 1))
+
+
+def grams(word: str) -> list[str]:
+    return list(each_gram(word))
+
+
+def gram_counts(words: dict[str, int]) -> Counter:
+    """How often the grams of these words stand in them, each word counted whole, however long."""
+    found = Counter()
+    for w, n in words.items():
+        for g in each_gram(w):
+            found[g] += n
+    return found
 
 
 def _discount(counts) -> float:
@@ -178,10 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for text, toxic, s in zip(*(c.to_pylist() for c in b.columns)):
                 counts[s, toxic].update(expressions(text).keys())
         for (s, toxic), ws in counts.items():
-            found = Counter()
-            for w, n in ws.items():
-                for g in grams(w[:PIECE]):
-                    found[g] += n
+            found = gram_counts(ws)
             m = len(found)
             yield pa.record_batch([pa.array(list(found), pa.string()), pa.array([s] * m, pa.int64()), pa.array([toxic] * m, pa.int32()), pa.array(list(found.values()), pa.int64())], ["gram", "side", "toxic", "n"])
 
