@@ -104,6 +104,16 @@ def test_pack_padding(spark, law, most):
     assert 1 - sum(r[1] for r in got) / (4096 * len(got)) < most
 
 
+def test_whole_windows_bypass_blocks(spark):
+    """Windows of one long document, all of one block, are sequences of their own; their ids come along."""
+    rows = [(1, 4 * k, 4, bytes([k]) * 16) for k in range(50)] * 2 + [(1, 200, 3, b"x" * 12), (2, 0, 1, b"y" * 4)]
+    got = packing.pack(spark.createDataFrame(rows, "id bigint, start bigint, length bigint, ids binary"), 4).collect()
+    assert sorted((r.id, r.start, r.length, bytes(r.ids)) for r in got) == sorted(rows)
+    whole = [r for r in got if r.length == 4]
+    assert len({r.sequence_id for r in whole}) == 100 and all(r.sequence_id < 0 and r.offset == 0 for r in whole)
+    assert len({r.sequence_id for r in got if r.length < 4}) == 1 and {r.sequence_id for r in got if r.length < 4}.isdisjoint(r.sequence_id for r in whole)
+
+
 def test_pack_odd_rows(docs, empty, corpus):
     assert packing.pack(packing.cut(empty, PATH)).count() == 0
     assert packing.pack(packing.cut(docs, PATH)).filter("start = 0").count() == len(corpus)

@@ -143,10 +143,12 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """The pieces with sequence_id and offset: the sequence each goes to, and its place there.
 
     ``pieces`` has id, start and length (1 to window) and whatever other columns. Sequences are filled
-    without gaps; sequence ids are distinct but not gapless. Pieces with null ids and repeated pieces are
+    without gaps; sequence ids are distinct but not gapless. Whole windows are sequences as they are, with
+    negative ids, and stay where they lie. Pieces with null ids and repeated pieces are
     packed like others. An empty table gives an empty table."""
     pieces = written(pieces.withColumn("block", F.xxhash64("id", "start")), "pieces")
-    n = max(1, math.ceil(pieces.filter(F.col("length") < window).count() / BLOCK))
+    whole, pieces = pieces.filter(F.col("length") == window), pieces.filter(F.col("length") < window)
+    n = max(1, math.ceil(pieces.count() / BLOCK))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("length", "descending"), ("id", "ascending"), ("start", "ascending")])
@@ -162,4 +164,6 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
         return t.drop_columns(["block"]).append_column("sequence_id", pa.array((block << 32) + sequence)).append_column("offset", pa.array(offset))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.drop("block").schema)
-    return pieces.withColumn("block", F.pmod("block", F.lit(n))).groupBy("block").applyInArrow(run, f"{fields}, sequence_id bigint, offset bigint")
+    packed = pieces.withColumn("block", F.pmod("block", F.lit(n))).groupBy("block").applyInArrow(run, f"{fields}, sequence_id bigint, offset bigint")
+    alone = whole.drop("block").withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
+    return packed.union(alone)

@@ -88,10 +88,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.cut(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    # the digest is all that the result needs of the ids, so it is taken before they would be shuffled
-    pieces = pieces.select("id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.pack(pieces).withColumnRenamed("id", "doc_id")
+    packed = packing.pack(packing.cut(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    # the digest is of the ids as they were packed
+    return packed.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 OP2_SQL = """
