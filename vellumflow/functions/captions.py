@@ -20,6 +20,8 @@ ALIASES = {
 }
 DEFAULT = "ita"
 PREFIX_LETTERS, PREFIX_MOST = "A-Za-zÀ-ɏЀ-ӿ", 30
+#: A character that sets parts off, which no header holds.
+MARK = "\x01"
 
 
 def alias_map() -> Column:
@@ -40,36 +42,49 @@ def resolve_language(asked: Column, default: str) -> Column:
 def lang_key(lang: Column) -> Column:
     """The first part of a language string that has caption keywords, else the default."""
     parts = F.transform(F.split(F.lower(F.trim(lang)), r"[+,\s]+"), lambda p: F.element_at(alias_map(), p))
-    return F.coalesce(F.try_element_at(F.filter(parts, lambda k: k.isNotNull()), F.lit(1)), F.lit(DEFAULT))
+    first = F.try_element_at(F.filter(parts, lambda k: k.isNotNull()), F.lit(1))
+    return F.coalesce(F.element_at(alias_map(), F.lower(F.trim(lang))), first, F.lit(DEFAULT))
 
 
 def header_pattern(key: str) -> str:
-    """A short directional prefix with a colon, if any; a keyword, the longest first; a number of 1 to 3 digits."""
+    """Fixed value: the form of a caption's header.
+
+    A short directional prefix with a colon, if any; a keyword, the longest first; a number of 1 to 3 digits."""
     words = "|".join(sorted(KEYWORDS[key], key=len, reverse=True))
     return rf"(?iU)^\s*(?:([{PREFIX_LETTERS} ]{{1,{PREFIX_MOST}}}?)\s*:\s*)?({words})\.?\s*([0-9]{{1,3}})(?![0-9])"
 
 
-def parse_caption(text: Column, lang: Column) -> Column:
-    """struct(number, keyword, lang, prefix, residual) of the caption header that the text begins with, or null."""
-    key, found = lang_key(lang), None
+def by_language(lang: Column, made) -> Column:
+    """made(k) for the keyword language k that a row's language resolves to; the other branches are not reckoned."""
+    found = None
     for k in KEYWORDS:
-        p = header_pattern(k)
-        prefix = F.trim(F.regexp_extract(text, p, 1))
-        rest = F.regexp_replace(F.regexp_replace(text, p, ""), r"^[ \t:;.,\-–—|/·]+", "")
-        made = F.struct(
-            F.regexp_extract(text, p, 3).cast("int").alias("number"),
-            F.lower(F.regexp_extract(text, p, 2)).alias("keyword"),
-            F.lit(k).alias("lang"),
-            F.when(prefix != "", prefix).alias("prefix"),
-            F.regexp_replace(rest, r"(?U)^\s+|\s+$", "").alias("residual"),
-        )
-        branch = F.when((key == k) & text.rlike(p), made)
-        found = branch if found is None else F.coalesce(found, branch)
+        found = F.when(lang_key(lang) == k, made(k)) if found is None else found.when(lang_key(lang) == k, made(k))
     return found
 
 
+def once(value: Column, made) -> Column:
+    """made(value) with the value reckoned once, however often ``made`` uses it."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
+def parse_caption(text: Column, lang: Column) -> Column:
+    """struct(number, keyword, lang, prefix, residual) of the caption header that the text begins with, or null.
+
+    One replacement sets the header's parts and the rest off by a mark, and so changes a text just if it has a header."""
+    cut = by_language(lang, lambda k: F.regexp_replace(text, header_pattern(k) + r"[ \t:;.,\-–—|/·]*+", MARK + f"$1{MARK}$2{MARK}$3{MARK}"))
+
+    def parts(p):
+        prefix = F.trim(p[1])
+        return F.struct(
+            p[3].cast("int").alias("number"), F.lower(p[2]).alias("keyword"), lang_key(lang).alias("lang"),
+            F.when(prefix != "", prefix).alias("prefix"), F.regexp_replace(p[4], r"(?U)^\s+|\s+$", "").alias("residual"),
+        )
+
+    return once(cut, lambda c: F.when(c != text, once(F.split(c, MARK, 5), parts)))
+
+
 def is_caption(text: Column, lang: Column) -> Column:
-    return parse_caption(text, lang).isNotNull()
+    return F.coalesce(by_language(lang, lambda k: text.rlike(header_pattern(k))), F.lit(False))
 
 
 def figure_number(text: Column) -> Column:

