@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellumflow.operators import spatial
-from vellumflow.plans import assemble, evaluate, queries
+from vellumflow.plans import assemble, evaluate, queries, schemas
 
 BOX = "struct<x:int,y:int,w:int,h:int>"
 
@@ -69,18 +69,23 @@ def test_attach_and_assemble(spark):
     got = assemble.attach_words(w, b, routed, orphans, ["page"]).orderBy("pos").collect()
     assert [(x.block, x.conf, x.line) for x in got] == [(0, 100.0, 0), (1, 50.0, 1)]
 
-    pages = spark.createDataFrame([("d", "p1", 10, 20, "eng", "flag"), ("d", "p2", 10, 20, "bul", "patch")], "doc_id string, page string, width int, height int, language string, mode string")
-    blocks = spark.createDataFrame([("d", "p1", 1, "paragraph", (0, 0, 1, 1), 1), ("d", "p1", 0, "title", (0, 0, 1, 1), 0)], f"doc_id string, page string, block int, type string, bbox {BOX}, reading_order int")
-    words = spark.createDataFrame([("d", "p1", 1, 1, "b", (0, 0, 1, 1), 9.0, "patch", 0), ("d", "p1", 1, 0, "a", (0, 0, 1, 1), 9.0, "keep", 0)], f"doc_id string, page string, block int, word int, text string, bbox {BOX}, conf double, decision string, line int")
-    patches = spark.createDataFrame([("d", "p1", 1, 1, "x.png")], "doc_id string, page string, block int, word int, asset string")
-    settings = spark.createDataFrame([("d", None, ["A"])], "doc_id string, target_language string, fonts array<string>")
-    d = assemble.documents(pages, blocks, words, patches, settings).first()
-    assert [x.page for x in d.pages] == ["p1", "p2"] and [x.type for x in d.pages[0].blocks] == ["title", "paragraph"]
-    assert [(x.text, x.patch_asset, x.text_ocr) for x in d.pages[0].blocks[1].words] == [("a", None, "a"), ("b", "x.png", "b")]
-    assert d.settings.source_language == "bul" and d.mixed_languages and d.pages[0].blocks[0].words == []
-    edited = spark.createDataFrame([("d", True)], "doc_id string, has_edits boolean")
+    key = "doc_id string, spread string, subpage string"
+    pages = spark.createDataFrame([("d", "p1", "left", 10, 20, "eng", "flag", "a/p1.png"), ("d", "p2", "single", 10, 20, "bul", "patch", None)], f"{key}, width int, height int, language string, mode string, image_asset string")
+    blocks = spark.createDataFrame([("d", "p1", "left", 1, "paragraph", (0, 0, 1, 1), 1), ("d", "p1", "left", 0, "title", (0, 0, 1, 1), 0)], f"{key}, block int, type string, bbox {BOX}, reading_order int")
+    words = spark.createDataFrame([("d", "p1", "left", 1, 1, "b", (0, 0, 1, 1), 9.0, "patch", 0, True), ("d", "p1", "left", 1, 0, "a", (0, 0, 1, 1), 9.0, "keep", 0, None)], f"{key}, block int, word int, text string, bbox {BOX}, conf double, decision string, line int, disagree boolean")
+    patches = spark.createDataFrame([("d", "p1", "left", 1, 1, "x.png")], f"{key}, block int, word int, asset string")
+    settings = spark.createDataFrame([("d", None, None, False, None, ["A"])], "doc_id string, target_language string, order_mode string, strip_running_headers boolean, strip_page_numbers boolean, fonts array<string>")
     whole = assemble.documents(pages, blocks, words, patches, settings)
+    d = whole.first()
+    assert [x.page_id for x in d.pages] == ["p1__left", "p2__single"] and [x.type for x in d.pages[0].blocks] == ["title", "paragraph"]
+    assert [(x.text, x.patch_asset, x.text_ocr, x.engine_disagree) for x in d.pages[0].blocks[1].words] == [("a", None, "a", False), ("b", "x.png", "b", True)]
+    assert d.settings.source_language == "bul" and len(d.warnings) == 2 and d.pages[0].blocks[0].words == [] and d.pages[1].blocks == []
+    assert (d.schema_version, d.settings.order_mode, d.settings.strip_running_headers, d.settings.strip_page_numbers, d.settings.fonts) == ("1.0", "auto", False, True, ["A"])
+    edited = spark.createDataFrame([("d", True)], "document_id string, has_edits boolean")
     assert assemble.guard(whole, edited).count() == 0 and assemble.guard(whole, edited, True).count() == 1
+    # what is assembled is what is read: one shape
+    again = whole.select(F.to_json(F.struct(*[c for c in whole.columns if c != "warnings"])).alias("j")).select(F.from_json("j", schemas.DOCUMENT).alias("d")).select("d.*")
+    assert again.first() == whole.drop("warnings").first() and [(f.name, f.dataType) for f in again.schema] == [(f.name, f.dataType) for f in spark.createDataFrame([], schemas.DOCUMENT).schema]
 
 
 def test_jobs(spark):

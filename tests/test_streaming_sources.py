@@ -113,12 +113,15 @@ def test_lexicon(spark):
 
 
 def test_documents_round_trip(spark, tmp_path):
-    doc = {"schema_version": 1, "document_id": "d", "job_id": "d", "pages": [{"page_id": "p", "blocks": [{"id": 0, "type": "paragraph", "words": [{"text": "a", "conf": 90.0}]}]}]}
+    doc = {"schema_version": "1.0", "document_id": "d", "job_id": "d", "pages": [{"page_id": "p", "blocks": [{"id": 0, "type": "paragraph", "words": [{"text": "a", "conf": 90.0}]}]}]}
     path = str(tmp_path / "docs")
     d = spark.createDataFrame([json.dumps(doc)], "string").select(F.from_json("value", schemas.DOCUMENT).alias("d")).select("d.*")
     sinks.save_documents(d, path)
-    sinks.save_documents(d.withColumn("schema_version", F.lit(2)), path)
-    assert tables.documents(spark, path).first().schema_version == 2 and tables.documents(spark, f"{path}.bak").first().schema_version == 1
+    sinks.save_documents(d.withColumn("schema_version", F.lit("1.1")), path)
+    assert tables.documents(spark, path).first().schema_version == "1.1" and tables.documents(spark, f"{path}.bak").first().schema_version == "1.0"
+    got = tables.documents(spark, path).first()
+    assert got.settings.asDict() == {"source_language": "eng", "target_language": None, "uncertainty_mode": "flag", "order_mode": "auto", "strip_running_headers": True, "strip_page_numbers": True, "fonts": []}
+    assert got.pages[0].blocks[0].words[0].engine == "tesseract" and got.pages[0].blocks[0].order_confirmed is False
     assert schemas.words_of(tables.documents(spark, path)).first().text == "a" and schemas.blocks_of(tables.documents(spark, path)).first().type == "paragraph"
 
 

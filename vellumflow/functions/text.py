@@ -29,7 +29,8 @@ def strip(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return F.coalesce(strip(c) == "", F.lit(True))
+    """Whether nothing but Unicode white space is there; the search ends at the first other character."""
+    return F.coalesce(~c.rlike(r"(?U)\S"), F.lit(True))
 
 
 def normalize_token(c: Column) -> Column:

@@ -95,25 +95,19 @@ def by_row(documents: DataFrame, words: str = "words", mode: str = "flag", rate:
 
     A document is one row, so nothing is shuffled: sorting and counting stay inside the row."""
     low, high = min(floor, ceiling), max(floor, ceiling)
-    w = F.col(words)
-    scored = F.filter(w, lambda x: is_scored(x["token"], x["conf"]))
-    rows = documents.select("doc_id", w.alias("w"), F.array_sort(F.transform(scored, lambda x: x["conf"])).alias("confs"))
+    # blank words are kept and never scored, so they are set aside once
+    rows = documents.select("doc_id", F.size(words).cast("bigint").alias("n_words"), F.filter(words, lambda x: ~is_blank(x["token"])).alias("w"))
+    rows = rows.select("*", F.array_sort(F.filter(F.transform("w", lambda x: x["conf"]), lambda c: c > 0)).alias("confs"))
     few = F.size("confs") < LEAST_WORDS
     p = percentile_of(F.col("confs"), rate)
-    rows = rows.select("doc_id", "w", F.size("confs").cast("bigint").alias("n_scored"), F.when(few, -1.0).otherwise(p).alias("raw"), F.when(few, low).otherwise(F.least(F.greatest(p, F.lit(low)), F.lit(high))).alias("threshold"))
-
-    def count(test):
-        return F.size(F.filter("w", test)).cast("bigint")
-
-    def unsure(x):
-        return is_uncertain(x["conf"], F.col("threshold"), x["disagree"])
-
-    def becomes(decision):
-        return count(lambda x: decide(x["token"], unsure(x), F.lit(mode)) == decision)
-
+    rows = rows.select("doc_id", "n_words", "w", F.size("confs").cast("bigint").alias("n_scored"), F.when(few, -1.0).otherwise(p).alias("raw"), F.when(few, low).otherwise(F.least(F.greatest(p, F.lit(low)), F.lit(high))).alias("threshold"))
+    unsure = F.transform(F.filter("w", lambda x: is_uncertain(x["conf"], F.col("threshold"), x["disagree"])), lambda x: x["conf"])
+    rows = rows.select("doc_id", "raw", "threshold", "n_words", "n_scored", unsure.alias("unsure"))
+    n, none = F.size("unsure").cast("bigint"), F.lit(0).cast("bigint")
+    marked = {d: n if mode == d else none for d in ("flag", "patch")}
     found = rows.select(
-        "doc_id", "raw", "threshold", F.size("w").cast("bigint").alias("n_words"), *[becomes(d).alias(f"n_{d}") for d in ("keep", "flag", "patch")],
-        count(lambda x: unsure(x) & ~is_blank(x["token"])).alias("n_uncertain"), count(lambda x: unsure(x) & is_scored(x["token"], x["conf"])).alias("n_scored_flagged"), "n_scored",
+        "doc_id", "raw", "threshold", "n_words", (F.col("n_words") - marked["flag"] - marked["patch"]).alias("n_keep"), *[c.alias(f"n_{d}") for d, c in marked.items()],
+        n.alias("n_uncertain"), F.size(F.filter("unsure", lambda c: c > 0)).cast("bigint").alias("n_scored_flagged"), "n_scored",
     )
     return found.withColumn("effective", effective_rate(F.col("n_scored_flagged"), F.col("n_scored")))
 

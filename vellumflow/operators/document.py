@@ -77,16 +77,18 @@ def merge_hyphens(words: DataFrame, by: list[str], lexicon: DataFrame | None, or
     nxt = F.lead("token").over(at)
     other_line = (F.col("line") != F.lead("line").over(at)) & F.col("line").isNotNull()
     may = strip(F.col("token")).endswith("-") & nxt.rlike(r"^\p{Ll}") & other_line & ~F.col("flagged") & ~F.lead("flagged").over(at)
-    rows = words.withColumn("_whole", F.when(F.coalesce(may, F.lit(False)), F.concat(bare, nxt)))
+    rows = words.withColumns({"_n": F.row_number().over(at), "_whole": F.when(F.coalesce(may, F.lit(False)), F.concat(bare, nxt))})
+    # only candidates meet the lexicon; of a run of them the odd ones are taken
     known = lexicon.select(F.col("token").alias("_known")).distinct()
-    rows = rows.join(known, F.lower("_whole") == F.col("_known"), "left").withColumn("_can", F.col("_known").isNotNull())
-    # the place within a run of candidates: odd ones are taken
-    run = F.row_number().over(at) - F.row_number().over(Window.partitionBy(*by, "_can").orderBy(order))
-    rows = rows.withColumn("_run", run)
-    nth = F.row_number().over(Window.partitionBy(*by, "_can", "_run").orderBy(order))
-    rows = rows.withColumn("_take", F.col("_can") & (nth % 2 == 1))
-    rows = rows.withColumn("_used", F.coalesce(F.lag("_take").over(at), F.lit(False)))
-    return rows.filter("not _used").withColumn("merged", F.when(F.col("_take"), F.col("_whole"))).drop("_whole", "_known", "_can", "_run", "_take", "_used")
+    can = rows.filter("_whole is not null").select(*by, "_n", "_whole", F.lower("_whole").alias("_known")).join(known, "_known", "left_semi")
+    run = F.col("_n") - F.row_number().over(Window.partitionBy(*by).orderBy("_n"))
+    nth = F.row_number().over(Window.partitionBy(*by, "_run").orderBy("_n"))
+    taken = can.withColumn("_run", run).withColumn("_nth", nth).filter("_nth % 2 = 1")
+    # two marks a join: the word that takes, and the one after it, which is used up
+    mark = F.array(F.struct(F.col("_n"), F.col("_whole").alias("merged")), F.struct((F.col("_n") + 1).alias("_n"), F.lit(None).cast("string").alias("merged")))
+    marks = taken.select(*by, F.inline(mark)).withColumn("_used", F.col("merged").isNull())
+    found = rows.drop("_whole").join(marks, [*by, "_n"], "left")
+    return found.filter("not coalesce(_used, false)").drop("_n", "_used")
 
 
 def word_html(token: Column, visible: Column, mode: Column, asset_uri: Column, conf: Column) -> Column:
@@ -167,8 +169,9 @@ def next_page(pages: DataFrame) -> DataFrame:
 
 
 def gathered(pages: DataFrame) -> DataFrame:
-    """(doc_id, languages, mode, language): the sets of a document's pages, and the smallest of each for its settings."""
-    return pages.groupBy("doc_id").agg(F.array_sort(F.collect_set("language")).alias("languages"), F.min("mode").alias("mode"), F.min("language").alias("language"))
+    """(doc_id, languages, modes, mode, language): the sets of a document's pages, and the smallest of each for its settings."""
+    sets = [F.array_sort(F.collect_set(c)).alias(f"{c}s") for c in ("language", "mode")]
+    return pages.groupBy("doc_id").agg(*sets, F.min("mode").alias("mode"), F.min("language").alias("language"))
 
 
 def metrics(blocks: DataFrame, words: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -8,6 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_token
+from ..sources.tables import in_lexicon
+from .spatial import assign_regions
+
 ANCHOR_LEAST, FIGURE_LEAST = 0.5, 0.2
 REGION_LEAST, VOUCHER_LEAST = 0.30, 2
 
@@ -97,7 +101,8 @@ def vouched(words: DataFrame, regions: DataFrame, page: list[str], lexicon: Data
     """(page, pos) of words that a second reader's region contradicts with a word of the lexicon, itself not being one.
 
     ``words`` has region, pos, x and token in lexicon form; ``regions`` region and tokens; ``lexicon`` token. A
-    null lexicon finds nothing. A region's words are its group; the lexicon's two look-ups are joins."""
+    null lexicon finds nothing; a capitalised entry knows the word in lower case. A region's words are its
+    group; the lexicon's two look-ups are joins."""
     own = words.filter("token <> ''").groupBy(*page, "region").agg(F.array_sort(F.collect_list(F.struct("x", "pos", "token"))).alias("own"))
     both = own.join(regions, [*page, "region"])
 
@@ -115,9 +120,19 @@ def vouched(words: DataFrame, regions: DataFrame, page: list[str], lexicon: Data
     found = both.select(*page, "own", "tokens").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in fields))
     if lexicon is None:
         return found.filter("false").select(*page, "pos")
-    known = lexicon.select("token").distinct()
-    found = found.filter(F.length("voucher") >= VOUCHER_LEAST).join(known, "token", "left_anti")
-    return found.join(known.withColumnRenamed("token", "voucher"), "voucher", "left_semi").select(*page, "pos")
+    found = in_lexicon(found.filter(F.length("voucher") >= VOUCHER_LEAST), lexicon, "token").filter("not known").drop("known")
+    return in_lexicon(found, lexicon, "voucher").filter("known").select(*page, "pos")
+
+
+def disagreements(words: DataFrame, regions: DataFrame, page: list[str], lexicon: DataFrame | None, least: float = REGION_LEAST) -> DataFrame:
+    """(page, pos) of words that a second reader disagrees with, from words (pos, box, token) and regions (region, rbox, text, conf).
+
+    Regions read with less than ``least`` confidence neither take words nor vouch. Each word belongs to the
+    one region that ``assign_regions`` gives it."""
+    sure = regions.filter(F.col("conf") >= least)
+    own = words.join(assign_regions(words, sure, page), [*page, "pos"]).select(*page, "region", "pos", F.col("box.x").alias("x"), normalize_token(F.col("token")).alias("token"))
+    read = sure.select(*page, "region", F.transform(F.split("text", r"(?U)\s+"), normalize_token).alias("tokens"))
+    return vouched(own, read, page, lexicon)
 
 
 def gutter_hits(truth: DataFrame, found: DataFrame) -> DataFrame:

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import MODES
 from ..operators.document import enriched, gathered, with_patches
-
-SCHEMA_VERSION = 1
+from .schemas import BLOCK, BOX, DOCUMENT_VERSION, WORD
 
 
 def attach_words(words: DataFrame, blocks: DataFrame, routed: DataFrame, orphans: DataFrame, page: list[str]) -> DataFrame:
@@ -25,29 +24,48 @@ def attach_words(words: DataFrame, blocks: DataFrame, routed: DataFrame, orphans
 
 
 def documents(pages: DataFrame, blocks: DataFrame, words: DataFrame, patches: DataFrame, settings: DataFrame) -> DataFrame:
-    """One nested row for each document.
+    """One nested row for each document, of the form that ``tables.documents`` reads, and its warnings.
 
-    ``pages`` (doc_id, page, width, height, language, mode), ``blocks`` (doc_id, page, block, type, bbox,
-    reading_order), ``words`` (doc_id, page, block, word, text, bbox, conf, decision, line), ``patches``
-    (doc_id, page, block, word, asset), ``settings`` (doc_id, target_language, fonts). Each level is folded into
-    the one above by its own key, so no row is larger than its page until the last step."""
-    key = ["doc_id", "page"]
+    ``pages`` (doc_id, spread, subpage, width, height, language, mode, image_asset), ``blocks`` (doc_id, spread,
+    subpage, block, type, bbox, reading_order), ``words`` (doc_id, spread, subpage, block, word, text, bbox, conf,
+    decision, line, disagree), ``patches`` (doc_id, spread, subpage, block, word, asset), ``settings`` (doc_id,
+    target_language, order_mode, strip_running_headers, strip_page_numbers, fonts; nulls stand for the defaults).
+    Pages stand by spread and then subpage. Each level is folded into the one above by its own key, so no row is
+    larger than its page until the last step."""
+    key = ["doc_id", "spread", "subpage"]
     w = with_patches(words, patches, key)
-    of_word = F.struct("word", "text", "bbox", "conf", "line", "decision", "text_ocr", "edited", "patch_asset")
-    nested = w.groupBy(*key, "block").agg(F.array_sort(F.collect_list(of_word)).alias("words"))
-    b = enriched(blocks).join(nested, [*key, "block"], "left").withColumn("words", F.coalesce("words", F.array().cast(nested.schema["words"].dataType)))
-    of_block = F.struct("reading_order", "block", "type", "bbox", "words", "type_auto", "order_auto", "structure_edited", "order_confirmed", "text")
-    p = pages.join(b.groupBy(*key).agg(F.array_sort(F.collect_list(of_block)).alias("blocks")), key, "left")
-    whole = p.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "width", "height", "blocks"))).alias("pages"))
+    of_word = F.struct("word", F.struct(
+        "text", F.col("bbox").cast(BOX).alias("bbox"), F.col("conf").cast("double").alias("conf"), F.lit("tesseract").alias("engine"), F.col("line").cast("int").alias("line_id"),
+        F.col("block").cast("int").alias("block_id"), "decision", F.coalesce("disagree", F.lit(False)).alias("engine_disagree"), "text_ocr", "edited", "patch_asset",
+    ).alias("w"))
+    nested = w.groupBy(*key, "block").agg(F.transform(F.array_sort(F.collect_list(of_word)), lambda x: x["w"]).alias("words"))
+    b = enriched(blocks).join(nested, [*key, "block"], "left").withColumn("words", F.coalesce("words", F.array().cast(f"array<{WORD}>")))
+    of_block = F.struct("reading_order", "block", F.struct(
+        F.col("block").cast("int").alias("id"), "type", F.col("bbox").cast(BOX).alias("bbox"), F.col("reading_order").cast("int").alias("reading_order"), "words", "type_auto",
+        F.col("order_auto").cast("int").alias("order_auto"), "structure_edited", "order_confirmed", "text",
+    ).alias("b"))
+    p = pages.join(b.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(of_block)), lambda x: x["b"]).alias("blocks")), key, "left")
+    of_page = F.struct("spread", "subpage", F.struct(
+        F.concat_ws("__", "spread", "subpage").alias("page_id"), F.col("spread").alias("source_spread"), "subpage", F.col("width").cast("int").alias("width"),
+        F.col("height").cast("int").alias("height"), "image_asset", F.coalesce("blocks", F.array().cast(f"array<{BLOCK}>")).alias("blocks"),
+    ).alias("p"))
+    whole = p.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(of_page)), lambda x: x["p"]).alias("pages"))
     facts = gathered(pages)
-    return whole.join(facts, "doc_id").join(settings, "doc_id", "left").select(F.lit(SCHEMA_VERSION).alias("schema_version"), "doc_id", F.struct(F.col("mode").alias("uncertainty_mode"), F.col("language").alias("source_language"), "target_language", "fonts").alias("settings"), "pages", (F.size("languages") > 1).alias("mixed_languages"))
+    of_settings = F.struct(
+        F.coalesce("language", F.lit("eng")).alias("source_language"), "target_language", F.coalesce("mode", F.lit("flag")).alias("uncertainty_mode"), F.coalesce("order_mode", F.lit("auto")).alias("order_mode"),
+        F.coalesce("strip_running_headers", F.lit(True)).alias("strip_running_headers"), F.coalesce("strip_page_numbers", F.lit(True)).alias("strip_page_numbers"),
+        F.coalesce("fonts", F.array().cast("array<string>")).alias("fonts"),
+    )
+    mixed = F.array_compact(F.array(F.when(F.size("modes") > 1, F.concat(F.lit("pages were resolved under different modes: "), F.array_join("modes", ", "))), F.when(F.size("languages") > 1, F.concat(F.lit("pages were read in different languages: "), F.array_join("languages", ", ")))))
+    found = whole.join(facts, "doc_id").join(settings, "doc_id", "left")
+    return found.select(F.lit(DOCUMENT_VERSION).alias("schema_version"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("job_id"), of_settings.alias("settings"), "pages", mixed.alias("warnings"))
 
 
 def guard(assembled: DataFrame, edited: DataFrame, force: bool = False) -> DataFrame:
-    """Documents that may be written: those without edits, or all if forced. ``edited`` is (doc_id, has_edits)."""
+    """Documents that may be written: those without edits, or all if forced. ``edited`` is (document_id, has_edits)."""
     if force:
         return assembled
-    return assembled.join(edited.filter("has_edits").select("doc_id"), "doc_id", "left_anti")
+    return assembled.join(edited.filter("has_edits").select("document_id"), "document_id", "left_anti")
 
 
 def job_rows(jobs: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_cyrillic, normalize_token, strip
-from ..plans.schemas import BLOCK_TRUTH, DOCUMENT, MANIFEST, TSV
+from ..plans.schemas import BLOCK, BLOCK_TRUTH, DOC_PAGE, DOCUMENT, DOCUMENT_VERSION, MANIFEST, RESULTS, SETTINGS, TSV, WORD
 
 #: File names of images, and of raw captures that need a decoder of their own.
 IMAGES = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp", ".webp")
@@ -93,8 +93,34 @@ def gazetteer(spark: SparkSession, path: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """Nested documents; a file that does not fit the schema is an error."""
-    return spark.read.schema(DOCUMENT).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    """Nested documents, fields they leave out at their defaults; a file that does not fit the schema is an error."""
+    return with_defaults(spark.read.schema(DOCUMENT).option("multiLine", "true").option("mode", "FAILFAST").json(path))
+
+
+def with_defaults(docs: DataFrame) -> DataFrame:
+    """Documents with what a file may leave out: no edits, no words, the engine, the settings."""
+
+    def filled(s: Column, **defaults) -> Column:
+        for name, value in defaults.items():
+            s = s.withField(name, F.coalesce(s[name], F.lit(value)))
+        return s
+
+    def listed(c: Column, kind: str) -> Column:
+        return F.coalesce(c, F.array().cast(kind))
+
+    def block(b: Column) -> Column:
+        of = F.transform(listed(b["words"], f"array<{WORD}>"), lambda w: filled(w, engine="tesseract", engine_disagree=False, edited=False))
+        return filled(b, structure_edited=False, order_confirmed=False).withField("words", of)
+
+    pages = F.transform(listed(F.col("pages"), f"array<{DOC_PAGE}>"), lambda p: p.withField("blocks", F.transform(listed(p["blocks"], f"array<{BLOCK}>"), block)))
+    settings = filled(F.coalesce("settings", F.from_json(F.lit("{}"), SETTINGS)), source_language="eng", uncertainty_mode="flag", order_mode="auto", strip_running_headers=True, strip_page_numbers=True)
+    settings = settings.withField("fonts", listed(settings["fonts"], "array<string>"))
+    return docs.withColumns({"schema_version": F.coalesce("schema_version", F.lit(DOCUMENT_VERSION)), "settings": settings, "pages": pages})
+
+
+def stage_results(spark: SparkSession, path: str, stage: str) -> DataFrame:
+    """(file, ...): what a stage handed on, of all pages under ``path``: ingest, fuse, split, dewarp, layout, ocr or resolved."""
+    return spark.read.schema(RESULTS[stage]).option("multiLine", "true").option("mode", "FAILFAST").json(path).select(F.col("_metadata.file_path").alias("file"), "*")
 
 
 def warnings_of(text):
