@@ -8,64 +8,77 @@ and a hot source is summed up before any shuffle like all others."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import WORD, written
+from .common import WORD, Table, shuffle_partitions, written
 
 #: Weights of the sources in order of their names' code points, null last, repeated as needed.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Bits of the hash, and those of them that one histogram resolves.
 HASH_BITS, STEP_BITS = 60, 10
-#: A table of sources is a parameter of a mixture and goes to every task; this is the bound of its rows.
-MAX_SOURCES = 100_000
-
-
-def targets(sizes: dict[str | None, int], budget: float, most: float, weights=WEIGHTS) -> dict[str | None, float]:
-    """Share budget times all sizes by weight; a source gets ``most`` times its size at most and leaves the rest to the others."""
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    left, given, open_ = budget * sum(sizes.values()), {}, list(names)
-    while open_:
-        per = left / sum(weight[s] for s in open_)
-        full = [s for s in open_ if weight[s] * per > most * sizes[s]]
-        if not full:
-            given |= {s: weight[s] * per for s in open_}
+#: Sources up to which their table is broadcast; the tables of more are joined by shuffling.
+BROADCAST = 50_000
+
+
+def _known(source: Column) -> Column:
+    """A source's name in joins, which a null has too; it sorts by code point, null last."""
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
+
+
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources with rank, their place by name: counted by ranges of names, so no task sorts all of them."""
+    spread = written(sources.repartitionByRange(shuffle_partitions(sources.sparkSession), "known").withColumn("part", F.spark_partition_id()), "ranges")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    first = spread.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("known")) - 1
+    return spread.withColumn("place", place).join(F.broadcast(first), "part").withColumn("rank", F.col("first") + F.col("place")).drop("part", "first", "place")
+
+
+def targets(sources: DataFrame, budget: float, most: float, weights=WEIGHTS) -> DataFrame:
+    """sources (known, source_size) with target: ``budget`` times all sizes, shared by weight.
+
+    A source gets ``most`` times its size at most and leaves the rest to the others, by weight again. Each
+    round is one sum over the sources; those that are full stay so."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    found = written(ranked(sources).withColumns({"weight": weight, "full": F.lit(most) * F.col("source_size")}).drop("rank"), "sources")
+    total = found.agg(F.sum("source_size")).first()[0] or 0
+    per, past = 0.0, -1.0
+    while per > past:
+        past = per
+        left = F.col("weight") * past <= F.col("full") if past else F.lit(True)
+        got = found.agg(F.sum(F.when(left, F.col("weight"))).alias("w"), F.sum(F.when(~left, F.col("full"))).alias("full")).first()
+        if not got.w:  # all are full
             break
-        given |= {s: most * sizes[s] for s in full}
-        left -= sum(most * sizes[s] for s in full)
-        open_ = [s for s in open_ if s not in given]
-    return given
+        per = (budget * total - (got.full or 0.0)) / got.w
+    share = F.col("weight") * F.lit(per)
+    return found.withColumn("target", F.least(share, F.col("full"))).drop("weight", "full")
+
 
+def _thresholds(rows: DataFrame, plan: DataFrame, held) -> DataFrame:
+    """(known, threshold): the hash under which a source's documents hold its ``rest`` of tokens, as near as whole documents come.
 
-def _thresholds(rows: DataFrame, rest: dict[str | None, float]) -> dict[str | None, int]:
-    """For each source the hash under which its documents hold ``rest`` tokens, as near as whole documents come."""
-    spark, done = rows.sparkSession, {s: 0 for s, r in rest.items() if r <= 0}
-    state = {s: (0, r) for s, r in rest.items() if s not in done}  # the prefix of the bucket being refined, the tokens still to take in it
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("prefix", T.LongType()), T.StructField("rest", T.DoubleType())])
+    ``plan`` is (known, rest). The state of the search is a table with a row for each source; ``held`` says how it is joined."""
+    none = F.lit(None).cast("bigint")
+    state = Table(plan.select("known", F.lit(0).cast("bigint").alias("prefix"), "rest", F.when(F.col("rest") <= 0, F.lit(0).cast("bigint")).otherwise(none).alias("threshold")), "state")
     for level in range(1, HASH_BITS // STEP_BITS + 1):
-        if not state:
+        open_ = state.df.filter("threshold is null").select("known", "prefix", "rest")
+        if open_.isEmpty():
             break
-        at = F.broadcast(spark.createDataFrame([(s, p, float(r)) for s, (p, r) in state.items()], schema))  # MAX_SOURCES rows at most
         shift = HASH_BITS - STEP_BITS * level
-        here = rows.join(at, rows.source.eqNullSafe(at.source) & (F.shiftright(rows.hash, shift + STEP_BITS) == at.prefix))
-        bins = here.groupBy(rows.source, F.shiftright("hash", shift).alias("bin"), "rest").agg(F.sum("size").alias("tokens"), F.min("hash").alias("low"), F.max("hash").alias("high"))
-        upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("bin"))
-        crossed = bins.withColumn("upto", upto).filter("upto > rest").groupBy("source", "rest").agg(F.min(F.struct("bin", "upto", "tokens", "low", "high")).alias("x"))
-        found = {r.source: r.x for r in crossed.collect()}
-        after = {}
-        for s, (_, r) in state.items():
-            if s not in found:  # rounding alone can leave a budget that no bucket exceeds
-                done[s] = 1 << HASH_BITS
-                continue
-            x, below = found[s], found[s].upto - found[s].tokens
-            if x.low == x.high:  # one hash: all of it or none, whichever is nearer
-                done[s] = x.low + 1 if x.upto - r < r - below else x.low
-            else:
-                after[s] = (x.bin, r - below)
+        here = rows.withColumn("prefix", F.shiftright("hash", shift + STEP_BITS)).join(held(open_), ["known", "prefix"])
+        bins = here.groupBy("known", F.shiftright("hash", shift).alias("bin"), "rest").agg(F.sum("size").alias("tokens"), F.min("hash").alias("low"), F.max("hash").alias("high"))
+        upto = F.sum("tokens").over(Window.partitionBy("known").orderBy("bin"))
+        crossed = bins.withColumn("upto", upto).filter("upto > rest").groupBy("known").agg(F.min(F.struct("bin", "upto", "tokens", "low", "high")).alias("x"))
+        now, x = state.df.join(crossed, "known", "left"), F.col("x")
+        below = x["upto"] - x["tokens"]
+        one = F.when(x["upto"] - F.col("rest") < F.col("rest") - below, x["low"] + 1).otherwise(x["low"])  # one hash: all of it or none, whichever is nearer
+        # rounding alone can leave a budget that no bucket exceeds
+        threshold = F.when(F.col("threshold").isNotNull(), F.col("threshold")).when(x.isNull(), F.lit(1 << HASH_BITS)).when(x["low"] == x["high"], one)
+        after = Table(now.select("known", F.coalesce(x["bin"], "prefix").alias("prefix"), F.when(x.isNull(), F.col("rest")).otherwise(F.col("rest") - below).alias("rest"), threshold.alias("threshold")), "state")
+        state.drop()
         state = after
-    return done
+    return state.df.select("known", "threshold")
 
 
 def mix(docs: DataFrame, budget: float = 1.5, most: float = 2.0, weights=WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -75,20 +88,17 @@ def mix(docs: DataFrame, budget: float = 1.5, most: float = 2.0, weights=WEIGHTS
     source_size and target are of the row's source; a null source is a source of its own, the last.
     copies is floor(target / source_size), and one more under the source's threshold. Rows of the same
     id and text share a hash and so a fate; a null id hashes as such. Sources without words have target 0
-    and copies 0. An empty table gives an empty table."""
-    spark = docs.sparkSession
+    and copies 0. An empty table gives an empty table. There may be any number of sources: their tables are
+    joined, and broadcast only if they have BROADCAST rows at most."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
     mark = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 64 - HASH_BITS)
-    plain = docs.select(F.struct("*").alias("doc"), F.col(source_col).cast("string").alias("source"), size.alias("size"), mark.alias("hash"))
-    rows = written(plain.select("source", "size", "hash"), "sizes")
-    found = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
-    sizes = {r.source: r.n for r in found}
-    goal = targets(sizes, budget, most, weights) if sizes else {}
-    whole = {s: int(goal[s] // sizes[s]) if sizes[s] else 0 for s in sizes}
-    cut = _thresholds(rows, {s: goal[s] - whole[s] * sizes[s] for s in sizes})
-    schema = "name string, source_size bigint, target double, whole int, threshold bigint"
-    plan = F.broadcast(spark.createDataFrame([(s, sizes[s], float(goal[s]), whole[s], cut[s]) for s in sizes], schema))  # MAX_SOURCES rows at most
+    plain = docs.select(F.struct("*").alias("doc"), _known(F.col(source_col).cast("string")).alias("known"), size.alias("size"), mark.alias("hash"))
+    rows = written(plain.select("known", "size", "hash"), "sizes")
+    sources = targets(rows.groupBy("known").agg(F.sum("size").alias("source_size")), budget, most, weights)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+    plan = written(sources.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "plan")
+    few = plan.count() <= BROADCAST
+    held = F.broadcast if few else (lambda df: df.hint("merge"))
+    cut = written(plan.join(_thresholds(rows, plan, held), "known").select("known", "source_size", "target", "whole", "threshold"), "thresholds")
     copies = F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
-    return plain.join(plan, plain.source.eqNullSafe(plan.name)).select("doc", "size", "source_size", "target", copies.cast("int").alias("copies"))
+    return plain.join(held(cut), "known").select("doc", "size", "source_size", "target", copies.cast("int").alias("copies"))
