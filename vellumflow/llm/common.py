@@ -75,11 +75,41 @@ class Table:
         atexit.unregister(self._at_exit)
 
 
+class Buckets(Table):
+    """A result written in as many buckets of a column as there are shuffle partitions: joins on it move the other side alone.
+
+    The catalog holds its name, the shared folder its files."""
+
+    def __init__(self, df: DataFrame, name: str, key: str):
+        self.spark, self.path, self.name = df.sparkSession, new_path(df.sparkSession, name), f"vellumflow_{name}_{uuid.uuid4().hex}"
+        n = shuffle_partitions(self.spark)
+        df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", self.path).saveAsTable(self.name)
+        self.df = self.spark.table(self.name)
+        atexit.register(self._at_exit)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        super().drop()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` by way of a table in the shared folder."""
     return Table(df, name).df
 
 
+_STATE: dict[str, object] = {}
+
+
+def worker_state(key: str, make):
+    """make(), kept in this worker process under ``key`` until another operator keeps something of its own.
+
+    A worker serves many tasks of many operators, so that it holds what one of them needs, not what all did."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,16 +8,20 @@ none exceeds its capacity. Blocks are independent, so nothing grows with the cor
 
 from __future__ import annotations
 
-import itertools
 import math
+import re
+import unicodedata
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import LOWER, written
+from .common import worker_state, written
 from .differencing import items
 
 WINDOW = 4096
@@ -27,66 +31,95 @@ END = 2
 FINE, LEAST = 16, 4
 #: Pieces that one task packs at once.
 BLOCK = 2048
-#: Words whose ids a worker keeps, and the longest of them in bytes.
-CACHED, CACHED_BYTES = 600_000, 64
+#: Words that a worker keeps the ids of in each of two generations, and the longest of them in characters.
+CACHED, CACHED_LENGTH = 400_000, 64
+#: Bytes of texts that are cut into words at once.
+TEXTS = 1 << 23
+
+
+def _plain_letters() -> str:
+    """Lower-case letters, ASCII and others, that no normaliser changes or joins with what stands around them."""
+    found = [chr(c) for c in (*range(0x61, 0x7B), *range(0xDF, 0x100), *range(0x430, 0x460))]
+    return "".join(c for c in found if c.isalpha() and c.islower() and c.lower() == c and all(unicodedata.normalize(f, c) == c for f in ("NFC", "NFKC")))
 
 
 class WordIds:
     """Ids of texts under a tokenizer that never joins characters across white space, word by word.
 
-    Ids are those of ``encode(text, add_special_tokens=False)``, as little-endian unsigned 32-bit integers.
-    The tokenizer lower-cases, and cuts punctuation off letters, itself; doing so here for ASCII leaves
-    fewer words to encode. These are encoded many at a time, a mark that is a word of its own between them."""
-
-    MARK, STOPS = b"\x01", b".,;:!?"
+    Ids are those of ``encode(text, add_special_tokens=False)``, as little-endian unsigned 32-bit integers. Texts
+    are cut, and their different words told, by Arrow; only these are looked up. A word of plain letters, digits
+    and ASCII punctuation is cut as the tokenizer's own pattern cuts it, and its parts go to the vocabulary at
+    once; any other goes through the whole tokenizer. ``new`` holds the words met lately, ``old`` those before: a
+    word that is asked for again moves up, one that is not is forgotten."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.mark = self._ids(self.MARK)
-        assert len(self.mark) == 1
-
-    def _ids(self, words: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(words.decode(), add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, new: list[bytes]) -> None:
-        for k in range(0, len(new), 1000):
-            some = new[k : k + 1000]
-            ids = self._ids((b" " + self.MARK + b" ").join(some))
-            at, raw = np.nonzero(ids == self.mark[0])[0], ids.tobytes()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(some, [0, *(4 * (at + 1)).tolist()], [*(4 * at).tolist(), len(raw)]))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        self.tokenizer, self.new, self.old, self.parts = Tokenizer.from_file(path), {}, {}, {}
+        letters = _plain_letters()
+        # fixed value: the tokenizer's pattern over these characters
+        self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9]+").findall
+        self.plain = re.compile(rf"[{letters}\x21-\x40\x5b-\x60\x7b-\x7e]*").fullmatch
+        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        # letters as the vocabulary spells them; those of ASCII stand for themselves
+        self.spelt = {ord(c): "".join(t for t, _ in spell(c)) for c in letters if not c.isascii()}
+        self.lookup = self.tokenizer.model.tokenize
+
+    def _word(self, w: str) -> bytes:
+        if "<|" in w or not self.plain(w):  # a special token may be spelt in it
+            return array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+        found, parts = b"", self.parts
+        for part in self.cut(w):
+            ids = parts.get(part)
+            if ids is None:
+                ids = array("I", [t.id for t in self.lookup(part if part.isascii() else part.translate(self.spelt))]).tobytes()
+                if len(part) <= CACHED_LENGTH:
+                    parts[part] = ids
+            found += ids
+        return found
+
+    def words(self, ws: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        if len(self.new) > CACHED:
+            self.new, self.old = {}, self.new
+        if len(self.parts) > CACHED:
+            self.parts = {}
+        new, old = self.new, self.old
+        found = list(map(new.get, ws))
+        for i, ids in enumerate(found):
+            if ids is None:
+                w = ws[i]
+                ids = old.get(w)
+                found[i] = ids = self._word(w) if ids is None else ids
+                if len(w) <= CACHED_LENGTH:
+                    new[w] = ids
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; a null text has none."""
+        texts = texts.fill_null("")
         # special tokens are spelt in lower case, and only so
-        cut = [(x.encode() if "<|" in x else x.encode().translate(LOWER)).split() if x else [] for x in texts]
-        known = self.known
-        if len(known) > CACHED:  # words met first are the frequent ones
-            known = self.known = dict(itertools.islice(known.items(), CACHED // 2))
-        new = set().union(*cut).difference(known)
-        long = [w for w in new if len(w) > CACHED_BYTES or self.MARK in w or b"<|" in w]
-        new.difference_update(long)
-        parts = {}
-        for w in new:
-            stem = w.rstrip(self.STOPS)
-            if stem and stem != w and 97 <= stem[-1] <= 122:
-                parts[w] = stem, w[len(stem) :]
-        new.difference_update(parts)
-        for pair in parts.values():
-            new.update(pair)
-        self._learn(list(new.difference(known)))
-        known.update((w, known[stem] + known[stops]) for w, (stem, stops) in parts.items())
-        if long:  # not worth keeping: for this call alone
-            known = {w: known[w] for ws in cut for w in ws if w in known} | {w: self._ids(w).tobytes() for w in long}
-        return [b"".join(map(known.__getitem__, ws)) for ws in cut]
-
-
-_WORKERS: dict[str, WordIds] = {}
+        low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        cut = pc.ascii_split_whitespace(low)
+        found = cut.flatten().dictionary_encode()
+        ids = pa.array(self.words(found.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(found.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        ends = at[np.concatenate(([0], np.cumsum(cut.value_lengths().to_numpy())))].tolist()
+        raw = ids.buffers()[2].to_pybytes() if len(ids) else b""
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def slices(texts: pa.Array, most: int = TEXTS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``most`` bytes of texts each, a row at least."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(total):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield at, end
+        at = end
 
 
 def word_ids(path: str) -> WordIds:
     """One for each worker process and vocabulary, kept between tasks."""
-    if path not in _WORKERS:
-        _WORKERS[path] = WordIds(path)
-    return _WORKERS[path]
+    return worker_state(f"words {path}", lambda: WordIds(path))
 
 
 def cuts(tokens: int, fine: bool, window: int = WINDOW) -> list[int]:
@@ -106,18 +139,20 @@ def cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         encode = word_ids(tokenizer).encode
+        end = END.to_bytes(4, "little")
         for b in batches:
-            for k in range(0, b.num_rows, 64):
-                part = b.slice(k, 64)
-                rows = []
-                for doc, fine, ids in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), encode(part.column(1).to_pylist())):
-                    ids += END.to_bytes(4, "little")
+            kinds = (b.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            for i, j in slices(b.column(1)):
+                rows, part = [], b.slice(i, j - i)
+                for doc, ids, fine in zip(part.column(0).to_pylist(), encode(part.column(1)), part.column(2).to_pylist()):
+                    ids += end
                     at, n = 0, len(ids) // 4
                     for length in cuts(n, fine, window):
                         rows.append((doc, at, length, ids[4 * at : 4 * (at + length)], n))
                         at += length
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (part.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["id", "start", "length", "ids", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
+    names = ["id", "start", "length", "ids", "doc_tokens"]
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     fine = F.pmod(F.xxhash64(id_col, text_col), F.lit(FINE)) == 0
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), fine.alias("fine")).mapInArrow(run, f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint")
@@ -145,8 +180,8 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     ``pieces`` has id, start and length (1 to window) and whatever other columns. Sequences are filled
     without gaps; sequence ids are distinct but not gapless. Whole windows are sequences as they are, with
     negative ids, and stay where they lie. Pieces with null ids and repeated pieces are
-    packed like others. An empty table gives an empty table."""
-    pieces = written(pieces.withColumn("block", F.xxhash64("id", "start")), "pieces")
+    packed like others: a number of its own spreads each row over the blocks. An empty table gives an empty table."""
+    pieces = written(pieces.withColumn("block", F.xxhash64("id", "start", F.monotonically_increasing_id())), "pieces")
     whole, pieces = pieces.filter(F.col("length") == window), pieces.filter(F.col("length") < window)
     n = max(1, math.ceil(pieces.count() / BLOCK))
 
