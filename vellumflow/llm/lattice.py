@@ -32,7 +32,7 @@ CLASSES = 6
 #: Words that every task looks up itself, and the longest of them in bytes.
 HEAD, HEAD_BYTES = 1 << 18, 64
 #: Rounds of re-estimation, and the weight of the ranks' scores in it, in pieces of text.
-ROUNDS, PRIOR = 2, 20_000.0
+ROUNDS, PRIOR = 4, 200.0
 #: Distinct words a task counts before it passes them on.
 FLUSH = 400_000
 #: Bytes of words that are reckoned many at a time.
@@ -143,27 +143,36 @@ class Lattice:
         return out[:, -1].tolist()
 
     def expect(self, words: list[bytes], seen: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece (columns) for each set of scores (rows), over the words that ``seen`` gives it."""
-        total = np.zeros(self.scores.shape)
-        for some in self._batches(words):
-            ws, here = [words[i] for i in some], seen[some].T
+        """Expected uses of each piece (columns) for each set of scores (rows), over the words that ``seen`` gives it.
+
+        A row of the recursion is a word under one set of scores; most words were seen by one alone."""
+        total, pieces = np.zeros(self.scores.size), self.scores.shape[1]
+        word, own = np.nonzero(seen)
+        weight, flat = seen[word, own].astype(np.float64), self.scores.ravel()
+        words = [words[i] for i in word]
+        for some in self._batches(words) if words else ():
+            ws, here, first = [words[i] for i in some], weight[some], own[some] * pieces
             edges = self.edges(ws)
             if len(ws[-1]) <= LONG:
                 steps = self._steps(edges)
             else:
                 steps = [(i, j, np.array([at]), np.array([p])) for at, i, j, p in edges[np.lexsort((edges[:, 2], edges[:, 1]))].tolist()]
-            f = self.forward(ws, steps)
-            ends = np.array([len(w) + 1 for w in ws])
-            back = np.full(f.shape, -np.inf)
-            back[:, np.arange(len(ws)), ends] = 0.0
-            whole = f[:, np.arange(len(ws)), ends]
+            f = np.full((max(map(len, ws)) + 2, len(ws)), -np.inf)
+            f[0] = 0.0
+            for i, j, at, p in steps:
+                f[j, at] = np.logaddexp(f[j, at], f[i, at] + flat[first[at] + p])
+            ends, row = np.array([len(w) + 1 for w in ws]), np.arange(len(ws))
+            back, whole = np.full(f.shape, -np.inf), f[ends, row]
+            back[ends, row] = 0.0
+            used, parts = [], []
             for i, j, at, p in reversed(steps):
-                x = self.scores[:, p] + back[:, at, j]
-                back[:, at, i] = np.logaddexp(back[:, at, i], x)
-                part = np.exp(f[:, at, i] + x - whole[:, at]) * here[:, at]
-                for c in range(len(total)):
-                    np.add.at(total[c], p, part[c])
-        return total
+                k = first[at] + p
+                x = flat[k] + back[j, at]
+                back[i, at] = np.logaddexp(back[i, at], x)
+                used.append(k)
+                parts.append(np.exp(f[i, at] + x - whole[at]) * here[at])
+            np.add.at(total, np.concatenate(used), np.concatenate(parts))
+        return total.reshape(self.scores.shape)
 
 
 def count_words(docs: DataFrame, classes: list[str | None]) -> DataFrame:
@@ -194,6 +203,18 @@ def count_words(docs: DataFrame, classes: list[str | None]) -> DataFrame:
     return rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in cs])
 
 
+def discounts(n: list[int]) -> list[float]:
+    """What is taken off words seen once, twice, and more often, from how many words were seen 1, 2, 3 and 4 times.
+
+    The estimates of modified Kneser-Ney smoothing, each at least a tenth and less than the count; without
+    words seen 1 and 2 times, half a word."""
+    if not n[0] or not n[1]:
+        return [0.5] * 3
+    y = n[0] / (n[0] + 2 * n[1])
+    found = [m - (m + 1) * y * n[m] / n[m - 1] if n[m - 1] else y for m in (1, 2, 3)]
+    return [min(max(d, 0.1), m - 0.1) for m, d in enumerate(found, 1)]
+
+
 def estimate(counts: DataFrame, k: int, vocabulary_path: str) -> tuple[list[bytes], np.ndarray]:
     """Pieces and their log scores for each class, by expected counts over the distinct training words."""
     sc = counts.sparkSession.sparkContext
@@ -246,14 +267,15 @@ def score(docs: DataFrame, vocabulary_path: str, held_out, id_col: str = "doc_id
     # a word costs far more time than bytes, so the table is cut finer than by bytes
     counts = written(count_words(rows, names).repartition(shuffle_partitions(docs.sparkSession), "word"), "counts")
     cs = [f"c{c}" for c in range(k)]
-    sums = counts.agg(*[F.sum(c).alias(c) for c in cs], *[F.count_if(F.expr(f"{c} > 0")).alias(f"v_{c}") for c in cs], *[F.count_if(F.expr(f"{c} = 1")).alias(f"one_{c}") for c in cs], *[F.count_if(F.expr(f"{c} = 2")).alias(f"two_{c}") for c in cs], F.count_if(F.expr(" + ".join(cs) + " > 0")).alias("v")).first()
+    sums = counts.agg(*[F.sum(c).alias(c) for c in cs], *[F.count_if(F.expr(f"{c} > 0")).alias(f"v_{c}") for c in cs], *[F.count_if(F.expr(f"{c} = {m}")).alias(f"n{m}_{c}") for c in cs for m in (1, 2, 3, 4)], F.count_if(F.expr(" + ".join(cs) + " > 0")).alias("v")).first()
     tokens = [(sums[c] or 0) for c in cs]  # words of each class
     train = sum(tokens) + total_docs
     distinct = sums["v"] + (1 if total_docs else 0)
     divisor = math.log10(train + 0.5 * (distinct + 1))
-    discount = [sums[f"one_{c}"] / (sums[f"one_{c}"] + 2 * sums[f"two_{c}"]) if sums[f"one_{c}"] and sums[f"two_{c}"] else 0.5 for c in cs]
+    taken = np.array([discounts([sums[f"n{m}_{c}"] or 0 for m in (1, 2, 3, 4)]) for c in cs])
     # the share of a class's words that goes to segmentations into subwords
-    free = [d * sums[f"v_{c}"] / n if n else 1.0 for d, c, n in zip(discount, cs, tokens)]
+    off = [d[0] * sums[f"n1_{c}"] + d[1] * sums[f"n2_{c}"] + d[2] * (sums[f"v_{c}"] - sums[f"n1_{c}"] - sums[f"n2_{c}"]) for c, d in zip(cs, taken)]
+    free = [x / n if n else 1.0 for x, n in zip(off, tokens)]
     # words and ends of a class are drawn from one unigram distribution
     ends = [math.log((n + 0.5) / (n + t + 1)) for n, t in zip(sizes, tokens)]
     goes_on = [math.log((t + 0.5) / (n + t + 1)) for n, t in zip(sizes, tokens)]
@@ -267,7 +289,7 @@ def score(docs: DataFrame, vocabulary_path: str, held_out, id_col: str = "doc_id
             seen = np.stack([c.to_numpy() for c in b.columns[1:]], axis=1)
             subword = lattice.log_probabilities(b.column(0).to_pylist()) + np.log(free)
             with np.errstate(divide="ignore"):
-                whole = np.log(np.maximum(seen - np.array(discount), 0) / np.maximum(tokens, 1))
+                whole = np.log(np.maximum(seen - np.where(seen > 0, taken[np.arange(k), np.clip(seen, 1, 3) - 1], 0), 0) / np.maximum(tokens, 1))
             lp = np.logaddexp(subword, whole) + np.array(goes_on)
             yield pa.record_batch([b.column(0), pa.array(seen.sum(1)), pa.array(lp.tolist(), pa.list_(pa.float64()))], ["word", "n_train", "lp"])
 
