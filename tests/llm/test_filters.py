@@ -4,6 +4,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vellumflow.llm import mixing, quality, queries, toxicity, urls
 from vellumflow.llm.common import crc_mod
@@ -62,6 +63,64 @@ def test_toxicity_learns_whole_words(spark):
     assert toxicity.gram_counts({"a" * 1000: 2})["aaaaa"] == 2 * 996
 
 
+def test_toxicity_score_against_brute_force(spark):
+    """The score of every text, from counts and features made anew."""
+    rng = random.Random(14)
+    ordinary, bad = ["table", "river", "house", "green", "walks", "slowly", "bread"], ["scum", "vermin", "trash"]
+    rows = []
+    for i in range(60):
+        ws = [rng.choice(ordinary) for _ in range(rng.randint(3, 40))]
+        for _ in range(rng.randint(1, 4) if i % 3 == 0 else 0):
+            ws.insert(rng.randrange(len(ws)), rng.choice(bad))
+        rows.append((i, " ".join(ws) + "." * (i % 2), int(i % 3 == 0)))
+    rows += [(60, "", 0), (61, "... ,", 0), (62, "Scum scum, SCUM! " + "x" * 700, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    labels = docs.select("doc_id", "toxic")
+    *_, weights, intercept = toxicity.fit(docs, labels)
+
+    def bare(text):
+        return [x for w in text.lower().split() if (x := w.strip(toxicity.PUNCTUATION.decode()))]
+
+    counts = {0: {}, 1: {}}
+    for _, text, t in rows:
+        for w in dict.fromkeys(bare(text)):
+            s = "\x02" * 4 + w + "\x03"
+            for k in range(len(s) - 4):
+                counts[t][s[k : k + 5]] = counts[t].get(s[k : k + 5], 0) + 1
+    shared = toxicity.Shared(set(counts[0]) | set(counts[1]))
+
+    def ratio(w):
+        def of(part):
+            s = "\x02" * 4 + part + "\x03"
+            gs = [s[k : k + 5] for k in range(len(s) - 4)]
+            # contexts that no class has seen tell nothing
+            return sum(np.log(kn_brute(counts[1], shared, g) / kn_brute(counts[0], shared, g)) for g in gs if any(x[:-1] == g[:-1] for c in counts.values() for x in c))
+
+        return of(w) if len(w) <= 256 else max(of(w[k : k + 256]) for k in range(0, len(w), 128))
+
+    got = {r.doc.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    assert weights[0] > 0
+    for i, text, _ in rows:
+        words = bare(text)
+        x = [ratio(w) for w in dict.fromkeys(words)]
+        whole = sum(ratio(w) for w in words) / len(words) if words else 0.0
+        span = max(sum(x[k : k + 8]) / 8 for k in range(max(1, len(x) - 7))) if x else 0.0
+        top = sum(sorted(x)[-4:]) / 4
+        excess = sum(max(v - 1.0, 0) for v in x) / len(x) if x else 0.0
+        want = 1 / (1 + np.exp(-np.clip(np.dot(weights, [whole, span, top, excess]) + intercept, -30, 30)))
+        assert got[i] == pytest.approx(want, abs=1e-9)
+    assert got[0] > got[1] and got[62] > 0.5
+
+
+def test_logistic_keeps_the_whole_text():
+    rng = np.random.default_rng(3)
+    y = (rng.random(400) < 0.3).astype(float)
+    x = np.column_stack((-y + rng.normal(size=400), y + rng.normal(size=400), -y + rng.normal(size=400)))
+    weights, _ = toxicity.logistic(x, y)
+    assert weights[0] == pytest.approx(toxicity.LEAST / (x[:, 0].std() + 1e-9)) and weights[1] > 0 and weights[2] == 0
+    assert toxicity.logistic(x, np.zeros(400)) == ([0.0] * 3, 0.0)
+
+
 def test_toxicity_odd_rows(docs, empty, labels, corpus):
     got = toxicity.score(docs, labels).collect()
     assert len(got) == len(corpus) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
@@ -160,6 +219,14 @@ def test_urls(spark, monkeypatch, bits):
     assert {r.verdict for r in urls.judge(pages, listed.filter("false")).collect()} == {"allow"}
 
 
+def test_urls_hot_key(spark):
+    """One URL in most rows, listed or not."""
+    pages = spark.createDataFrame([(i, "http://a.net/x" if i % 3 else "http://b.com/x", 1) for i in range(4000)], "page_id bigint, url string, hits int")
+    listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    got = urls.judge(pages, listed).groupBy("host", "rule", "verdict").count().collect()
+    assert sorted(map(tuple, got), key=str) == [("a.net", "net/", "block", 2666), ("b.com", None, "allow", 1334)]
+
+
 def test_url_oracle(spark, sf):
     duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM read_parquet('{sf}/pages.parquet')")
     want = sorted(duckdb.sql(queries.OP6_SQL).select("page_id", "host", "path", "rule", "verdict").fetchall())
@@ -167,29 +234,77 @@ def test_url_oracle(spark, sf):
     assert sorted(map(tuple, got)) == want
 
 
-def test_targets():
-    got = mixing.targets({"a": 100, "b": 100, "c": 100, None: 100}, 1.5, 2.0)
-    assert got == {"a": 200.0, "b": pytest.approx(400 * 2 / 8), "c": pytest.approx(400 / 8), None: 200.0} or sum(got.values()) == pytest.approx(600)
-    assert mixing.targets({"a": 10}, 1.5, 2.0) == {"a": 15.0}
-    got = mixing.targets({"b": 1, "a": 1000, "\U0001f600": 5, "Z": 0}, 1.5, 2.0)
-    assert got["Z"] == 0 and all(t <= 2 * s + 1e-9 for t, s in zip((got[k] for k in ("b", "a", "\U0001f600")), (1, 1000, 5))) and sum(got.values()) == pytest.approx(1.5 * 1006)
-
-
-def test_mix(docs, empty, corpus):
-    rows = mixing.mix(docs).collect()
-    assert len(rows) == len(corpus) and sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs).collect()))
+def brute_targets(sizes, budget, most, weights=(5, 2, 1)):
+    """Fill sources by weight in small steps of the level, found by bisection."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    low, high = 0.0, 1e12
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(weight[s] * level, most * n) for s, n in sizes.items()) < budget * sum(sizes.values()):
+            low = level
+        else:
+            high = level
+    return {s: min(weight[s] * low, most * n) for s, n in sizes.items()}
+
+
+@pytest.mark.parametrize("sizes, budget", [
+    ({"a": 100, "b": 100, "c": 100, None: 100}, 1.5), ({"a": 10}, 1.5), ({"b": 1, "a": 1000, "\U0001f600": 5, "Z": 0, "\uffff": 7}, 1.5), ({"a": 0, None: 0}, 1.5), ({"a": 3, "b": 4}, 2.5),
+])
+def test_targets(spark, sizes, budget):
+    rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size bigint")
+    got = mixing.targets(rows.select(mixing._known(rows.source).alias("known"), "source_size"), budget, 2.0).collect()
+    want = brute_targets(sizes, budget, 2.0)
+    assert {r.known: r.target for r in got} == pytest.approx({"1" if s is None else "0" + s: t for s, t in want.items()})
+
+
+def brute_taken(rows, goal):
+    """Whole copies of all, and of the rest those of the smallest hashes, equal hashes together, until the target is nearest."""
+    total = sum(n for n, _ in rows)
+    whole, rest = (int(goal // total), goal % total) if total else (0, 0)
+    taken, best = 0, 0
+    for h in sorted({h for _, h in rows}):
+        more = taken + sum(n for n, x in rows if x == h)
+        if more > rest:
+            best = more if more - rest < rest - taken else taken
+            break
+        best = taken = more
+    return whole * total + best
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_mix(docs, empty, corpus, monkeypatch, few):
+    monkeypatch.setattr(mixing, "BROADCAST", few)
+    rows = mixing.mix(docs).withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc.doc_id", "doc.text"), 4)).collect()
+    assert len(rows) == len(corpus) and sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs).withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc.doc_id", "doc.text"), 4)).collect()))
     sizes: dict = {}
     for r in rows:
         assert r.size == len((r.doc.text or "").encode().split())
         sizes.setdefault(r.doc.source, []).append(r)
-    goal = mixing.targets({s: sum(r.size for r in rs) for s, rs in sizes.items()}, 1.5, 2.0)
+    goal = brute_targets({s: sum(r.size for r in rs) for s, rs in sizes.items()}, 1.5, 2.0)
     for s, rs in sizes.items():
-        taken, total = sum(r.size * r.copies for r in rs), sum(r.size for r in rs)
+        total = sum(r.size for r in rs)
         assert all(r.source_size == total and r.target == pytest.approx(goal[s]) and 0 <= r.copies <= 2 for r in rs)
-        assert abs(taken - goal[s]) <= max(r.size for r in rs)
+        assert sum(r.size * r.copies for r in rs) == brute_taken([(r.size, r.hash) for r in rs], rs[0].target)
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_clashing_names_and_many_sources(spark):
+    rows = [(i, "w " * (i % 4), f"s{i % 400}", "x", "y", 1.0, 2) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, known string, doc string, target double, rank int")
+    got = mixing.mix(docs)
+    assert got.select("doc.*").columns == docs.columns and got.count() == 1200
+    by = got.groupBy("doc.source").agg(F.max("target").alias("t"), F.max("source_size").alias("n")).collect()
+    assert {r.source: r.t for r in by} == pytest.approx(brute_targets({r.source: r.n for r in by}, 1.5, 2.0))
+
+
+def test_mix_hot_key(spark):
+    """Rows that repeat one id and text share a fate, and count each."""
+    docs = spark.createDataFrame([(1, "a b c", "hot")] * 3000 + [(i, "a b", "cold") for i in range(30)], "doc_id bigint, text string, source string")
+    got = mixing.mix(docs).groupBy("doc.source").agg(F.countDistinct("copies").alias("k"), F.sum("size").alias("n"), F.max("source_size").alias("m")).collect()
+    assert {r.source: (r.n, r.m) for r in got} == {"hot": (9000, 9000), "cold": (60, 60)} and all(r.k == 1 for r in got if r.source == "hot")
+
+
 def test_mix_is_near_and_nested(spark):
     rows = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{i % 3}") for i in range(3000)], "doc_id bigint, text string, source string")
     one, two = ({r.doc.doc_id: r.copies for r in mixing.mix(rows, budget=b).collect()} for b in (0.5, 0.7))

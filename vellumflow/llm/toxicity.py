@@ -3,11 +3,12 @@
 Both models run over the characters of words, five at a time. A class keeps discounted counts of its own
 for the longest context only; what it discounts goes to Kneser-Ney models of shorter contexts whose
 continuation counts come from both classes together, so an expression that is rare in one class is
-smoothed by what is known of it anywhere, and contexts that no class has seen tell nothing. Of a text, the
-different words in order of appearance are scored, so repeating a word does not raise the score. Three
-means of their log-likelihood ratios decide: the highest of SPAN neighbours, that of the TOP highest words,
-and that of all words' excess over MILD. A few toxic words stand out in a long text, and many mild ones add
-up. A logistic curve fitted on labelled documents that the models have not seen turns these into 0 to 1.
+smoothed by what is known of it anywhere, and contexts that no class has seen tell nothing. The score rests on
+the log-likelihood of the whole text under the toxic model less that under the ordinary one, both divided by
+its number of words. Beside this mean stand three of the same ratios over the different words in order of
+appearance, as a few toxic words are lost in the mean of a long text: the highest of SPAN neighbours, that of
+the TOP highest words, and that of all words' excess over MILD. A logistic curve fitted on labelled documents
+that the models have not seen turns them into 0 to 1.
 
 Everything learnt is learnt from SAMPLE labelled documents of each class at most, those whose ids have
 the smallest hashes. For the curve, models of one half score the other half."""
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, carried, crc_mod
+from .common import LOWER, carried, crc_mod, worker_state
 
 ORDER = 5
 #: Labelled documents of each class that are learnt from, at most.
@@ -33,17 +34,21 @@ SAMPLE = 8000
 SPAN, PIECE = 8, 256
 #: Words whose highest ratios are averaged, and the ratio from which a word speaks for toxicity.
 TOP, MILD = 4, 1.0
+#: Least weight of the whole text's ratio, in its standard deviations.
+LEAST = 0.1
 #: Score from which a document is predicted toxic.
 CUT = 0.7
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 START, STOP = "\x02", "\x03"
 
 
-def expressions(text: str | None) -> dict[str, None]:
-    """The different words of a text in order, A-Z lower-cased, without ASCII punctuation around them."""
-    ws = dict.fromkeys(text.encode().translate(LOWER).split()) if text else {}
-    found = dict.fromkeys(w.strip(PUNCTUATION) for w in ws)
-    return dict.fromkeys(x.decode(errors="replace") for x in found if x)
+def expressions(text: str | None) -> dict[str, int]:
+    """How often the different words of a text stand in it, in order, A-Z lower-cased, without ASCII punctuation around them."""
+    found: dict[bytes, int] = {}
+    for w, n in Counter(text.encode().translate(LOWER).split() if text else ()).items():
+        if x := w.strip(PUNCTUATION):
+            found[x] = found.get(x, 0) + n
+    return {x.decode(errors="replace"): n for x, n in found.items()}
 
 
 def each_gram(word: str) -> Iterator[str]:
@@ -125,12 +130,15 @@ class Model:
         seen, contexts = self.seen, self.contexts
         return sum(seen[g] if g in seen else contexts.get(g[:-1], 0.0) for g in grams(w))
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """The three means; texts of fewer words are filled up with ratios of 0, and an empty one has 0 for all."""
+    def features(self, text: str | None) -> tuple[float, float, float, float]:
+        """The whole text's mean ratio, repeats included, and the three means of different words.
+
+        Texts of fewer words are filled up with ratios of 0 in the latter, and an empty one has 0 for all."""
         if len(self.words) > 500_000:
             self.words.clear()
         known, got = self.words, []
-        for w in expressions(text):
+        counts = expressions(text)
+        for w in counts:
             r = known.get(w)
             if r is None:
                 r = self.word(w) if len(w) <= PIECE else max(self.word(w[k : k + PIECE]) for k in range(0, len(w), PIECE // 2))
@@ -138,39 +146,47 @@ class Model:
                     known[w] = r
             got.append(r)
         if not got:
-            return 0.0, 0.0, 0.0
-        x = np.array(got)
+            return 0.0, 0.0, 0.0, 0.0
+        x, n = np.array(got), np.fromiter(counts.values(), np.float64, len(got))
         sums, m = np.concatenate(([0.0], np.cumsum(x))), min(SPAN, len(x))
         top = np.partition(x, len(x) - TOP)[-TOP:] if len(x) > TOP else x
-        return float((sums[m:] - sums[:-m]).max() / SPAN), float(top.sum() / TOP), float(np.maximum(x - MILD, 0).mean())
+        return float(x @ n / n.sum()), float((sums[m:] - sums[:-m]).max() / SPAN), float(top.sum() / TOP), float(np.maximum(x - MILD, 0).mean())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.002) -> tuple[list[float], float]:
     """Weights and intercept of a ridge-penalised logistic curve, classes weighing alike; the penalty is on standardised features.
 
-    A higher ratio never speaks against toxicity: features whose weight turns out negative are left out, one by one."""
-    use = list(range(x.shape[1]))
-    while True:
-        weights, intercept = _fitted(x[:, use], y, ridge)
-        if not use or min(weights) >= 0:
-            return [dict(zip(use, weights)).get(i, 0.0) for i in range(x.shape[1])], intercept
-        del use[int(np.argmin(weights))]
-
-
-def _fitted(x: np.ndarray, y: np.ndarray, ridge: float) -> tuple[list[float], float]:
+    A higher ratio never speaks against toxicity. The first feature has the standardised weight LEAST at least;
+    others whose weight turns out negative are left out, one by one."""
     if not (y == 1).any() or not (y == 0).any():
         return [0.0] * x.shape[1], 0.0
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    design, w = np.column_stack(((x - mean) / scale, np.ones(len(x)))), np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
-    beta, penalty = np.zeros(design.shape[1]), ridge * len(x)
+    z, use, fixed = (x - mean) / scale, list(range(x.shape[1])), 0.0
+    while True:
+        weights, intercept = _fitted(z[:, use], y, ridge, fixed * z[:, 0])
+        by = dict(zip(use, weights))
+        if by.get(0, LEAST) < LEAST:
+            fixed = LEAST
+            use.remove(0)
+        elif min((w for i, w in by.items() if i), default=0.0) < 0:
+            use.remove(min((w, i) for i, w in by.items() if i)[1])
+        else:
+            break
+    found = np.array([by.get(i, 0.0) + (fixed if i == 0 else 0.0) for i in range(x.shape[1])]) / scale
+    return found.tolist(), float(intercept - found @ mean)
+
+
+def _fitted(z: np.ndarray, y: np.ndarray, ridge: float, offset: np.ndarray) -> tuple[list[float], float]:
+    """Newton's method on standardised features, ``offset`` added to what they make."""
+    design, w = np.column_stack((z, np.ones(len(z)))), np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
+    beta, penalty = np.zeros(design.shape[1]), ridge * len(z)
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(design @ beta + offset, -30, 30)))
         step = np.linalg.solve((design * (w * (p * (1 - p) + 1e-9))[:, None]).T @ design + penalty * np.eye(len(beta)), design.T @ (w * (y - p)) - penalty * beta)
         beta += step
         if np.abs(step).max() < 1e-9:
             break
-    weights = beta[:-1] / scale
-    return weights.tolist(), float(beta[-1] - weights @ mean)
+    return beta[:-1].tolist(), float(beta[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn=None):
@@ -202,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         counts[s, toxic][g] = n
     both = [Counter(counts[0, toxic]) + Counter(counts[1, toxic]) for toxic in (0, 1)]
     if not both[0] or not both[1]:
-        return {}, {}, [0.0] * 3, -30.0
+        return {}, {}, [0.0] * 4, -30.0
     whole = ratios(both[1], both[0])
     # a half without one of the classes makes no models; the whole's stand in
     halves = docs.sparkSession.sparkContext.broadcast([ratios(counts[s, 1], counts[s, 0]) if counts[s, 1] and counts[s, 0] else whole for s in (0, 1)])
@@ -214,10 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
     unseen = rows.mapInArrow(features, "x array<double>, y int").toPandas()  # bounded by the sample
-    return *whole, *logistic(np.array(unseen.x.tolist(), float).reshape(-1, 3), unseen.y.to_numpy(float))
-
-
-_WORKERS: dict[str, Model] = {}
+    return *whole, *logistic(np.array(unseen.x.tolist(), float).reshape(-1, 4), unseen.y.to_numpy(float))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn=None, keep: list[str] | None = None) -> DataFrame:
@@ -232,12 +245,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     number = uuid.uuid4().hex
 
     def run(batches):
-        if number not in _WORKERS:
-            _WORKERS.clear()
-            _WORKERS[number] = Model(*held.value)
-        features = _WORKERS[number].features
+        features = worker_state(f"toxicity {number}", lambda: Model(*held.value)).features
         for b in batches:
-            x = np.array([features(t) for t in texts(b)], float).reshape(-1, 3)
+            x = np.array([features(t) for t in texts(b)], float).reshape(-1, 4)
             s = 1 / (1 + np.exp(-np.clip(x @ np.array(weights) + intercept, -30, 30)))
             yield pa.record_batch([b.column(0), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc", "score", "predicted"])
 
