@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow.compute as pc
@@ -54,6 +55,19 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> Callable[[], None]:
+    """Have a folder removed when the driver ends, whose results are read until then; the function that does so."""
+
+    def remove() -> None:
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            pass
+
+    atexit.register(remove)
+    return remove
+
+
 class Table:
     """A result written to the shared folder: its lineage ends there, and losing executors loses nothing."""
 
@@ -62,13 +76,7 @@ class Table:
         schema = df.schema
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
-        atexit.register(self._at_exit)
-
-    def _at_exit(self) -> None:
-        try:
-            delete(self.spark, self.path)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            pass
+        self._at_exit = delete_at_exit(self.spark, self.path)
 
     def drop(self) -> None:
         delete(self.spark, self.path)
@@ -85,7 +93,7 @@ class Buckets(Table):
         n = shuffle_partitions(self.spark)
         df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", self.path).saveAsTable(self.name)
         self.df = self.spark.table(self.name)
-        atexit.register(self._at_exit)
+        self._at_exit = delete_at_exit(self.spark, self.path)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

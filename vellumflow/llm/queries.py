@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embeddings, lattice, mixing, packing, quality, sharding, simhash, toxicity, urls, warc
-from .common import crc_mod
+from .common import crc_mod, delete_at_exit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,7 @@ FROM p LEFT JOIN fits USING (host, path)
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write(table(spark, sf_dir, "pages"))
+    delete_at_exit(spark, path)  # the result is read from the archives
     return warc.pages_of(warc.read(spark, path)).withColumnRenamed("id", "page_id")
 
 

@@ -16,6 +16,7 @@ import posixpath
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -58,12 +59,12 @@ def record(page, url, html, sha1, top) -> bytes:
     body = (html or "").encode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
     revisit = top is not None and top != page
-    headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<{URN}{'' if page is None else page}>"), ("WARC-Date", DATE)]
+    headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<{URN}{'' if page is None else quote(str(page), safe='')}>"), ("WARC-Date", DATE)]
     if url is not None:
         headers.append(("WARC-Target-URI", "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in url)))
     headers += [("WARC-Payload-Digest", "sha1:" + base32(bytes.fromhex(sha1))), ("Content-Type", "application/http;msgtype=response")]
     if revisit:
-        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{URN}{top}>")]
+        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{URN}{quote(str(top), safe='')}>")]
     return member(headers, http if revisit else http + body)
 
 
@@ -208,10 +209,10 @@ def sha1_base32(payloads) -> list[str]:
     return [base32(hashlib.sha1(x).digest()) for x in payloads]
 
 
-def pages_of(found: DataFrame) -> DataFrame:
+def pages_of(found: DataFrame, id_type: str = "bigint") -> DataFrame:
     """(id, payload_bytes, payload_digest, record_type, refers_to) of the page records that ``read`` found.
 
-    A response whose payload does not have the digest that its header names raises an error."""
+    Ids come back as ``id_type``: what does not fit it, and an empty one, is null. A response whose payload does not have the digest that its header names raises an error."""
     h = F.col("headers")
     named = F.regexp_extract(h["warc-payload-digest"], r"^sha1:(.*)$", 1)
     revisit = h["warc-type"] == "revisit"
@@ -224,7 +225,7 @@ def pages_of(found: DataFrame) -> DataFrame:
         return pd.Series(sha1_base32(payloads))
 
     checked = F.when(revisit | (digest("payload") == named), named).otherwise(F.raise_error(F.concat(F.lit("payload and digest differ in "), "file", F.lit(" at "), F.col("offset").cast("string"))))
-    page = lambda c: F.regexp_extract(c, rf"^<{URN}(.*)>$", 1).try_cast("bigint")
+    page = lambda c: F.nullif(F.url_decode(F.regexp_extract(c, rf"^<{URN}(.*)>$", 1)), F.lit("")).try_cast(id_type)
     return found.filter(h["warc-type"].isin("response", "revisit")).select(
         page(h["warc-record-id"]).alias("id"),
         F.when(revisit, length.try_cast("bigint")).otherwise(F.octet_length("payload").cast("bigint")).alias("payload_bytes"),
