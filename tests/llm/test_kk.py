@@ -2,8 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vellumflow.llm import packing, sharding
@@ -31,6 +33,50 @@ def test_differencing_is_a_partition():
     assert sums.max() - sums.min() <= 5
 
 
+def plain_differencing(sizes, k):
+    """Slot sums of Karmarkar-Karp differencing, by lists and a full search for the two largest spreads."""
+    parts = [sorted([(s, [i])] + [(0, [])] * (k - 1), key=lambda p: -p[0]) for i, s in enumerate(sizes)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1][0] - p[0][0])
+        a, b, *rest = parts
+        parts = [*rest, sorted([(x + y, m + n) for (x, m), (y, n) in zip(a, reversed(b))], key=lambda p: -p[0])]
+    return parts[0]
+
+
+def test_differencing_against_brute_force():
+    rng = random.Random(3)
+    for n, k in ((1, 2), (7, 2), (9, 4), (25, 3), (40, 8)):
+        sizes = rng.sample(range(1, 10**9), n)  # no ties, so there is one right answer
+        want, put = plain_differencing(sizes, k), items(np.array(sizes), k)
+        got = sorted((sum(sizes[i] for i in range(n) if put[i] == s), sorted(i for i in range(n) if put[i] == s)) for s in range(k))
+        assert got == sorted((total, sorted(members)) for total, members in want)
+
+
+def test_windows_against_brute_force():
+    """As many windows as the tokens need, and one more until none overflows."""
+    rng = random.Random(4)
+    for window in (100, 1000):
+        lengths = rng.sample(range(1, window), 60) + [window] * 3
+        rest, n = lengths[:60], -(-sum(lengths[:60]) // window)
+        while max(total for total, _ in plain_differencing(rest, n)) > window:
+            n += 1
+        put = packing.windows(np.array(lengths), window)
+        loads = sorted(np.bincount(put, lengths).astype(int).tolist())
+        assert loads == sorted([total for total, _ in plain_differencing(rest, n)] + [window] * 3)
+
+
+def test_rows_that_repeat_are_spread(spark):
+    """One document in most rows: its pieces fill many blocks, its rows many buckets."""
+    rows = [(7, 0, 5)] * 9000 + [(None, 0, 3)] * 3000
+    got = packing.pack(spark.createDataFrame(rows, "id bigint, start bigint, length bigint")).select("id", "length", "offset", F.expr("sequence_id div 4294967296").alias("block")).collect()
+    assert sorted(((r.id, r.length) for r in got), key=str) == sorted(((i, n) for i, _, n in rows), key=str)
+    sizes = [sum(r.block == b for r in got) for b in {r.block for r in got}]
+    assert len(sizes) == 6 and max(sizes) < 2 * min(sizes)
+    docs = spark.createDataFrame([(7, "same")] * 3000, "doc_id bigint, text string")
+    shards = sharding.shard(docs, 4).collect()
+    assert len({r.shard for r in shards}) == 1 and sorted(r.slot for r in shards) == list(range(3000))
+
+
 @pytest.mark.parametrize("block", [4096, 7])
 def test_shard(docs, corpus, monkeypatch, block):
     monkeypatch.setattr(sharding, "BLOCK", block)
@@ -63,7 +109,7 @@ def test_word_ids_are_the_tokenizers():
     rng, t, w = random.Random(9), Tokenizer.from_file(PATH), packing.WordIds(PATH)
     letters = [*"abzIİıKéÉßΣσς'sdtll.,;:!?\u0301\u0307 \n\t\x1c\x85\xa0\u2003\u200d漢字😀1234\x01<|>&%…", "<|endoftext|>", "<|STARTOFTEXT|>", "don't", "I'M", "word,", "x" * 70]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + ["", None]
-    got = [x for k in range(0, len(texts), 50) for x in w.encode(texts[k : k + 50])]
+    got = [x for k in range(0, len(texts), 50) for x in w.encode(pa.array(texts[k : k + 50]))]
     assert got == [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 

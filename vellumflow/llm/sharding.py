@@ -61,9 +61,10 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
         level = _joined(parts, shards).select(F.col("block").alias("top"), F.col("slot").alias("shard"), "up", "up_slot")
         place = written(place.join(level, ["top", "shard"]).select("block", "slot", F.col("up").alias("top"), F.col("up_slot").alias("shard"), "bytes"), "level")
     put = dealt.join(place.select("block", "slot", "shard"), ["block", "slot"]).select("g", "size", "crc", "shard")
-    found = written(rows.join(put, ["g", "size", "crc"]).select("id", "size", F.col("crc").alias("text_crc32"), F.col("shard").cast("int").alias("shard"), "g"), "shards")
+    found = written(rows.join(put, ["g", "size", "crc"]).select("id", "size", F.col("crc").alias("text_crc32"), F.col("shard").cast("int").alias("shard"), F.xxhash64("id", "g", F.monotonically_increasing_id()).alias("lot")), "shards")
     buckets = max(shuffle_partitions(docs.sparkSession), math.ceil(found.count() / (shards * NUMBERED)))
-    found = found.withColumn("bucket", F.pmod(F.xxhash64("id", "g"), F.lit(buckets)))
+    # rows that repeat an id and a text are spread as well
+    found = found.withColumn("bucket", F.pmod("lot", F.lit(buckets))).drop("lot")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = found.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     number = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("id", "text_crc32"))
