@@ -91,7 +91,7 @@ def test_near_copies_against_brute_force(docs, corpus):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def same_groups(spark, texts):
+def same_groups(spark, texts, **settings):
     sets = [shingles(t) for t in texts]
     at, jac = {}, np.zeros((len(texts), len(texts)), int)
     for i, x in enumerate(sets):
@@ -102,7 +102,7 @@ def same_groups(spark, texts):
     n = jac.diagonal()
     label = roots(len(texts), *np.nonzero(jac >= 0.8 * (n[:, None] + n[None, :] - jac)))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = sorted(r.doc_id for r in simhash.near_copies(docs).collect())
+    got = sorted(r.doc_id for r in simhash.near_copies(docs, **settings).collect())
     assert got == sorted({int(x) for x in label})
     return len(got)
 
@@ -112,6 +112,49 @@ def family(rng, base, rows, own):
     return [" ".join(base[:50] + [f"w{rng.getrandbits(40)}" for _ in range(own)] + base[50 + own :]) for _ in range(rows)]
 
 
+def test_parity_bounds_from_below():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 3, 40, 700, 5000):
+        for m in (1, 30, 900):
+            both = np.unique(rng.integers(0, 2**63, n + 2 * m).astype(np.uint64))
+            x, y = both[: n + m], np.concatenate((both[:n], both[n + m :]))
+            least = simhash.apart(simhash.parity(x), simhash.parity(y))
+            assert least <= len(np.setxor1d(x, y)) and least == simhash.apart(simhash.parity(y), simhash.parity(x))
+    assert simhash.apart(simhash.parity(both), simhash.parity(both)) == 0
+    # sets far apart are told so
+    x, y = (np.unique(rng.integers(0, 2**63, 500).astype(np.uint64)) for _ in range(2))
+    assert simhash.apart(simhash.parity(x), simhash.parity(y)) > 0.2 / 1.8 * 1000
+
+
+def test_packed_hashes():
+    x = np.unique(np.random.default_rng(9).integers(0, 2**63, 100).astype(np.uint64)) | np.uint64(1 << 63)
+    packed = x.view(np.uint8).reshape(-1, 8)[:, 8 - simhash.KEPT :].tobytes()
+    assert (simhash.unpacked(packed) == x >> np.uint64(24)).all() and len(simhash.unpacked(b"")) == 0
+
+
+@pytest.mark.parametrize("cell", [4096, 16])
+def test_cells_lose_no_pair(spark, cell):
+    """Tokens with more rows than a cell: every pair of different labels that may link is met, none is missed."""
+    rng, draw = random.Random(12), np.random.default_rng(12)
+    bases = [draw.integers(0, 2**63, 130).astype(np.uint64) for _ in range(4)]
+    rows, sets = [], {}
+    for t, m in ((1, 300), (2, 90), (3, 5), (4, 1)):
+        for k in range(m):
+            own = np.unique(np.concatenate((bases[k % 4][: 100 + rng.randint(0, 30)], draw.integers(0, 2**63, rng.randint(0, 12)).astype(np.uint64))))
+            name = 1000 * t + k
+            sets[name] = own
+            sign = simhash.folded(np.frombuffer(simhash.parity(own), np.uint8), simhash.SIGN // 8).tobytes()
+            rows.append((t, t == 1, rng.choice([0, 0, 0, 0, t, k]), name, len(own), rng.randint(0, 20), sign))
+    df = spark.createDataFrame(rows, "token bigint, hot boolean, label bigint, name bigint, n int, pos int, sign binary")
+    dealt = simhash.cells(df, cell)
+    assert cell == 4096 or dealt.groupBy("cell").count().agg({"count": "max"}).first()[0] < 6 * cell
+    met = dealt.repartition(3, "cell").sortWithinPartitions("cell").mapInArrow(lambda it: simhash.crossings(it, 0.8), "a bigint, b bigint")
+    got = {(r.a, r.b) for r in met.collect()}
+    meet = {(max(x[3], y[3]), min(x[3], y[3])) for x in rows for y in rows if x[0] == y[0] and x[2] != y[2] and simhash.may_link(x[4], x[5], y[4], y[5], 0.8)}
+    assert got <= meet and all(simhash.jaccard(sets[a], sets[b]) < 0.8 for a, b in meet - got)
+    assert len(got) < 0.5 * len(meet)
+
+
 def test_template_does_not_hide_near_copies(spark):
     """Texts of one template that are no copies crowd around pairs that are."""
     rng = random.Random(3)
@@ -123,7 +166,7 @@ def test_template_does_not_hide_near_copies(spark):
         ws[250:255] = [f"v{rng.getrandbits(40)}" for _ in range(5)]
         texts.append(" ".join(ws))
     rng.shuffle(texts)
-    assert same_groups(spark, texts) == 400
+    assert same_groups(spark, texts) == 400 == same_groups(spark, texts, cell=32)
 
 
 def test_large_family(spark):
@@ -165,6 +208,14 @@ def test_all_pairs_at_the_limit_are_met(spark):
     assert same_groups(spark, texts) == 600
 
 
+def test_text_hashes_that_clash(spark, monkeypatch):
+    """Texts of one 64-bit hash are no copies: each stays, its exact copies go."""
+    real = simhash.F.xxhash64
+    monkeypatch.setattr(simhash.F, "xxhash64", lambda *c: simhash.F.lit(7).cast("bigint") if len(c) == 1 and not isinstance(c[0], str) else real(*c))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "u v w x y z"), (3, "a b c d e f"), (4, None)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.near_copies(docs).collect()) == [1, 2, 4]
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 160)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(60)]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_words, roots, shuffle_partitions, written
+from .common import Buckets, Table, lower_words, roots, shuffle_partitions, written
 from .components import components
 
 SEED = 42
@@ -216,12 +216,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(place, rows.fingerprint == place.fp).select("id", "fingerprint", "component")
 
 
-#: Buckets by which it is told how frequent a shingle is, and rows of a written part of the counts.
+#: Buckets by which it is told how frequent a shingle is, and how many of them one written row holds.
 BUCKETS, PART = 1 << 18, 1 << 10
-#: Rounds in which each text is held against one other that it shares a rare shingle with, before all pairs are.
-STARS = 2
-#: Texts of a shingle that are compared by steps; larger groups are compared row by row.
-STEPS = 512
+#: Shingles of buckets from this frequency on, and from so many times the mean, are spread before they are grouped.
+HOT, HOT_TIMES, SPREAD = 4096, 8, 1024
+#: Texts are held each against one other in rounds, as long as this share of them prove near.
+FRUITFUL = 0.05
+#: Texts of a shingle that are compared by steps, and the most that one task compares at once.
+STEPS, CELL = 512, 4096
+#: Bits of the parities that all texts have alike.
+SIGN = 1024
+#: Pairs of one text that are verified together.
+CHUNK = 1024
+#: Bytes of a hash that travel, its highest: 40 bits tell the shingles of two texts apart.
+KEPT = 5
 #: Room for rounding where a bound is reckoned in floating point.
 ROUND = 1e-6
 
@@ -232,17 +240,49 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
 
 
-def frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
-    """In how many texts the shingles of each bucket of hashes stand."""
+def parity(hashes: np.ndarray) -> bytes:
+    """Whether an odd number of a set's hashes falls on each of SIGN bits, or on at least twice as many as there are hashes."""
+    bits = max(SIGN, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else SIGN
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """A parity over fewer bits, ``size`` bytes: halves fall on one another."""
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
 
-    def count(batches):
+def apart(x: bytes, y: bytes) -> int:
+    """The least number of elements that two sets with these parities do not share: each odd bit of the two together is one."""
+    a, b, size = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), min(len(x), len(y))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+
+
+def survey(texts: DataFrame, shingle: int) -> Table:
+    """One table of two kinds of rows: (part, counts), how often the shingles of a part of the buckets stand in a task's
+    texts, and (text_key, n, parity, sign), the size and parity of each text's shingle set, the latter over SIGN bits too."""
+
+    def run(batches):
         found = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                np.add.at(found, shingle_set(text, shingle) & np.uint64(BUCKETS - 1), 1)
+            sets = [shingle_set(x, shingle) for x in b.column(1).to_pylist()]
+            for s in sets:
+                np.add.at(found, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+            m, odd = len(sets), [parity(s) for s in sets]
+            signs = [folded(np.frombuffer(x, np.uint8), SIGN // 8).tobytes() for x in odd]
+            yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(odd, pa.binary()), pa.array(signs, pa.binary())], names)
         parts = found.reshape(-1, PART)
         at = np.nonzero(parts.any(1))[0]
-        yield pa.record_batch([pa.array(at), pa.array([parts[k].tobytes() for k in at], pa.binary())], ["part", "counts"])
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array([parts[k].tobytes() for k in at], pa.binary()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), *[pa.nulls(len(at), pa.binary())] * 2], names)
+
+    names = ["part", "counts", "text_key", "n", "parity", "sign"]
+    return Table(texts.select("text_key", "text").mapInArrow(run, "part bigint, counts binary, text_key bigint, n int, parity binary, sign binary"), "survey")
+
+
+def frequencies(surveyed: DataFrame) -> np.ndarray:
+    """In how many texts the shingles of each bucket of hashes stand."""
 
     def add(batches):
         sums = {}
@@ -251,19 +291,20 @@ def frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
                 sums[k] = sums.get(k, 0) + np.frombuffer(x, np.int64)
         yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
 
-    schema, found = "part bigint, counts binary", np.zeros((BUCKETS // PART, PART), np.int64)
-    for r in texts.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():  # BUCKETS counts
+    found = np.zeros((BUCKETS // PART, PART), np.int64)
+    for r in surveyed.filter("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part bigint, counts binary").collect():  # BUCKETS counts
         found[r.part] = np.frombuffer(r.counts, np.int64)
     return found.ravel()
 
 
-def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(token, name, n, pos): the rarest of each text's n different shingles, so many that near texts share one.
+def prefixes(texts: DataFrame, often: np.ndarray, shingle: int, similarity: float) -> DataFrame:
+    """(token, hot, name, n, pos): the rarest of each text's n different shingles, so many that near texts share one.
 
     All texts order their shingles alike, by their bucket's frequency and then by hash; pos is the place
     there. Two sets of that similarity have their first common shingle among these of both. The order
-    decides how many pairs are met in vain, never which are found."""
-    held = texts.sparkSession.sparkContext.broadcast(frequencies(texts, shingle))
+    decides how many pairs are met in vain, never which are found. hot tells tokens of very frequent buckets."""
+    held = texts.sparkSession.sparkContext.broadcast(often)
+    warm = max(HOT, HOT_TIMES * float(often.mean()))
 
     def run(batches):
         often = held.value
@@ -272,10 +313,11 @@ def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingle_set(text, shingle)
                 n = len(s)
-                order = np.lexsort((s, often[s & np.uint64(BUCKETS - 1)]))[: n - math.ceil(similarity * n - ROUND) + 1]
-                token = s[order].view(np.int64) if n else np.zeros(1, np.int64)  # texts without words meet under 0
+                count = often[s & np.uint64(BUCKETS - 1)]
+                order = np.lexsort((s, count))[: n - math.ceil(similarity * n - ROUND) + 1]
+                token, hot = (s[order].view(np.int64), count[order] >= warm) if n else (np.zeros(1, np.int64), np.ones(1, bool))  # texts without words meet under 0
                 m = len(token)
-                rows.append((token, np.full(m, name), np.full(m, n), np.arange(m)))
+                rows.append((token, hot, np.full(m, name), np.full(m, n), np.arange(m)))
                 size += m
                 if size > 1 << 17:
                     yield pa.record_batch([pa.array(np.concatenate(c), t) for c, t in zip(zip(*rows), types)], names)
@@ -283,8 +325,16 @@ def prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
             if rows:
                 yield pa.record_batch([pa.array(np.concatenate(c), t) for c, t in zip(zip(*rows), types)], names)
 
-    types, names = (pa.int64(), pa.int64(), pa.int32(), pa.int32()), ["token", "name", "n", "pos"]
-    return texts.select("text_key", "text").mapInArrow(run, "token bigint, name bigint, n int, pos int")
+    types, names = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()), ["token", "hot", "name", "n", "pos"]
+    return texts.select("text_key", "text").mapInArrow(run, "token bigint, hot boolean, name bigint, n int, pos int")
+
+
+def of_token(rows: DataFrame, **found) -> DataFrame:
+    """rows with aggregates over their token's rows; those of hot tokens are combined before a join brings them back."""
+    group = Window.partitionBy("token")
+    plain = rows.filter("not hot").select("*", *[c.over(group).alias(k) for k, c in found.items()])
+    hot = rows.filter("hot")
+    return plain.unionByName(hot.join(hot.groupBy("token").agg(*[c.alias(k) for k, c in found.items()]).hint("merge"), "token"))
 
 
 def may_link(n_a, pos_a, n_b, pos_b, similarity: float, least=np.minimum, most=np.maximum):
@@ -294,35 +344,38 @@ def may_link(n_a, pos_a, n_b, pos_b, similarity: float, least=np.minimum, most=n
 
 
 def crossing(rows: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Names of all pairs that may link and do not carry one label, of whole groups (token, label, name, n, pos)."""
-    token, label, name, n, pos = rows.T
-    group = np.cumsum(np.concatenate(([0], token[1:] != token[:-1])))
-    size = np.bincount(group)
+    """Names of all pairs that may link and do not carry one label, of whole cells (cell, role, label, name, n, pos, sign), sorted.
+
+    Rows of role 0 are paired with one another, those of role 2 with those of role 1 of their cell."""
+    (cell, role, label, name, n, pos), sign = rows.T[:6], rows[:, 6:].view(np.uint64)  # bits are counted of unsigned numbers alone
 
     def pairs(i, j):
         ok = (label[i] != label[j]) & may_link(n[i], pos[i], n[j], pos[j], similarity)
+        i, j = i[ok], j[ok]
+        ok = np.bitwise_count(sign[i] ^ sign[j]).sum(1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + ROUND
         return name[i[ok]], name[j[ok]]
 
-    i = np.nonzero(size[group] <= STEPS)[0]
+    group = np.cumsum(np.concatenate(([0], cell[1:] != cell[:-1])))
+    size, alone = np.bincount(group), role == 0
+    i = np.nonzero(alone & (size[group] <= STEPS))[0]
     for step in range(1, STEPS):
         i = i[i + step < len(rows)]
-        i = i[group[i] == group[i + step]]
+        i = i[(group[i] == group[i + step]) & alone[i + step]]
         if not i.size:
             break
         yield pairs(i, i + step)
     starts = np.cumsum(size) - size
-    for g in np.nonzero(size > STEPS)[0]:
+    for g in np.nonzero((size > STEPS) | (np.bincount(group, ~alone) > 0))[0]:
         at = np.arange(starts[g], starts[g] + size[g])
-        labels, sizes = np.unique(label[at], return_counts=True)
-        major = label[at] == labels[np.argmax(sizes)]
-        # pairs within the largest label are known to be connected, so only the others look at the rest
-        others = np.concatenate((at[~major], at[major]))
-        for k in range(int((~major).sum())):
-            yield pairs(np.full(len(others) - k - 1, others[k]), others[k + 1 :])
+        own, base, probes = (at[role[at] == k] for k in range(3))
+        for k in range(len(own) if size[g] > STEPS else 0):
+            yield pairs(np.full(len(own) - k - 1, own[k]), own[k + 1 :])
+        for p in probes:
+            yield pairs(np.full(len(base), p), base)
 
 
 def crossings(batches, similarity: float):
-    """Run ``crossing`` over batches sorted by token; a group may begin in one batch and end in another."""
+    """Run ``crossing`` over batches sorted by cell; a cell may begin in one batch and end in another."""
 
     def of(rows):
         held, size = [], 0
@@ -341,9 +394,10 @@ def crossings(batches, similarity: float):
 
     rest = []
     for b in batches:
-        now = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(5)], axis=1)
-        if not len(now):
+        if not b.num_rows:
             continue
+        signs = np.frombuffer(b"".join(b.column(6).to_pylist()), np.int64).reshape(b.num_rows, -1)
+        now = np.concatenate((np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(6)], axis=1), signs), axis=1)
         changed = np.nonzero(now[1:, 0] != now[:-1, 0])[0] + 1
         if rest and rest[-1][-1, 0] != now[0, 0]:
             changed = np.concatenate(([0], changed))
@@ -355,77 +409,151 @@ def crossings(batches, similarity: float):
         yield from of(np.concatenate(rest))
 
 
-def near_links(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def cells(rows: DataFrame, cell: int = CELL) -> DataFrame:
+    """(cell, role, label, name, n, pos, sign): the rows (token, hot, label, name, n, pos, sign) dealt out for ``crossing``.
+
+    The rows of a token are one cell, if they are ``cell`` at most. More are dealt into blocks; all that carry
+    another label than most do are probes, dealt into blocks too, and each block of probes meets each of
+    rows. Pairs within the commonest label need no test, and no cell holds much more than twice ``cell``."""
+    sized = of_token(rows, size=F.count("*"))
+    columns = ["label", "name", "n", "pos", "sign"]
+    small = sized.filter(F.col("size") <= cell).select(F.col("token").alias("cell"), F.lit(0).alias("role"), *columns)
+    large = sized.filter(F.col("size") > cell)
+    labels = large.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.sum("k").alias("k"), F.max("k").alias("most"))
+    blocks = labels.select("token", "major", F.ceil(F.col("k") / cell).alias("nb"), F.greatest(F.lit(1), F.ceil((F.col("k") - F.col("most")) / cell)).alias("np"))
+    met = large.join(blocks.hint("merge"), "token")
+    lot = F.xxhash64("name", F.lit(-1))
+
+    def dealt(role, own, others, own_first):
+        here, there = F.pmod(lot, F.col(own)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(others) - 1))
+        pair = ["own", "other"] if own_first else ["other", "own"]
+        return lambda d: d.select("token", here.alias("own"), there.alias("other"), *columns).select(F.xxhash64("token", *pair).alias("cell"), F.lit(role).alias("role"), *columns)
+
+    return small.union(dealt(1, "nb", "np", True)(met)).union(dealt(2, "np", "nb", False)(met.filter("label <> major")))
+
+
+def near_links(texts: Buckets, shingle: int, similarity: float, cell: int = CELL) -> DataFrame:
     """Links (a, b) that connect what all pairs of texts (text_key, text) of that similarity connect.
 
-    Texts that share none of their prefixes' shingles are not near. In STARS rounds each text is held
-    against one text of another component, so that families of copies fall together; then every pair that
-    shares such a shingle, may link and is not yet connected is verified. No group is cut, and all
-    verifying is by the whole sets."""
-    group = Window.partitionBy("token")
-    shared = prefixes(texts, shingle, similarity).select("*", F.min("name").over(group).alias("lo"), F.max("name").over(group).alias("hi"))
-    shared = written(shared.filter("lo < hi").drop("lo", "hi"), "shared")
+    Texts that share none of their prefixes' shingles are not near. In rounds each text is held against one
+    text of another component, that with which most of its shingles bring it together and which it was not held
+    against before, so that copies fall together without pairing them all. When few texts find a near one in
+    that way, every pair is tested that shares such a shingle and is not yet connected. No group is cut. The
+    parities of two sets bound from below how far they are apart, which discards most pairs that are not near
+    where they meet; what is left is verified by the whole sets."""
+    surveyed = survey(texts.df, shingle)
+    found = prefixes(texts.df, frequencies(surveyed.df), shingle, similarity)
+    # hot tokens are spread, so that none is sorted in one task; that they are shared is taken for granted
+    group = Window.partitionBy("token", F.when(F.col("hot"), F.pmod(F.xxhash64("name"), F.lit(SPREAD))))
+    found = found.select("*", F.min("name").over(group).alias("lo"), F.max("name").over(group).alias("hi"))
+    open_ = Table(found.filter("hot or lo < hi").drop("lo", "hi").withColumn("label", F.col("name")), "shared")
+    signs = surveyed.df.filter("part is null").select("text_key", "n", "parity", "sign")
+
+    def near(batches):
+        for b in batches:
+            ok = [apart(x, y) <= (1 - similarity) / (1 + similarity) * (n + m) + ROUND for n, x, m, y in zip(*(b.column(k).to_pylist() for k in range(2, 6)))]
+            yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def as_sets(batches):
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([shingle_set(x, shingle).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["text_key", "hashes"])
-
-    names = shared.select(F.col("name").alias("text_key")).distinct()
-    sets = written(texts.join(names.hint("merge"), "text_key").select("text_key", "text").mapInArrow(as_sets, "text_key bigint, hashes binary"), "sets")
+            sets = [shingle_set(x, shingle).view(np.uint8).reshape(-1, 8)[:, 8 - KEPT :].tobytes() for x in b.column(2).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["b", "chunk", "hashes"])
 
     def verify(batches):
+        last, own = None, np.empty(0, np.uint64)
         for b in batches:
-            ok = [jaccard(x, y) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            ok = []
+            for a, text, other in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if a != last:
+                    last, own = a, shingle_set(text, shingle) >> np.uint64(64 - 8 * KEPT)
+                ok.append(jaccard(own, unpacked(other)) >= similarity)
             yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def verified(pairs):
-        one, two = sets.select(F.col("text_key").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("text_key").alias("b"), F.col("hashes").alias("y"))
-        both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y")
-        return written(both.mapInArrow(verify, "a bigint, b bigint"), "links")
-
-    links, rows = None, shared.withColumn("label", F.col("name"))
-    for k in range(STARS):
-        own = F.struct("label", F.xxhash64("name", F.lit(k)).alias("lot"), "name", "n", "pos")
-        ends = rows.select("*", F.min(own).over(group).alias("lo"), F.max(own).over(group).alias("hi")).filter("lo.label < hi.label")
-        ends = ends.withColumn("to", F.when(F.col("lo.label") != F.col("label"), F.col("lo")).otherwise(F.col("hi")))
-        ends = ends.filter(may_link(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos"), similarity, F.least, F.greatest))
-        found = verified(written(ends.groupBy(F.col("name").alias("a")).agg(F.min("to.name").alias("b")), "candidates"))
-        links = found if links is None else links.union(found)
+    def verified(met):
+        pairs = met.df
+        for end in "ab":
+            one = signs.select(F.col("text_key").alias(end), F.col("n").alias(f"n_{end}"), F.col("parity").alias(f"p_{end}"))
+            pairs = pairs.join(one.hint("merge"), end)
+        left = Table(pairs.select("a", "b", "n_a", "p_a", "n_b", "p_b").mapInArrow(near, "a bigint, b bigint"), "survivors")
+        # a text that many are held against goes out in chunks, to where the others are
+        chunks = left.df.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+        dealt = left.df.join(chunks.hint("merge"), "b").select("a", "b", F.pmod(F.xxhash64("a"), "chunks").alias("chunk"))
+        wanted = chunks.join(texts.df.hint("merge"), F.col("b") == F.col("text_key")).select("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), "text")
+        sent = dealt.join(wanted.mapInArrow(as_sets, "b bigint, chunk bigint, hashes binary").hint("merge"), ["b", "chunk"])
+        both = sent.join(texts.df.hint("merge"), F.col("a") == F.col("text_key")).select("a", "b", "text", "hashes")
+        links = Table(both.mapInArrow(verify, "a bigint, b bigint"), "links")
+        left.drop()
+        return links
+
+    links, held = None, []
+    while True:
+        own = F.struct("label", F.xxhash64("name", F.lit(len(held))).alias("lot"), "name", "n", "pos")
+        ends = of_token(open_.df, lo=F.min(own), hi=F.max(own)).filter("lo.label < hi.label")
+        to = F.when(F.col("lo.label") != F.col("label"), F.col("lo")).otherwise(F.col("hi"))
+        pairs = ends.withColumn("to", to).filter(may_link(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos"), similarity, F.least, F.greatest))
+        pairs = pairs.groupBy(F.col("name").alias("a"), F.col("to.name").alias("b")).agg(F.count("*").alias("shared"))
+        for t in held:
+            pairs = pairs.join(t.df.union(t.df.select("b", "a")).hint("merge"), ["a", "b"], "left_anti")
+        met = Table(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", F.xxhash64("b", F.lit(len(held))))).alias("b")), "candidates")
+        held.append(met)
+        found = verified(met)
+        links = found.df if links is None else links.union(found.df)
         place = components(links).select(F.col("node").alias("name"), "component")
-        rows = shared.join(place.hint("merge"), "name", "left").withColumn("label", F.coalesce("component", "name")).select("token", "label", "name", "n", "pos")
-    open_ = rows.select("*", F.min("label").over(group).alias("lo"), F.max("label").over(group).alias("hi")).filter("lo < hi").select("token", "label", "name", "n", "pos")
-    pairs = open_.repartition(shuffle_partitions(texts.sparkSession), "token").sortWithinPartitions("token").mapInArrow(lambda it: crossings(it, similarity), "a bigint, b bigint")
-    return links.union(verified(written(pairs.distinct(), "candidates")))
+        again = open_.df.drop("label").join(place.hint("merge"), "name", "left").withColumn("label", F.coalesce("component", "name")).drop("component")
+        # tokens whose texts are all connected have nothing more to tell
+        again = Table(of_token(again, lo=F.min("label"), hi=F.max("label")).filter("lo < hi").drop("lo", "hi"), "open")
+        open_.drop()
+        open_ = again
+        if found.df.count() <= FRUITFUL * met.df.count():
+            break
+    rows = open_.df.join(signs.select(F.col("text_key").alias("name"), "sign").hint("merge"), "name")
+    met = cells(rows, cell).repartition(shuffle_partitions(texts.spark), "cell").sortWithinPartitions("cell").mapInArrow(lambda it: crossings(it, similarity), "a bigint, b bigint")
+    met = Table(met.distinct(), "candidates")
+    links = links.union(verified(met).df)
+    for t in (open_, surveyed, met, *held):
+        t.drop()
+    return links
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    """Hashes from their KEPT highest bytes."""
+    x = np.zeros((len(packed) // KEPT, 8), np.uint8)
+    x[:, :KEPT] = np.frombuffer(packed, np.uint8).reshape(-1, KEPT)
+    return x.view(np.uint64).ravel()
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets; two empty ones are alike."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted shingle sets; two empty ones are alike."""
     common = len(np.intersect1d(x, y, assume_unique=True))
     return common / (len(x) + len(y) - common) if len(x) + len(y) else 1.0
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, cell: int = CELL) -> DataFrame:
     """One document of each group of near copies, with all its columns.
 
     Texts are near copies if the Jaccard similarity of their sets of lower-cased word shingles is
     ``similarity`` or more; groups are what such links connect. The search is exact, by the shingles
-    themselves (see ``near_links``): fingerprints have no part in it. Of a group the smallest id stays (a null id only if there is no other), and of rows that repeat it, one. Null
-    texts count as empty, and texts without words are copies of one another. An empty table gives an empty
-    table; other columns stay as they are, whatever their names."""
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    texts = docs.select(key.alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("text_key").agg(F.first("text").alias("text"))
+    themselves (see ``near_links``): fingerprints have no part in it. Of a group the smallest id stays (a null id
+    only if there is no other), and of rows that repeat it, one. Null texts count as empty, and texts without
+    words are copies of one another. Different texts whose 64-bit hashes clash are told apart by a second one, and
+    each stays, compared with equal texts alone. An empty table gives an empty table; other columns stay as
+    they are, whatever their names."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key, check = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    texts = docs.select(key.alias("text_key"), check.alias("check"), text.alias("text")).groupBy("text_key")
+    texts = Buckets(texts.agg(F.first("text").alias("text"), F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo = hi").select("text_key", "text"), "texts", "text_key")
     # joins are by sorting whatever the sizes, so the plan, and what it needs, is the same at any scale
-    links = near_links(written(texts, "texts"), shingle, similarity)
-    groups = written(components(links), "groups")
+    groups = Table(components(near_links(texts, shingle, similarity, cell)), "groups")
+    texts.drop()
     # a group keeps its smallest (id, text); ids that are null come last
-    counts = docs.select(F.col(id_col).alias("id"), key.alias("text_key")).groupBy("text_key", "id").agg(F.count("*").alias("rows"))
-    best = counts.groupBy("text_key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "rows")).alias("best"))
-    best = best.join(groups, F.col("text_key") == F.col("node"), "left").select(F.coalesce("component", "text_key").alias("label"), "best")
-    kept = written(best.groupBy("label").agg(F.min("best").alias("k")).select(F.col("k.id").alias("kept_id"), F.col("k.text_key").alias("kept_key"), F.col("k.rows").alias("rows")), "kept")
-    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), key.alias("text_key"))
-    rows = rows.join(kept.hint("merge"), (F.col("text_key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    counts = docs.select(F.col(id_col).alias("id"), key.alias("text_key"), check.alias("check")).groupBy("text_key", "check", "id").agg(F.count("*").alias("rows"))
+    best = counts.groupBy("text_key", "check").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "check", "rows")).alias("best"))
+    best = best.join(groups.df, F.col("text_key") == F.col("node"), "left").select(F.coalesce("component", "text_key").alias("label"), F.when(F.col("component").isNull(), F.col("check")).alias("own"), "best")
+    kept = written(best.groupBy("label", "own").agg(F.min("best").alias("k")).select(F.col("k.id").alias("kept_id"), F.col("k.text_key").alias("kept_key"), F.col("k.check").alias("kept_check"), F.col("k.rows").alias("rows")), "kept")
+    groups.drop()
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), key.alias("text_key"), check.alias("check"))
+    rows = rows.join(kept.hint("merge"), (F.col("text_key") == F.col("kept_key")) & (F.col("check") == F.col("kept_check")) & F.col("id").eqNullSafe(F.col("kept_id")))
     if kept.filter("rows > 1").isEmpty():
         return rows.select("doc.*")
     # rows that repeat the kept id and text: any one of them; only these are brought together
-    return rows.filter("rows = 1").select("doc.*").union(rows.filter("rows > 1").dropDuplicates(["text_key"]).select("doc.*"))
+    return rows.filter("rows = 1").select("doc.*").union(rows.filter("rows > 1").dropDuplicates(["text_key", "check"]).select("doc.*"))
