@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import captions, geometry, scalars, text
 from ..operators import decisions, document, layout, matching, metrics, ordering, spatial
 from ..streaming import gate
 from .derive import BLOCKS_SQL, FRAMES_SQL, WORDS_SQL, blocks, boxed, frames, table, tokens, word_arrays, words
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
+from .registry import ORACLES, QUERIES, query
 
 LIMITS_SQL = f"""WITH {WORDS_SQL},
 s AS (
@@ -293,21 +278,24 @@ def xy_cut_unrolled(spark, sf_dir):
     return found.select("doc_id", "block", F.col("path")[0].alias("across"), F.col("path")[1].alias("down"))
 
 
-@query()
+@query(f"""WITH {WORDS_SQL}, l AS (SELECT DISTINCT doc_id, line AS block FROM w)
+SELECT doc_id, block, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block // 10, block % 2, block) - 1 AS INT) AS rank FROM l""")
 def xy_cut_exact(spark, sf_dir):
-    """Reading order by recursive cuts."""
+    """Reading order by recursive cuts: across at every tenth line, then down between the columns."""
     return ordering.xy_cut(_page_boxes(words(spark, sf_dir)), ["doc_id"])
 
 
-@query()
+@query(f"""WITH {WORDS_SQL}, l AS (SELECT DISTINCT doc_id, line AS block FROM w)
+SELECT doc_id, block, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS INT) AS rank FROM l""")
 def reading_rows(spark, sf_dir):
-    """Reading order by rows of boxes."""
+    """Reading order by rows of boxes: two lines stand side by side."""
     return ordering.reading_rows(_page_boxes(words(spark, sf_dir)), ["doc_id"])
 
 
-@query()
+@query(f"""WITH {WORDS_SQL}, {BLOCKS_SQL}, c AS (SELECT doc_id, block AS det, CAST((block * 37) % 100 AS DOUBLE) AS conf FROM bl)
+SELECT doc_id, det, conf FROM c WHERE det % 2 = 0 OR conf > CAST(((det - 1) * 37) % 100 AS DOUBLE)""")
 def nms(spark, sf_dir):
-    """Blocks left when a block inside a surer one goes."""
+    """Blocks left when a block inside a surer one goes: each narrow block lies in the wide one before it."""
     b = blocks(words(spark, sf_dir)).selectExpr("doc_id", "block as det", "bbox", "cast((block * 37) % 100 as double) as conf")
     return ordering.suppress(b, ["doc_id"]).select("doc_id", "det", "conf")
 
@@ -394,10 +382,10 @@ def anchor_overlap(spark, sf_dir):
     return d.join(a, "item_id").select("doc_id", "item_id", matching.anchor_score(F.col("a"), F.col("d")).alias("score"))
 
 
-@query()
+@query(f"""WITH {WORDS_SQL}, b AS (SELECT DISTINCT doc_id, block FROM w) SELECT doc_id, printf('g%05d', block) AS gt, block FROM b""")
 def greedy_match(spark, sf_dir):
-    """Blocks of each document against a disturbed copy of themselves, by overlap and by anchor."""
-    w = words(spark, sf_dir)
+    """Blocks of each document against a moved copy of themselves, by overlap, by order and by anchor: each finds its own."""
+    w = words(spark, sf_dir).withColumn("token", F.concat(F.lit("t"), "block", F.lit("x"), F.col("pos") % 7))
     toks = w.groupBy("doc_id", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s.token).alias("tokens"))
     kind = F.when(F.col("block") % 4 == 0, "figure").otherwise("paragraph")
     box = F.expr("named_struct('x', cast(0 as int), 'y', cast(block * 120 as int), 'w', 600, 'h', 114)")
@@ -407,14 +395,17 @@ def greedy_match(spark, sf_dir):
     return matching.match_blocks(truth, found, ["doc_id"])
 
 
-@query()
+@query(f"""WITH {WORDS_SQL} SELECT doc_id, pos FROM w WHERE disagree AND line % 7 <> 0 AND pos % 3 <> 0""")
 def second_opinion_diff(spark, sf_dir):
-    """Words that a second reader's lines contradict with a word the corpus knows well."""
-    w = words(spark, sf_dir).select("doc_id", "pos", "x", F.col("line").alias("region"), text.normalize_token(F.col("token")).alias("token"), "disagree")
-    known = w.groupBy("token").agg(F.countDistinct("doc_id").alias("n")).filter("n >= 3 and token <> ''").select("token")
-    other = w.groupBy("doc_id", "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "pos", "token"))), lambda s: s.token).alias("tokens"))
-    read = w.withColumn("token", F.when(F.col("disagree"), F.concat("token", F.lit("qx"))).otherwise(F.col("token")))
-    return matching.vouched(read.drop("disagree"), other, ["doc_id"], known)
+    """Words read with two letters too many, where a sure second reader has a word that the lexicon knows, capitalised or not.
+
+    No line has two such words, so each stands against one."""
+    w = boxed(words(spark, sf_dir).withColumn("x", F.expr("cast((pos % 10) * 60 as int)"))).select("doc_id", "pos", "line", "box", F.concat(F.lit("tok"), "pos").alias("right"), "disagree")
+    known = w.filter("pos % 3 <> 0").select(F.when(F.col("pos") % 3 == 1, F.initcap("right")).otherwise(F.col("right")).alias("token")).distinct()
+    read = w.select("doc_id", "pos", "box", F.when(F.col("disagree"), F.concat("right", F.lit("qx"))).otherwise(F.col("right")).alias("token"))
+    lines = w.groupBy("doc_id", F.col("line").alias("region")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "right"))), lambda s: s.right), " ").alias("text"))
+    regions = lines.selectExpr("doc_id", "region", "named_struct('x', 0, 'y', cast(region * 24 as int), 'w', 600, 'h', 18) as rbox", "text", "if(region % 7 = 0, 0.2D, 0.9D) as conf")
+    return matching.disagreements(read, regions, ["doc_id"], known)
 
 
 def _line_pairs(spark, sf_dir):
@@ -433,10 +424,10 @@ def wer_tokens(spark, sf_dir):
     return metrics.token_errors(_line_pairs(spark, sf_dir), "key", "truth", "read").select("key", "distance", "wer")
 
 
-@query()
+@query(f"""WITH {WORDS_SQL} SELECT doc_id || ':' || line AS key, CAST(row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) - 1 AS INT) AS i, NOT is_wrong AS ok FROM w""")
 def label_tokens(spark, sf_dir):
     """Which tokens of every line are right in a best alignment."""
-    return metrics.token_errors(_line_pairs(spark, sf_dir), "key", "truth", "read").select("key", "labels")
+    return metrics.token_errors(_line_pairs(spark, sf_dir), "key", "truth", "read").select("key", F.posexplode("labels").alias("i", "ok"))
 
 
 @query("""WITH a AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM conversations), p AS (SELECT conv_id, turn, t, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS l FROM a)
@@ -553,7 +544,23 @@ def frame_stability(spark, sf_dir):
     return rows.select("vec_id", F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, v: s + v).alias("total"))
 
 
-@query()
+GATE_SQL = f"""WITH RECURSIVE {FRAMES_SQL},
+n AS (SELECT device, timestamp_ms, coalesce(sharpness >= 5 AND stability <= 8, false) AS pass, row_number() OVER (PARTITION BY device ORDER BY timestamp_ms, sharpness, stability, frame) AS rn FROM f),
+s AS (
+  SELECT device, 0::BIGINT AS rn, 0 AS streak, false AS opened, 0 AS fired, -1::BIGINT AS last, 0::BIGINT AS timestamp_ms, 'none' AS action FROM n WHERE rn = 1
+  UNION ALL SELECT n.device, n.rn,
+    CASE WHEN NOT pass THEN 0 WHEN (opened OR streak + 1 >= 2) AND fired >= 3 THEN 0 ELSE streak + 1 END,
+    pass AND (opened OR streak + 1 >= 2) AND fired < 3,
+    CASE WHEN NOT pass THEN 0 WHEN NOT (opened OR streak + 1 >= 2) THEN fired WHEN fired >= 3 THEN 0 WHEN last >= 0 AND n.timestamp_ms - last < 3600000 THEN fired ELSE fired + 1 END,
+    CASE WHEN NOT pass THEN -1 WHEN NOT (opened OR streak + 1 >= 2) THEN last WHEN fired >= 3 THEN -1 WHEN last >= 0 AND n.timestamp_ms - last < 3600000 THEN last ELSE n.timestamp_ms END,
+    n.timestamp_ms,
+    CASE WHEN NOT pass THEN CASE WHEN opened THEN 'finalize' ELSE 'none' END WHEN NOT (opened OR streak + 1 >= 2) THEN 'none' WHEN fired >= 3 THEN 'finalize'
+      WHEN last >= 0 AND n.timestamp_ms - last < 3600000 THEN 'none' ELSE 'capture' END
+  FROM s JOIN n ON n.device = s.device AND n.rn = s.rn + 1)
+SELECT CAST(device AS VARCHAR) AS device, timestamp_ms, action FROM s WHERE rn > 0"""
+
+
+@query(GATE_SQL)
 def hover_gate_batch(spark, sf_dir):
     """What the capture gate does on each frame."""
     f = frames(spark, sf_dir).withColumn("device", F.col("device").cast("string"))
@@ -653,3 +660,7 @@ def set_ops(spark, sf_dir):
         one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("op"), "n")
         found = one if found is None else found.union(one)
     return found
+
+
+# further queries register themselves
+from . import page_queries, source_queries  # noqa: E402, F401
