@@ -20,8 +20,12 @@ def load_config(path: str | Path, missing_ok: bool = True) -> dict:
         if missing_ok:
             return {}
         raise FileNotFoundError(path)
-    text = path.read_text(encoding="utf-8")
-    if path.suffix == ".json":
+    return parse_config(path.read_text(encoding="utf-8"), path.suffix)
+
+
+def parse_config(text: str, suffix: str = ".yaml") -> dict:
+    """The parameters of a YAML or JSON text; an empty one has none."""
+    if suffix == ".json":
         return json.loads(text or "{}")
     try:
         import yaml

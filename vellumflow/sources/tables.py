@@ -15,18 +15,23 @@ RAWS = (".dng", ".cr2", ".cr3", ".nef", ".arw", ".raf", ".orf", ".rw2")
 
 def captures(spark: SparkSession, path: str, raw_decoder: bool = False) -> DataFrame:
     """(path, suffix, frame, skipped, content, length): image files, numbered by path in their folder before raw ones are skipped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return numbered(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), raw_decoder)
+
+
+def numbered(files: DataFrame, raw_decoder: bool = False) -> DataFrame:
+    """Files (path, ...) that are images, with suffix, frame and skipped."""
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     kept = files.withColumn("suffix", suffix).filter(suffix.isin(*IMAGES, *RAWS))
     folder = F.regexp_replace("path", r"[^/]+$", "")
-    return kept.withColumn("frame", F.row_number().over(Window.partitionBy(folder).orderBy("path")) - 1).select("path", "suffix", "frame", (F.col("suffix").isin(*RAWS) & F.lit(not raw_decoder)).alias("skipped"), "content", "length")
+    rest = [c for c in files.columns if c != "path"]
+    return kept.withColumn("frame", F.row_number().over(Window.partitionBy(folder).orderBy("path")) - 1).select("path", "suffix", "frame", (F.col("suffix").isin(*RAWS) & F.lit(not raw_decoder)).alias("skipped"), *rest)
 
 
 def words_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Recognised words from tab-separated files: level 5, text that is not blank, confidence of 0 or more; text is stripped.
 
     A header line parses to nulls and so drops out. Quotes mean nothing in these files."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     lines = raw.select("file", F.posexplode(F.split("value", r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]")).alias("line", "value"))
     return parse_tsv(lines, ["file"], "line", "value")
 
@@ -84,6 +89,56 @@ def in_lexicon(tokens: DataFrame, lexicon: DataFrame, column: str = "token") ->
     return tokens.join(hits, column, "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
+def hunspell(spark: SparkSession, dic: str, aff: str) -> DataFrame:
+    """(token): every form that a dictionary's stems (``stem/flags``) take under its affix rules.
+
+    Suffixes, prefixes, and both at once where the rules allow it (Y). Flags are single characters, or as the
+    FLAG line says (long, num). Rules and stems meet in a join on the flag, so nothing is listed on the driver."""
+    lines = spark.read.text(aff).select(F.split(F.trim("value"), r"\s+").alias("p"))
+    kind = lines.filter(F.col("p")[0] == "FLAG").select(F.col("p")[1].alias("k")).first()
+    many = F.size("p") >= 5
+    heads = lines.filter(F.col("p")[0].isin("SFX", "PFX") & (F.size("p") == 4) & F.col("p")[2].isin("Y", "N")).select(F.col("p")[0].alias("kind"), F.col("p")[1].alias("flag"), (F.col("p")[2] == "Y").alias("crosses"))
+    rules = lines.filter(F.col("p")[0].isin("SFX", "PFX") & many).select(
+        F.col("p")[0].alias("kind"), F.col("p")[1].alias("flag"), F.nullif(F.col("p")[2], F.lit("0")).alias("strip"),
+        F.regexp_replace(F.when(F.col("p")[3].startswith("0"), "").otherwise(F.col("p")[3]), "/.*$", "").alias("add"), F.nullif(F.col("p")[4], F.lit(".")).alias("when"),
+    ).join(heads, ["kind", "flag"])
+    entry = F.split(F.regexp_extract("value", r"^\s*(\S+)", 1), "/", 2)
+    flags = F.coalesce(F.get(entry, F.lit(1)), F.lit(""))
+    split = {"long": F.regexp_extract_all(flags, F.lit("(..)"), 1), "num": F.split(flags, ",")}.get(kind.k.lower() if kind else "", F.filter(F.split(flags, ""), lambda c: c != ""))
+    stems = spark.read.text(dic).filter(~F.col("value").rlike(r"^\s*[0-9]*\s*$")).select(entry[0].alias("stem"), split.alias("flags"))
+
+    def formed(words: DataFrame, which: str, only=None) -> DataFrame:
+        ends = which == "SFX"
+        of = rules.filter(F.col("kind") == which) if only is None else rules.filter(F.col("kind") == which).filter(only)
+        met = words.select("*", F.explode("flags").alias("flag")).join(of, "flag")
+        strip_, w = F.coalesce("strip", F.lit("")), F.col("form")
+        fits = F.when(F.col("when").isNull(), True).otherwise(F.rlike(w, F.concat("when", F.lit("$")) if ends else F.concat(F.lit("^"), "when")))
+        met = met.filter(fits & (w.endswith(strip_) if ends else w.startswith(strip_)))
+        bare = F.substring(w, F.lit(1), F.length(w) - F.length(strip_)) if ends else F.substring(w, F.length(strip_) + 1, F.length(w))
+        return met.select(F.concat(bare, "add").alias("form") if ends else F.concat("add", bare).alias("form"), "flags", "crosses")
+
+    plain = stems.select(F.col("stem").alias("form"), "flags")
+    suffixed = formed(plain, "SFX")
+    both = formed(suffixed.filter("crosses").drop("crosses"), "PFX", F.col("crosses"))
+    forms = plain.select("form").union(suffixed.select("form")).union(formed(plain, "PFX").select("form")).union(both.select("form"))
+    return forms.select(F.col("form").alias("token")).distinct()
+
+
+def lexicon_size(stems: DataFrame, overlay: DataFrame) -> DataFrame:
+    """(words): stems and overlay tokens, as listed; the forms that affixes make are not counted."""
+    return stems.agg(F.count("*").alias("n")).union(overlay.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("words"))
+
+
+def lexicon_works(forms: DataFrame, word: str) -> DataFrame:
+    """(ok): whether a word that must be known is, or its capitalised form; an empty one asks nothing."""
+    return forms.agg((F.lit(word == "") | F.coalesce(F.bool_or(F.col("token").isin(word, word.capitalize())), F.lit(False))).alias("ok"))
+
+
+def anchors(images: DataFrame, overrides: DataFrame) -> DataFrame:
+    """images (image_id, path) with the path of an override (image_id, path) where there is one."""
+    return images.join(overrides.withColumnRenamed("path", "_o"), "image_id", "left").withColumn("path", F.coalesce("_o", "path")).drop("_o")
+
+
 def gazetteer(spark: SparkSession, path: str) -> DataFrame:
     """(token): Cyrillic tokens of the names and alternative names in tab-separated gazetteer lines, in order."""
     parts = F.split("value", "\t")
