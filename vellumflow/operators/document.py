@@ -64,6 +64,28 @@ def merge_edits(words: DataFrame, edits: DataFrame, key: list[str], at: list[str
     return found.withColumns({"text": text, "edited": edited}).drop("new_text", "hit")
 
 
+def merge_block_edits(blocks: DataFrame, edits: DataFrame, confirmed: DataFrame, key: list[str], page: list[str], at: list[str]) -> DataFrame:
+    """Blocks with the latest edits of their type, order and text; what an edit leaves null stays as it is.
+
+    An edit may confirm a block's order, and ``confirmed`` (page) those of whole pages; a confirmation is never
+    taken back. structure_edited follows from type and order."""
+    e = latest(edits.select(*key, *at, *[F.col(c).alias(f"_{c}") for c in ("type", "reading_order", "order_confirmed", "text")]), key, at).drop(*at)
+    found = blocks.join(e, key, "left").join(confirmed.select(*page).distinct().withColumn("_all", F.lit(True)), page, "left")
+    ok = F.coalesce("order_confirmed", F.lit(False)) | F.coalesce("_order_confirmed", F.lit(False)) | F.coalesce("_all", F.lit(False))
+    changed = {c: F.coalesce(f"_{c}", c) for c in ("type", "reading_order", "text")}
+    return normalized_edits(found.withColumns(changed | {"order_confirmed": ok}).drop("_type", "_reading_order", "_order_confirmed", "_text", "_all"))
+
+
+def merge_settings(documents: DataFrame, edits: DataFrame, key: list[str], at: list[str]) -> DataFrame:
+    """Documents whose ``settings`` take the latest value of each field that an edit (key, at, fields) names; nulls name none."""
+    fields = [c for c in edits.columns if c not in (*key, *at)]
+    last = edits.groupBy(*key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*at))).alias(f"_{c}") for c in fields])
+    found, settings = documents.join(last, key, "left"), F.col("settings")
+    for c in fields:
+        settings = settings.withField(c, F.coalesce(f"_{c}", F.col("settings")[c]))
+    return found.withColumn("settings", settings).drop(*[f"_{c}" for c in fields])
+
+
 def merge_hyphens(words: DataFrame, by: list[str], lexicon: DataFrame | None, order: str = "pos") -> DataFrame:
     """words (token, line, flagged, ...) with ``merged``: null, or the joined word where one ends with a hyphen.
 

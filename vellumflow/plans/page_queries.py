@@ -1,0 +1,397 @@
+"""Queries over pages: stages, pixels, evaluations, assembled documents and edits, each with its result in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import captions, text
+from ..operators import document, layout, matching, pixels, spatial
+from . import assemble, evaluate, schemas, stages
+from .derive import BLOCKS_SQL, FRAMES_SQL, WORDS_SQL, blocks, boxed, frames, table, tokens, words
+from .queries import AUROC_SQL, BENCH_SQL
+from .registry import query
+from ..sources.tables import with_defaults
+
+BASE_SQL = f"""{FRAMES_SQL}, m AS (SELECT *, max(area) OVER (PARTITION BY device) AS most FROM f),
+b AS (SELECT device, frame AS base FROM (SELECT device, frame, row_number() OVER (PARTITION BY device ORDER BY sharpness DESC, frame) AS rn FROM m WHERE area >= 0.7::DOUBLE * most) WHERE rn = 1),
+r AS (SELECT m.device, frame, CASE WHEN frame = base THEN 'base' WHEN area >= 0.7::DOUBLE * most THEN 'full' ELSE 'closeup' END AS role FROM m JOIN b USING (device))"""
+
+
+@query(f"""WITH {BASE_SQL},
+c AS (SELECT *, CASE WHEN frame % 5 = 0 THEN 'too few features' WHEN frame % 40 < 15 THEN 'only ' || (frame % 40) || ' good matches' WHEN frame % 7 = 0 THEN 'no homography' WHEN frame % 31 < 15 THEN 'only ' || (frame % 31) || ' inliers'
+  WHEN frame % 3 = 0 THEN 'degenerate homography (det=0.040)' ELSE 'ok' END AS note FROM r WHERE role = 'closeup'),
+k AS (SELECT device, count(*) AS closeups, count(*) FILTER (note = 'ok') AS n_stitched, string_agg(frame || ':' || note, ';' ORDER BY frame) AS notes,
+  sum(CASE WHEN note LIKE '%matches' THEN frame % 40 WHEN note = 'ok' OR note LIKE '%inliers' OR note LIKE 'deg%' THEN frame % 31 ELSE 0 END)::BIGINT AS inliers FROM c GROUP BY device)
+SELECT r.device, count(*)::INT AS n_frames, 'f' || min(frame) FILTER (role = 'base') AS anchor_source, CASE WHEN count(*) = 1 THEN 'single' WHEN any_value(n_stitched) > 0 THEN 'sharpest+stitch' ELSE 'sharpest' END AS method,
+  coalesce(string_agg('f' || frame, ',' ORDER BY frame) FILTER (role = 'full'), '') AS fulls, coalesce(any_value(n_stitched), 0) AS n_stitched, coalesce(any_value(inliers), 0)::BIGINT AS inliers, coalesce(any_value(notes), '') AS notes
+FROM r LEFT JOIN k USING (device) GROUP BY r.device""")
+def fuse_pages(spark, sf_dir):
+    """Each device's frames fused: the base, the other full ones, and close-ups by how well their features match."""
+    f = frames(spark, sf_dir).withColumnRenamed("frame", "idx").withColumn("name", F.concat(F.lit("f"), "idx"))
+    i = F.col("idx")
+    matches = f.select("device", "idx", F.when(i % 5 != 0, i % 40).alias("good"), (i % 31).alias("inliers"), F.when(i % 7 != 0, F.when(i % 3 == 0, 0.04).otherwise(1.5)).alias("determinant"))
+    r = stages.fuse(f, matches, ["device"])
+    ok = F.filter("closeups", lambda c: c["matched"])
+    return r.select(
+        "device", "n_frames", "anchor_source", "method", F.array_join("fullspread_frames", ",").alias("fulls"), F.size(ok).cast("bigint").alias("n_stitched"),
+        F.aggregate("closeups", F.lit(0).cast("bigint"), lambda s, c: s + c["inliers"]).alias("inliers"), F.array_join(F.transform("closeups", lambda c: F.concat(F.substr(c["name"], F.lit(2)), F.lit(":"), c["note"])), ";").alias("notes"),
+    )
+
+
+@query("""WITH o AS (SELECT user_id, CAST(round(value * 100) AS BIGINT) AS ink, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS x, count(*) OVER (PARTITION BY user_id) AS wd FROM events),
+p AS (SELECT *, (ink * 7) % 1000 AS extent, (ink * 13) % 500 AS light, CAST(floor(wd * 0.3::DOUBLE) AS INT) AS lo, greatest(CAST(floor(wd * 0.7::DOUBLE) AS INT), CAST(floor(wd * 0.3::DOUBLE) AS INT) + 1) AS hi FROM o),
+a AS (SELECT user_id, any_value(wd) AS wd, max(ink) AS top FROM p GROUP BY user_id),
+r AS (SELECT p.user_id, any_value(a.wd) AS wd, median(ink) FILTER (ink > CASE WHEN top > 0 THEN 0.05::DOUBLE * top ELSE 0 END) AS page,
+  median(extent) FILTER (x >= lo AND x < hi AND (x < lo + greatest(1, (hi - lo) // 5) OR x >= hi - greatest(1, (hi - lo) // 5))) AS edge,
+  min({'v': ink, 'x': x}) FILTER (x >= lo AND x < hi) AS i, min({'v': extent, 'x': x}) FILTER (x >= lo AND x < hi) AS e, min({'v': light, 'x': x}) FILTER (x >= lo AND x < hi) AS l FROM p JOIN a USING (user_id) GROUP BY p.user_id),
+s AS (SELECT user_id, wd, i.x AS ix, e.x AS ex, l.x AS lx, CASE WHEN page > 0 THEN i.v / page ELSE 1.0 END AS ratio, CASE WHEN edge > 0 THEN 1.0 - e.v / edge ELSE 0.0 END AS depth, page FROM r),
+g AS (SELECT *, CASE WHEN page > 0 AND ratio < 0.55::DOUBLE THEN 'ink' WHEN depth >= 0.11::DOUBLE THEN 'pinch' ELSE 'none' END AS method FROM s),
+h AS (SELECT *, CASE method WHEN 'ink' THEN ix WHEN 'pinch' THEN ex END AS gx, CAST(floor(wd * CASE WHEN method = 'pinch' THEN 0.02::DOUBLE ELSE 0.01::DOUBLE END) AS INT) AS mg FROM g)
+SELECT user_id, CAST(gx AS INT) AS gutter_x, gx IS NOT NULL AS confident, method, subpage, CAST(x0 AS INT) AS x, CAST(x1 - x0 AS INT) AS w, 77 AS h FROM (
+  SELECT *, 'single' AS subpage, 0 AS x0, wd AS x1 FROM h WHERE gx IS NULL UNION ALL SELECT *, 'left', 0, least(wd, gx + mg) FROM h WHERE gx IS NOT NULL UNION ALL SELECT *, 'right', greatest(0, gx - mg), wd FROM h WHERE gx IS NOT NULL)""")
+def split_pages(spark, sf_dir):
+    """Images cut at the gutters of their profiles into pages that overlap by a margin."""
+    at = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select("user_id", F.round(F.col("value") * 100).cast("bigint").alias("ink"), (F.row_number().over(at) - 1).alias("x"), F.count("*").over(Window.partitionBy("user_id")).alias("width"))
+    profile = e.selectExpr("user_id", "x", "width", "ink", "(ink * 7) % 1000 as extent", "(ink * 13) % 500 as light")
+    images = e.select("user_id", "width").distinct().withColumn("height", F.lit(77))
+    return stages.split(profile, images, ["user_id"]).select("user_id", "gutter_x", "confident", "method", "subpage", "box.x", "box.w", "box.h")
+
+
+@query("""SELECT 'i' || event_id AS image, CASE WHEN event_id % 5 = 0 THEN user_id % 3 = 0 ELSE user_id % 3 <> 0 AND abs(user_id - 50) <= 20 END AS hit FROM events""")
+def gutter_hits(spark, sf_dir):
+    """Gutters found against the ones that are there: within a tolerance, or none on a single page."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("i"), "event_id").alias("image"), "event_id", "user_id")
+    truth = e.select("image", F.lit(50).alias("gutter_x"), F.lit(20).alias("tol"), F.when(F.col("event_id") % 5 == 0, True).alias("single"))
+    return matching.gutter_hits(truth, e.select("image", F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("x")))
+
+
+DEWARP_SQL = """p AS (SELECT user_id, event_id % 9 AS line, (event_id % 8) / 8.0 AS x, (event_id % 9) / 16.0 + CASE WHEN user_id % 2 = 0 THEN (event_id % 8 % 2) / 1024.0 ELSE 0 END AS y FROM events)"""
+
+
+def _points(spark, sf_dir):
+    return table(spark, sf_dir, "events").selectExpr("user_id", "event_id % 9 as line", "(event_id % 8) / 8.0D as x", "(event_id % 9) / 16.0D + if(user_id % 2 = 0, (event_id % 8 % 2) / 1024.0D, 0D) as y")
+
+
+@query(f"""WITH {DEWARP_SQL}, t AS (SELECT *, median(y) OVER (PARTITION BY user_id, line) - y AS t FROM p),
+b AS (SELECT user_id, line, t, [1.0::DOUBLE, x, x*x, x*x*x, y, y*x, y*x*x, y*y] AS b FROM t)
+SELECT user_id, i, CAST(round(sum(b[i + 1] * t) * 1e9) AS BIGINT) AS xty, CAST(round(sum(b[i + 1] * b[8 - i]) * 1e9) AS BIGINT) AS xtx, count(DISTINCT line) AS lines FROM b, range(8) r(i) GROUP BY user_id, i""")
+def displacement_sums(spark, sf_dir):
+    """The normal equations of each page's baselines, in billionths: the right side, and the counter-diagonal of the left."""
+    t = layout.displacement_terms(_points(spark, sf_dir), ["user_id"])
+    rows = t.select("user_id", "lines", "xtx", F.posexplode("xty").alias("i", "r"))
+    other = F.element_at(F.element_at("xtx", F.col("i") + 1), F.lit(8) - F.col("i"))
+    return rows.select("user_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("r") * 1e9).cast("bigint").alias("xty"), F.round(other * 1e9).cast("bigint").alias("xtx"), "lines")
+
+
+@query(f"""WITH {DEWARP_SQL}, t AS (SELECT user_id, line, max(abs(m - y)) AS d FROM (SELECT *, median(y) OVER (PARTITION BY user_id, line) AS m FROM p) GROUP BY ALL),
+g AS (SELECT user_id, count(DISTINCT line) AS n, max(d) * 4096 AS px FROM t GROUP BY user_id)
+SELECT user_id, CASE WHEN n < 6 OR px < 3 THEN 'identity' ELSE 'classical' END AS method, CAST(n AS INT) AS n_lines, CASE WHEN n >= 6 THEN round(px, 2) ELSE 0.0 END AS max_disp_px, NOT (n < 6 OR px < 3) AS applied FROM g""")
+def dewarp_pages(spark, sf_dir):
+    """Which pages are straightened, by their baselines and how far these bend."""
+    points = _points(spark, sf_dir)
+    return stages.dewarp(points, points.select("user_id").distinct().withColumn("height", F.lit(4096)), ["user_id"]).select("user_id", "method", "n_lines", "max_disp_px", "applied")
+
+
+@query(f"""WITH {WORDS_SQL}, {BLOCKS_SQL},
+d AS (SELECT doc_id, block // 2 AS b FROM bl WHERE block % 2 = 0), parts AS (SELECT doc_id, b, b * 120 AS y, CASE WHEN b % 5 = 3 THEN 50 ELSE 114 END AS h, CASE WHEN b % 5 = 3 THEN 'figure' ELSE 'text' END AS label FROM d UNION ALL SELECT doc_id, b, b * 120 + 60, 50, 'figure' FROM d WHERE b % 5 = 3),
+docs AS (SELECT DISTINCT doc_id FROM documents)
+SELECT doc_id, coalesce(label, 'other') AS label, coalesce(y, 0) AS y, coalesce(h, 100) AS h, CAST(CASE WHEN y IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY doc_id ORDER BY y) - 1 END AS INT) AS rank FROM docs LEFT JOIN parts USING (doc_id)""")
+def layout_pages(spark, sf_dir):
+    """Detections in reading order, merged figures in their parts; a page without any is one block."""
+    b = blocks(words(spark, sf_dir)).filter("block % 2 = 0").selectExpr("doc_id", "block div 2 as b", "bbox")
+    dets = b.select("doc_id", F.col("b").cast("bigint").alias("det"), F.when(F.col("b") % 5 == 3, "figure").otherwise("text").alias("label"), "bbox", F.lit(0.9).alias("conf"))
+    bands = dets.filter("label = 'figure'").select("doc_id", "det", F.explode(F.array(F.lit(0), F.lit(60))).alias("y"), F.lit(50).alias("h"))
+    pages = table(spark, sf_dir, "documents").select("doc_id").distinct().withColumns({"page_w": F.lit(600), "page_h": F.lit(100)})
+    return stages.laid_out(pages, dets, bands, ["doc_id"]).select("doc_id", "label", "bbox.y", "bbox.h", "rank")
+
+
+@query(f"""WITH {WORDS_SQL}, {BLOCKS_SQL},
+c AS (SELECT w.doc_id, w.pos, bl.block, row_number() OVER (PARTITION BY w.doc_id, w.pos ORDER BY bl.bw * bl.bh, bl.block) AS rn FROM w JOIN bl
+  ON w.doc_id = bl.doc_id AND w.x + w.w / 2.0 BETWEEN x0 AND x0 + bl.bw AND w.y + w.h / 2.0 BETWEEN y0 AND y0 + bh),
+r AS (SELECT w.doc_id, w.pos, w.block AS wb, w.line, c.block FROM w LEFT JOIN c ON c.doc_id = w.doc_id AND c.pos = w.pos AND c.rn = 1),
+n AS (SELECT doc_id, count(*) AS k FROM bl GROUP BY doc_id), o AS (SELECT doc_id, count(DISTINCT (wb, line)) AS k FROM r WHERE block IS NULL GROUP BY doc_id)
+SELECT r.doc_id, count(*) AS total_words, count(*) - count(block) AS orphan_words, any_value(n.k) + coalesce(any_value(o.k), 0) AS n_blocks FROM r JOIN n USING (doc_id) LEFT JOIN o USING (doc_id) GROUP BY r.doc_id""")
+def read_pages(spark, sf_dir):
+    """Pages with their words in blocks: how many words, how many outside every block, how many blocks with those made for them."""
+    w = words(spark, sf_dir)
+    rows = boxed(w).select("doc_id", "pos", F.col("block").alias("block_num"), F.col("line").alias("par_num"), F.lit(0).alias("line_num"), "box", "conf")
+    return stages.read_pages(rows, blocks(w), ["doc_id"])[1]
+
+
+ARM_SQL = f"""WITH {BENCH_SQL}, t AS (SELECT item_id, pos, token, pos % 9 = 4 AS bad FROM bt WHERE token <> ''),
+n AS (SELECT item_id, string_agg(token, ' ' ORDER BY pos) AS gt, string_agg(CASE WHEN bad THEN token || '7' ELSE token END, ' ' ORDER BY pos) AS one, string_agg(CASE WHEN bad AND pos % 2 = 0 THEN token || '7' ELSE token END, ' ' ORDER BY pos) AS two,
+  count(*) AS k, count(*) FILTER (bad) AS b1, count(*) FILTER (bad AND pos % 2 = 0) AS b2 FROM t GROUP BY item_id),
+s AS (SELECT item_id, b1 / k AS whole_wer, levenshtein(gt, one) / length(gt) AS whole_cer, b2 / k AS layout_wer, levenshtein(gt, two) / length(gt) AS layout_cer FROM n)"""
+
+
+def _arms(spark, sf_dir):
+    t = tokens(table(spark, sf_dir, "benchmark"), "item_id")
+    bad = F.col("pos") % 9 == 4
+    rows = t.select("item_id", "pos", "token", F.when(bad, F.concat("token", F.lit("7"))).otherwise(F.col("token")).alias("one"), F.when(bad & (F.col("pos") % 2 == 0), F.concat("token", F.lit("7"))).otherwise(F.col("token")).alias("two"))
+    rows = rows.withColumn("part", F.expr("pos div 20"))
+
+    def joined(c, by):
+        return rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(c).alias("t")))), lambda s: s.t), " ").alias("text"))
+
+    texts = joined("one", ["item_id", "part"]).withColumn("arm", F.lit("whole")).unionByName(joined("two", ["item_id", "part"]).withColumn("arm", F.lit("layout")))
+    return stages.arms(texts.withColumnRenamed("item_id", "image_id"), joined("token", ["item_id"]).withColumnRenamed("item_id", "image_id"), ["whole", "layout"])
+
+
+@query(f"{ARM_SQL} SELECT item_id AS image_id, * EXCLUDE (item_id) FROM s")
+def ab_arms(spark, sf_dir):
+    """Two ways of reading each passage against its text."""
+    return _arms(spark, sf_dir)
+
+
+@query(f"{ARM_SQL} SELECT count(*) AS images, round(avg(whole_wer), 9) AS whole_wer, round(avg(whole_cer), 9) AS whole_cer, round(avg(layout_wer), 9) AS layout_wer, round(avg(layout_cer), 9) AS layout_cer FROM s")
+def ab_means(spark, sf_dir):
+    """The means of both ways over all passages."""
+    m = stages.mean_arms(_arms(spark, sf_dir))
+    return m.select("images", *[F.round(c, 9).alias(c) for c in m.columns if c != "images"])
+
+
+def _recognised(spark, sf_dir):
+    t = tokens(table(spark, sf_dir, "benchmark"), "item_id")
+    return t.select(
+        F.col("item_id").alias("image_id"), "pos", F.lit(1).alias("block_num"), F.lit(1).alias("par_num"), F.expr("cast(pos div 10 as int)").alias("line_num"),
+        F.when(F.col("pos") % 9 == 4, F.concat("token", F.lit("7"))).otherwise(F.col("token")).alias("text"), ((F.col("pos") * 37) % 101).cast("double").alias("conf"),
+    )
+
+
+@query(f"""WITH {BENCH_SQL}, z AS (SELECT item_id AS g, CAST((pos * 37) % 101 AS DOUBLE) AS s, pos % 9 = 4 AS bad, pos FROM bt WHERE token <> ''), {AUROC_SQL.split("SELECT g AS", 1)[0]},
+a AS (SELECT g, count(*) AS n, count(*) FILTER (bad) AS n_wrong, CASE WHEN count(*) FILTER (bad) > 0 AND count(*) FILTER (NOT bad) > 0 THEN
+    (coalesce(sum(rk) FILTER (NOT bad), 0) - count(*) FILTER (NOT bad) * (count(*) FILTER (NOT bad) + 1) / 2.0) / (count(*) FILTER (bad) * count(*) FILTER (NOT bad)) END AS auroc FROM r GROUP BY g),
+k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s, pos) <= round_even(0.1 * count(*) OVER (PARTITION BY g), 0) AS inside FROM z),
+f AS (SELECT g, count(*) FILTER (inside AND bad) / count(*) FILTER (bad) AS recall_10 FROM k GROUP BY g)
+SELECT b.item_id AS image_id, CASE WHEN b.item_id % 10 <> 9 THEN n_wrong / n END AS wer, CASE WHEN b.item_id % 10 <> 9 THEN 1 - n_wrong / n END AS accuracy,
+  CASE WHEN b.item_id % 10 <> 9 THEN auroc END AS auroc, CASE WHEN b.item_id % 10 <> 9 THEN recall_10 END AS recall_10, b.item_id % 10 <> 9 AS has_gt
+FROM benchmark b JOIN a ON a.g = b.item_id JOIN f ON f.g = b.item_id""")
+def image_results(spark, sf_dir):
+    """Recognised passages against their texts; every tenth has none."""
+    truth = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("image_id"), "text")
+    found = evaluate.evaluate_images(_recognised(spark, sf_dir), truth.filter("image_id % 10 <> 9"), truth.select("image_id"))
+    return found.select("image_id", "wer", "accuracy", "auroc", "recall_10", "has_gt")
+
+
+@query(f"""WITH {BENCH_SQL}, z AS (SELECT item_id AS g, CAST((pos * 37) % 101 AS DOUBLE) AS s, pos % 9 = 4 AS bad FROM bt WHERE token <> ''), {AUROC_SQL.split("SELECT g AS", 1)[0]},
+a AS (SELECT g, 1 - count(*) FILTER (bad) / count(*) AS acc, (coalesce(sum(rk) FILTER (NOT bad), 0) - count(*) FILTER (NOT bad) * (count(*) FILTER (NOT bad) + 1) / 2.0) / (count(*) FILTER (bad) * count(*) FILTER (NOT bad)) AS auroc FROM r GROUP BY g)
+SELECT g AS image_id, acc AS accuracy_seq, auroc AS auroc_seq, acc AS accuracy_bag, auroc AS auroc_bag FROM a""")
+def two_labels(spark, sf_dir):
+    """Right and wrong words by alignment and by multiplicity: a digit too many makes a word that no text has, so both agree."""
+    return evaluate.two_labels(_recognised(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("image_id"), "text"))
+
+
+@query(f"""WITH {WORDS_SQL}, c AS (SELECT doc_id, pos, line, block, token, pos % 50 = 49 AS lost FROM w),
+p AS (SELECT *, CASE WHEN row_number() OVER o = 1 THEN '' WHEN lost OR lag(lost) OVER o OR lag(line) OVER o <> line OR lag(block) OVER o <> block THEN chr(10) ELSE ' ' END || token AS part, row_number() OVER o AS k FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY block, lost, pos))
+SELECT doc_id, string_agg(part, '' ORDER BY k) AS text, count(*) FILTER (lost) AS n_orphans FROM p GROUP BY doc_id""")
+def layout_texts(spark, sf_dir):
+    """Texts in the order of blocks; the last word of each block stands far off and is read after it."""
+    w = words(spark, sf_dir).withColumn("x", F.expr("if(pos % 50 = 49, 5000, cast((pos % 10) * 60 as int))"))
+    b = blocks(w).filter("block % 2 = 0").selectExpr("doc_id", "cast(block div 2 as int) as block", "bbox", "6000 as page_w", "400 as page_h")
+    return evaluate.layout_text(boxed(w).select("doc_id", "pos", "line", "token", "box"), b, ["doc_id"])
+
+
+@query(f"""WITH {WORDS_SQL}, b AS (SELECT DISTINCT doc_id, block AS b FROM w), n AS (SELECT doc_id, max(b) AS top FROM b GROUP BY doc_id), m AS (SELECT b.*, b % 6 <> 4 AS hit FROM b)
+SELECT doc_id, count(*) FILTER (hit) / count(*) AS seg_recall, CASE WHEN count(*) FILTER (hit) > 0 THEN count(*) FILTER (hit AND b % 6 <> 5) / count(*) FILTER (hit) ELSE 0.0 END AS type_acc,
+  CASE WHEN count(*) FILTER (hit AND b % 6 <> 2) > 1 THEN 1.0 END AS tau, CASE WHEN count(*) FILTER (hit AND b % 6 <> 2) > 1 THEN -1.0 END AS tau_native,
+  count(*) FILTER (b % 6 = 1) AS n_captions, count(*) FILTER (b % 6 = 1 AND b < top) AS n_pairs FROM m JOIN n USING (doc_id) GROUP BY doc_id""")
+def graded_pages(spark, sf_dir):
+    """Block order graded: some blocks are missed, some have another type, the native order is the reverse."""
+    b = words(spark, sf_dir).select("doc_id", F.col("block").alias("b")).distinct()
+    box = F.expr("named_struct('x', 0, 'y', cast(b * 120 as int), 'w', 600, 'h', 114)")
+    kind = F.expr("CASE b % 6 WHEN 1 THEN 'caption' WHEN 2 THEN 'figure' ELSE 'paragraph' END")
+    own = F.concat(F.lit("word"), "b")
+    truth = b.select("doc_id", F.format_string("g%05d", "b").alias("gt"), kind.alias("type"), F.col("b").alias("ord"), F.when(kind == "figure", box).alias("bbox"), F.when(F.col("b") % 6 == 4, "missed").otherwise(own).alias("anchor"))
+    said = F.when(kind == "caption", F.concat(F.lit("Figura "), F.col("b") % 900, F.lit(" | "), own)).when(kind == "figure", ((F.col("b") - 1) % 900).cast("string")).otherwise(own)
+    seen = F.expr("CASE WHEN b % 6 = 5 THEN 'heading' WHEN b % 6 = 2 THEN 'figure' ELSE 'paragraph' END")
+    found = b.select("doc_id", F.col("b").alias("block"), seen.alias("type"), F.col("b").alias("rank"), box.alias("bbox"), said.alias("text"), F.array(F.lit(100_000) - F.col("b")).alias("native_ranks"))
+    return evaluate.grade(truth, found, ["doc_id"])
+
+
+def _assembled(spark, sf_dir):
+    w = words(spark, sf_dir).withColumns({"spread": F.format_string("page_%03d", F.expr("block div 8")), "subpage": F.when(F.expr("block div 4 % 2") == 0, "left").otherwise("right")})
+    key = ["doc_id", "spread", "subpage"]
+    pages = w.select(*key, "lang").distinct().withColumns({"width": F.lit(1300), "height": F.lit(2000), "language": F.col("lang"), "mode": F.lit("patch"), "image_asset": F.concat_ws("__", "spread", "subpage")}).drop("lang")
+    of_block = w.select(*key, "block").distinct().select(*key, "block", F.when(F.col("block") % 3 == 0, "heading").otherwise("paragraph").alias("type"), F.expr("named_struct('x', 0, 'y', block * 120, 'w', 600, 'h', 114)").alias("bbox"), (F.col("block") % 4).alias("reading_order"))
+    unsure = F.col("conf") < 45
+    of_word = w.select(*key, "block", "word", F.col("token").alias("text"), F.struct("x", "y", "w", "h").alias("bbox"), "conf", F.when(unsure, "patch").otherwise("keep").alias("decision"), "line", "disagree")
+    patches = w.filter(unsure).select(*key, "block", "word", F.format_string("document_assets/b%d_w%02d.png", "block", "word").alias("asset"))
+    settings = w.select("doc_id").distinct().withColumns({"target_language": F.lit(None).cast("string"), "order_mode": F.lit("review"), "strip_running_headers": F.lit(None).cast("boolean"), "strip_page_numbers": F.lit(False), "fonts": F.array(F.lit("Serif"))})
+    return assemble.documents(pages, of_block, of_word, patches, settings)
+
+
+def _round_trip(spark, sf_dir):
+    whole = _assembled(spark, sf_dir).drop("warnings")
+    return with_defaults(whole.select(F.from_json(F.to_json(F.struct("*")), schemas.DOCUMENT).alias("d")).select("d.*"))
+
+
+@query(f"""WITH {WORDS_SQL} SELECT doc_id AS document_id, printf('page_%03d', block // 8) || CASE WHEN (block // 4) % 2 = 0 THEN '__left' ELSE '__right' END AS page_id, block, word, token AS text, x, y, conf, line AS line_id, CASE WHEN conf < 45 THEN 'patch' ELSE 'keep' END AS decision,
+  disagree AS engine_disagree, token AS text_ocr, false AS edited, CASE WHEN conf < 45 THEN printf('document_assets/b%d_w%02d.png', block, word) END AS patch_asset FROM w""")
+def document_words(spark, sf_dir):
+    """Documents assembled, written as JSON, read again and laid flat: their words."""
+    w = schemas.words_of(_round_trip(spark, sf_dir))
+    return w.select(F.col("document_id").cast("bigint").alias("document_id"), "page_id", "block", F.col("word").cast("bigint").alias("word"), "text", "bbox.x", "bbox.y", "conf", "line_id", "decision", "engine_disagree", "text_ocr", "edited", "patch_asset")
+
+
+@query(f"""WITH {WORDS_SQL}, b AS (SELECT doc_id, block, any_value(lang) AS lang, count(*) AS n FROM w GROUP BY ALL)
+SELECT doc_id AS document_id, printf('page_%03d', block // 8) AS source_spread, CASE WHEN (block // 4) % 2 = 0 THEN 'left' ELSE 'right' END AS subpage, block % 4 AS pos, block AS id, CASE WHEN block % 3 = 0 THEN 'heading' ELSE 'paragraph' END AS type, block % 4 AS reading_order, n AS n_words,
+  '1.0' AS schema_version, lang AS source_language, 'patch' AS uncertainty_mode, 'review' AS order_mode, true AS strip_running_headers, false AS strip_page_numbers, false AS order_confirmed FROM b""")
+def document_round_trip(spark, sf_dir):
+    """The same documents' blocks, with their settings, in the order that they stand in."""
+    d = _round_trip(spark, sf_dir)
+    p = d.select(F.col("document_id").cast("bigint").alias("document_id"), "schema_version", "settings.*", F.explode("pages").alias("p"))
+    b = p.select("*", F.posexplode("p.blocks").alias("pos", "b"))
+    return b.select("document_id", "p.source_spread", "p.subpage", F.col("pos").cast("bigint").alias("pos"), "b.id", "b.type", "b.reading_order", F.size("b.words").cast("bigint").alias("n_words"), "schema_version", "source_language", "uncertainty_mode", "order_mode", "strip_running_headers", "strip_page_numbers", "b.order_confirmed")
+
+
+@query(f"""WITH {WORDS_SQL}, e AS (SELECT doc_id, block, word, CASE WHEN (doc_id + pos) % 11 = 0 THEN CASE WHEN pos % 3 = 0 THEN NULL ELSE token || '!' END END AS t, (doc_id + pos) % 11 = 0 AS hit, token FROM w)
+SELECT doc_id, block, word, CASE WHEN hit THEN coalesce(t, token) ELSE token END AS text, hit AND t IS NOT NULL AS edited FROM e""")
+def word_edits(spark, sf_dir):
+    """Words with their latest edits; an edit without text takes an earlier one back."""
+    w = words(spark, sf_dir)
+    rows = w.select("doc_id", "block", "word", F.col("token").alias("text"), F.col("token").alias("text_ocr"), F.lit(False).alias("edited"))
+    hit = w.filter("(doc_id + pos) % 11 = 0")
+    edits = hit.select("doc_id", "block", "word", F.lit(1).alias("at"), F.lit("first").alias("text")).union(hit.select("doc_id", "block", "word", F.lit(2).alias("at"), F.when(F.col("pos") % 3 != 0, F.concat("token", F.lit("!"))).alias("text")))
+    return document.merge_edits(rows, edits, ["doc_id", "block", "word"], ["at"]).drop("text_ocr")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'heading' ELSE 'paragraph' END AS auto FROM conversations),
+e AS (SELECT *, CASE WHEN turn % 4 = 1 THEN 'caption' ELSE auto END AS type, CASE WHEN turn % 5 = 2 THEN turn + 100 ELSE turn END AS reading_order, turn % 4 = 3 OR conv_id % 10 = 0 AS order_confirmed, CASE WHEN turn % 6 = 5 THEN 'rewritten' END AS text FROM c)
+SELECT conv_id, turn, type, reading_order, order_confirmed, text, type <> auto OR reading_order <> turn AS structure_edited FROM e""")
+def block_edits(spark, sf_dir):
+    """Blocks with edits of their type, order and text, confirmed one by one or with their whole page."""
+    c = table(spark, sf_dir, "conversations")
+    kind = F.when(F.col("turn") % 3 == 0, "heading").otherwise("paragraph")
+    b = document.enriched(c.select("conv_id", "turn", kind.alias("type"), F.col("turn").alias("reading_order")))
+    t = F.col("turn")
+    edits = c.select("conv_id", "turn", F.lit(1).alias("at"), F.when(t % 4 == 1, "caption").alias("type"), F.when(t % 5 == 2, t + 100).alias("reading_order"), F.when(t % 4 == 3, True).alias("order_confirmed"), F.when(t % 6 == 5, "rewritten").alias("text"))
+    confirmed = c.filter("conv_id % 10 = 0").select("conv_id").distinct()
+    return document.merge_block_edits(b, edits, confirmed, ["conv_id", "turn"], ["conv_id"], ["at"]).select("conv_id", "turn", "type", "reading_order", "order_confirmed", "text", "structure_edited")
+
+
+@query("""SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'bul' END AS target_language, CASE WHEN conv_id % 4 = 0 THEN 'patch' ELSE 'flag' END AS uncertainty_mode, conv_id % 5 <> 0 AS strip_page_numbers, 'eng' AS source_language FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def settings_edits(spark, sf_dir):
+    """Settings of documents with the latest edits of single fields."""
+    d = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    now = d.select("conv_id", F.struct(F.lit("eng").alias("source_language"), F.lit(None).cast("string").alias("target_language"), F.lit("flag").alias("uncertainty_mode"), F.lit(True).alias("strip_page_numbers")).alias("settings"))
+    c, n = F.col("conv_id"), F.lit(None).cast("string")
+    old = d.select("conv_id", F.lit(1).alias("at"), F.lit("deu").alias("target_language"), n.alias("uncertainty_mode"), F.lit(None).cast("boolean").alias("strip_page_numbers")).filter("conv_id % 3 = 0")
+    new = d.select("conv_id", F.lit(2).alias("at"), F.when(c % 3 == 0, "bul").alias("target_language"), F.when(c % 4 == 0, "patch").alias("uncertainty_mode"), F.when(c % 5 == 0, False).alias("strip_page_numbers"))
+    return document.merge_settings(now, old.union(new), ["conv_id"], ["at"]).select("conv_id", "settings.*")
+
+
+@query("""WITH b AS (SELECT conv_id, count(*) AS blocks, count(*) FILTER (turn % 4 = 0) AS figures, count(*) FILTER (turn % 3 = 0) AS rewritten, count(*) FILTER (turn % 2 = 0) AS unreviewed FROM conversations GROUP BY conv_id),
+w AS (SELECT conv_id, count(*) FILTER (length(text) % 3 <> 0) AS words, count(*) FILTER (length(text) % 2 = 0) AS visible FROM conversations WHERE turn % 5 <> 4 GROUP BY conv_id) SELECT * FROM b FULL JOIN w USING (conv_id)""")
+def document_facts(spark, sf_dir):
+    """Blocks, figures, rewritten and unreviewed ones, words and visible marks of documents."""
+    c = table(spark, sf_dir, "conversations")
+    b = c.select("conv_id", F.when(F.col("turn") % 4 == 0, "figure").otherwise("paragraph").alias("type"), F.when(F.col("turn") % 3 == 0, "x").alias("text"), (F.col("turn") % 2 == 0).alias("needs_review"))
+    w = c.filter("turn % 5 <> 4").select("conv_id", F.when(F.length("text") % 3 == 0, " \t ").otherwise("x").alias("token"), (F.length("text") % 2 == 0).alias("visible"))
+    return document.metrics(b, w, "conv_id")
+
+
+IMAGE_SQL = """im AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+px AS (SELECT vec_id, k // 8 AS y, k % 8 AS x, CAST(floor(abs(CAST(v AS DOUBLE)) * 1000) AS BIGINT) % 256 AS p FROM im)"""
+
+
+def _images(spark, sf_dir):
+    """Vectors as grey images of 8 by 8 pixels."""
+    p = F.transform("embedding", lambda v: (F.floor(F.abs(v.cast("double")) * 1000) % 256).cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), p.alias("pixels"))
+
+
+@query(f"""WITH {IMAGE_SQL}, l AS (SELECT c.vec_id, u.p + d.p + a.p + b.p - 4 * c.p AS l FROM px c JOIN px u ON u.vec_id = c.vec_id AND u.x = c.x AND u.y = c.y - 1 JOIN px d ON d.vec_id = c.vec_id AND d.x = c.x AND d.y = c.y + 1
+  JOIN px a ON a.vec_id = c.vec_id AND a.y = c.y AND a.x = c.x - 1 JOIN px b ON b.vec_id = c.vec_id AND b.y = c.y AND b.x = c.x + 1)
+SELECT vec_id, round(var_pop(l), 6) AS sharpness FROM l GROUP BY vec_id""")
+def image_sharpness(spark, sf_dir):
+    """The variance of each image's Laplacian."""
+    return pixels.facts(_images(spark, sf_dir), "vec_id").select("vec_id", F.round("sharpness", 6).alias("sharpness"))
+
+
+OTSU_SQL = f"""{IMAGE_SQL}, hist AS (SELECT vec_id, p, count(*) AS n FROM px GROUP BY ALL), lev AS (SELECT vec_id, p AS t, sum(n) OVER o AS below, sum(n * p) OVER o AS mass, sum(n) OVER (PARTITION BY vec_id) AS total, sum(n * p) OVER (PARTITION BY vec_id) AS whole FROM hist WINDOW o AS (PARTITION BY vec_id ORDER BY p)),
+bet AS (SELECT vec_id, t, CASE WHEN below < total THEN pow(CAST(whole * below - mass * total AS DOUBLE), 2) / CAST(below * (total - below) AS DOUBLE) ELSE -1 END AS b FROM lev), otsu AS (SELECT vec_id, arg_max(t, (b, -t)) AS t FROM bet GROUP BY vec_id)"""
+
+
+@query(f"""WITH {OTSU_SQL}, rng AS (SELECT range - 15 AS d FROM range(31)),
+rowsum AS (SELECT q.vec_id, q.y, c.x, sum(q.p) AS s FROM (SELECT range AS x FROM range(8)) c, rng JOIN px q ON q.x = greatest(0, least(7, c.x + rng.d)) GROUP BY ALL),
+boxsum AS (SELECT q.vec_id, c.y, q.x, sum(q.s) AS s FROM (SELECT range AS y FROM range(8)) c, rng JOIN rowsum q ON q.y = greatest(0, least(7, c.y + rng.d)) GROUP BY ALL),
+dark AS (SELECT px.vec_id, px.x, count(*) FILTER (px.p * 961 < s - 15 * 961) AS ink, avg(px.p) AS light FROM px JOIN boxsum USING (vec_id, x, y) GROUP BY ALL),
+ext AS (SELECT px.vec_id, px.x, coalesce(max(y) FILTER (p > t) - min(y) FILTER (p > t), 0) AS extent FROM px JOIN otsu USING (vec_id) GROUP BY ALL)
+SELECT vec_id, x::INT AS x, ink::DOUBLE AS ink, extent::DOUBLE AS extent, light FROM dark JOIN ext USING (vec_id, x)""")
+def image_profiles(spark, sf_dir):
+    """Of each image's columns the dark pixels, the extent of the bright ones, and the mean light."""
+    f = pixels.facts(_images(spark, sf_dir), "vec_id")
+    return f.select("vec_id", F.posexplode(F.arrays_zip("ink", "extent", "light")).alias("x", "v")).select("vec_id", "x", "v.ink", "v.extent", "v.light")
+
+
+@query(f"""WITH {OTSU_SQL} SELECT vec_id, sum(CASE WHEN p > t THEN 255 * (1 + (7 - x) * 8 + y) ELSE 0 END)::DOUBLE AS mark FROM px JOIN otsu USING (vec_id) GROUP BY vec_id""")
+def image_changes(spark, sf_dir):
+    """Images made black and white, turned left and summed up by place."""
+    def change(g):
+        return pixels.rotate(pixels.binarize(g, "otsu"), -90)
+
+    turned = pixels.transformed(_images(spark, sf_dir), "vec_id", change)
+    return turned.select("vec_id", F.aggregate(F.transform("pixels", lambda p, i: p * (i + 1)), F.lit(0.0), lambda s, v: s + v).alias("mark"))
+
+
+@query(f"""WITH {IMAGE_SQL} SELECT vec_id, sum(p * (1 + (2 * (y - 1)) * 12 + 2 * (x - 2)) + p * (2 + (2 * (y - 1)) * 12 + 2 * (x - 2)) + p * (1 + (2 * (y - 1) + 1) * 12 + 2 * (x - 2)) + p * (2 + (2 * (y - 1) + 1) * 12 + 2 * (x - 2)))::DOUBLE AS mark FROM px WHERE x >= 2 AND y >= 1 AND y < 5 GROUP BY vec_id""")
+def image_crops(spark, sf_dir):
+    """A part of each image at twice the size, cut where the image ends."""
+    def change(g):
+        return pixels.upscale(pixels.crop(g, 2, 1, 10, 4), 2)
+
+    cut = pixels.transformed(_images(spark, sf_dir), "vec_id", change)
+    return cut.select("vec_id", F.aggregate(F.transform("pixels", lambda p, i: p * (i + 1)), F.lit(0.0), lambda s, v: s + v).alias("mark"))
+
+
+@query(f"""WITH {IMAGE_SQL} SELECT vec_id, count(*) FILTER (least(abs(p % 180 - 5), 180 - abs(p % 180 - 5)) <= 10 AND abs(p - 100) <= 90 AND abs(p - 120) <= 100) AS n FROM px GROUP BY vec_id""")
+def background_pixels(spark, sf_dir):
+    """Pixels near a colour, its hue taken round the circle."""
+    def change(g):
+        return pixels.background(g % 180, g, g, (5, 100, 120), 10, 90, 100).astype(float)
+
+    found = pixels.transformed(_images(spark, sf_dir), "vec_id", change)
+    return found.select("vec_id", F.size(F.filter("pixels", lambda p: p > 0)).cast("bigint").alias("n"))
+
+
+@query(f"""WITH {IMAGE_SQL}, m AS (SELECT vec_id, p % 180 AS hue, p AS sat, 255 - p AS val FROM px WHERE y = 0 OR y = 7 OR x = 0 OR x = 7)
+SELECT vec_id, coalesce(median(hue) FILTER (val >= 120), median(hue)) AS hue, coalesce(median(sat) FILTER (val >= 120), median(sat)) AS sat, coalesce(median(val) FILTER (val >= 120), median(val)) AS val FROM m GROUP BY vec_id""")
+def margin_colours(spark, sf_dir):
+    """The median colour of images' margins, of the bright pixels where there are any."""
+    p = _images(spark, sf_dir).select("vec_id", F.posexplode("pixels").alias("k", "p"))
+    margin = F.expr("k div 8 in (0, 7) or k % 8 in (0, 7)")
+    return pixels.margin_colour(p.select("vec_id", margin.alias("margin"), (F.col("p") % 180).alias("hue"), F.col("p").alias("sat"), (255 - F.col("p")).alias("val")), ["vec_id"])
+
+
+@query("""WITH o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS y, count(*) OVER (PARTITION BY user_id) AS h FROM events),
+r AS (SELECT *, y % 30 BETWEEN 12 AND 22 AS seam FROM o),
+g AS (SELECT *, y - row_number() OVER (PARTITION BY user_id ORDER BY y) AS isl FROM r WHERE seam),
+c AS (SELECT user_id, (min(y) + max(y) + 1) // 2 AS cut FROM g GROUP BY user_id, isl HAVING min(y) > 0 AND max(y) + 1 < any_value(h) AND max(y) + 1 - min(y) >= greatest(8, floor(any_value(h) * 0.012::DOUBLE))),
+p AS (SELECT r.user_id, r.y, r.h, (SELECT count(*) FROM c WHERE c.user_id = r.user_id AND c.cut <= r.y) AS part FROM r WHERE NOT seam AND r.user_id IN (SELECT user_id FROM c)),
+b AS (SELECT user_id, part, min(y) AS y, max(y) - min(y) + 1 AS h, any_value(h) AS size FROM p GROUP BY user_id, part),
+k AS (SELECT * FROM b WHERE h >= 0.06::DOUBLE * size)
+SELECT user_id, y, h FROM k WHERE user_id IN (SELECT user_id FROM k GROUP BY user_id HAVING count(*) >= 2)""")
+def figure_bands(spark, sf_dir):
+    """Figures cut at the seams between their parts."""
+    at = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", (F.row_number().over(at) - 1).cast("bigint").alias("y"), F.count("*").over(Window.partitionBy("user_id")).alias("height"))
+    return layout.figure_bands(rows.withColumn("background", F.when(F.expr("y % 30 between 12 and 22"), 0.95).otherwise(0.2)), ["user_id"])
+
+
+@query(f"""WITH {BENCH_SQL}, t AS (SELECT item_id, list(token ORDER BY pos) AS t FROM bt WHERE token <> '' GROUP BY item_id) SELECT item_id, len(t) AS n, t[1] AS first, t[len(t)] AS last FROM t""")
+def token_lists(spark, sf_dir):
+    """Passages as tokens, with white space of all kinds between them."""
+    odd = F.concat(F.lit(" \n"), F.regexp_replace("text", "[ \t\n\r]+", "  \t"), F.lit("\r\n"))
+    t = table(spark, sf_dir, "benchmark").select("item_id", text.tokenize(odd).alias("t"))
+    return t.select("item_id", F.size("t").cast("bigint").alias("n"), F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'caption' WHEN 2 THEN 'heading' ELSE 'other' END AS after FROM events""")
+def caption_kinds(spark, sf_dir):
+    """Which kinds of blocks a header turns into captions: paragraphs, lists and others alone."""
+    m = F.col("event_id")
+    kind = F.when(m % 6 < 2, "paragraph").when(m % 6 == 2, "heading").otherwise("other")
+    said = F.when(m % 6 == 0, "siehe Abb. 3").when(m % 6 == 1, "oben : Abb. 12 - Haus").when(m % 6 == 2, "Abb. 3").when(m % 6 == 3, "Abb 1234").when(m % 6 == 4, "").otherwise(F.lit(None).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", matching.promote_captions(kind, captions.is_caption(said, F.lit("deu"))).alias("after"))
