@@ -118,6 +118,11 @@ def worker_state(key: str, make):
     return _STATE[key]
 
 
+def release_state() -> None:
+    """Give up what another operator keeps in this worker process."""
+    _STATE.clear()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

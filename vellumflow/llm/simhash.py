@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Buckets, Table, lower_words, roots, shuffle_partitions, written
+from .common import Buckets, Table, lower_words, release_state, roots, shuffle_partitions, written
 from .components import components
 
 SEED = 42
@@ -221,7 +221,7 @@ BUCKETS, PART = 1 << 18, 1 << 10
 #: Shingles of buckets from this frequency on, and from so many times the mean, are spread before they are grouped.
 HOT, HOT_TIMES, SPREAD = 4096, 8, 1024
 #: Texts are held each against one other in rounds, as long as this share of them prove near.
-FRUITFUL = 0.05
+FRUITFUL = 0.1
 #: Texts of a shingle that are compared by steps, and the most that one task compares at once.
 STEPS, CELL = 512, 4096
 #: Bits of the parities that all texts have alike.
@@ -265,14 +265,18 @@ def survey(texts: DataFrame, shingle: int) -> Table:
     texts, and (text_key, n, parity, sign), the size and parity of each text's shingle set, the latter over SIGN bits too."""
 
     def run(batches):
+        release_state()
         found = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            sets = [shingle_set(x, shingle) for x in b.column(1).to_pylist()]
-            for s in sets:
+            sizes, odd, signs = [], [], []
+            for x in b.column(1):
+                s = shingle_set(x.as_py(), shingle)
                 np.add.at(found, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-            m, odd = len(sets), [parity(s) for s in sets]
-            signs = [folded(np.frombuffer(x, np.uint8), SIGN // 8).tobytes() for x in odd]
-            yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(odd, pa.binary()), pa.array(signs, pa.binary())], names)
+                sizes.append(len(s))
+                odd.append(parity(s))
+                signs.append(folded(np.frombuffer(odd[-1], np.uint8), SIGN // 8).tobytes())
+            m = len(sizes)
+            yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), b.column(0), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary()), pa.array(signs, pa.binary())], names)
         parts = found.reshape(-1, PART)
         at = np.nonzero(parts.any(1))[0]
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array([parts[k].tobytes() for k in at], pa.binary()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), *[pa.nulls(len(at), pa.binary())] * 2], names)
@@ -307,11 +311,12 @@ def prefixes(texts: DataFrame, often: np.ndarray, shingle: int, similarity: floa
     warm = max(HOT, HOT_TIMES * float(often.mean()))
 
     def run(batches):
+        release_state()
         often = held.value
         for b in batches:
             rows, size = [], 0
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingle_set(text, shingle)
+            for name, text in zip(b.column(0).to_pylist(), b.column(1)):
+                s = shingle_set(text.as_py(), shingle)
                 n = len(s)
                 count = often[s & np.uint64(BUCKETS - 1)]
                 order = np.lexsort((s, count))[: n - math.ceil(similarity * n - ROUND) + 1]
@@ -456,17 +461,19 @@ def near_links(texts: Buckets, shingle: int, similarity: float, cell: int = CELL
 
     def as_sets(batches):
         for b in batches:
-            sets = [shingle_set(x, shingle).view(np.uint8).reshape(-1, 8)[:, 8 - KEPT :].tobytes() for x in b.column(2).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["b", "chunk", "hashes"])
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                sets = [shingle_set(x.as_py(), shingle).view(np.uint8).reshape(-1, 8)[:, 8 - KEPT :].tobytes() for x in part.column(2)]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["b", "chunk", "hashes"])
 
     def verify(batches):
         last, own = None, np.empty(0, np.uint64)
         for b in batches:
             ok = []
-            for a, text, other in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for a, text, other in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
                 if a != last:
-                    last, own = a, shingle_set(text, shingle) >> np.uint64(64 - 8 * KEPT)
-                ok.append(jaccard(own, unpacked(other)) >= similarity)
+                    last, own = a, shingle_set(text.as_py(), shingle) >> np.uint64(64 - 8 * KEPT)
+                ok.append(jaccard(own, unpacked(other.as_py())) >= similarity)
             yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def verified(met):
@@ -500,13 +507,13 @@ def near_links(texts: Buckets, shingle: int, similarity: float, cell: int = CELL
         links = found.df if links is None else links.union(found.df)
         place = components(links).select(F.col("node").alias("name"), "component")
         again = open_.df.drop("label").join(place.hint("merge"), "name", "left").withColumn("label", F.coalesce("component", "name")).drop("component")
-        # tokens whose texts are all connected have nothing more to tell
-        again = Table(of_token(again, lo=F.min("label"), hi=F.max("label")).filter("lo < hi").drop("lo", "hi"), "open")
+        again = Table(again, "open")
         open_.drop()
         open_ = again
         if found.df.count() <= FRUITFUL * met.df.count():
             break
-    rows = open_.df.join(signs.select(F.col("text_key").alias("name"), "sign").hint("merge"), "name")
+    # tokens whose texts are all connected have nothing more to tell
+    rows = of_token(open_.df, lo=F.min("label"), hi=F.max("label")).filter("lo < hi").drop("lo", "hi").join(signs.select(F.col("text_key").alias("name"), "sign").hint("merge"), "name")
     met = cells(rows, cell).repartition(shuffle_partitions(texts.spark), "cell").sortWithinPartitions("cell").mapInArrow(lambda it: crossings(it, similarity), "a bigint, b bigint")
     met = Table(met.distinct(), "candidates")
     links = links.union(verified(met).df)

@@ -34,6 +34,8 @@ SAMPLE = 8000
 SPAN, PIECE = 8, 256
 #: Words whose highest ratios are averaged, and the ratio from which a word speaks for toxicity.
 TOP, MILD = 4, 1.0
+#: Words whose ratios a worker keeps.
+MET = 200_000
 #: Least weight of the whole text's ratio, in its standard deviations.
 LEAST = 0.1
 #: Score from which a document is predicted toxic.
@@ -134,7 +136,7 @@ class Model:
         """The whole text's mean ratio, repeats included, and the three means of different words.
 
         Texts of fewer words are filled up with ratios of 0 in the latter, and an empty one has 0 for all."""
-        if len(self.words) > 500_000:
+        if len(self.words) > MET:
             self.words.clear()
         known, got = self.words, []
         counts = expressions(text)
