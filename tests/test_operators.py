@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,24 @@ def test_kendall_tau(spark):
     assert got["a"] == pytest.approx(1 / 3) and got["b"] == -1 and got["c"] is None
 
 
+def test_discordant_by_brute_force():
+    rng = random.Random(2)
+    for n in (0, 1, 2, 17, 200):
+        v = [rng.randint(0, 30) for _ in range(n)]
+        assert metrics.discordant(np.array(v, np.int64)) == sum(v[i] > v[j] for i in range(n) for j in range(i + 1, n))
+
+
+def test_kendall_tau_by_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.randint(0, 12), rng.choice([rng.random() < 0.5, True]) * rng.randint(0, 9) / 4) for g in range(5) for _ in range(g * 15)] + [(9, None, 1.0), (9, 1, None)]
+    got = {r.g: (r.concordant, r.discordant) for r in metrics.kendall_tau(spark.createDataFrame(rows, "g int, a int, b double"), ["g"], "a", "b").collect()}
+    for g in range(1, 5):
+        own = [(a, b) for k, a, b in rows if k == g]
+        turn = [(x[0] - y[0]) * (x[1] - y[1]) for i, x in enumerate(own) for y in own[:i]]
+        assert got[g] == (sum(t > 0 for t in turn), sum(t < 0 for t in turn))
+    assert got[9] == (0, 0)
+
+
 def test_errors(spark):
     rows = spark.createDataFrame([("w", ["a", "b", "c", "d"], ["a", "x", "c", "d"]), ("l", ["the", "cat", "sat"], ["the", "cot", "sat", "here"]), ("e", [], []), ("n", None, ["x"])], "k string, t array<string>, r array<string>")
     got = {x.k: x for x in metrics.token_errors(rows, "k", "t", "r").collect()}
@@ -222,6 +241,22 @@ def test_second_opinion(spark):
     assert second(spark, ["a", "bb"], ["bb", "a"], ["a", "bb"]) == []
 
 
+def test_disagreements(spark):
+    """Unsure regions neither take words nor vouch; a capitalised entry knows the word; only one against one counts."""
+    box = "struct<x:int,y:int,w:int,h:int>"
+    words = spark.createDataFrame([(1, k, (k * 10, 0, 8, 8), t) for k, t in enumerate(["das", "Hsus", "ist", "gorß,", "x"])], f"page int, pos int, box {box}, token string")
+    lexicon = spark.createDataFrame([("das",), ("Haus",), ("ist",), ("gro",)], "token string")
+
+    def found(text, conf, other=()):
+        regions = spark.createDataFrame([(1, 0, (0, 0, 100, 8), text, conf), *other], f"page int, region int, rbox {box}, text string, conf double")
+        return sorted(r.pos for r in matching.disagreements(words, regions, ["page"], lexicon).collect())
+
+    assert found("das Haus ist gro x", 0.9) == [1, 3]
+    assert found("das Haus ist gro x", 0.2) == []
+    assert found("das Haus ist gro x", 0.9, [(1, 1, (0, 0, 100, 8), "nothing here", 0.1)]) == [1, 3]
+    assert found("das Haus Haus ist gor x", 0.9) == []
+
+
 def test_hyphen_merge(spark):
     rows = [(1, 0, "compara-", 0, False), (1, 1, "tive", 1, False), (1, 2, "An-", 1, False), (1, 3, "Other", 2, False), (1, 4, "a-", 2, False), (1, 5, "b-", 3, False), (1, 6, "c", 4, False)]
     w = spark.createDataFrame(rows, "doc int, pos int, token string, line int, flagged boolean")

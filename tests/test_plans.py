@@ -17,7 +17,7 @@ def test_query_and_oracle(spark, sf, name):
     assert rows or name == "nms"
     if name in queries.ORACLES:
         c = duckdb.connect()
-        for t in ("documents", "benchmark", "conversations", "pages", "events", "embeddings", "labels", "part", "region"):
+        for t in ("documents", "benchmark", "conversations", "pages", "events", "embeddings", "labels", "part", "region", "nation"):
             c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
         want = c.sql(queries.ORACLES[name]).select(*[f'"{x}"' for x in columns]).fetchall()
 

@@ -125,6 +125,38 @@ def test_documents_round_trip(spark, tmp_path):
     assert schemas.words_of(tables.documents(spark, path)).first().text == "a" and schemas.blocks_of(tables.documents(spark, path)).first().type == "paragraph"
 
 
+def test_a_save_that_died(spark, tmp_path):
+    """Whatever a dead run left, the next one finds a whole document."""
+    path = str(tmp_path / "docs")
+    one, two = (spark.createDataFrame([(v, "d")], "schema_version string, document_id string") for v in ("1", "2"))
+    sinks.save_documents(one, path)
+    two.write.json(f"{path}.new")
+    (tmp_path / "docs").rename(tmp_path / "docs.bak")  # died between the renames
+    sinks.recover(spark, path)
+    assert tables.documents(spark, path).first().schema_version == "2"
+    (tmp_path / "docs").rename(tmp_path / "docs.bak2")
+    (tmp_path / "docs.new").mkdir()  # died while writing: no mark of success
+    sinks.recover(spark, path)
+    assert tables.documents(spark, path).first().schema_version == "1"
+
+
+def test_affix_rules(spark, tmp_path):
+    (tmp_path / "a.aff").write_text("FLAG long\nPFX Aa Y 1\nPFX Aa 0 re .\nSFX Bb Y 2\nSFX Bb y ied [^aeiou]y\nSFX Bb 0 ed/Cc [^y]\nSFX Xx N 1\nSFX Xx 0 er .\n")
+    (tmp_path / "a.dic").write_text("4\nwork/AaBb\ntry/Bb\nplay/XxAa\nplain\n")
+    forms = tables.hunspell(spark, str(tmp_path / "a.dic"), str(tmp_path / "a.aff"))
+    assert sorted(r.token for r in forms.collect()) == sorted(["work", "rework", "worked", "reworked", "try", "tried", "play", "player", "replay", "plain"])
+    assert tables.lexicon_works(forms, "tried").first().ok and not tables.lexicon_works(forms, "replayer").first().ok and tables.lexicon_works(forms, "").first().ok
+
+
+def test_stage_results(spark, tmp_path):
+    doc = {"source": "s", "mode": "flag", "threshold": 50.0, "counts": {"keep": 1}, "pages": [{"name": "left.png", "width": 5, "blocks": [{"id": 0, "type": "title", "words": []}], "patches": [{"file": "p", "bbox": {"x": 1, "y": 2, "w": 3, "h": 4}}]}]}
+    (tmp_path / "resolved.json").write_text(json.dumps(doc))
+    r = tables.stage_results(spark, str(tmp_path / "resolved.json"), "resolved").first()
+    assert (r.mode, r.counts, r.pages[0].blocks[0].type, r.pages[0].patches[0].bbox.h) == ("flag", {"keep": 1}, "title", 4)
+    for ddl in (v for k, v in vars(schemas).items() if k.isupper() and isinstance(v, str) and " " in v):
+        assert spark.createDataFrame([], ddl).columns
+
+
 def test_reports(spark, tmp_path):
     rows = spark.createDataFrame([("eng", 1, None)], "lang string, n int, wer double")
     for _ in range(2):
