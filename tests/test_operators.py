@@ -204,6 +204,25 @@ def test_orphans(spark):
     assert [(x.b, x.n_words, tuple(x.bbox), x["rank"]) for x in got] == [(5, 2, (800, 10, 50, 12), 0), (4, 1, (0, 0, 1, 1), 1)]
 
 
+def test_nearest_by_brute_force(spark):
+    """Near and far boxes, whatever the rings."""
+    rng = random.Random(7)
+
+    def boxes(n, spread):
+        return [(p, k, (rng.randint(0, spread), rng.randint(-spread, spread), rng.randint(0, 30), rng.randint(1, 30))) for p in (1, 2, 3) for k in range(n * (p - 1))]
+
+    one, two = boxes(12, 3000), boxes(9, 3000)
+    f, t = spark.createDataFrame(one, f"page int, i int, a {BOX}"), spark.createDataFrame(two, f"page int, j int, b {BOX}")
+
+    def gap(a, b):
+        return np.hypot(max(0, a[0] - b[0] - b[2], b[0] - a[0] - a[2]), max(0, a[1] - b[1] - b[3], b[1] - a[1] - a[3]))
+
+    want = {(p, i): min((gap(a, b), j) for q, j, b in two if q == p) for p, i, a in one if p > 1}
+    for rings in ((256, 2048), (1,), (300,)):
+        got = {(r.page, r.i): (r.gap, r.j) for r in spatial.nearest(f, t, ["page"], rings).collect()}
+        assert {k: j for k, (_, j) in got.items()} == {k: j for k, (_, j) in want.items()} and all(g == pytest.approx(want[k][0]) for k, (g, _) in got.items())
+
+
 def test_regions(spark):
     r = spark.createDataFrame([(1, 0, (0, 0, 100, 20)), (1, 1, (0, 0, 200, 20)), (1, 2, (0, 0, 100, 20))], f"page int, region int, rbox {BOX}")
     got = {x.pos: x.region for x in spatial.assign_regions(boxed(spark, [(10, 5, 20, 10), (150, 5, 20, 10), (500, 5, 9, 9)]), r, ["page"]).collect()}

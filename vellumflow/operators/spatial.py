@@ -58,10 +58,23 @@ def pairs_by_overlap(boxes: DataFrame, page: list[str], tile: int = TILE) -> Dat
     return met.filter(first & (overlap(a, b) > 0)).select(*page, "i", "j", overlap(a, b).alias("shared"), area(a).alias("area_i"), area(b).alias("area_j"), iou(a, b).alias("iou"))
 
 
-def nearest(froms: DataFrame, tos: DataFrame, page: list[str]) -> DataFrame:
-    """(page, i, j, gap): for each box (i, a) the box (j, b) of its page at the least edge distance, the first of equal ones."""
-    met = froms.join(tos, page).withColumn("gap", edge_gap(F.col("a"), F.col("b")))
-    return met.groupBy(*page, "i").agg(F.min(F.struct("gap", "j")).alias("m")).select(*page, "i", F.col("m.j").alias("j"), F.col("m.gap").alias("gap"))
+def nearest(froms: DataFrame, tos: DataFrame, page: list[str], rings: tuple[int, ...] = (TILE, 8 * TILE)) -> DataFrame:
+    """(page, i, j, gap): for each box (i, a) the box (j, b) of its page at the least edge distance, the first of equal ones.
+
+    Boxes look for others within a ring first, then a wider one; what lies that near shares a tile with the
+    ring, and a gap within it cannot be beaten from outside. Only boxes with nothing near meet their whole page."""
+    rest, found = froms.select(*page, "i", "a"), None
+    best = F.min(F.struct("gap", "j")).alias("m")
+    gap = edge_gap(F.col("a"), F.col("b"))
+    for r in rings:
+        a = F.col("a")
+        ring = rest.withColumn("ring", F.struct((a["x"] - r).alias("x"), (a["y"] - r).alias("y"), (a["w"] + 2 * r).alias("w"), (a["h"] + 2 * r).alias("h")))
+        met = covering(ring, "ring", r).join(covering(tos.select(*page, "j", "b"), "b", r), [*page, "tx", "ty"]).withColumn("gap", gap).filter(F.col("gap") <= r)
+        near = met.groupBy(*page, "i").agg(best)
+        found = near if found is None else found.union(near)
+        rest = rest.join(near.select(*page, "i"), [*page, "i"], "left_anti")
+    far = rest.join(tos.select(*page, "j", "b"), page).withColumn("gap", gap).groupBy(*page, "i").agg(best)
+    return found.union(far).select(*page, "i", F.col("m.j").alias("j"), F.col("m.gap").alias("gap"))
 
 
 def assign_regions(words: DataFrame, regions: DataFrame, page: list[str], tile: int = TILE) -> DataFrame:
