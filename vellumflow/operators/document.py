@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_html, is_blank, strip
+from .decisions import flag_visible
 
 #: Stages in order, and the HTML element of each block type.
 STAGES = ("ingest", "fuse", "split", "dewarp", "layout", "ocr", "resolve")
@@ -128,6 +129,18 @@ def block_bodies(words: DataFrame, blocks: DataFrame, by: list[str]) -> DataFram
     return blocks.join(made, by, "left").withColumn("body", F.coalesce(escape_html(F.col("text")), F.col("_body"), F.lit(""))).drop("_body")
 
 
+def block_html(kind: Column, body: Column, caption: Column, crop_uri: Column, gone: Column) -> Column:
+    """A block as HTML: a figure with its caption, an element of its type, or null if it is gone or blank."""
+    inner = F.coalesce(F.concat(F.lit('<img class="figure" src="'), crop_uri, F.lit('" alt="figure">')), F.lit('<div class="figure-missing">[figure]</div>'))
+    figure = F.concat(F.lit('<figure class="figure-block">'), inner, F.coalesce(F.concat(F.lit('<figcaption class="caption">'), caption, F.lit("</figcaption>")), F.lit("")), F.lit("</figure>"))
+    made = None
+    for t, (tag, css) in ELEMENTS.items():
+        one = F.concat(F.lit(f'<{tag} class="{css}">'), body, F.lit(f"</{tag}>"))
+        made = F.when(kind == t, one) if made is None else made.when(kind == t, one)
+    made = made.otherwise(F.concat(F.lit('<p class="other">'), body, F.lit("</p>")))
+    return F.when(gone, None).when(kind == "figure", figure).when(~is_blank(body), made)
+
+
 def page_html(blocks: DataFrame, page: list[str], page_name: str, strip_headers: bool = True, strip_numbers: bool = True) -> DataFrame:
     """(page, html): blocks (type, reading_order, pos, body, crop_uri) in order.
 
@@ -137,22 +150,16 @@ def page_html(blocks: DataFrame, page: list[str], page_name: str, strip_headers:
     kind, taken = F.col("type"), (F.lag("type").over(at) == "figure") & (F.col("type") == "caption")
     rows = blocks.withColumns({"_taken": F.coalesce(taken, F.lit(False)), "_caption": F.when(F.lead("type").over(at) == "caption", F.lead("body").over(at))})
     gone = F.col("_taken") | (F.lit(strip_headers) & (kind == "header")) | (F.lit(strip_numbers) & (kind == "page_number"))
-    inner = F.coalesce(F.concat(F.lit('<img class="figure" src="'), F.col("crop_uri"), F.lit('" alt="figure">')), F.lit('<div class="figure-missing">[figure]</div>'))
-    figure = F.concat(F.lit('<figure class="figure-block">'), inner, F.coalesce(F.concat(F.lit('<figcaption class="caption">'), F.col("_caption"), F.lit("</figcaption>")), F.lit("")), F.lit("</figure>"))
-    text = None
-    for t, (tag, css) in ELEMENTS.items():
-        made = F.concat(F.lit(f'<{tag} class="{css}">'), F.col("body"), F.lit(f"</{tag}>"))
-        text = F.when(kind == t, made) if text is None else text.when(kind == t, made)
-    text = text.otherwise(F.concat(F.lit('<p class="other">'), F.col("body"), F.lit("</p>")))
-    part = F.when(gone, None).when(kind == "figure", figure).when(~is_blank(F.col("body")), text)
+    part = block_html(kind, F.col("body"), F.col("_caption"), F.col("crop_uri"), gone)
     parts = F.array_sort(F.collect_list(F.when(F.col("_part").isNotNull(), F.struct("reading_order", "pos", "_part"))))
     lines = F.transform(parts, lambda s: s["_part"])
     return rows.withColumn("_part", part).groupBy(*page).agg(lines.alias("lines")).select(*page, F.array_join(F.concat(F.array(F.concat(F.lit('<section class="page" data-page="'), escape_html(F.col(page_name)), F.lit('">'))), F.col("lines"), F.array(F.lit("</section>"))), "\n").alias("html"))
 
 
 def stylesheet(fonts: Column) -> Column:
-    """A style sheet with the quoted fonts and then serif."""
-    stack = F.array_join(F.concat(F.transform(fonts, lambda f: F.concat(F.lit('"'), f, F.lit('"'))), F.array(F.lit("serif"))), ", ")
+    """A style sheet with the quoted fonts, or the one that stands in for none, and then serif."""
+    named = F.array_join(F.transform(fonts, lambda f: F.concat(F.lit('"'), f, F.lit('"'))), ", ")
+    stack = F.concat(F.coalesce(F.nullif(named, F.lit("")), F.lit('"Noto Serif", serif')), F.lit(", serif"))
     return F.concat(F.lit("body{font-family:"), stack, F.lit("}.flag{background:#fff3a0}.figure-block{margin:1em 0}"))
 
 
@@ -162,11 +169,52 @@ def font_faces(fonts: DataFrame) -> DataFrame:
     return fonts.filter("uri is not null").agg(F.array_join(F.array_sort(F.collect_list(rule)), "\n").alias("css"))
 
 
+def whole_html(title: Column, language: Column, css: Column, body: Column) -> Column:
+    """A document's HTML around its pages."""
+    head = F.concat(F.lit('<!doctype html>\n<html lang="'), escape_html(language), F.lit('">\n<head>\n<meta charset="utf-8">\n<title>'), escape_html(title), F.lit("</title>\n<style>"), css, F.lit("</style>\n</head>\n<body>\n"))
+    return F.concat(head, F.coalesce(body, F.lit("")), F.lit("\n</body>\n</html>\n"))
+
+
+#: Fixed value: what stands between two pages.
+SEPARATOR = '\n<hr class="section-sep">\n'
+
+
 def document_html(pages: DataFrame, documents: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, html): a document's pages in order; its language is the target one, else the source."""
-    body = pages.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "html"))), lambda s: s.html), '\n<hr class="page-break">\n').alias("body"))
-    lang = escape_html(F.coalesce(F.nullif("target_language", F.lit("")), F.col("source_language")))
-    return documents.join(body, doc, "left").select(doc, F.concat(F.lit('<!doctype html>\n<html lang="'), lang, F.lit('"><head><meta charset="utf-8"><style>'), F.col("css"), F.lit("</style></head><body>\n"), F.coalesce("body", F.lit("")), F.lit("\n</body></html>")).alias("html"))
+    body = pages.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "html"))), lambda s: s.html), SEPARATOR).alias("body"))
+    lang = F.coalesce(F.nullif("target_language", F.lit("")), F.col("source_language"))
+    return documents.join(body, doc, "left").select(doc, whole_html(F.col(doc).cast("string"), lang, F.col("css"), F.col("body")).alias("html"))
+
+
+def preview(documents: DataFrame) -> DataFrame:
+    """(document_id, html) of nested documents, without images: a figure is a box, a patch a mark.
+
+    A document is one row and is rendered inside it; nothing is shuffled."""
+    settings = F.col("settings")
+
+    def word(w):
+        return word_html(w["text"], flag_visible(w["decision"], w["edited"], w["text"], w["text_ocr"]), settings["uncertainty_mode"], F.lit(None).cast("string"), w["conf"])
+
+    def block(b):
+        said = F.array_join(F.transform(F.filter(b["words"], lambda w: ~is_blank(w["text"])), word), " ")
+        return F.struct(b["type"].alias("type"), F.coalesce(escape_html(b["text"]), said).alias("body"))
+
+    def page(p):
+        # equal orders keep the order that the blocks stand in
+        blocks = F.transform(F.array_sort(F.transform(p["blocks"], lambda b, i: F.struct(b["reading_order"].alias("at"), i.alias("i"), block(b).alias("b")))), lambda x: x["b"])
+        parts = F.element_at(F.transform(F.array(blocks), lambda bs: F.transform(bs, lambda b, i: part(b, F.get(bs, i - 1), F.get(bs, i + 1)))), 1)
+        lines = F.concat(F.array(F.concat(F.lit('<section class="page" data-page="'), escape_html(p["page_id"]), F.lit('">'))), F.array_compact(parts), F.array(F.lit("</section>")))
+        return F.array_join(lines, "\n")
+
+    def part(b, before, after):
+        kind = b["type"]
+        caption = F.when(after["type"] == "caption", after["body"])
+        gone = ((kind == "header") & settings["strip_running_headers"]) | ((kind == "page_number") & settings["strip_page_numbers"]) | ((kind == "caption") & F.coalesce(before["type"] == "figure", F.lit(False)))
+        return block_html(kind, b["body"], caption, F.lit(None).cast("string"), gone)
+
+    lang = F.coalesce(F.nullif(settings["target_language"], F.lit("")), settings["source_language"])
+    body = F.array_join(F.transform("pages", page), SEPARATOR)
+    return documents.select("document_id", whole_html(F.col("document_id"), lang, stylesheet(settings["fonts"]), body).alias("html"))
 
 
 def stage_status(ok: Column) -> Column:

@@ -22,6 +22,11 @@ def laplacian_variance(g: np.ndarray) -> float:
     return float((g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]).var())
 
 
+def grey(b: np.ndarray, g: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Luma of blue, green and red planes, rounded half up."""
+    return np.floor(0.114 * b + 0.587 * g + 0.299 * r + 0.5)
+
+
 def rotate(g: np.ndarray, degrees: int) -> np.ndarray:
     """Clockwise by a multiple of 90."""
     return np.rot90(g, -(degrees // 90) % 4)

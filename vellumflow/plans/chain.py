@@ -62,3 +62,12 @@ def summary(outcomes: DataFrame) -> DataFrame:
         F.bool_and("ok").alias("ok"), F.min_by("stage", F.when(~F.col("ok"), F.col("ord"))).alias("failed_stage"),
         F.count("*").alias("n_stages"), F.sum(F.size("warnings")).alias("n_warnings"),
     )
+
+
+def all_warnings(*tables: DataFrame) -> DataFrame:
+    """(page, warning): the warnings (page, warnings) of several stages together, repeated ones too."""
+    found = None
+    for t in tables:
+        one = t.select("page", F.explode("warnings").alias("warning"))
+        found = one if found is None else found.union(one)
+    return found

@@ -9,7 +9,7 @@ from ..functions import captions, text
 from ..operators import document, layout, matching, pixels, spatial
 from . import assemble, evaluate, schemas, stages
 from .derive import BLOCKS_SQL, FRAMES_SQL, WORDS_SQL, blocks, boxed, frames, table, tokens, words
-from .queries import AUROC_SQL, BENCH_SQL
+from .queries import AUROC_SQL, BENCH_SQL, ESCAPE_SQL
 from .registry import query
 from ..sources.tables import with_defaults
 
@@ -395,3 +395,43 @@ def caption_kinds(spark, sf_dir):
     kind = F.when(m % 6 < 2, "paragraph").when(m % 6 == 2, "heading").otherwise("other")
     said = F.when(m % 6 == 0, "siehe Abb. 3").when(m % 6 == 1, "oben : Abb. 12 - Haus").when(m % 6 == 2, "Abb. 3").when(m % 6 == 3, "Abb 1234").when(m % 6 == 4, "").otherwise(F.lit(None).cast("string"))
     return table(spark, sf_dir, "events").select("event_id", matching.promote_captions(kind, captions.is_caption(said, F.lit("deu"))).alias("after"))
+
+
+@query(f"""WITH {IMAGE_SQL} SELECT vec_id, CAST(sum(floor(0.114::DOUBLE * p + 0.587::DOUBLE * (p * 3 % 256) + 0.299::DOUBLE * (p * 7 % 256) + 0.5)) AS BIGINT) AS total FROM px GROUP BY vec_id""")
+def grey_images(spark, sf_dir):
+    """Colour images as grey ones, summed up."""
+    made = pixels.transformed(_images(spark, sf_dir), "vec_id", lambda p: pixels.grey(p, p * 3 % 256, p * 7 % 256))
+    return made.select("vec_id", F.aggregate("pixels", F.lit(0.0), lambda s, v: s + v).cast("bigint").alias("total"))
+
+
+ESCAPED = ESCAPE_SQL.format(c="t")
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS t, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations),
+h AS (SELECT conv_id, turn, i, CASE WHEN i % 4 = 1 AND i % 8 <> 5 THEN '<span class="flag" title="uncertain (conf ' || (i % 100) || ')">' || {ESCAPED} || '</span>' ELSE {ESCAPED} END AS html FROM c WHERE regexp_matches(t, '[^ \\t\\n\\r\\x0b\\f]')),
+b AS (SELECT conv_id, turn, string_agg(html, ' ' ORDER BY i) AS body FROM h GROUP BY ALL),
+a AS (SELECT conv_id, turn, CASE WHEN turn % 6 = 5 THEN 'own &lt;b&gt;' ELSE coalesce(body, '') END AS body, CASE turn % 5 WHEN 0 THEN 'heading' WHEN 1 THEN 'figure' WHEN 2 THEN 'caption' WHEN 3 THEN 'header' ELSE 'list' END AS k FROM conversations LEFT JOIN b USING (conv_id, turn)),
+p AS (SELECT conv_id, turn, CASE WHEN k = 'header' AND conv_id % 2 = 0 THEN NULL WHEN k = 'caption' AND lag(k) OVER o = 'figure' THEN NULL
+  WHEN k = 'figure' THEN '<figure class="figure-block"><div class="figure-missing">[figure]</div>' || coalesce('<figcaption class="caption">' || CASE WHEN lead(k) OVER o = 'caption' THEN lead(body) OVER o END || '</figcaption>', '') || '</figure>'
+  WHEN trim(body) = '' THEN NULL ELSE CASE k WHEN 'heading' THEN '<h2 class="heading">' || body || '</h2>' WHEN 'list' THEN '<p class="list">' || body || '</p>' WHEN 'header' THEN '<p class="header">' || body || '</p>' ELSE '<figcaption class="caption">' || body || '</figcaption>' END END AS part
+  FROM a WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT conv_id, string_agg(part, chr(10) ORDER BY turn) AS body FROM p GROUP BY conv_id)
+SELECT CAST(conv_id AS VARCHAR) AS document_id, '<!doctype html>' || chr(10) || '<html lang="' || CASE WHEN conv_id % 3 = 0 THEN 'bul' ELSE 'eng' END || '">' || chr(10) || '<head>' || chr(10) || '<meta charset="utf-8">' || chr(10) || '<title>' || conv_id || '</title>' || chr(10)
+  || '<style>body{{font-family:"Noto Serif", serif, serif}}.flag{{background:#fff3a0}}.figure-block{{margin:1em 0}}</style>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10)
+  || '<section class="page" data-page="p1">' || chr(10) || coalesce(body || chr(10), '') || '</section>' || chr(10) || '<hr class="section-sep">' || chr(10) || '<section class="page" data-page="p2">' || chr(10) || '</section>' || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) AS html FROM s""")
+def document_previews(spark, sf_dir):
+    """Nested documents as HTML: marks that still show, rewritten blocks, figures with captions, headers by the settings."""
+    t, c = F.col("turn"), table(spark, sf_dir, "conversations")
+    kind = F.expr("CASE turn % 5 WHEN 0 THEN 'heading' WHEN 1 THEN 'figure' WHEN 2 THEN 'caption' WHEN 3 THEN 'header' ELSE 'list' END")
+
+    def of_word(w, i):
+        n = i + 1
+        return F.struct(w.alias("text"), ((n % 100).cast("double")).alias("conf"), F.when(n % 4 == 1, "flag").otherwise("keep").alias("decision"), (n % 8 == 5).alias("edited"), w.alias("text_ocr"))
+
+    b = c.select("conv_id", t.cast("int").alias("reading_order"), t.cast("int").alias("id"), kind.alias("type"), F.when(t % 6 == 5, "own <b>").alias("text"), F.transform(F.split("text", " "), of_word).alias("words"))
+    pages = b.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("reading_order", "id", "type", "text", "words"))).alias("blocks"))
+    blank = F.filter("blocks", lambda x: F.lit(False))
+    d = F.col("conv_id")
+    settings = F.struct(F.lit("eng").alias("source_language"), F.when(d % 3 == 0, "bul").alias("target_language"), F.lit("flag").alias("uncertainty_mode"), (d % 2 == 0).alias("strip_running_headers"), F.lit(True).alias("strip_page_numbers"), F.array().cast("array<string>").alias("fonts"))
+    docs = pages.select(d.cast("string").alias("document_id"), settings.alias("settings"), F.array(F.struct(F.lit("p1").alias("page_id"), "blocks"), F.struct(F.lit("p2").alias("page_id"), blank.alias("blocks"))).alias("pages"))
+    return document.preview(docs)

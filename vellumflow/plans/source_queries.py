@@ -311,11 +311,27 @@ def median_heights(spark, sf_dir):
     return w.groupBy("doc_id").agg(metrics.median_height().alias("height"))
 
 
-@query(f"""SELECT page_id, '<!doctype html>' || chr(10) || '<html lang="' || CASE WHEN page_id % 3 = 0 THEN 'bul' ELSE 'eng' END || '"><head><meta charset="utf-8"><style>p{{}}</style></head><body>' || chr(10)
-  || '<p>{{}}</p>' || chr(10) || '<hr class="page-break">' || chr(10) || {ESCAPE_SQL.format(c="url")} || chr(10) || '</body></html>' AS html FROM pages""")
+@query(f"""SELECT page_id, '<!doctype html>' || chr(10) || '<html lang="' || CASE WHEN page_id % 3 = 0 THEN 'bul' ELSE 'eng' END || '">' || chr(10) || '<head>' || chr(10) || '<meta charset="utf-8">' || chr(10) || '<title>' || page_id || '</title>' || chr(10)
+  || '<style>p</style>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || '<p></p>' || chr(10) || '<hr class="section-sep">' || chr(10) || {ESCAPE_SQL.format(c="url")} || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) AS html FROM pages""")
 def document_pages(spark, sf_dir):
     """Documents of two pages each, in order, under their language."""
     p = table(spark, sf_dir, "pages")
-    parts = p.select("page_id", F.lit("p2").alias("page"), text.escape_html(F.col("url")).alias("html")).union(p.select("page_id", F.lit("p1").alias("page"), F.lit("<p>{}</p>").alias("html")))
-    docs = p.select("page_id", F.when(F.col("page_id") % 3 == 0, "bul").otherwise("").alias("target_language"), F.lit("eng").alias("source_language"), F.lit("p{}").alias("css"))
+    parts = p.select("page_id", F.lit("p2").alias("page"), text.escape_html(F.col("url")).alias("html")).union(p.select("page_id", F.lit("p1").alias("page"), F.lit("<p></p>").alias("html")))
+    docs = p.select("page_id", F.when(F.col("page_id") % 3 == 0, "bul").otherwise("").alias("target_language"), F.lit("eng").alias("source_language"), F.lit("p").alias("css"))
     return document.document_html(parts, docs, "page_id")
+
+
+@query("""WITH f AS (SELECT 'u' || user_id || '/' || CASE event_id % 3 WHEN 0 THEN 'frame_' WHEN 1 THEN 'frame_x' ELSE 'note_' END || event_id || '.png' AS path, event_id FROM events)
+SELECT path FROM f WHERE event_id % 3 = 0 AND event_id % 7 <> 0""")
+def stale_frames(spark, sf_dir):
+    """Frames of an earlier run that this one did not make again; other files stay out of it."""
+    path = F.expr("concat('u', user_id, '/', CASE event_id % 3 WHEN 0 THEN 'frame_' WHEN 1 THEN 'frame_x' ELSE 'note_' END, event_id, '.png')")
+    e = table(spark, sf_dir, "events").select(path.alias("path"), "event_id")
+    return tables.stale(e.select("path"), e.filter("event_id % 7 = 0"), r"^frame_[0-9]+\.png$")
+
+
+@query("""SELECT 'p' || user_id AS page, 'dark' AS warning FROM events WHERE event_type = 'view' UNION ALL SELECT 'p' || user_id, 'blur' FROM events WHERE event_type = 'view' UNION ALL SELECT 'p' || user_id, 'dark' FROM events WHERE event_type = 'error'""")
+def page_warnings(spark, sf_dir):
+    """Warnings of two stages together; what both say stands twice."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("p"), "user_id").alias("page"), "event_type")
+    return chain.all_warnings(e.filter("event_type = 'view'").select("page", F.array(F.lit("dark"), F.lit("blur")).alias("warnings")), e.filter("event_type = 'error'").select("page", F.array(F.lit("dark")).alias("warnings")))

@@ -27,6 +27,12 @@ def numbered(files: DataFrame, raw_decoder: bool = False) -> DataFrame:
     return kept.withColumn("frame", F.row_number().over(Window.partitionBy(folder).orderBy("path")) - 1).select("path", "suffix", "frame", (F.col("suffix").isin(*RAWS) & F.lit(not raw_decoder)).alias("skipped"), *rest)
 
 
+def stale(found: DataFrame, made: DataFrame, pattern: str) -> DataFrame:
+    """Files (path) of an earlier run: those whose names fit the pattern and that this run did not make."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return found.filter(name.rlike(pattern)).join(made.select("path"), "path", "left_anti")
+
+
 def words_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Recognised words from tab-separated files: level 5, text that is not blank, confidence of 0 or more; text is stripped.
 
