@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 
@@ -17,31 +18,64 @@ def labels(spark):
     return spark.createDataFrame([(i, i % 2, 1 if i % 5 == 0 else 0) for i in range(60)] + [(None, 1, 1), (3, None, None), (3, 1, 0)], LABELS)
 
 
-def kn_brute(counts, shared, gram):
+class Plain:
+    """Kneser-Ney over shorter contexts, by dictionaries, from the distinct grams of both classes."""
+
+    def __init__(self, seen):
+        self.levels = []
+        while len(next(iter(seen))) > 1:
+            counts = {}
+            for g in seen:
+                counts[g[1:]] = counts.get(g[1:], 0) + 1
+            values = list(counts.values())
+            one, two = values.count(1), values.count(2)
+            self.levels.append((counts, one / (one + 2 * two) if one and two else 0.5))
+            seen = set(counts)
+        self.floor = 1 / (len(seen) + 1)
+
+    def probability(self, gram):
+        p = self.floor
+        for length, (counts, d) in enumerate(reversed(self.levels), 1):
+            g = gram[-length:]
+            own = {x: n for x, n in counts.items() if x[:-1] == g[:-1]}
+            if own:
+                p = (max(own.get(g, 0) - d, 0) + d * len(own) * p) / sum(own.values())
+        return p
+
+
+def kn_brute(counts, plain, gram):
     """Interpolated Kneser-Ney of one class, straight from the definition."""
     values = list(counts.values())
     one, two = values.count(1), values.count(2)
     d = one / (one + 2 * two) if one and two else 0.5
     h = {g: n for g, n in counts.items() if g[:-1] == gram[:-1]}
-    p = shared.probability(gram)
+    p = plain.probability(gram)
     return (max(counts.get(gram, 0) - d, 0) + d * len(h) * p) / sum(h.values()) if h else p
 
 
+def learnt(toxic, ordinary):
+    every = sorted(set(toxic) | set(ordinary))
+    codes = toxicity.code_points("".join(every)).reshape(-1, toxicity.ORDER)
+    return every, toxicity.ratios(codes, *(np.array([float(c.get(g, 0)) for g in every]) for c in (toxic, ordinary)))
+
+
 def test_ratios_are_kneser_ney():
-    toxic = {g: n for n, w in ((3, "bad"), (1, "bag"), (2, "cab")) for g in toxicity.grams(w)}
-    ordinary = {g: n for n, w in ((5, "dab"), (1, "bad"), (2, "cab")) for g in toxicity.grams(w)}
-    shared = toxicity.Shared(set(toxic) | set(ordinary))
-    seen, contexts = toxicity.ratios(toxic, ordinary)
-    m = toxicity.Model(seen, contexts)
-    for w in ("bad", "bag", "dab", "zzz", "bax"):
-        want = sum(np.log(kn_brute(toxic, shared, g) / kn_brute(ordinary, shared, g)) for g in toxicity.grams(w))
-        assert m.word(w) == pytest.approx(want)
+    toxic = dict(toxicity.gram_counts({"bad": 3, "bag": 1, "cab": 2, "\x00é": 1}))
+    ordinary = dict(toxicity.gram_counts({"dab": 5, "bad": 1, "cab": 2, "😀": 2}))
+    plain = Plain(set(toxic) | set(ordinary))
+    seen = {g[:-1] for g in (*toxic, *ordinary)}
+    words = ["bad", "bag", "dab", "zzz", "bax", "\x00é", "😀", "", "b"]
+    got = toxicity.Model(learnt(toxic, ordinary)[1]).words(words)
+    for w, r in zip(words, got):
+        want = sum(np.log(kn_brute(toxic, plain, g) / kn_brute(ordinary, plain, g)) for g in toxicity.grams(w) if g[:-1] in seen)
+        assert r == pytest.approx(want)
 
 
 def test_shared_model_sums_to_one():
-    shared = toxicity.Shared({g for w in ("bad", "bag", "cab", "dab") for g in toxicity.grams(w)})
-    letters = "abcdg" + toxicity.START + toxicity.STOP
-    total = sum(shared.probability("\x02\x02ba"[-3:] + c) for c in letters)
+    every = sorted(toxicity.gram_counts({w: 1 for w in ("bad", "bag", "cab", "dab", "dad")}))
+    p, plain = toxicity.shared(toxicity.code_points("".join(every)).reshape(-1, toxicity.ORDER)), Plain(set(every))
+    assert p == pytest.approx([plain.probability(g) for g in every])
+    total = sum(plain.probability("\x02\x02ba"[-3:] + c) for c in "abcdg" + toxicity.START + toxicity.STOP)
     assert total <= 1 + 1e-9 and total > 0.8
 
 
@@ -58,8 +92,9 @@ def test_toxicity_learns_whole_words(spark):
     plain = ["".join(rng.choice("abcdefgh") for _ in range(600)) for _ in range(40)]
     rows = [(i, t[:300] + ("zqzqxzqx" if i % 2 else "") + t[300:]) for i, t in enumerate(plain)]
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
-    seen, *_ = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
-    assert seen["qzqxz"] > 0
+    found, *_ = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
+    at = np.searchsorted(found.grams, toxicity.hashed(toxicity.code_points("qzqxz")[None, :])[0])
+    assert found.grams[at] == toxicity.hashed(toxicity.code_points("qzqxz")[None, :])[0] and found.ratio[at] > 0
     assert toxicity.gram_counts({"a" * 1000: 2})["aaaaa"] == 2 * 996
 
 
@@ -87,8 +122,9 @@ def test_toxicity_score_against_brute_force(spark):
             s = "\x02" * 4 + w + "\x03"
             for k in range(len(s) - 4):
                 counts[t][s[k : k + 5]] = counts[t].get(s[k : k + 5], 0) + 1
-    shared = toxicity.Shared(set(counts[0]) | set(counts[1]))
+    shared = Plain(set(counts[0]) | set(counts[1]))
 
+    @functools.cache
     def ratio(w):
         def of(part):
             s = "\x02" * 4 + part + "\x03"

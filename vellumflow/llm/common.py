@@ -78,6 +78,11 @@ class Table:
         self.df = self.spark.read.schema(schema).parquet(self.path)
         self._at_exit = delete_at_exit(self.spark, self.path)
 
+    def append(self, df: DataFrame) -> None:
+        """Add rows; plans over the table stay as they are, however often it grows."""
+        df.write.option("compression", "zstd").mode("append").parquet(self.path)
+        self.df = self.spark.read.schema(self.df.schema).parquet(self.path)
+
     def drop(self) -> None:
         delete(self.spark, self.path)
         atexit.unregister(self._at_exit)

@@ -476,7 +476,7 @@ def near_links(texts: Buckets, shingle: int, similarity: float, cell: int = CELL
                 ok.append(jaccard(own, unpacked(other.as_py())) >= similarity)
             yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def verified(met):
+    def verify_into(links: Table | None, met: Table) -> Table:
         pairs = met.df
         for end in "ab":
             one = signs.select(F.col("text_key").alias(end), F.col("n").alias(f"n_{end}"), F.col("parity").alias(f"p_{end}"))
@@ -487,39 +487,47 @@ def near_links(texts: Buckets, shingle: int, similarity: float, cell: int = CELL
         dealt = left.df.join(chunks.hint("merge"), "b").select("a", "b", F.pmod(F.xxhash64("a"), "chunks").alias("chunk"))
         wanted = chunks.join(texts.df.hint("merge"), F.col("b") == F.col("text_key")).select("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), "text")
         sent = dealt.join(wanted.mapInArrow(as_sets, "b bigint, chunk bigint, hashes binary").hint("merge"), ["b", "chunk"])
-        both = sent.join(texts.df.hint("merge"), F.col("a") == F.col("text_key")).select("a", "b", "text", "hashes")
-        links = Table(both.mapInArrow(verify, "a bigint, b bigint"), "links")
+        both = sent.join(texts.df.hint("merge"), F.col("a") == F.col("text_key")).select("a", "b", "text", "hashes").mapInArrow(verify, "a bigint, b bigint")
+        if links is None:
+            links = Table(both, "links")
+        else:
+            links.append(both)
         left.drop()
         return links
 
-    links, held = None, []
+    links = tried = None
+    rounds, near_before = 0, 0
     while True:
-        own = F.struct("label", F.xxhash64("name", F.lit(len(held))).alias("lot"), "name", "n", "pos")
+        own = F.struct("label", F.xxhash64("name", F.lit(rounds)).alias("lot"), "name", "n", "pos")
         ends = of_token(open_.df, lo=F.min(own), hi=F.max(own)).filter("lo.label < hi.label")
         to = F.when(F.col("lo.label") != F.col("label"), F.col("lo")).otherwise(F.col("hi"))
         pairs = ends.withColumn("to", to).filter(may_link(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos"), similarity, F.least, F.greatest))
         pairs = pairs.groupBy(F.col("name").alias("a"), F.col("to.name").alias("b")).agg(F.count("*").alias("shared"))
-        for t in held:
-            pairs = pairs.join(t.df.union(t.df.select("b", "a")).hint("merge"), ["a", "b"], "left_anti")
-        met = Table(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", F.xxhash64("b", F.lit(len(held))))).alias("b")), "candidates")
-        held.append(met)
-        found = verified(met)
-        links = found.df if links is None else links.union(found.df)
-        place = components(links).select(F.col("node").alias("name"), "component")
+        if tried is not None:
+            pairs = pairs.join(tried.df.union(tried.df.select("b", "a")).hint("merge"), ["a", "b"], "left_anti")
+        met = Table(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", F.xxhash64("b", F.lit(rounds)))).alias("b")), "candidates")
+        links = verify_into(links, met)
+        place = components(links.df).select(F.col("node").alias("name"), "component")
         again = open_.df.drop("label").join(place.hint("merge"), "name", "left").withColumn("label", F.coalesce("component", "name")).drop("component")
         again = Table(again, "open")
         open_.drop()
-        open_ = again
-        if found.df.count() <= FRUITFUL * met.df.count():
+        open_, rounds, asked, found = again, rounds + 1, met.df.count(), links.df.count()
+        if found - near_before <= FRUITFUL * asked:
             break
+        near_before = found
+        if tried is None:
+            tried = met
+        else:
+            tried.append(met.df)
+            met.drop()
     # tokens whose texts are all connected have nothing more to tell
     rows = of_token(open_.df, lo=F.min("label"), hi=F.max("label")).filter("lo < hi").drop("lo", "hi").join(signs.select(F.col("text_key").alias("name"), "sign").hint("merge"), "name")
-    met = cells(rows, cell).repartition(shuffle_partitions(texts.spark), "cell").sortWithinPartitions("cell").mapInArrow(lambda it: crossings(it, similarity), "a bigint, b bigint")
-    met = Table(met.distinct(), "candidates")
-    links = links.union(verified(met).df)
-    for t in (open_, surveyed, met, *held):
+    last = cells(rows, cell).repartition(shuffle_partitions(texts.spark), "cell").sortWithinPartitions("cell").mapInArrow(lambda it: crossings(it, similarity), "a bigint, b bigint")
+    last = Table(last.distinct(), "candidates")
+    links = verify_into(links, last)
+    for t in (open_, surveyed, met, last, *([tried] if tried is not None and tried is not met else [])):
         t.drop()
-    return links
+    return links.df
 
 
 def unpacked(packed: bytes) -> np.ndarray:
