@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import captions, text
-from ..operators import document, layout, matching, pixels, spatial
+from ..operators import document, layout, matching, pixels
+from ..sources.tables import with_defaults
 from . import assemble, evaluate, schemas, stages
 from .derive import BLOCKS_SQL, FRAMES_SQL, WORDS_SQL, blocks, boxed, frames, table, tokens, words
 from .queries import AUROC_SQL, BENCH_SQL, ESCAPE_SQL
 from .registry import query
-from ..sources.tables import with_defaults
 
 BASE_SQL = f"""{FRAMES_SQL}, m AS (SELECT *, max(area) OVER (PARTITION BY device) AS most FROM f),
 b AS (SELECT device, frame AS base FROM (SELECT device, frame, row_number() OVER (PARTITION BY device ORDER BY sharpness DESC, frame) AS rn FROM m WHERE area >= 0.7::DOUBLE * most) WHERE rn = 1),

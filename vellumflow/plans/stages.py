@@ -4,7 +4,7 @@ What needs a camera, a model or a recogniser (feature matches, detections, words
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import poly_basis
@@ -84,7 +84,7 @@ def laid_out(pages: DataFrame, dets: DataFrame, bands: DataFrame, page: list[str
     ``pages`` is (page, page_w, page_h), ``dets`` (page, det, label, bbox, conf), ``bands`` (page, det, y, h)."""
     cut = layout.split_figures(dets, bands, page)
     # the parts of a figure are detections of their own
-    part = F.row_number().over(layout.Window.partitionBy(*page).orderBy("det", F.col("bbox.y"))) - 1
+    part = F.row_number().over(Window.partitionBy(*page).orderBy("det", F.col("bbox.y"))) - 1
     numbered = cut.withColumn("det", part.cast("bigint")).join(pages, page)
     return layout.whole_page(pages, layout.blocks_of(numbered, page), page)
 
