@@ -18,6 +18,32 @@ b AS (SELECT device, frame AS base FROM (SELECT device, frame, row_number() OVER
 r AS (SELECT m.device, frame, CASE WHEN frame = base THEN 'base' WHEN area >= 0.7::DOUBLE * most THEN 'full' ELSE 'closeup' END AS role FROM m JOIN b USING (device))"""
 
 
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, event_id % 9 = 0 AS skipped, 100 + event_id % 50 AS w, 120 AS h,
+  CASE WHEN event_id % 7 = 0 THEN 90 WHEN event_id % 3 = 0 AND value / 10 >= 1 THEN 180 WHEN event_id % 5 <> 0 AND value / 8 >= 2 THEN 270 ELSE 0 END AS turn,
+  CASE WHEN event_id % 7 = 0 THEN 'hint' WHEN event_id % 3 = 0 AND value / 10 >= 1 THEN 'baseline' WHEN event_id % 5 <> 0 AND value / 8 >= 2 THEN 'osd' ELSE 'none' END AS m FROM events),
+x AS (SELECT *, CASE WHEN skipped THEN 1 ELSE CASE WHEN m IN ('hint', 'baseline') THEN 0 WHEN event_id % 5 = 0 THEN 1 WHEN value / 8 < 2 THEN 1 ELSE 0 END + CASE WHEN m = 'none' AND w > h THEN 1 ELSE 0 END END AS n FROM e)
+SELECT user_id, 'file:/in/u' || user_id AS source, CAST(count(*) FILTER (NOT skipped) AS INT) AS n_frames, string_agg(printf('frame_%02d.png', idx), ',' ORDER BY idx) FILTER (NOT skipped) AS names,
+  sum(turn) FILTER (NOT skipped)::BIGINT AS turned, sum(CASE WHEN turn % 180 <> 0 THEN h ELSE w END) FILTER (NOT skipped)::BIGINT AS width, string_agg(m, ',' ORDER BY idx) FILTER (NOT skipped) AS methods, sum(n)::INT AS n_warnings FROM x GROUP BY user_id""")
+def ingested_captures(spark, sf_dir):
+    """Captures taken in: frames numbered, turned by the evidence that there is, raw ones left out with a warning."""
+    at = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    f = e.select(
+        "user_id", (F.row_number().over(at) - 1).alias("idx"), F.concat(F.lit("file:/in/u"), "user_id", F.lit("/f"), i, F.lit(".jpg")).alias("path"), F.lit(".jpg").alias("suffix"), (i % 9 == 0).alias("skipped"),
+        (100 + i % 50).cast("int").alias("width"), F.lit(120).alias("height"), "value", F.col("value").alias("sharpness"), F.lit(None).cast("int").alias("exif"), F.when(i % 7 == 0, 90).alias("hint"),
+        F.when(i % 3 == 0, 180).alias("baseline"), (F.col("value") / 10).alias("baseline_conf"), F.when(i % 5 != 0, 270).alias("osd"), (F.col("value") / 8).alias("osd_conf"),
+    )
+    r = stages.ingest(f, ["user_id"])
+
+    def total(c):
+        return F.aggregate("frames", F.lit(0).cast("bigint"), lambda s, x: s + x[c])
+
+    def joined(c):
+        return F.array_join(F.transform("frames", lambda x: x[c]), ",")
+
+    return r.select("user_id", "source", "n_frames", joined("name").alias("names"), total("applied_rotate").alias("turned"), total("width").alias("width"), joined("orient_method").alias("methods"), F.size("warnings").alias("n_warnings"))
+
+
 @query(f"""WITH {BASE_SQL},
 c AS (SELECT *, CASE WHEN frame % 5 = 0 THEN 'too few features' WHEN frame % 40 < 15 THEN 'only ' || (frame % 40) || ' good matches' WHEN frame % 7 = 0 THEN 'no homography' WHEN frame % 31 < 15 THEN 'only ' || (frame % 31) || ' inliers'
   WHEN frame % 3 = 0 THEN 'degenerate homography (det=0.040)' ELSE 'ok' END AS note FROM r WHERE role = 'closeup'),

@@ -115,6 +115,15 @@ def affix_forms(spark, sf_dir):
     return tables.hunspell(spark, dic, aff)
 
 
+@query("""SELECT unnest(['walk', 'walks', 'unwalk', 'unwalks', 'sofia', 'varna']) AS token""")
+def loaded_lexicon(spark, sf_dir):
+    """The lexicon of the first path that has one: a dictionary with its affixes, and the names beside it."""
+    root = sinks.scratch(spark, "lexicons")
+    for name, lines in (("en.dic", "1\nwalk/SU"), ("en.aff", AFFIXES), ("en.geo.txt", "Sofia Varna"), ("other.txt", "never")):
+        spark.createDataFrame([(lines,)], "value string").write.text(f"{root}/{name}")
+    return tables.lexicon(spark, ["", f"{root}/missing.txt", f"{root}/en.txt", f"{root}/other.txt"])
+
+
 @query(f"""WITH {BENCH_SQL}, t AS (SELECT DISTINCT lower(token) AS token FROM bt), x AS (SELECT DISTINCT CASE WHEN length(token) % 3 = 1 THEN upper(left(token, 1)) || lower(substr(token, 2)) ELSE token END AS w FROM bt WHERE length(token) % 3 <> 0)
 SELECT token, EXISTS (SELECT 1 FROM x WHERE w = token) OR EXISTS (SELECT 1 FROM x WHERE w = upper(left(token, 1)) || substr(token, 2)) AS known FROM t WHERE regexp_matches(token, '^[a-z]+$')""")
 def lexicon_known(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import poly_basis
+from ..functions.scalars import frame_name, orientation
 from ..functions.text import normalize_text, tokenize
 from ..operators import layout, metrics, spatial
 from .assemble import attach_words
@@ -16,6 +17,24 @@ from .assemble import attach_words
 INLIERS_LEAST, DETERMINANT = 15, (0.05, 20.0)
 
 
+def ingest(frames: DataFrame, by: list[str]) -> DataFrame:
+    """(by, source, n_frames, frames, warnings): a row for each capture, its frames in order with what turned them.
+
+    ``frames`` is (by, idx, path, suffix, skipped, width, height, sharpness, exif, hint, baseline, baseline_conf, osd,
+    osd_conf); a raw file that was skipped is a warning, and its number stays free."""
+    o = orientation(F.col("hint"), F.col("baseline"), F.col("baseline_conf"), F.col("osd"), F.col("osd_conf"), F.col("width"), F.col("height"))
+    rows = frames.withColumns({"o": o, "file": F.regexp_extract("path", r"([^/]+)$", 1)})
+    turned = F.col("o.rotate") % 180 != 0
+    frame = F.struct(
+        frame_name(F.col("idx"), F.lit(".png")).alias("name"), F.col("file").alias("source"), F.when(turned, F.col("height")).otherwise(F.col("width")).alias("width"), F.when(turned, F.col("width")).otherwise(F.col("height")).alias("height"),
+        "sharpness", F.col("exif").alias("exif_orientation"), F.col("osd").alias("osd_rotate"), "osd_conf", F.col("o.rotate").alias("applied_rotate"), F.col("o.method").alias("orient_method"),
+    )
+    said = F.when(F.col("skipped"), F.array(F.concat(F.lit("raw frame skipped: "), "file"))).otherwise(F.col("o.warnings"))
+    kept = F.array_sort(F.collect_list(F.when(~F.col("skipped"), F.struct("idx", frame.alias("f")))))
+    found = rows.groupBy(*by).agg(F.transform(kept, lambda x: x["f"]).alias("frames"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", said.alias("w")))), lambda x: x["w"])).alias("warnings"), F.min(F.regexp_replace("path", r"/[^/]+$", "")).alias("source"))
+    return found.select(*by, "source", F.size("frames").alias("n_frames"), "frames", "warnings")
+
+
 def stitched(good: Column, inliers: Column, determinant: Column, least: int = INLIERS_LEAST) -> Column:
     """struct(matched, inliers, note): whether a close-up was found on its base, from what matching features gave.
 

@@ -130,6 +130,28 @@ def hunspell(spark: SparkSession, dic: str, aff: str) -> DataFrame:
     return forms.select(F.col("form").alias("token")).distinct()
 
 
+def lexicon(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """(token): the lexicon of the first path that can be used, or None, which disables what needs one.
+
+    A path stands for a dictionary with its affixes (.dic and .aff), joined by a list of names beside it
+    (.geo.txt) if there is one, or for a list of words (.txt); an empty list is none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).exists(p)
+
+    for path in filter(None, paths):
+        base = path.rsplit(".", 1)[0] if "." in path.rsplit("/", 1)[-1] else path
+        if there(f"{base}.dic") and there(f"{base}.aff"):
+            forms = hunspell(spark, f"{base}.dic", f"{base}.aff")
+            return forms.union(word_list(spark, f"{base}.geo.txt")).distinct() if there(f"{base}.geo.txt") else forms
+        if path.endswith(".txt") and there(path):
+            found = word_list(spark, path)
+            return None if found.isEmpty() else found
+    return None
+
+
 def lexicon_size(stems: DataFrame, overlay: DataFrame) -> DataFrame:
     """(words): stems and overlay tokens, as listed; the forms that affixes make are not counted."""
     return stems.agg(F.count("*").alias("n")).union(overlay.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("words"))
