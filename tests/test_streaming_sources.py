@@ -118,11 +118,11 @@ def test_documents_round_trip(spark, tmp_path):
     d = spark.createDataFrame([json.dumps(doc)], "string").select(F.from_json("value", schemas.DOCUMENT).alias("d")).select("d.*")
     sinks.save_documents(d, path)
     sinks.save_documents(d.withColumn("schema_version", F.lit("1.1")), path)
-    assert tables.documents(spark, path).first().schema_version == "1.1" and tables.documents(spark, f"{path}.bak").first().schema_version == "1.0"
-    got = tables.documents(spark, path).first()
+    assert tables.documents(spark, path, True).first().schema_version == "1.1" and tables.documents(spark, f"{path}.bak", True).first().schema_version == "1.0"
+    got = tables.documents(spark, path, True).first()
     assert got.settings.asDict() == {"source_language": "eng", "target_language": None, "uncertainty_mode": "flag", "order_mode": "auto", "strip_running_headers": True, "strip_page_numbers": True, "fonts": []}
     assert got.pages[0].blocks[0].words[0].engine == "tesseract" and got.pages[0].blocks[0].order_confirmed is False
-    assert schemas.words_of(tables.documents(spark, path)).first().text == "a" and schemas.blocks_of(tables.documents(spark, path)).first().type == "paragraph"
+    assert schemas.words_of(tables.documents(spark, path, True)).first().text == "a" and schemas.blocks_of(tables.documents(spark, path, True)).first().type == "paragraph"
 
 
 def test_a_save_that_died(spark, tmp_path):
@@ -133,11 +133,11 @@ def test_a_save_that_died(spark, tmp_path):
     two.write.json(f"{path}.new")
     (tmp_path / "docs").rename(tmp_path / "docs.bak")  # died between the renames
     sinks.recover(spark, path)
-    assert tables.documents(spark, path).first().schema_version == "2"
+    assert tables.documents(spark, path, True).first().schema_version == "2"
     (tmp_path / "docs").rename(tmp_path / "docs.bak2")
     (tmp_path / "docs.new").mkdir()  # died while writing: no mark of success
     sinks.recover(spark, path)
-    assert tables.documents(spark, path).first().schema_version == "1"
+    assert tables.documents(spark, path, True).first().schema_version == "1"
 
 
 def test_affix_rules(spark, tmp_path):

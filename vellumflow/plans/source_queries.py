@@ -344,3 +344,47 @@ def page_warnings(spark, sf_dir):
     """Warnings of two stages together; what both say stands twice."""
     e = table(spark, sf_dir, "events").select(F.concat(F.lit("p"), "user_id").alias("page"), "event_type")
     return chain.all_warnings(e.filter("event_type = 'view'").select("page", F.array(F.lit("dark"), F.lit("blur")).alias("warnings")), e.filter("event_type = 'error'").select("page", F.array(F.lit("dark")).alias("warnings")))
+
+
+@query("""SELECT 'img' || conv_id AS image_id, CASE WHEN turn % 2 = 0 THEN 'left' ELSE 'right' END AS subpage, CAST(turn AS INT) AS ord, 'B' || turn AS gt, CASE WHEN turn % 3 = 0 THEN 'figure' ELSE 'paragraph' END AS type,
+  CASE WHEN turn % 3 <> 0 THEN left(text, 20) END AS anchor, CASE WHEN turn % 3 = 0 THEN CAST(turn * 10 AS INT) END AS x FROM conversations""")
+def block_truth_rows(spark, sf_dir):
+    """Ground truth of block order written as nested JSON and read flat."""
+    t, c = F.col("turn"), table(spark, sf_dir, "conversations")
+    one = F.struct(t.alias("order"), F.concat(F.lit("B"), t).alias("id"), F.when(t % 3 == 0, "figure").otherwise("paragraph").alias("type"), F.when(t % 3 != 0, F.left("text", F.lit(20))).alias("anchor"), F.when(t % 3 == 0, F.array(t * 10, t, F.lit(5), F.lit(6))).alias("bbox"))
+    side = F.when(t % 2 == 0, "left").otherwise("right")
+    pages = c.groupBy("conv_id", side.alias("side")).agg(F.struct(F.lit(1).alias("page_number"), F.collect_list(one).alias("reading_order")).alias("p"))
+    docs = pages.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("side", "p"))).alias("subpages"))
+    path = sinks.scratch(spark, "truth")
+    docs.select(F.concat(F.lit("img"), "conv_id").alias("image_id"), "subpages").write.json(path)
+    return tables.block_truth(spark, path, True).select("image_id", "subpage", "ord", "gt", "type", "anchor", F.get("bbox", F.lit(0)).alias("x"))
+
+
+@query("""SELECT 'i' || p_partkey AS image, CASE WHEN p_partkey % 3 <> 0 THEN p_size * 10 END AS gutter_x, CASE WHEN p_partkey % 3 <> 0 THEN 25 END AS tol, p_partkey % 3 = 0 AS single FROM part""")
+def gutter_truth_rows(spark, sf_dir):
+    """Ground truth of gutters: a place and a tolerance, or a single page."""
+    k, p = F.col("p_partkey"), table(spark, sf_dir, "part")
+    one = F.struct(F.when(k % 3 != 0, F.col("p_size") * 10).alias("gutter_x"), F.when(k % 3 != 0, 25).alias("tol"), F.when(k % 3 == 0, True).alias("single"))
+    path = sinks.scratch(spark, "gutters")
+    p.groupBy((k % 7).alias("file")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("i"), k).alias("image"), one.alias("s")))).alias("spreads")).select("spreads").write.json(path)
+    return tables.gutter_truth(spark, path, True)
+
+
+@query("""SELECT 'job' || doc_id AS document_id, 1 AS n_pages, lang AS source_language, CASE WHEN doc_id % 2 = 0 THEN 'second' ELSE 'first' END AS title, CASE WHEN doc_id % 2 = 0 THEN 'first' END AS former FROM documents""")
+def saved_documents(spark, sf_dir):
+    """Documents saved, some saved again, and read with what was there before."""
+    d = table(spark, sf_dir, "documents")
+
+    def docs(rows, said):
+        block = F.struct(F.lit(0).alias("id"), F.lit("title").alias("type"), F.lit(said).alias("text"))
+        return rows.select(F.concat(F.lit("job"), "doc_id").alias("document_id"), F.concat(F.lit("job"), "doc_id").alias("job_id"), F.struct(F.col("lang").alias("source_language")).alias("settings"), F.array(F.struct(F.lit("p1").alias("page_id"), F.array(block).alias("blocks"))).alias("pages"))
+
+    path = sinks.scratch(spark, "documents")
+    sinks.save_documents(docs(d.filter("doc_id % 2 = 0"), "first"), path)
+    sinks.save_documents(docs(d.filter("doc_id % 2 = 0"), "second").union(docs(d.filter("doc_id % 2 = 1"), "first")), path)
+
+    def title(c):
+        return F.col("pages")[0]["blocks"][0]["text"].alias(c)
+
+    now, old = tables.documents(spark, path, True), tables.documents(spark, f"{path}.bak", True)
+    return now.select("document_id", F.size("pages").alias("n_pages"), "settings.source_language", title("title")).join(old.select("document_id", title("former")), "document_id", "left")

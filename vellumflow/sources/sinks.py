@@ -42,7 +42,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def save_documents(documents: DataFrame, path: str) -> None:
-    """Replace a folder of documents whole; the former one is kept as ``path``.bak.
+    """Replace a folder of documents whole, one in each line of its files; the former one is kept as ``path``.bak.
 
     The new one is written aside and normalised marks of edits are the caller's. A run that dies between the
     two renames leaves the former as ``path``.bak and the new one as ``path``.new: the next call, or

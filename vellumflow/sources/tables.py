@@ -64,16 +64,21 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("header", "true").option("quote", '"').option("escape", '"').option("multiLine", "true").csv(path)
 
 
-def block_truth(spark: SparkSession, path: str) -> DataFrame:
+def json_files(spark: SparkSession, schema: str, path: str, lines: bool) -> DataFrame:
+    """JSON with a declared schema: one document in each file, or one in each line; what does not fit is an error."""
+    return spark.read.schema(schema).option("multiLine", str(not lines).lower()).option("mode", "FAILFAST").json(path)
+
+
+def block_truth(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(image_id, subpage, ord, gt, type, anchor, bbox) of block-order ground truth files."""
-    docs = spark.read.schema(BLOCK_TRUTH).option("multiLine", "true").json(path)
+    docs = json_files(spark, BLOCK_TRUTH, path, lines)
     pages = docs.select("image_id", F.explode("subpages").alias("subpage", "page"))
     return pages.select("image_id", "subpage", F.explode("page.reading_order").alias("b")).select("image_id", "subpage", F.col("b.order").alias("ord"), F.col("b.id").alias("gt"), "b.type", "b.anchor", "b.bbox")
 
 
-def gutter_truth(spark: SparkSession, path: str) -> DataFrame:
+def gutter_truth(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(image, gutter_x, tol, single)."""
-    docs = spark.read.schema("spreads map<string,struct<gutter_x:int,tol:int,single:boolean>>").option("multiLine", "true").json(path)
+    docs = json_files(spark, "spreads map<string,struct<gutter_x:int,tol:int,single:boolean>>", path, lines)
     return docs.select(F.explode("spreads").alias("image", "s")).select("image", "s.gutter_x", "s.tol", F.coalesce("s.single", F.lit(False)).alias("single"))
 
 
@@ -175,9 +180,11 @@ def gazetteer(spark: SparkSession, path: str) -> DataFrame:
     return tokens.filter(has_cyrillic(F.col("token"))).distinct().orderBy("token")
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """Nested documents, fields they leave out at their defaults; a file that does not fit the schema is an error."""
-    return with_defaults(spark.read.schema(DOCUMENT).option("multiLine", "true").option("mode", "FAILFAST").json(path))
+def documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Nested documents, fields they leave out at their defaults; a file that does not fit the schema is an error.
+
+    A file holds one document, or, with ``lines``, one in each line, as ``save_documents`` writes them."""
+    return with_defaults(json_files(spark, DOCUMENT, path, lines))
 
 
 def with_defaults(docs: DataFrame) -> DataFrame:
@@ -201,9 +208,9 @@ def with_defaults(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"schema_version": F.coalesce("schema_version", F.lit(DOCUMENT_VERSION)), "settings": settings, "pages": pages})
 
 
-def stage_results(spark: SparkSession, path: str, stage: str) -> DataFrame:
+def stage_results(spark: SparkSession, path: str, stage: str, lines: bool = False) -> DataFrame:
     """(file, ...): what a stage handed on, of all pages under ``path``: ingest, fuse, split, dewarp, layout, ocr or resolved."""
-    return spark.read.schema(RESULTS[stage]).option("multiLine", "true").option("mode", "FAILFAST").json(path).select(F.col("_metadata.file_path").alias("file"), "*")
+    return json_files(spark, RESULTS[stage], path, lines).select(F.col("_metadata.file_path").alias("file"), "*")
 
 
 def warnings_of(text):
