@@ -6,7 +6,7 @@ import xxhash
 
 from vellumflow.llm import queries, simhash
 from vellumflow.llm.common import lower_words, roots
-from vellumflow.llm.components import components
+from vellumflow.llm.components import components, nearby
 
 
 def brute_fingerprint(text, size):
@@ -225,6 +225,8 @@ def test_components(spark):
     label = roots(301, *(np.array(x) for x in zip(*ends)))
     assert got == {n: label[n] for n in {x for e in ends for x in e}}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    near = {r.node: r.component for r in nearby(spark.createDataFrame(links, "a bigint, b bigint")).df.collect()}
+    assert all(label[c] == label[n] and c < n for n, c in near.items())
 
 
 def test_query(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -110,6 +111,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).df
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver let go of plans that are done with, so that Spark's cleaner removes their shuffle files.
+
+    The cleaner waits for the driver's garbage collector, which a driver with room to spare seldom runs."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 _STATE: dict[str, object] = {}
 
 

@@ -30,14 +30,32 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
+def turned(links: DataFrame) -> DataFrame:
+    """Links from the larger to the smaller end, each once; rows with a null end or equal ends are left out."""
+    return links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def nearby(links: DataFrame, rounds: int = 2) -> Table:
+    """(node, component): a smaller node that each node is connected with, after so many rounds.
+
+    Nodes of one component need not have the same one yet, but nodes of different ones never do."""
+    now = Table(turned(links), "links")
+    for _ in range(rounds):
+        after = Table(_small_star(_large_star(now.df)).distinct(), "links")
+        now.drop()
+        now = after
+    found = Table(now.df.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), "near")
+    now.drop()
+    return found
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node that a link (a, b) names; component is the smallest node reachable.
 
     Links may repeat, point either way or join a node with itself; rows with a null end are ignored.
     No links give an empty table."""
     most = shuffle_partitions(links.sparkSession)
-    turned = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, seen = Table(turned, "links"), None
+    now, seen = Table(turned(links), "links"), None
     while True:
         size = now.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if size == seen or size[0] == 0:

@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Buckets, Table, lower_words, release_state, roots, shuffle_partitions, written
-from .components import components
+from .common import Buckets, Table, lower_words, release_state, roots, shuffle_partitions, tidy, written
+from .components import components, nearby
 
 SEED = 42
 #: Rows of a group that are compared in one go; larger groups are cut by more of the chain.
@@ -334,10 +334,12 @@ def prefixes(texts: DataFrame, often: np.ndarray, shingle: int, similarity: floa
     return texts.select("text_key", "text").mapInArrow(run, "token bigint, hot boolean, name bigint, n int, pos int")
 
 
-def of_token(rows: DataFrame, **found) -> DataFrame:
-    """rows with aggregates over their token's rows; those of hot tokens are combined before a join brings them back."""
+def of_token(rows: DataFrame, any_hot: bool = True, **found) -> DataFrame:
+    """rows with aggregates over their token's rows; those of hot tokens, if any, are combined before a join brings them back."""
     group = Window.partitionBy("token")
     plain = rows.filter("not hot").select("*", *[c.over(group).alias(k) for k, c in found.items()])
+    if not any_hot:
+        return plain
     hot = rows.filter("hot")
     return plain.unionByName(hot.join(hot.groupBy("token").agg(*[c.alias(k) for k, c in found.items()]).hint("merge"), "token"))
 
@@ -414,13 +416,13 @@ def crossings(batches, similarity: float):
         yield from of(np.concatenate(rest))
 
 
-def cells(rows: DataFrame, cell: int = CELL) -> DataFrame:
+def cells(rows: DataFrame, cell: int = CELL, any_hot: bool = True) -> DataFrame:
     """(cell, role, label, name, n, pos, sign): the rows (token, hot, label, name, n, pos, sign) dealt out for ``crossing``.
 
     The rows of a token are one cell, if they are ``cell`` at most. More are dealt into blocks; all that carry
     another label than most do are probes, dealt into blocks too, and each block of probes meets each of
     rows. Pairs within the commonest label need no test, and no cell holds much more than twice ``cell``."""
-    sized = of_token(rows, size=F.count("*"))
+    sized = of_token(rows, any_hot, size=F.count("*"))
     columns = ["label", "name", "n", "pos", "sign"]
     small = sized.filter(F.col("size") <= cell).select(F.col("token").alias("cell"), F.lit(0).alias("role"), *columns)
     large = sized.filter(F.col("size") > cell)
@@ -452,6 +454,7 @@ def near_links(texts: Buckets, shingle: int, similarity: float, cell: int = CELL
     group = Window.partitionBy("token", F.when(F.col("hot"), F.pmod(F.xxhash64("name"), F.lit(SPREAD))))
     found = found.select("*", F.min("name").over(group).alias("lo"), F.max("name").over(group).alias("hi"))
     open_ = Table(found.filter("hot or lo < hi").drop("lo", "hi").withColumn("label", F.col("name")), "shared")
+    any_hot = not open_.df.filter("hot").isEmpty()
     signs = surveyed.df.filter("part is null").select("text_key", "n", "parity", "sign")
 
     def near(batches):
@@ -499,7 +502,7 @@ def near_links(texts: Buckets, shingle: int, similarity: float, cell: int = CELL
     rounds, near_before = 0, 0
     while True:
         own = F.struct("label", F.xxhash64("name", F.lit(rounds)).alias("lot"), "name", "n", "pos")
-        ends = of_token(open_.df, lo=F.min(own), hi=F.max(own)).filter("lo.label < hi.label")
+        ends = of_token(open_.df, any_hot, lo=F.min(own), hi=F.max(own)).filter("lo.label < hi.label")
         to = F.when(F.col("lo.label") != F.col("label"), F.col("lo")).otherwise(F.col("hi"))
         pairs = ends.withColumn("to", to).filter(may_link(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos"), similarity, F.least, F.greatest))
         pairs = pairs.groupBy(F.col("name").alias("a"), F.col("to.name").alias("b")).agg(F.count("*").alias("shared"))
@@ -507,12 +510,16 @@ def near_links(texts: Buckets, shingle: int, similarity: float, cell: int = CELL
             pairs = pairs.join(tried.df.union(tried.df.select("b", "a")).hint("merge"), ["a", "b"], "left_anti")
         met = Table(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", F.xxhash64("b", F.lit(rounds)))).alias("b")), "candidates")
         links = verify_into(links, met)
-        place = components(links.df).select(F.col("node").alias("name"), "component")
-        again = open_.df.drop("label").join(place.hint("merge"), "name", "left").withColumn("label", F.coalesce("component", "name")).drop("component")
+        # labels need not tell all that is connected, but whatever shares one is
+        place = nearby(links.df)
+        again = open_.df.drop("label").join(place.df.withColumnRenamed("node", "name").hint("merge"), "name", "left").withColumn("label", F.coalesce("component", "name")).drop("component")
         again = Table(again, "open")
-        open_.drop()
-        open_, rounds, asked, found = again, rounds + 1, met.df.count(), links.df.count()
-        if found - near_before <= FRUITFUL * asked:
+        for t in (open_, place):
+            t.drop()
+        one, none = F.lit(1), F.lit(0)
+        asked, found = met.df.select(one.alias("asked"), none.alias("found")).union(links.df.select(none, one)).agg(F.sum("asked"), F.sum("found")).first()
+        open_, rounds = again, rounds + 1
+        if (found or 0) - near_before <= FRUITFUL * (asked or 0):
             break
         near_before = found
         if tried is None:
@@ -520,9 +527,16 @@ def near_links(texts: Buckets, shingle: int, similarity: float, cell: int = CELL
         else:
             tried.append(met.df)
             met.drop()
-    # tokens whose texts are all connected have nothing more to tell
-    rows = of_token(open_.df, lo=F.min("label"), hi=F.max("label")).filter("lo < hi").drop("lo", "hi").join(signs.select(F.col("text_key").alias("name"), "sign").hint("merge"), "name")
-    last = cells(rows, cell).repartition(shuffle_partitions(texts.spark), "cell").sortWithinPartitions("cell").mapInArrow(lambda it: crossings(it, similarity), "a bigint, b bigint")
+        tidy(texts.spark)
+    # now all that is connected is told, and tokens whose texts are have nothing more to tell
+    place = components(links.df).select(F.col("node").alias("name"), "component")
+    told = open_.df.drop("label").join(place.hint("merge"), "name", "left").withColumn("label", F.coalesce("component", "name")).drop("component")
+    again = Table(of_token(told, any_hot, lo=F.min("label"), hi=F.max("label")).filter("lo < hi").drop("lo", "hi"), "open")
+    open_.drop()
+    open_ = again
+    tidy(texts.spark)
+    rows = open_.df.join(signs.select(F.col("text_key").alias("name"), "sign").hint("merge"), "name")
+    last = cells(rows, cell, any_hot).repartition(shuffle_partitions(texts.spark), "cell").sortWithinPartitions("cell").mapInArrow(lambda it: crossings(it, similarity), "a bigint, b bigint")
     last = Table(last.distinct(), "candidates")
     links = verify_into(links, last)
     for t in (open_, surveyed, met, last, *([tried] if tried is not None and tried is not met else [])):
@@ -553,6 +567,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words are copies of one another. Different texts whose 64-bit hashes clash are told apart by a second one, and
     each stays, compared with equal texts alone. An empty table gives an empty table; other columns stay as
     they are, whatever their names."""
+    tidy(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key, check = F.xxhash64(text), F.xxhash64(F.lit(1), text)
     texts = docs.select(key.alias("text_key"), check.alias("check"), text.alias("text")).groupBy("text_key")
@@ -560,6 +575,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # joins are by sorting whatever the sizes, so the plan, and what it needs, is the same at any scale
     groups = Table(components(near_links(texts, shingle, similarity, cell)), "groups")
     texts.drop()
+    tidy(docs.sparkSession)
     # a group keeps its smallest (id, text); ids that are null come last
     counts = docs.select(F.col(id_col).alias("id"), key.alias("text_key"), check.alias("check")).groupBy("text_key", "check", "id").agg(F.count("*").alias("rows"))
     best = counts.groupBy("text_key", "check").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "check", "rows")).alias("best"))
