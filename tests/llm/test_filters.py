@@ -230,6 +230,31 @@ def test_quality_keeps_trusted(spark, sf):
     assert np.mean(good) > 0.97 and (not bad or np.mean(bad) < 0.5)  # few labels are to be had at this size
 
 
+@pytest.mark.parametrize("broadcast", [1 << 20, 10])
+def test_quality_counts_all_trusted(spark, monkeypatch, broadcast):
+    """Every trusted document is in the target counts, however many there are and however they are joined."""
+    monkeypatch.setattr(quality, "BROADCAST", broadcast, raising=False)
+    rng, n = random.Random(5), 20_500
+    rows = [(i, " ".join(rng.choice("abcdefghij") + str(i % 50) for _ in range(3))) for i in range(n)]
+    labels = spark.createDataFrame([(i, int(i % 100 < 99), 0) for i in range(n)], LABELS)
+    raw, target = np.full(quality.BUCKETS, 0.5), np.full(quality.BUCKETS, 0.5)
+    for i, t in rows:
+        h = quality.ngram_buckets(t.encode().split())
+        np.add.at(raw, h, 1)
+        if i % 100 < 99:
+            np.add.at(target, h, 1)
+    found, threshold = quality.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
+    assert threshold == quality.THRESHOLD
+    assert found == pytest.approx(np.log(target / target.sum()) - np.log(raw / raw.sum()), abs=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 2, 499, 501, 502, 5000])
+def test_threshold_is_the_quantile_of_all(spark, n):
+    scores = np.random.default_rng(n).normal(size=n).round(2)
+    got = quality.lowest(spark.createDataFrame([(float(x),) for x in scores], "score double"), -0.1)
+    assert got == min(-0.1, np.quantile(scores, quality.LOST, method="lower"))
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("deep.example.org", "", "block")]
 URLS = [None, "", "no scheme", "http://A.Example.NET/en/1", "http://example.net/EN/1", "http://net", "http://net/", "http://x.net?y", "https://www.example.com/de/", "https://badexample.com/de/x", "x://a.org/fr/y#z", "http://deep.example.org", "http://a.deep.example.org/fr/x", "http://org/fr/://net/", "http:///path", "://net/x", "http://a.net/\n#", "http://é.net/ü"]
 

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, release_state, words
+from .common import Table, carried, release_state, words
 
 BUCKETS = 1 << 16
-#: Trusted documents that the target is counted over, at most: those with the smallest hash of their id.
-TRUSTED = 20_000
+#: Trusted ids that are broadcast, at most; more are joined by shuffling, with the same result.
+BROADCAST = 200_000
 #: Mean log ratio under which a document goes, unless more than this share of the trusted would go too.
 THRESHOLD, LOST = -0.1, 0.002
 #: N-grams that are added up at once.
@@ -92,33 +92,49 @@ def _counts(batches) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[np.ndarray, float]:
-    """The log ratio of each bucket, and the threshold: raw counts are of all documents, target counts of TRUSTED ones at most."""
-    trusted = labels.filter("quality = 1").select(F.col("doc_id").alias("trusted_id")).distinct()
-    trusted = F.broadcast(trusted.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(TRUSTED))  # TRUSTED ids at most
+    """The log ratio of each bucket, and the threshold: raw counts are of all documents, target counts and threshold of all trusted ones."""
+    trusted = Table(labels.filter("quality = 1").select(F.col("doc_id").alias("trusted_id")).distinct(), "trusted")
+    held = F.broadcast(trusted.df) if trusted.df.count() <= BROADCAST else trusted.df.hint("merge")
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    flagged = plain.join(trusted, F.col("id") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
+    flagged = plain.join(held, F.col("id") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
     found = flagged.mapInArrow(_counts, "bucket bigint, raw bigint, target bigint")
     sums = found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # BUCKETS rows at most
     raw, target = np.full(BUCKETS, PRIOR), np.full(BUCKETS, PRIOR)
     raw[sums.bucket] += sums.raw
     target[sums.bucket] += sums.target
     if not sums.target.sum():  # nothing to compare with: no document is told from another
+        trusted.drop()
         return np.zeros(BUCKETS), threshold
-    held = docs.sparkSession.sparkContext.broadcast((target, np.log(raw / raw.sum())))
+    log_raw = np.log(raw / raw.sum())
+    sent = docs.sparkSession.sparkContext.broadcast((target, log_raw))
 
     def without(batches):
-        target, log_raw = held.value
+        target, log_raw = sent.value
+        total = target.sum()
         for b in batches:
             got = []
             for text in b.column(0).to_pylist():
                 if len(ws := words(text)) >= LEAST_WORDS:
                     at, n = np.unique(ngram_buckets(ws), return_counts=True)
-                    got.append(float((n * (np.log((target[at] - n) / (target.sum() - n.sum())) - log_raw[at])).sum() / n.sum()))
+                    got.append(float((n * (np.log((target[at] - n) / (total - n.sum())) - log_raw[at])).sum() / n.sum()))
             yield pa.record_batch([pa.array(got, pa.float64())], ["score"])
 
-    own = plain.join(trusted, F.col("id") == F.col("trusted_id")).select("text").mapInArrow(without, "score double").toPandas().score  # TRUSTED rows at most
-    low = float(np.quantile(own, LOST, method="lower")) if len(own) else threshold
-    return np.log(target / target.sum()) - np.log(raw / raw.sum()), min(threshold, low)
+    own = Table(plain.join(held, F.col("id") == F.col("trusted_id")).select("text").mapInArrow(without, "score double"), "trusted_scores")
+    low = lowest(own.df, threshold)
+    for t in (own, trusted):
+        t.drop()
+    return np.log(target / target.sum()) - log_raw, low
+
+
+def lowest(scores: DataFrame, threshold: float) -> float:
+    """The threshold, or the LOST quantile of all scores (the lower of two that it lies between) where that is less.
+
+    Only scores that lie under both are ranked; the driver gets counts and one score."""
+    n, under = scores.agg(F.count("*"), F.count_if(F.col("score") < threshold)).first()
+    place = int(np.floor(LOST * (n - 1))) if n else 0
+    if not n or under <= place:
+        return threshold
+    return scores.orderBy("score").limit(place + 1).agg(F.max("score")).first()[0]
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
