@@ -233,3 +233,20 @@ def test_query(spark, sf):
     r = queries.op1_simhash_near_dedup(spark, sf).collect()
     docs = {x.doc_id: x.text for x in queries.table(spark, sf, "documents").collect()}
     assert len(r) == len(docs) and all(x.fingerprint == f"{brute_fingerprint(docs[x.doc_id], 3):016x}" for x in r)
+
+
+def test_near_copies_by_fingerprints(spark, monkeypatch):
+    """The stage's first candidates are by fingerprints, through the pivot distances, and connect all within 2 bits."""
+    rng = np.random.default_rng(4)
+    fps = rng.integers(-(2**63), 2**63 - 1, 40)
+    fps = np.concatenate([fps, fps[:20] ^ 1, fps[:10] ^ np.int64(6), fps[:5], fps[5:8] ^ 7]).tolist()
+    found = simhash.close_texts(spark.createDataFrame(list(enumerate(fps)), "text_key bigint, fp bigint")).df.collect()
+    i, j = (np.array(x, int) for x in zip(*((r.a, r.b) for r in found)))
+    assert roots(len(fps), i, j).tolist() == brute_components([f & (1 << 64) - 1 for f in fps], 2).tolist()
+
+    asked, search = [], simhash.exact_links
+    monkeypatch.setattr(simhash, "exact_links", lambda fps, *args: asked.append(fps.count()) or search(fps, *args))
+    words = [f"w{k}" for k in rng.integers(0, 999, 400)]
+    rows = [(k, " ".join(words[:-1] + [f"end{k}"])) for k in range(4)] + [(9, "quite another text of some words")]
+    assert sorted(r.doc_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == [0, 9]
+    assert len(asked) == 1 and 2 <= asked[0] <= len(rows)

@@ -9,7 +9,9 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,9 +116,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def tidy(spark: SparkSession) -> None:
     """Have the driver let go of plans that are done with, so that Spark's cleaner removes their shuffle files.
 
-    The cleaner waits for the driver's garbage collector, which a driver with room to spare seldom runs."""
+    The cleaner waits for the driver's garbage collector, which a driver with room to spare seldom runs. What the
+    collectors free goes back to the system, so that a driver of many small plans stays small."""
     gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
+    pa.default_memory_pool().release_unused()
+    jvm = spark.sparkContext._jvm
+    jvm.java.lang.System.gc()
+    try:
+        commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(commands, "systemTrimNativeHeap", None, None)
+    except Py4JError:  # a JVM that has no such command keeps its native memory
+        pass
 
 
 _STATE: dict[str, object] = {}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, shuffle_partitions
+from .common import Table, shuffle_partitions, tidy
 
 #: Links of a round's table that go to one file.
 LINKS = 20_000
@@ -65,6 +65,7 @@ def components(links: DataFrame) -> DataFrame:
         after = Table(_small_star(_large_star(now.df)).distinct().coalesce(min(most, 1 + size[0] // LINKS)), "links")
         now.drop()
         now = after
+        tidy(links.sparkSession)
     # in a star forest no centre points anywhere, so each node has one row
     centres = now.df.select(F.col("b").alias("node")).distinct()
     return now.df.select(F.col("a").alias("node"), F.col("b").alias("component")).union(centres.select("node", F.col("node").alias("component")))

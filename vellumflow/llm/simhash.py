@@ -9,8 +9,8 @@ is that profile in its short form, and is what the search groups by.
 Links within 2 bits: of 4 stretches of 16 bits, 2 at least hold none of the differing bits, so the
 6 pairs of stretches find every such link. A group that is too large is cut further by the same rule over
 the bits left, down to 8 free bits (256 fingerprints), so no group is unbounded and no pair is lost.
-Wider radii have no such cover of useful size, so near copies by Jaccard similarity are searched by their
-rarest shingles instead, as said at ``near_links``.
+Wider radii have no such cover of useful size, so near copies by Jaccard similarity are first searched by
+fingerprints like any others, and those that are further apart by their rarest shingles, as said at ``near_links``.
 
 Inside a group, pairs are discarded by the largest difference of their distances to the pivots (the
 triangle inequality bounds it by the distance), survivors are verified by their exact distance, and a
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +58,13 @@ def shingle_hashes(words: list[bytes], size: int) -> Iterator[np.ndarray]:
 
 def fingerprint(words: list[bytes], size: int) -> int:
     """The 64-bit SimHash as a signed integer; a text without words has 0."""
+    return majority(shingle_hashes(words, size))
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of all hashes have, as a signed integer; 0 of none."""
     ones, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(words, size):
+    for h in blocks:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0]) if n else 0
@@ -262,27 +267,41 @@ def apart(x: bytes, y: bytes) -> int:
 
 def survey(texts: DataFrame, shingle: int) -> Table:
     """One table of two kinds of rows: (part, counts), how often the shingles of a part of the buckets stand in a task's
-    texts, and (text_key, n, parity, sign), the size and parity of each text's shingle set, the latter over SIGN bits too."""
+    texts, and (text_key, n, parity, sign, fp), the size, parity and fingerprint of each text's shingle set, the parity over
+    SIGN bits too."""
 
     def run(batches):
         release_state()
         found = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            sizes, odd, signs = [], [], []
+            sizes, odd, signs, fps = [], [], [], []
             for x in b.column(1):
                 s = shingle_set(x.as_py(), shingle)
                 np.add.at(found, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
                 sizes.append(len(s))
                 odd.append(parity(s))
                 signs.append(folded(np.frombuffer(odd[-1], np.uint8), SIGN // 8).tobytes())
+                fps.append(majority(s[k : k + (1 << 16)] for k in range(0, len(s), 1 << 16)))
             m = len(sizes)
-            yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), b.column(0), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary()), pa.array(signs, pa.binary())], names)
+            yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), b.column(0), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary()), pa.array(signs, pa.binary()), pa.array(fps, pa.int64())], names)
         parts = found.reshape(-1, PART)
         at = np.nonzero(parts.any(1))[0]
-        yield pa.record_batch([pa.array(at, pa.int64()), pa.array([parts[k].tobytes() for k in at], pa.binary()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), *[pa.nulls(len(at), pa.binary())] * 2], names)
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array([parts[k].tobytes() for k in at], pa.binary()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), *[pa.nulls(len(at), pa.binary())] * 2, pa.nulls(len(at), pa.int64())], names)
 
-    names = ["part", "counts", "text_key", "n", "parity", "sign"]
-    return Table(texts.select("text_key", "text").mapInArrow(run, "part bigint, counts binary, text_key bigint, n int, parity binary, sign binary"), "survey")
+    names = ["part", "counts", "text_key", "n", "parity", "sign", "fp"]
+    return Table(texts.select("text_key", "text").mapInArrow(run, "part bigint, counts binary, text_key bigint, n int, parity binary, sign binary, fp bigint"), "survey")
+
+
+def close_texts(fps: DataFrame) -> Table:
+    """(a, b): pairs of texts (text_key, fp) that connect all whose fingerprints link within 2 bits, as in ``exact_links``."""
+    least = Table(fps.groupBy("fp").agg(F.min("text_key").alias("least")), "distinct")
+    links = exact_links(least.df.select("fp")).distinct()
+    for end in "ab":
+        links = links.join(least.df.select(F.col("fp").alias(end), F.col("least").alias(f"least_{end}")).hint("merge"), end)
+    alike = fps.join(least.df.hint("merge"), "fp").filter("text_key > least").select(F.col("text_key").alias("a"), F.col("least").alias("b"))
+    found = Table(links.select(F.greatest("least_a", "least_b").alias("a"), F.least("least_a", "least_b").alias("b")).union(alike), "close")
+    least.drop()
+    return found
 
 
 def frequencies(surveyed: DataFrame) -> np.ndarray:
@@ -442,7 +461,9 @@ def cells(rows: DataFrame, cell: int = CELL, any_hot: bool = True) -> DataFrame:
 def near_links(texts: Buckets, shingle: int, similarity: float, cell: int = CELL) -> DataFrame:
     """Links (a, b) that connect what all pairs of texts (text_key, text) of that similarity connect.
 
-    Texts that share none of their prefixes' shingles are not near. In rounds each text is held against one
+    Texts whose fingerprints link within 2 bits are held against one another first, so that most copies fall together
+    at once. Fingerprints of near texts may be further apart, so an exact search follows for what is not connected
+    by then: texts that share none of their prefixes' shingles are not near. In rounds each text is held against one
     text of another component, that with which most of its shingles bring it together and which it was not held
     against before, so that copies fall together without pairing them all. When few texts find a near one in
     that way, every pair is tested that shares such a shingle and is not yet connected. No group is cut. The
@@ -453,9 +474,8 @@ def near_links(texts: Buckets, shingle: int, similarity: float, cell: int = CELL
     # hot tokens are spread, so that none is sorted in one task; that they are shared is taken for granted
     group = Window.partitionBy("token", F.when(F.col("hot"), F.pmod(F.xxhash64("name"), F.lit(SPREAD))))
     found = found.select("*", F.min("name").over(group).alias("lo"), F.max("name").over(group).alias("hi"))
-    open_ = Table(found.filter("hot or lo < hi").drop("lo", "hi").withColumn("label", F.col("name")), "shared")
-    any_hot = not open_.df.filter("hot").isEmpty()
-    signs = surveyed.df.filter("part is null").select("text_key", "n", "parity", "sign")
+    found = found.filter("hot or lo < hi").drop("lo", "hi")
+    signs = surveyed.df.filter("part is null").select("text_key", "n", "parity", "sign", "fp")
 
     def near(batches):
         for b in batches:
@@ -498,35 +518,39 @@ def near_links(texts: Buckets, shingle: int, similarity: float, cell: int = CELL
         left.drop()
         return links
 
-    links = tried = None
-    rounds, near_before = 0, 0
+    def labelled(rows: DataFrame, links: Table) -> Table:
+        """Labels need not tell all that is connected, but whatever shares one is."""
+        place = nearby(links.df)
+        again = rows.join(place.df.withColumnRenamed("node", "name").hint("merge"), "name", "left").withColumn("label", F.coalesce("component", "name")).drop("component")
+        again = Table(again, "open")
+        place.drop()
+        return again
+
+    tried = close_texts(signs.select("text_key", "fp"))
+    links = verify_into(None, tried)
+    open_ = labelled(found, links)
+    any_hot = not open_.df.filter("hot").isEmpty()
+    tidy(texts.spark)
+    rounds, near_before = 0, links.df.count()
     while True:
         own = F.struct("label", F.xxhash64("name", F.lit(rounds)).alias("lot"), "name", "n", "pos")
         ends = of_token(open_.df, any_hot, lo=F.min(own), hi=F.max(own)).filter("lo.label < hi.label")
         to = F.when(F.col("lo.label") != F.col("label"), F.col("lo")).otherwise(F.col("hi"))
         pairs = ends.withColumn("to", to).filter(may_link(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos"), similarity, F.least, F.greatest))
         pairs = pairs.groupBy(F.col("name").alias("a"), F.col("to.name").alias("b")).agg(F.count("*").alias("shared"))
-        if tried is not None:
-            pairs = pairs.join(tried.df.union(tried.df.select("b", "a")).hint("merge"), ["a", "b"], "left_anti")
+        pairs = pairs.join(tried.df.union(tried.df.select("b", "a")).hint("merge"), ["a", "b"], "left_anti")
         met = Table(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", F.xxhash64("b", F.lit(rounds)))).alias("b")), "candidates")
         links = verify_into(links, met)
-        # labels need not tell all that is connected, but whatever shares one is
-        place = nearby(links.df)
-        again = open_.df.drop("label").join(place.df.withColumnRenamed("node", "name").hint("merge"), "name", "left").withColumn("label", F.coalesce("component", "name")).drop("component")
-        again = Table(again, "open")
-        for t in (open_, place):
-            t.drop()
+        again = labelled(open_.df.drop("label"), links)
+        open_.drop()
         one, none = F.lit(1), F.lit(0)
         asked, found = met.df.select(one.alias("asked"), none.alias("found")).union(links.df.select(none, one)).agg(F.sum("asked"), F.sum("found")).first()
         open_, rounds = again, rounds + 1
         if (found or 0) - near_before <= FRUITFUL * (asked or 0):
             break
         near_before = found
-        if tried is None:
-            tried = met
-        else:
-            tried.append(met.df)
-            met.drop()
+        tried.append(met.df)
+        met.drop()
         tidy(texts.spark)
     # now all that is connected is told, and tokens whose texts are have nothing more to tell
     place = components(links.df).select(F.col("node").alias("name"), "component")
@@ -539,7 +563,7 @@ def near_links(texts: Buckets, shingle: int, similarity: float, cell: int = CELL
     last = cells(rows, cell, any_hot).repartition(shuffle_partitions(texts.spark), "cell").sortWithinPartitions("cell").mapInArrow(lambda it: crossings(it, similarity), "a bigint, b bigint")
     last = Table(last.distinct(), "candidates")
     links = verify_into(links, last)
-    for t in (open_, surveyed, met, last, *([tried] if tried is not None and tried is not met else [])):
+    for t in (open_, surveyed, met, last, tried):
         t.drop()
     return links.df
 
@@ -561,8 +585,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One document of each group of near copies, with all its columns.
 
     Texts are near copies if the Jaccard similarity of their sets of lower-cased word shingles is
-    ``similarity`` or more; groups are what such links connect. The search is exact, by the shingles
-    themselves (see ``near_links``): fingerprints have no part in it. Of a group the smallest id stays (a null id
+    ``similarity`` or more; groups are what such links connect. Fingerprints and their pivot distances find most, an
+    exact search by the shingles themselves the rest (see ``near_links``). Of a group the smallest id stays (a null id
     only if there is no other), and of rows that repeat it, one. Null texts count as empty, and texts without
     words are copies of one another. Different texts whose 64-bit hashes clash are told apart by a second one, and
     each stays, compared with equal texts alone. An empty table gives an empty table; other columns stay as
