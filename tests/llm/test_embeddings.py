@@ -1,5 +1,8 @@
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 
 from vellumflow.llm import embeddings
 from vellumflow.llm.common import roots
@@ -59,3 +62,28 @@ def test_every_near_vector_visits(spark):
     _, there = embeddings.visits(y, c, np.sqrt(1 - 0.98**2))
     near = (x * y).sum(1) >= 0.98
     assert near.sum() > 100 and there[np.arange(300), home][near].all()
+
+
+def test_visitors_do_not_meet(spark, monkeypatch):
+    """A visitor goes to the blocks of those at home in a cell, not to those of other visitors, however many there are."""
+    monkeypatch.setattr(embeddings, "CELL", 40)
+    monkeypatch.setattr(embeddings, "BLOCK", 40)
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=24).tolist(), 1) for k in range(600)]
+    rows += [(600 + k, [c * 2 + 0.01 for c in rows[k][1]], 1) for k in range(50)]
+    plans, written = {}, embeddings.written
+
+    def counted(df, name):
+        if name == "products":  # what the products' groups are handed
+            plans["rows"] = df._jdf.queryExecution().analyzed().children().apply(0)
+        return written(df, name)
+
+    monkeypatch.setattr(embeddings, "written", counted)
+    got = sorted(((r.id, r.n_links, r.component) for r in embeddings.links(spark.createDataFrame(rows, VECTORS)).collect()), key=str)
+    assert got == brute(rows)
+    handed = DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plans["rows"]), spark).select("cell", "node", "at_home").collect()
+    homes, visits = {}, Counter((r.cell, r.node) for r in handed if not r.at_home)
+    for r in handed:
+        if r.at_home:
+            homes.setdefault(r.cell, set()).add(r.node)
+    assert visits and all(n <= -(-len(homes[cell]) // 40) for (cell, _), n in visits.items())

@@ -7,9 +7,9 @@ decided by the plane between the two centres: a vector whose sine to the plane e
 threshold's angle cannot have a near vector beyond it. So each link is met in the home cells of both ends,
 no link is lost to a cell's border, and a vector counts its links in its home cell alone.
 
-Cells are cut into blocks, and a task holds one block, or two against each other, in double precision: a
-vector travels once for each cell that it belongs to, and again only where the cell exceeds a block. Counts
-are summed, and of the links a spanning forest goes on to the components; pairs are not written anywhere."""
+Cells are cut into blocks, those at home apart from the visitors, as two visitors have nothing to tell. A task holds
+one block of those at home, or that and another block, in double precision: where visitors are many and those at home
+are few, a vector travels once for each cell that it belongs to. Counts are summed, and of the links a spanning forest goes on to the components; pairs are not written anywhere."""
 
 from __future__ import annotations
 
@@ -143,10 +143,12 @@ def _compare(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     kind = nodes.schema["label"].dataType.simpleString()
     cells = written(nodes.select("node", "label", "size", "v").mapInArrow(place, f"node bigint, label {kind}, size int, cell int, at_home boolean"), "cells")
     sizes = cells.groupBy("label", "size", "cell").agg(F.count_if("at_home").alias("homes"), F.count("*").alias("all")).filter("homes > 0")
-    blocks = sizes.select("label", "size", "cell", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
-    # each vector stands in one block, and with it in every pair of blocks that this one is in
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = cells.join(blocks, ["label", "size", "cell"]).withColumn("own", F.pmod(F.xxhash64("node", "cell"), "blocks").cast("int")).withColumn("other", other)
+    blocks = sizes.select("label", "size", "cell", F.ceil(F.col("homes") / BLOCK).cast("int").alias("hb"), F.when(F.col("all") <= BLOCK, 0).otherwise(F.ceil((F.col("all") - F.col("homes")) / BLOCK)).cast("int").alias("vb"))
+    # blocks of those at home come first and meet all; blocks of visitors meet these alone; a small cell is one block
+    lot, among = F.xxhash64("node", "cell"), F.col("at_home") | (F.col("vb") == 0)
+    own = F.when(among, F.pmod(lot, "hb")).otherwise(F.col("hb") + F.pmod(lot, F.greatest("vb", F.lit(1)))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(among, F.col("hb") + F.col("vb")).otherwise(F.col("hb")) - 1))
+    dealt = cells.join(blocks, ["label", "size", "cell"]).withColumn("own", own).withColumn("other", other)
     both = dealt.select("label", "size", "cell", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("c"), "own", "at_home", "node").join(nodes.select("node", "weight", "v"), "node")
 
     def product(t: pa.Table) -> pa.Table:
