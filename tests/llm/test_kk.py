@@ -1,5 +1,7 @@
 import random
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vellumflow.llm import packing, sharding
+from vellumflow.llm import common, packing, sharding
 from vellumflow.llm.differencing import difference, items
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -163,3 +165,36 @@ def test_whole_windows_bypass_blocks(spark):
 def test_pack_odd_rows(docs, empty, corpus):
     assert packing.pack(packing.cut(empty, PATH)).count() == 0
     assert packing.pack(packing.cut(docs, PATH)).filter("start = 0").count() == len(corpus)
+
+
+def held():
+    """MB that this process has of its own."""
+    return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory is read as Linux tells it")
+def test_workers_that_pack_give_up_what_they_cut_with(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = pa.array([" ".join(f"{rng.getrandbits(60):x}" for _ in range(1000)) for _ in range(150)])
+    packing.word_ids(PATH).encode(texts)
+    common.release_state()
+    empty = held()
+    packing.word_ids(PATH).encode(texts)
+    assert held() > empty + 30
+    # the very function that Spark would run on a block
+    run = []
+    monkeypatch.setattr(type(spark.range(1).groupBy()), "applyInArrow", lambda self, f, schema: run.append(f) or spark.createDataFrame([], schema))
+    packing.pack(spark.createDataFrame([(1, 0, 5)], "id bigint, start bigint, length bigint"))
+    t = run[0](pa.table({"id": [1, 2], "start": [0, 0], "length": [5, 4], "block": [0, 0]}))
+    assert t["offset"].to_pylist() in ([0, 5], [4, 0]) and not common._STATE
+    assert held() < empty + 20
+
+
+def test_cutting_gives_back_memory_with_each_slice(spark, docs, monkeypatch):
+    run, made = [], []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: run.append(f) or self)
+    packing.cut(docs, PATH)
+    monkeypatch.setattr(pa, "default_memory_pool", lambda real=pa.default_memory_pool: made.append(1) or real())
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array(["a b", None, "c " * packing.TEXTS]), pa.array([False, True, False])], ["id", "text", "fine"])
+    got = list(run[0]([batch]))
+    assert len(got) == len(made) == 2 and sum(b.num_rows for b in got) > 3

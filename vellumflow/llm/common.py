@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -129,6 +130,15 @@ def tidy(spark: SparkSession) -> None:
         pass
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed; Arrow's pool and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # a C library that has no such function keeps its memory
+        pass
+
+
 _STATE: dict[str, object] = {}
 
 
@@ -137,14 +147,16 @@ def worker_state(key: str, make):
 
     A worker serves many tasks of many operators, so that it holds what one of them needs, not what all did."""
     if key not in _STATE:
-        _STATE.clear()
+        release_state()
         _STATE[key] = make()
     return _STATE[key]
 
 
 def release_state() -> None:
     """Give up what another operator keeps in this worker process."""
-    _STATE.clear()
+    if _STATE:
+        _STATE.clear()
+        give_back()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import worker_state, written
+from .common import give_back, release_state, worker_state, written
 from .differencing import items
 
 WINDOW = 4096
@@ -34,7 +34,7 @@ BLOCK = 2048
 #: Words that a worker keeps the ids of in each of two generations, and the longest of them in characters.
 CACHED, CACHED_LENGTH = 400_000, 64
 #: Bytes of texts that are cut into words at once.
-TEXTS = 1 << 23
+TEXTS = 1 << 21
 
 
 def _plain_letters() -> str:
@@ -99,12 +99,14 @@ class WordIds:
         # special tokens are spelt in lower case, and only so
         low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         cut = pc.ascii_split_whitespace(low)
-        found = cut.flatten().dictionary_encode()
+        found, many = cut.flatten().dictionary_encode(), cut.value_lengths().to_numpy()
+        del low, cut
         ids = pa.array(self.words(found.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(found.indices)
+        del found
         at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
-        ends = at[np.concatenate(([0], np.cumsum(cut.value_lengths().to_numpy())))].tolist()
-        raw = ids.buffers()[2].to_pybytes() if len(ids) else b""
-        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+        ends = at[np.concatenate(([0], np.cumsum(many)))].tolist()
+        raw = memoryview(ids.buffers()[2] if len(ids) else b"")
+        return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def slices(texts: pa.Array, most: int = TEXTS) -> Iterator[tuple[int, int]]:
@@ -131,6 +133,19 @@ def cuts(tokens: int, fine: bool, window: int = WINDOW) -> list[int]:
     return found + [rest] if rest else found
 
 
+def pieces(docs: pa.RecordBatch, encode, window: int = WINDOW) -> pa.RecordBatch:
+    """The pieces of rows of (id, text, fine), whose ids ``encode`` tells."""
+    rows, end = [], END.to_bytes(4, "little")
+    for doc, ids, fine in zip(docs.column(0).to_pylist(), encode(docs.column(1)), docs.column(2).to_pylist()):
+        ids += end
+        at, n = 0, len(ids) // 4
+        for length in cuts(n, fine, window):
+            rows.append((doc, at, length, ids[4 * at : 4 * (at + length)], n))
+            at += length
+    kinds = (docs.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["id", "start", "length", "ids", "doc_tokens"])
+
+
 def cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, start, length, ids, doc_tokens): the pieces of every row's tokens and the end id after them.
 
@@ -139,20 +154,11 @@ def cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         encode = word_ids(tokenizer).encode
-        end = END.to_bytes(4, "little")
         for b in batches:
-            kinds = (b.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64())
             for i, j in slices(b.column(1)):
-                rows, part = [], b.slice(i, j - i)
-                for doc, ids, fine in zip(part.column(0).to_pylist(), encode(part.column(1)), part.column(2).to_pylist()):
-                    ids += end
-                    at, n = 0, len(ids) // 4
-                    for length in cuts(n, fine, window):
-                        rows.append((doc, at, length, ids[4 * at : 4 * (at + length)], n))
-                        at += length
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-
-    names = ["id", "start", "length", "ids", "doc_tokens"]
+                yield pieces(b.slice(i, j - i), encode, window)
+                give_back()
+
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     fine = F.pmod(F.xxhash64(id_col, text_col), F.lit(FINE)) == 0
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), fine.alias("fine")).mapInArrow(run, f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint")
@@ -174,6 +180,22 @@ def windows(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return at
 
 
+def placed(t: pa.Table, window: int = WINDOW) -> pa.Table:
+    """A block's pieces with their sequences and offsets. The worker gives up what it cut texts with."""
+    release_state()
+    t = t.sort_by([("length", "descending"), ("id", "ascending"), ("start", "ascending")])
+    length = t["length"].to_numpy()
+    sequence = windows(length, window)
+    order = np.argsort(sequence, kind="stable")
+    ends = np.cumsum(length[order])
+    first = np.concatenate(([0], np.nonzero(np.diff(sequence[order]))[0] + 1))
+    base = np.repeat((ends - length[order])[first], np.diff(np.concatenate((first, [len(order)]))))
+    offset = np.empty(len(order), np.int64)
+    offset[order] = ends - length[order] - base
+    block = t["block"][0].as_py()
+    return t.drop_columns(["block"]).append_column("sequence_id", pa.array((block << 32) + sequence)).append_column("offset", pa.array(offset))
+
+
 def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """The pieces with sequence_id and offset: the sequence each goes to, and its place there.
 
@@ -186,17 +208,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     n = max(1, math.ceil(pieces.count() / BLOCK))
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("length", "descending"), ("id", "ascending"), ("start", "ascending")])
-        length = t["length"].to_numpy()
-        sequence = windows(length, window)
-        order = np.argsort(sequence, kind="stable")
-        ends = np.cumsum(length[order])
-        first = np.concatenate(([0], np.nonzero(np.diff(sequence[order]))[0] + 1))
-        base = np.repeat((ends - length[order])[first], np.diff(np.concatenate((first, [len(order)]))))
-        offset = np.empty(len(order), np.int64)
-        offset[order] = ends - length[order] - base
-        block = t["block"][0].as_py()
-        return t.drop_columns(["block"]).append_column("sequence_id", pa.array((block << 32) + sequence)).append_column("offset", pa.array(offset))
+        return placed(t, window)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.drop("block").schema)
     packed = pieces.withColumn("block", F.pmod("block", F.lit(n))).groupBy("block").applyInArrow(run, f"{fields}, sequence_id bigint, offset bigint")
