@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import once
+
 #: Caption keywords by language, and names of languages.
 KEYWORDS = {
     "ita": ("figura", "fig", "tavola", "tav"),
@@ -62,11 +64,6 @@ def by_language(lang: Column, made) -> Column:
     return found
 
 
-def once(value: Column, made) -> Column:
-    """made(value) with the value reckoned once, however often ``made`` uses it."""
-    return F.element_at(F.transform(F.array(value), made), 1)
-
-
 def parse_caption(text: Column, lang: Column) -> Column:
     """struct(number, keyword, lang, prefix, residual) of the caption header that the text begins with, or null.
 
