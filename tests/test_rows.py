@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellumflow.functions.arrays import runs_of
+from vellumflow.functions.text import capitalized
 from vellumflow.plans import queries
 
 #: How many exchanges a plan may have besides the one that deals documents out.
-EXCHANGES = {"document_round_trip": 0, "document_words": 0}
+EXCHANGES = {"document_round_trip": 0, "document_words": 0, "layout_texts": 0}
 
 
 @pytest.mark.parametrize("name", sorted(EXCHANGES))
@@ -22,3 +23,8 @@ def test_words_are_not_shuffled(spark, sf, name):
 def test_runs_of(spark):
     rows = spark.createDataFrame([([1, 1, 2, 1],), ([],), (None,)], "a array<int>")
     assert [r.b for r in rows.select(runs_of(F.col("a"), lambda x, y: x == y).alias("b")).collect()] == [[[1, 1], [2], [1]], None, None]
+
+
+@pytest.mark.parametrize("word, large", [("ß", "ẞ"), ("ab-cd", "Ab-cd"), ("ŉa", "ŉa"), ("àB", "Àb"), ("", "")])
+def test_capitalized_letter_by_letter(spark, word, large):
+    assert spark.createDataFrame([(word,)], "w string").select(capitalized(F.col("w")).alias("c")).first().c == large

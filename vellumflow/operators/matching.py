@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+import collections
 import difflib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_token
-from ..sources.tables import in_lexicon
+from ..functions.text import capitalized, normalize_token
 from .spatial import assign_regions
 
 ANCHOR_LEAST, FIGURE_LEAST = 0.5, 0.2
@@ -37,6 +38,47 @@ def _greedy(pairs, least: float, used_left: dict, used_right: set) -> None:
             used_right.add(right)
 
 
+def _share(a, b) -> float:
+    w = max(0, min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"]))
+    h = max(0, min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"]))
+    return w * h / (a["w"] * a["h"] + b["w"] * b["h"] - w * h) if w * h else 0.0
+
+
+def match_page(gts: list[dict], dets: list[dict]) -> dict:
+    """{gt: block} of one page. Boxes meet the boxes at their height, anchors the blocks that have one of their tokens."""
+    gts, dets = sorted(gts, key=lambda g: g["ord"]), sorted(dets, key=lambda x: x["block"])
+    hit: dict = {}
+    used: set = set()
+    figures = [x for x in dets if x["type"] == "figure"]
+    by_y = sorted(range(len(figures)), key=lambda i: figures[i]["bbox"]["y"])
+    tops, tallest = [figures[i]["bbox"]["y"] for i in by_y], max((x["bbox"]["h"] for x in figures), default=0)
+    overlaps = []
+    for g in gts:
+        if g["type"] == "figure" and g["bbox"]:
+            box = g["bbox"]
+            near = by_y[bisect.bisect_left(tops, box["y"] - tallest) : bisect.bisect_right(tops, box["y"] + box["h"])]
+            met = ((_share(box, figures[i]["bbox"]), g["gt"], figures[i]["block"]) for i in sorted(near))
+            overlaps += [p for p in met if p[0] >= FIGURE_LEAST]
+    _greedy(sorted(overlaps, key=lambda p: -p[0]), FIGURE_LEAST, hit, used)
+    left = sorted((x for x in figures if x["block"] not in used), key=lambda x: x["rank"])
+    for g, x in zip((g for g in gts if g["type"] == "figure" and not g["bbox"]), left):
+        hit[g["gt"]] = x["block"]
+        used.add(x["block"])
+    having: dict = {}
+    for x in dets:
+        if x["block"] not in used:
+            for t in set(x["tokens"] or ()):
+                having.setdefault(t, []).append(x["block"])
+    scores = []
+    for g in gts:
+        anchor = set(g["anchor"] or ())
+        if g["type"] != "figure" and anchor:
+            met = collections.Counter(k for t in anchor for k in having.get(t, ()))
+            scores += [(n / len(anchor), g["gt"], k) for k, n in met.items() if n / len(anchor) >= ANCHOR_LEAST]
+    _greedy(sorted(scores, reverse=True), ANCHOR_LEAST, hit, used)
+    return hit
+
+
 def match_blocks(truth: DataFrame, found: DataFrame, page: list[str]) -> DataFrame:
     """(page, gt, block): one-to-one matches of ground-truth blocks; a miss has a null block.
 
@@ -45,28 +87,9 @@ def match_blocks(truth: DataFrame, found: DataFrame, page: list[str]) -> DataFra
     ord, bbox (may be null) and anchor (tokens); ``found`` block, type, rank, bbox and tokens. Pages are small:
     one page is one group."""
 
-    def share(a, b):
-        w = max(0, min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"]))
-        h = max(0, min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"]))
-        return w * h / (a["w"] * a["h"] + b["w"] * b["h"] - w * h) if w * h else 0.0
-
     def run(key, t: pa.Table, d: pa.Table) -> pa.Table:
-        gts, dets = t.sort_by("ord").to_pylist(), d.sort_by("block").to_pylist()
-        hit: dict = {}
-        used: set = set()
-        figures = [x for x in dets if x["type"] == "figure"]
-        overlaps = [(share(g["bbox"], x["bbox"]), g["gt"], x["block"]) for g in gts if g["type"] == "figure" and g["bbox"] for x in figures]
-        _greedy(sorted(overlaps, key=lambda p: -p[0]), FIGURE_LEAST, hit, used)
-        left = sorted((x for x in figures if x["block"] not in used), key=lambda x: x["rank"])
-        for g, x in zip((g for g in gts if g["type"] == "figure" and not g["bbox"]), left):
-            hit[g["gt"]] = x["block"]
-            used.add(x["block"])
-        scores = []
-        for g in gts:
-            anchor = set(g["anchor"] or ())
-            if g["type"] != "figure" and anchor:
-                scores += [(len(anchor & set(x["tokens"] or ())) / len(anchor), g["gt"], x["block"]) for x in dets if x["block"] not in used]
-        _greedy(sorted(scores, reverse=True), ANCHOR_LEAST, hit, used)
+        gts = t.to_pylist()
+        hit = match_page(gts, d.to_pylist())
         rows = [[k.as_py() for k in key] + [g["gt"], hit.get(g["gt"])] for g in gts]
         return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
@@ -118,10 +141,23 @@ def vouched(words: DataFrame, regions: DataFrame, page: list[str], lexicon: Data
     fields = [(c, words.schema[c].dataType.simpleString()) for c in [*page, "pos"]] + [("token", "string"), ("voucher", "string")]
     names, kinds = [c for c, _ in fields], [arrow[k] for _, k in fields]
     found = both.select(*page, "own", "tokens").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in fields))
+    return vouchers_known(found.filter(F.length("voucher") >= VOUCHER_LEAST), lexicon).select(*page, "pos")
+
+
+def vouchers_known(pairs: DataFrame, lexicon: DataFrame | None) -> DataFrame:
+    """The pairs (token, voucher, ...) whose voucher alone the lexicon knows; none without a lexicon."""
     if lexicon is None:
-        return found.filter("false").select(*page, "pos")
-    found = in_lexicon(found.filter(F.length("voucher") >= VOUCHER_LEAST), lexicon, "token").filter("not known").drop("known")
-    return in_lexicon(found, lexicon, "voucher").filter("known").select(*page, "pos")
+        return pairs.filter("false")
+    # each look-up is a join that adds no row, so that the pairs are found once
+    words = lexicon.select(F.col("token").alias("_w")).distinct()
+
+    def look(rows, column):
+        for k, form in enumerate((F.col(column), capitalized(F.col(column)))):
+            rows = rows.withColumn("_w", F.nullif(form, F.lit(""))).join(words.withColumn(f"_{k}", F.lit(True)), "_w", "left").drop("_w")
+        return rows.withColumn("_known", F.coalesce("_0", "_1", F.lit(False))).drop("_0", "_1")
+
+    unknown = look(pairs, "token").filter("not _known").drop("_known")
+    return look(unknown, "voucher").filter("_known").drop("_known")
 
 
 def disagreements(words: DataFrame, regions: DataFrame, page: list[str], lexicon: DataFrame | None, least: float = REGION_LEAST) -> DataFrame:

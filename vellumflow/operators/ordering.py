@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import runs_of
+
 #: Share of the page's height or width that a gap must have to cut.
 GAP = 0.012
 NMS_IOU, NMS_CONTAINED = 0.45, 0.80
@@ -25,6 +27,12 @@ def runs(rows: DataFrame, by: list[str], pos: str, true: Column) -> DataFrame:
     return rows.filter(true).withColumn("_island", island).groupBy(*by, "_island").agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("end")).drop("_island")
 
 
+def runs_of_rows(rows: DataFrame, by: list[str], at: str) -> DataFrame:
+    """(by, start, end): the runs of each row's array of rising positions; nothing is shuffled."""
+    runs_ = F.transform(runs_of(F.col(at), lambda a, b: b == a + 1), lambda r: F.struct(F.get(r, F.lit(0)).alias("start"), (F.element_at(r, -1) + 1).alias("end")))
+    return rows.select(*by, F.inline(runs_))
+
+
 def split_by_gaps(rows: DataFrame, by: list[str], pos: str, value: str, floor: Column, least_gap: int) -> DataFrame:
     """(by, start, end): runs above the floor, joined where fewer than ``least_gap`` positions part them."""
     order = Window.partitionBy(*by).orderBy(pos)
@@ -80,15 +88,20 @@ class Boxes:
     def rows(self, which: list[int]) -> list[int]:
         """Greedy rows by vertical overlap of more than half the smaller height, each row from left to right."""
         made: list[list] = []  # top, bottom, members
-        for i in sorted(which, key=lambda i: (self.y[i], which.index(i))):
+        live: list[list] = []  # rows that a box further down may still join; boxes come by their tops
+        proper = all(self.y2[i] >= self.y[i] for i in which)
+        for i in sorted(which, key=lambda i: self.y[i]):
             top, bottom = self.y[i], self.y2[i]
-            for row in made:
+            if proper:
+                live = [row for row in live if row[1] > top]
+            for row in live:
                 if min(bottom, row[1]) - max(top, row[0]) > 0.5 * min(bottom - top, row[1] - row[0]):
                     row[0], row[1] = min(row[0], top), max(row[1], bottom)
                     row[2].append(i)
                     break
             else:
                 made.append([top, bottom, [i]])
+                live.append(made[-1])
         found: list[int] = []
         for _, _, members in sorted(made, key=lambda r: r[0]):
             columns = _islands(members, self.x, self.x2, 1.0) if len(members) > 1 else [members]
@@ -96,7 +109,7 @@ class Boxes:
                 for c in columns:
                     found += self.rows(c) if len(c) > 1 else c
             else:
-                found += sorted(members, key=lambda i: (self.x[i], members.index(i)))
+                found += sorted(members, key=lambda i: self.x[i])
         return found
 
     def cut(self, which: list[int], gap_x: float, gap_y: float) -> list[int]:

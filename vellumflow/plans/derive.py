@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,23 +39,36 @@ OF_WORD = {
 }
 
 
-def cut_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, cut): documents with the array of their tokens; those without any are left out.
+def cut_rows(spark: SparkSession, sf_dir: str, blank: bool = False) -> DataFrame:
+    """(doc_id, lang, source, cut): documents with the array of their tokens; those without any are left out, or have a null.
 
     Documents are dealt out anew where their files make fewer tasks than there are cores."""
     d, n = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), spark.sparkContext.defaultParallelism
     d = d if d.rdd.getNumPartitions() >= n else d.repartition(n, "doc_id")
     trimmed = F.regexp_replace(F.coalesce("text", F.lit("")), r"^[ \t\n\r]+|[ \t\n\r]+$", "")
-    return d.select("doc_id", "lang", "source", trimmed.alias("text")).filter("text <> ''").select("doc_id", "lang", "source", F.split("text", r"[ \t\n\r]+").alias("cut"))
+    d = d.select("doc_id", "lang", "source", F.nullif(trimmed, F.lit("")).alias("text"))
+    return (d if blank else d.filter("text is not null")).select("doc_id", "lang", "source", F.split("text", r"[ \t\n\r]+").alias("cut"))
 
 
 def word_rows(spark: SparkSession, sf_dir: str, *fields: str, **made: str) -> DataFrame:
     """(doc_id, lang, source, words): the words of ``words`` inside their document's row, in order, with pos and what is asked for.
 
     ``fields`` are columns of ``words``, ``made`` further ones as SQL over doc_id, pos and token."""
+    return cut_rows(spark, sf_dir).select("doc_id", "lang", "source", word_array(*fields, **made).alias("words"))
+
+
+def word_array(*fields: str, **made: str) -> Column:
+    """The words of ``cut`` with pos and what is asked for, as ``word_rows`` has it."""
     of = {f: "token" if f == "token" else OF_WORD[f] for f in fields} | made
     one = ", ".join(["'pos', pos", *[f"'{c}', {e}" for c, e in of.items()]])
-    return cut_rows(spark, sf_dir).select("doc_id", "lang", "source", F.expr(f"transform(cut, (token, pos) -> named_struct({one}))").alias("words"))
+    return F.expr(f"transform(cut, (token, pos) -> named_struct({one}))")
+
+
+#: The blocks of ``blocks`` (block, x, y, w, h) of a document's ``cut``, the wide ones alone, and its lines (line).
+WIDE = "named_struct('block', cast(b * 2 as int), 'x', 0, 'y', cast(b * 120 as int), 'w', 600, 'h', 114)"
+BLOCK_ARRAY = f"""flatten(transform(sequence(0, cast((size(cut) - 1) div 50 as int)), b -> if(b % 3 = 0, array({WIDE},
+  named_struct('block', cast(b * 2 + 1 as int), 'x', 120, 'y', cast(b * 120 as int), 'w', 240, 'h', 60)), array({WIDE}))))"""
+LINES = "sequence(0, cast((size(cut) - 1) div 10 as int))"
 
 
 def word_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
