@@ -38,6 +38,15 @@ def normalize_token(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, "[^0-9a-zA-Zа-яёА-ЯЁ]+", ""))
 
 
+def capitalized(c: Column) -> Column:
+    """The first letter large and the others small, one for one: what has no large letter of its own stays, and ß has ẞ.
+
+    initcap() writes some letters as two, and begins anew after a hyphen."""
+    first = F.left(c, F.lit(1))
+    large = F.translate(first, "ß", "ẞ")
+    return F.concat(F.when(F.length(F.upper(large)) == 1, F.upper(large)).otherwise(large), F.lower(F.substr(c, F.lit(2))))
+
+
 def anchor_tokens(c: Column) -> Column:
     """Tokens for anchors: lower case, hyphens joined, digits and Latin letters up to U+024F; Cyrillic is dropped."""
     joined = F.regexp_replace(F.lower(c), r"(?U)-\s*", "")

@@ -129,7 +129,7 @@ SELECT token, EXISTS (SELECT 1 FROM x WHERE w = token) OR EXISTS (SELECT 1 FROM
 def lexicon_known(spark, sf_dir):
     """Tokens that a lexicon knows as they are or capitalised."""
     t = tokens(table(spark, sf_dir, "benchmark"), "item_id").select("token")
-    lexicon = t.filter("length(token) % 3 <> 0").select(F.when(F.length("token") % 3 == 1, F.initcap("token")).otherwise(F.col("token")).alias("token"))
+    lexicon = t.filter("length(token) % 3 <> 0").select(F.when(F.length("token") % 3 == 1, text.capitalized(F.col("token"))).otherwise(F.col("token")).alias("token"))
     return tables.in_lexicon(t.select(F.lower("token").alias("token")).filter("token rlike '^[a-z]+$'").distinct(), lexicon)
 
 

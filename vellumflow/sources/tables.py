@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_cyrillic, normalize_token, strip
+from ..functions.text import capitalized, has_cyrillic, normalize_token, strip
 from ..plans.schemas import BLOCK, BLOCK_TRUTH, DOC_PAGE, DOCUMENT, DOCUMENT_VERSION, MANIFEST, RESULTS, SETTINGS, TSV, WORD
 
 #: File names of images, and of raw captures that need a decoder of their own.
@@ -95,7 +95,7 @@ def first_usable(candidates: DataFrame) -> DataFrame:
 def in_lexicon(tokens: DataFrame, lexicon: DataFrame, column: str = "token") -> DataFrame:
     """tokens with known: the token or its capitalised form is in the lexicon; the empty token is not."""
     words = lexicon.select(F.col("token").alias("_w")).distinct()
-    forms = tokens.select(column).distinct().filter(F.col(column) != "").select(column, F.explode(F.array(F.col(column), F.initcap(column))).alias("_w"))
+    forms = tokens.select(column).distinct().filter(F.col(column) != "").select(column, F.explode(F.array(F.col(column), capitalized(F.col(column)))).alias("_w"))
     hits = forms.join(words, "_w", "left_semi").select(column).distinct().withColumn("known", F.lit(True))
     return tokens.join(hits, column, "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
