@@ -70,23 +70,29 @@ def discordant(values: np.ndarray) -> int:
     return found
 
 
-def kendall_tau(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """(by, concordant, discordant, tau) over all pairs of a group; ties drop out, no untied pair gives null.
-
-    A group is sorted in one task and its pairs are counted without being formed, in n log n steps. Nulls pair with nothing."""
+def pair_counts(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """How many pairs stand in the same and in the opposite order in both arrays; ties count in neither."""
 
     def tied(*columns: np.ndarray) -> int:
         n = np.unique(np.stack([np.unique(c, return_inverse=True)[1] for c in columns]), axis=1, return_counts=True)[1].astype(np.int64)
         return int((n * (n - 1) // 2).sum())
 
+    n = len(x)
+    if n < 50:  # few pairs are sooner formed than counted
+        order = np.sign(x[:, None] - x) * np.sign(y[:, None] - y)
+        return int((order > 0).sum()) // 2, int((order < 0).sum()) // 2
+    against = discordant(y[np.lexsort((y, x))])
+    return n * (n - 1) // 2 - tied(x) - tied(y) + tied(x, y) - against, against
+
+
+def kendall_tau(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """(by, concordant, discordant, tau) over all pairs of a group; ties drop out, no untied pair gives null.
+
+    A group is sorted in one task and its pairs are counted without being formed, in n log n steps. Nulls pair with nothing."""
+
     def run(key, t):
         t = t.drop_null().combine_chunks()
-        x, y = (t[c].to_numpy(zero_copy_only=False) for c in ("_a", "_b"))
-        n, against = len(x), 0
-        together = 0
-        if n:
-            against = discordant(y[np.lexsort((y, x))])
-            together = n * (n - 1) // 2 - tied(x) - tied(y) + tied(x, y) - against
+        together, against = pair_counts(*(t[c].to_numpy(zero_copy_only=False) for c in ("_a", "_b")))
         return pa.table([*[pa.array([k.as_py()], k.type) for k in key], pa.array([together], pa.int64()), pa.array([against], pa.int64())], names=[*by, "concordant", "discordant"])
 
     keys = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
@@ -158,11 +164,12 @@ def token_errors(rows: DataFrame, key: str, truth: str, read: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [align(t or [], r or []) for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.record_batch([b.column(0), pa.array([d for d, _ in found], pa.int32()), pa.array([x for _, x in found], pa.list_(pa.bool_()))], [key, "distance", "labels"])
+            both = [(t or [], r or []) for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            found = [align(t, r) for t, r in both]
+            sizes = [pa.array([len(x[k]) for x in both], pa.int32()) for k in (0, 1)]
+            yield pa.record_batch([b.column(0), pa.array([d for d, _ in found], pa.int32()), pa.array([x for _, x in found], pa.list_(pa.bool_())), *sizes], [key, "distance", "labels", "n", "m"])
 
     kind = rows.schema[key].dataType.simpleString()
-    sizes = rows.select(key, F.size(F.coalesce(truth, F.array())).alias("n"), F.size(F.coalesce(read, F.array())).alias("m"))
-    errors = rows.select(key, truth, read).mapInArrow(run, f"{key} {kind}, distance int, labels array<boolean>")
+    errors = rows.select(key, truth, read).mapInArrow(run, f"{key} {kind}, distance int, labels array<boolean>, n int, m int")
     wer = F.when(F.col("n") == 0, F.when(F.col("m") == 0, 0.0).otherwise(1.0)).otherwise(F.col("distance") / F.col("n"))
-    return errors.join(sizes, key).select(key, "distance", wer.alias("wer"), F.greatest(F.lit(0.0), 1 - wer).alias("accuracy"), "labels")
+    return errors.select(key, "distance", wer.alias("wer"), F.greatest(F.lit(0.0), 1 - wer).alias("accuracy"), "labels")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import collections
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import once
 from ..functions.captions import figure_number, parse_caption
 from ..functions.text import anchor_tokens, normalize_text, tokenize
-from ..operators import matching, metrics, ordering, spatial
+from ..operators import matching, metrics, ordering, paged, spatial
 
 
 def evaluate_images(words: DataFrame, truth: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -85,3 +90,45 @@ def grade(truth: DataFrame, found: DataFrame, page: list[str], lang: Column | No
     figures = typed.filter("type = 'figure'").select(*page, F.col("block").alias("figure"), figure_number(F.col("text")).alias("number"))
     pairs = matching.pair_by_number(captions, figures, page).groupBy(*page).agg(F.count("*").alias("n_pairs"))
     return taus.join(captions.groupBy(*page).agg(F.count("*").alias("n_captions")), page, "left").join(pairs, page, "left").fillna(0, ["n_captions", "n_pairs"])
+
+
+def grade_rows(rows: DataFrame, page: list[str], lang: Column | None = None) -> DataFrame:
+    """What ``grade`` finds of rows that hold a page's truth (gt, type, ord, anchor, bbox) and found (block, type, rank, bbox, text, native_ranks) in arrays."""
+    lang = F.lit("ita") if lang is None else lang
+
+    def typed(x):
+        def of(c):
+            kind = matching.promote_captions(x["type"], c.isNotNull())
+            return F.struct(
+                x["block"].alias("block"), kind.alias("type"), x["rank"].alias("rank"), x["bbox"].alias("bbox"), anchor_tokens(x["text"]).alias("tokens"), ordering.upper_median(x["native_ranks"]).alias("native"),
+                c["number"].alias("number"), F.when(x["type"] == "figure", figure_number(x["text"])).alias("figure"),
+            )
+
+        return once(parse_caption(x["text"], lang), of)
+
+    def tau(pairs):
+        pairs = [p for p in pairs if None not in p]
+        together, against = metrics.pair_counts(*np.array(pairs, float).reshape(-1, 2).T)
+        return (together - against) / (together + against) if together + against else None
+
+    def of_page(gts, dets):
+        hit, by = matching.match_page(gts, dets), {x["block"]: x for x in dets}
+        met = [(g, by[hit[g["gt"]]]) for g in gts if g["gt"] in hit]
+        same = [g["type"] == x["type"] for g, x in met if g["type"] and x["type"]]
+        text = [(g["ord"], x["rank"], x["native"]) for g, x in met if g["type"] and g["type"] != "figure"]
+        captions = [x["number"] for x in dets if x["type"] == "caption"]
+        figures = collections.Counter(x["figure"] for x in dets if x["type"] == "figure" and x["figure"] is not None)
+        return (
+            len(met) / len(gts), sum(same) / len(same) if same else 0.0, tau([(o, r) for o, r, _ in text]), tau([(o, n) for o, _, n in text]),
+            len(captions), sum(figures[n] == 1 for n in captions if n is not None),
+        )
+
+    def run(b):
+        both = zip(paged.Items(b.column("truth")).lists(), paged.Items(b.column("found")).lists())
+        found = [(k, of_page(g, d)) for k, (g, d) in enumerate(both) if g]
+        kinds = [pa.float64()] * 4 + [pa.int64()] * 2
+        return np.array([k for k, _ in found], np.int64), [pa.array([v[i] for _, v in found], t) for i, t in enumerate(kinds)]
+
+    made = "seg_recall double; type_acc double; tau double; tau_native double; n_captions bigint; n_pairs bigint"
+    anchored = F.transform("truth", lambda g: g.withField("anchor", anchor_tokens(g["anchor"])))
+    return paged.mapped(rows.select(*page, anchored.alias("truth"), F.transform("found", typed).alias("found")), page, made, ["truth", "found"], run)
