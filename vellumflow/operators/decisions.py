@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import once
 from ..functions.geometry import box, clamped
 from ..functions.scalars import CEILING, FLAG_RATE, FLOOR
 from ..functions.text import is_blank
@@ -73,13 +77,34 @@ def effective_rate(flagged: Column, scored: Column) -> Column:
     return F.when(scored > 0, flagged / scored).otherwise(0.0)
 
 
-def by_document(words: DataFrame, mode: str = "flag") -> DataFrame:
+def by_document(words: DataFrame, mode: str = "flag", rate: float = FLAG_RATE, floor: float = FLOOR, ceiling: float = CEILING) -> DataFrame:
     """One row per document: threshold, counts and the effective rate.
 
-    Thresholds and counts are keyed by document alike, so the words are shuffled once."""
-    limits = thresholds(words, ["doc_id"])
-    counts = decided(words, limits, ["doc_id"], mode).groupBy("doc_id", "raw", "threshold").agg(*decision_counts())
-    return counts.withColumn("effective", effective_rate(F.col("n_scored_flagged"), F.col("n_scored")))
+    Of a word its confidence alone is shuffled, once: words that stand together are packed into arrays before, as
+    they need be neither sorted nor whole for that."""
+
+    def run(batches):
+        for b in batches:
+            doc, conf = b.column(0), b.column(1)
+            code = pc.dictionary_encode(doc, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            blank, odd = (b.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (2, 3))
+            n = int(code.max(initial=-1)) + 1
+
+            def packed(which):
+                at = np.flatnonzero(which)
+                at = at[np.argsort(code[at], kind="stable")]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(code[at], minlength=n))])
+                return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), conf.take(pa.array(at)))
+
+            first = np.full(n, -1)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            yield pa.RecordBatch.from_arrays([doc.take(pa.array(first)), pa.array(np.bincount(code, minlength=n), pa.int64()), packed(~blank & ~odd), packed(~blank & odd)], ["doc_id", "n_words", "sure", "odd"])
+
+    kind = words.schema["doc_id"].dataType.simpleString()
+    facts = words.select("doc_id", F.col("conf").cast("double").alias("conf"), is_blank(F.col("token")).alias("blank"), F.coalesce("disagree", F.lit(False)).alias("odd"))
+    parts = facts.mapInArrow(run, f"doc_id {kind}, n_words bigint, sure array<double>, odd array<double>")
+    whole = parts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("sure", "odd")])
+    return _counted(whole, ["doc_id"], mode, rate, floor, ceiling)
 
 
 def percentile_of(ordered: Column, share: float) -> Column:
@@ -90,23 +115,50 @@ def percentile_of(ordered: Column, share: float) -> Column:
     return F.when(F.size(ordered) > 0, F.round(a * (low + 1 - at) + b * (at - low), 6))
 
 
-def by_row(documents: DataFrame, words: str = "words", mode: str = "flag", rate: float = FLAG_RATE, floor: float = FLOOR, ceiling: float = CEILING) -> DataFrame:
+def _limits(confs: Column, rate: float, floor: float, ceiling: float) -> tuple[Column, Column]:
+    """raw and threshold of the sorted confidences of a document's scored words."""
+    low, high = min(floor, ceiling), max(floor, ceiling)
+    few, p = F.size(confs) < LEAST_WORDS, percentile_of(confs, rate)
+    return F.when(few, -1.0).otherwise(p), F.when(few, low).otherwise(F.least(F.greatest(p, F.lit(low)), F.lit(high)))
+
+
+def with_limits(documents: DataFrame, words: str = "words", rate: float = FLAG_RATE, floor: float = FLOOR, ceiling: float = CEILING) -> DataFrame:
+    """Documents that hold their words (token, conf, ...) with raw and threshold, as ``thresholds`` has them."""
+    scored = F.filter(words, lambda x: is_scored(x["token"], x["conf"]))
+    rows = documents.withColumn("_confs", F.array_sort(F.transform(scored, lambda x: x["conf"])))
+    raw, threshold = _limits(F.col("_confs"), rate, floor, ceiling)
+    return rows.withColumns({"raw": raw, "threshold": threshold}).drop("_confs")
+
+
+def unsure(words: Column, threshold: Column) -> Column:
+    """The uncertain ones of an array of words (conf, disagree)."""
+    return once(threshold, lambda t: F.filter(words, lambda x: is_uncertain(x["conf"], t, x["disagree"])))
+
+
+def by_row(documents: DataFrame, words: str = "words", mode: str = "flag", rate: float = FLAG_RATE, floor: float = FLOOR, ceiling: float = CEILING, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """What ``by_document`` finds, for documents that hold their words as an array of (token, conf, disagree).
 
     A document is one row, so nothing is shuffled: sorting and counting stay inside the row."""
-    low, high = min(floor, ceiling), max(floor, ceiling)
     # blank words are kept and never scored, so they are set aside once
-    rows = documents.select("doc_id", F.size(words).cast("bigint").alias("n_words"), F.filter(words, lambda x: ~is_blank(x["token"])).alias("w"))
-    rows = rows.select("*", F.array_sort(F.filter(F.transform("w", lambda x: x["conf"]), lambda c: c > 0)).alias("confs"))
-    few = F.size("confs") < LEAST_WORDS
-    p = percentile_of(F.col("confs"), rate)
-    rows = rows.select("doc_id", "n_words", "w", F.size("confs").cast("bigint").alias("n_scored"), F.when(few, -1.0).otherwise(p).alias("raw"), F.when(few, low).otherwise(F.least(F.greatest(p, F.lit(low)), F.lit(high))).alias("threshold"))
-    unsure = F.transform(F.filter("w", lambda x: is_uncertain(x["conf"], F.col("threshold"), x["disagree"])), lambda x: x["conf"])
-    rows = rows.select("doc_id", "raw", "threshold", "n_words", "n_scored", unsure.alias("unsure"))
+    rows = documents.select(*keep, F.size(words).cast("bigint").alias("n_words"), F.filter(words, lambda x: ~is_blank(x["token"])).alias("w"))
+
+    def confs(odd):
+        return F.transform(F.filter("w", lambda x: F.coalesce(x["disagree"], F.lit(False)) == F.lit(odd)), lambda x: x["conf"])
+
+    return _counted(rows.select(*keep, "n_words", confs(False).alias("sure"), confs(True).alias("odd")), [*keep], mode, rate, floor, ceiling)
+
+
+def _counted(rows: DataFrame, keep: list[str], mode: str, rate: float, floor: float, ceiling: float) -> DataFrame:
+    """A row of counts for each document, of how many words it has and the confidences of those not blank: ``sure``, and ``odd`` where a second reader disagrees."""
+    rows = rows.select("*", F.array_sort(F.filter(F.concat("sure", "odd"), lambda c: c > 0)).alias("confs"))
+    raw, threshold = _limits(F.col("confs"), rate, floor, ceiling)
+    rows = rows.select(*keep, "n_words", "sure", "odd", F.size("confs").cast("bigint").alias("n_scored"), raw.alias("raw"), threshold.alias("threshold"))
+    low = once(F.col("threshold"), lambda t: F.filter("sure", lambda c: c < t))
+    rows = rows.select(*keep, "raw", "threshold", "n_words", "n_scored", F.concat(low, "odd").alias("unsure"))
     n, none = F.size("unsure").cast("bigint"), F.lit(0).cast("bigint")
     marked = {d: n if mode == d else none for d in ("flag", "patch")}
     found = rows.select(
-        "doc_id", "raw", "threshold", "n_words", (F.col("n_words") - marked["flag"] - marked["patch"]).alias("n_keep"), *[c.alias(f"n_{d}") for d, c in marked.items()],
+        *keep, "raw", "threshold", "n_words", (F.col("n_words") - marked["flag"] - marked["patch"]).alias("n_keep"), *[c.alias(f"n_{d}") for d, c in marked.items()],
         n.alias("n_uncertain"), F.size(F.filter("unsure", lambda c: c > 0)).cast("bigint").alias("n_scored_flagged"), "n_scored",
     )
     return found.withColumn("effective", effective_rate(F.col("n_scored_flagged"), F.col("n_scored")))
