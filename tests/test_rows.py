@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from vellumflow.functions import captions
 from vellumflow.functions.arrays import runs_of
 from vellumflow.functions.text import capitalized
 from vellumflow.plans import queries
@@ -28,3 +29,11 @@ def test_runs_of(spark):
 @pytest.mark.parametrize("word, large", [("ß", "ẞ"), ("ab-cd", "Ab-cd"), ("ŉa", "ŉa"), ("àB", "Àb"), ("", "")])
 def test_capitalized_letter_by_letter(spark, word, large):
     assert spark.createDataFrame([(word,)], "w string").select(capitalized(F.col("w")).alias("c")).first().c == large
+
+
+def test_captions_of_rows_are_those_of_columns(spark):
+    texts = ["Figura 12 | casa", "Sopra: Fig. 3", "Abb. 1234 x", "Tav. 7:  mare ", "nulla", "", None, "A b :  figura9-x"]
+    rows = spark.createDataFrame([(i, t, k) for i, t in enumerate(texts) for k in ("ita", "deu", "eng")], "i int, text string, key string")
+    got = captions.parsed_captions(rows, "text", "key").select("i", "key", "c").collect()
+    want = rows.select("i", "key", captions.parse_caption(F.col("text"), F.col("key")).alias("c")).filter("c is not null").collect()
+    assert sorted(got) == sorted(want) and want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import once
@@ -64,20 +64,38 @@ def by_language(lang: Column, made) -> Column:
     return found
 
 
+def _marked(text: Column, pattern: str) -> Column:
+    """The text with its header's parts and the rest set off by a mark; one without a header stays as it is."""
+    return F.regexp_replace(text, pattern + r"[ \t:;.,\-–—|/·]*+", MARK + f"$1{MARK}$2{MARK}$3{MARK}")
+
+
+def _header(p: Column, key: Column) -> Column:
+    prefix = F.trim(p[1])
+    return F.struct(
+        p[3].cast("int").alias("number"), F.lower(p[2]).alias("keyword"), key.alias("lang"),
+        F.when(prefix != "", prefix).alias("prefix"), F.regexp_replace(p[4], r"(?U)^\s+|\s+$", "").alias("residual"),
+    )
+
+
+def _found(text: Column, cut: Column, key: Column) -> Column:
+    return once(cut, lambda c: F.when(c != text, once(F.split(c, MARK, 5), lambda p: _header(p, key))))
+
+
 def parse_caption(text: Column, lang: Column) -> Column:
     """struct(number, keyword, lang, prefix, residual) of the caption header that the text begins with, or null.
 
     One replacement sets the header's parts and the rest off by a mark, and so changes a text just if it has a header."""
-    cut = by_language(lang, lambda k: F.regexp_replace(text, header_pattern(k) + r"[ \t:;.,\-–—|/·]*+", MARK + f"$1{MARK}$2{MARK}$3{MARK}"))
+    return _found(text, by_language(lang, lambda k: _marked(text, header_pattern(k))), lang_key(lang))
 
-    def parts(p):
-        prefix = F.trim(p[1])
-        return F.struct(
-            p[3].cast("int").alias("number"), F.lower(p[2]).alias("keyword"), lang_key(lang).alias("lang"),
-            F.when(prefix != "", prefix).alias("prefix"), F.regexp_replace(p[4], r"(?U)^\s+|\s+$", "").alias("residual"),
-        )
 
-    return once(cut, lambda c: F.when(c != text, once(F.split(c, MARK, 5), parts)))
+def parsed_captions(rows: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows that begin with a caption header, with it as ``c``: what ``parse_caption`` finds where ``key`` has each row's ``lang_key``."""
+    cut = None
+    for k in KEYWORDS:
+        one = _marked(F.col(text), header_pattern(k))
+        cut = F.when(F.col(key) == k, one) if cut is None else cut.when(F.col(key) == k, one)
+    # a filter on the header would reckon it twice
+    return rows.select("*", F.explode(F.array_compact(F.array(_found(F.col(text), cut, F.col(key))))).alias("c"))
 
 
 def is_caption(text: Column, lang: Column) -> Column:
